@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versehall.llm import byte_bpe, source_mix
+from versehall.llm import byte_bpe, near_dup, source_mix
 from versehall.llm.common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -22,5 +22,9 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op8_byte_bpe, op9_source_mix)}
+def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op8_byte_bpe, op9_source_mix, op10_near_dup)}
 SQL: dict[str, str] = {}
