@@ -6,12 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versehall.llm import byte_bpe, near_dup, source_mix
+from versehall.llm import byte_bpe, near_dup, source_mix, surrogates
 from versehall.llm.common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = surrogates.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "text", "n_entities")
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return byte_bpe.encode_documents(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
@@ -26,5 +31,5 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op8_byte_bpe, op9_source_mix, op10_near_dup)}
+QUERIES = {f.__name__: f for f in (op3_surrogates, op8_byte_bpe, op9_source_mix, op10_near_dup)}
 SQL: dict[str, str] = {}
