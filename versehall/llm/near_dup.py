@@ -3,13 +3,14 @@
 Two collections of `keys` short minhash keys each are computed per document; the key of table
 (i, j) is the pair of key i of the first collection and key j of the second. keys**2 tables thus
 cost 2 * keys * rows minhashes instead of keys**2 * 2 * rows. A pair of similarity J meets in some
-table with probability (1 - (1 - J**rows)**keys)**2, 0.999995 at J = 0.85 for the defaults.
+table with probability (1 - (1 - J**rows)**keys)**2, 0.99998 at J = 0.85 for the defaults.
 
-Every candidate pair is confirmed on the full shingle sets. Buckets are not expanded into all
-pairs: documents with equal sets are one node; in a bucket every node is first held against the
-bucket's smallest node; then, where a bucket still holds several components, against the nodes of
-the other components. So the components are those of all colliding pairs, while a bucket that one
-group of copies fills costs one pair a member.
+Every link is confirmed on the full shingle sets. Buckets are not expanded into all pairs:
+documents with equal sets are one node; in a bucket every node is first held against the bucket's
+smallest node; then, where a bucket still holds several components, nodes of different components
+are compared in blocks by a sketch of SKETCH minhash bytes, and only pairs whose estimate is within
+MARGIN of the threshold (some five standard errors) are confirmed. So the components are those of
+all colliding pairs, while a bucket that one group of copies fills costs one pair a member.
 
 Defined cases: null or blank texts have an empty set and link with nothing; fewer words than a
 shingle make one shingle of the whole sequence; rows with a null doc_id link with nothing
@@ -19,8 +20,12 @@ result; other columns play no part.
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +33,9 @@ from pyspark.sql import functions as F
 from versehall.llm.common import components, in_arrow, stage
 
 SHINGLE = 5
-KEYS, ROWS = 10, 2  # keys of each collection, minhashes of each key
-MEMBERS = 256  # documents held against one leader in one group
+KEYS, ROWS = 12, 3  # keys of each collection, minhashes of each key
+SKETCH, MARGIN = 256, 0.11
+MEMBERS = 256  # nodes held against one leader in one group, or compared with as many others
 SEED = 20240611
 KNOWN_WORDS = 400_000
 
@@ -68,53 +74,131 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(_stir(out))
 
 
-def _multipliers(n: int) -> np.ndarray:
-    return np.random.default_rng(SEED).integers(1, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_RNG = np.random.default_rng(SEED)
+_FACTORS = _RNG.integers(0, 1 << 31, SKETCH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_OFFSETS = _RNG.integers(0, 1 << 32, SKETCH, dtype=np.uint32)
+
 
+def minhashes(s: np.ndarray) -> np.ndarray:
+    """SKETCH minima of a non-empty set under linear maps of its hashes' upper halves."""
+    x = (s >> np.uint64(32)).astype(np.uint32)
+    low = np.full(SKETCH, 0xFFFFFFFF, np.uint32)
+    for i in range(0, len(x), 1024):
+        y = np.multiply.outer(_FACTORS, x[i : i + 1024])
+        y += _OFFSETS[:, None]
+        np.minimum(low, y.min(1), out=low)
+    return low
 
-def minhash_keys(s: np.ndarray, keys: int = KEYS, rows: int = ROWS) -> np.ndarray:
-    """2 * keys keys of a non-empty set, each of `rows` minhashes and its place."""
-    mult = _multipliers(2 * keys * rows)
-    low = np.empty(len(mult), np.uint64)
-    buf = np.empty_like(s)
-    for i, m in enumerate(mult):
-        np.multiply(s, m, out=buf)
-        np.bitwise_xor(buf, buf >> np.uint64(32), out=buf)
-        np.multiply(buf, mult[-1 - i], out=buf)
-        low[i] = buf.min()
+
+def tensor_keys(low: np.ndarray, keys: int = KEYS, rows: int = ROWS) -> np.ndarray:
+    """2 * keys keys, each of its place and `rows` minhashes of its own."""
     out = np.arange(1, 2 * keys + 1, dtype=np.uint64)
-    for part in low.reshape(2 * keys, rows).T:
+    for part in low[: 2 * keys * rows].reshape(2 * keys, rows).T:
         out = _stir(out * np.uint64(0x9E3779B97F4A7C15) + part)
     return out.view(np.int64)
 
 
 def signatures(docs: DataFrame, keys: int = KEYS, rows: int = ROWS) -> DataFrame:
-    """Per row: doc_id, n_shingles, set_hi and set_lo (the set's identity), keys array<long>."""
+    """Per row: doc_id, n_shingles, set_hi and set_lo (the set's identity), keys, sketch."""
+    if 2 * keys * rows > SKETCH:
+        raise ValueError(f"{keys} keys of {rows} minhashes need more than {SKETCH}")
 
     def run(part: dict) -> dict:
-        out: dict = {"doc_id": part["doc_id"], "n_shingles": [], "set_hi": [], "set_lo": [], "keys": []}
+        out: dict = {"doc_id": part["doc_id"], "n_shingles": [], "set_hi": [], "set_lo": [], "keys": [], "sketch": []}
         for text in part["text"]:
             s = shingles(text)
             both = xxhash.xxh3_128_intdigest(s.tobytes())
             out["n_shingles"].append(len(s))
             out["set_hi"].append((both >> 64) - (1 << 63))
             out["set_lo"].append((both & ((1 << 64) - 1)) - (1 << 63))
-            out["keys"].append(minhash_keys(s, keys, rows) if len(s) else [])
+            low = minhashes(s) if len(s) else None
+            out["keys"].append([] if low is None else tensor_keys(low, keys, rows))
+            out["sketch"].append(b"" if low is None else low.astype(np.uint8).tobytes())
         return out
 
-    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_shingles long, set_hi long, set_lo long, keys array<long>")
+    schema = "doc_id long, n_shingles long, set_hi long, set_lo long, keys array<long>, sketch binary"
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, schema)
 
 
 def bucket_members(nodes: DataFrame, keys: int = KEYS) -> DataFrame:
-    """(bucket, node, n) of the tables' buckets with at least two nodes. Keys that no other node
-    has are dropped before the pairs of keys are formed."""
+    """(bucket, node, n) of the tables' buckets. Keys that no other node has are dropped before
+    the pairs of keys are formed."""
     single = nodes.select("node", "n", F.posexplode("keys").alias("place", "key"))
     shared = single.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     lists = single.join(shared, "key").groupBy("node", "n")
     lists = lists.agg(*[F.collect_list(F.when(c, F.col("key"))).alias(k) for k, c in (("a", F.col("place") < keys), ("b", F.col("place") >= keys))])
     rows = lists.select("node", "n", "b", F.explode("a").alias("x")).select("node", "n", "x", F.explode("b").alias("y"))
-    rows = stage(rows.select(F.xxhash64("x", "y").alias("bucket"), "node", "n"), "buckets")
-    return rows
+    return stage(rows.select(F.xxhash64("x", "y").alias("bucket"), "node", "n"), "buckets")
+
+
+def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether rows of sketches may belong to sets of the similarity."""
+    return (a == b).mean(1) >= percent / 100 - MARGIN
+
+
+def likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Those of `pairs` (x, y) whose sketches (node, sketch) come near the similarity."""
+
+    def run(part: dict) -> dict:
+        a, b = (np.frombuffer(b"".join(part[k]), np.uint8).reshape(-1, SKETCH) for k in ("s", "t"))
+        ok = np.flatnonzero(_alike(a, b, percent))
+        return {k: [part[k][i] for i in ok] for k in ("x", "y")}
+
+    both = pairs.join(sketches.select(F.col("node").alias("x"), F.col("sketch").alias("s")), "x")
+    both = both.join(sketches.select(F.col("node").alias("y"), F.col("sketch").alias("t")), "y")
+    return in_arrow(both.select("x", "y", "s", "t"), run, "x long, y long", max_rows=8192)
+
+
+def across(own: DataFrame, percent: int) -> DataFrame:
+    """Likely pairs (x, y) of different components within buckets, from rows (bucket, node, n, c,
+    sketch). Buckets are cut into blocks of some MEMBERS nodes and every pair of blocks is one
+    group, so no group grows with its bucket."""
+    parts = own.groupBy("bucket").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts"))
+    rows = own.join(parts, "bucket").withColumn("p", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select(F.xxhash64("bucket", F.least("p", "q"), F.greatest("p", "q")).alias("g"), (F.col("p") > F.col("q")).alias("side"), (F.col("p") == F.col("q")).alias("one"), "node", "n", "c", "sketch")
+    # a group is read as a run of equal g in a sorted stream: far cheaper than a call for each
+    rows = rows.repartition("g").sortWithinPartitions("g")
+    out = pa.schema([("x", pa.int64()), ("y", pa.int64())])
+
+    def pairs(t: pa.Table) -> tuple[list, list]:
+        g, node, n, c = (t.column(k).to_numpy() for k in ("g", "node", "n", "c"))
+        side, one = (t.column(k).to_numpy(zero_copy_only=False) for k in ("side", "one"))
+        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+        xs, ys = [], []
+        cuts = np.flatnonzero(np.diff(g)) + 1
+        for a, b in zip([0, *cuts], [*cuts, len(g)]):
+            if b - a < 2 or (c[a:b] == c[a]).all():
+                continue
+            ok = (c[a:b, None] != c[None, a:b]) & (node[a:b, None] < node[None, a:b])
+            ok &= np.minimum(n[a:b, None], n[None, a:b]) * 100 >= percent * np.maximum(n[a:b, None], n[None, a:b])
+            ok &= one[a:b, None] | (side[a:b, None] != side[None, a:b])
+            i, j = np.nonzero(ok)
+            for k in range(0, len(i), 8192):
+                ik, jk = i[k : k + 8192] + a, j[k : k + 8192] + a
+                near = _alike(sketch[ik], sketch[jk], percent)
+                xs.append(node[ik[near]])
+                ys.append(node[jk[near]])
+        return xs, ys
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                held.append(batch)
+                if batch.num_rows == 0 or batch.column(0)[0] == batch.column(0)[-1]:
+                    continue
+            if not held:
+                continue
+            t = pa.Table.from_batches(held)
+            g = t.column("g").to_numpy()
+            end = len(g) if batch is None else int(np.flatnonzero(g != g[-1])[-1]) + 1  # the last group may go on
+            xs, ys = pairs(t.slice(0, end)) if end else ([], [])
+            held = t.slice(end).to_batches()
+            if xs:
+                yield pa.RecordBatch.from_arrays([np.concatenate(xs), np.concatenate(ys)], schema=out)
+
+    return rows.mapInArrow(run, "x long, y long").distinct()
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -149,30 +233,27 @@ def near_duplicates(docs: DataFrame, percent: int = 85, keys: int = KEYS, rows:
     links of at least `percent` % similarity), kept."""
     sig = stage(signatures(docs, keys, rows), "signatures")
     full = sig.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    nodes = full.groupBy("set_hi", "set_lo", "n_shingles", "keys").agg(F.min("doc_id").alias("node"))
+    nodes = full.groupBy("set_hi", "set_lo", "n_shingles", "keys", "sketch").agg(F.min("doc_id").alias("node"))
     nodes = stage(nodes.withColumnRenamed("n_shingles", "n"), "nodes")
     same = full.join(nodes.select("set_hi", "set_lo", "node"), ["set_hi", "set_lo"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
     members = bucket_members(nodes, keys)
     near = f"least(n, m) * 100 >= {percent} * greatest(n, m)"
     leaders = members.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("l"), F.max("node").alias("top")).where("top > l.node")
     first = members.join(leaders.select("bucket", F.col("l.node").alias("x"), F.col("l.n").alias("m")), "bucket")
-    first = stage(first.where(f"node <> x AND {near}").select("x", F.col("node").alias("y")).distinct(), "pairs")
+    first = first.where(f"node <> x AND {near}").select("x", F.col("node").alias("y")).distinct()
+    sketches = stage(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "sketch"), "sketches")
+    first = stage(likely(first, sketches, percent), "pairs")
+    # the texts of colliding nodes; a merge join at any size, so that its cost stays in proportion
     plain = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
-
-    def texts(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct()
-        return stage(plain.join(wanted, "node"), "pair-texts")
-
-    links = stage(confirm(first, texts(first), percent), "links")
+    texts = stage(plain.join(members.select("node").distinct().hint("merge"), "node"), "texts")
+    links = stage(confirm(first, texts, percent), "links")
     label = components(links).withColumnRenamed("component", "c")
     # what is left: colliding nodes of different components
     own = members.join(label, "node", "left").select("bucket", "node", "n", F.coalesce("c", "node").alias("c"))
     mixed = own.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("bucket")
-    own = stage(own.join(mixed, "bucket"), "mixed")
-    other = own.select("bucket", F.col("node").alias("y"), F.col("n").alias("m"), F.col("c").alias("d"))
-    rest = own.join(other, "bucket").where(f"node < y AND c <> d AND {near}").select(F.col("node").alias("x"), "y").distinct()
-    rest = stage(rest.join(first, ["x", "y"], "left_anti"), "pairs")
-    links = links.union(stage(confirm(rest, texts(rest), percent), "links")).union(same)
+    own = stage(own.join(mixed, "bucket"), "mixed").join(sketches, "node")
+    rest = stage(across(own, percent).join(first, ["x", "y"], "left_anti"), "pairs")
+    links = links.union(stage(confirm(rest, texts, percent), "links")).union(same)
     label = components(links)
     out = sig.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

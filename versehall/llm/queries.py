@@ -6,12 +6,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versehall.llm import byte_bpe, near_dup, source_mix, surrogates
+from versehall.llm import byte_bpe, near_dup, source_mix, surrogates, toxicity
 from versehall.llm.common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, table(spark, sf_dir, "labels"))
+    return scored.select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = surrogates.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "text", "n_entities")
@@ -31,5 +42,5 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op3_surrogates, op8_byte_bpe, op9_source_mix, op10_near_dup)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_surrogates, op8_byte_bpe, op9_source_mix, op10_near_dup)}
 SQL: dict[str, str] = {}
