@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versehall.llm import byte_bpe, near_dup, source_mix, surrogates, toxicity
+from versehall.llm import adaptive_ann, byte_bpe, exact_topk, near_dup, source_mix, surrogates, toxicity
 from versehall.llm.common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -28,6 +28,14 @@ def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "text", "n_entities")
 
 
+def op4_adaptive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adaptive_ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return byte_bpe.encode_documents(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
@@ -42,5 +50,13 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_surrogates, op8_byte_bpe, op9_source_mix, op10_near_dup)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_surrogates, op4_adaptive_ann, op7_exact_topk, op8_byte_bpe, op9_source_mix, op10_near_dup)}
+SQL: dict[str, str] = {
+    "op7_exact_topk": """
+        WITH v AS (SELECT vec_id, [floor(64 * x::DOUBLE) for x in embedding] AS q FROM embeddings
+                   WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+        s AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
+              FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+        SELECT query_id, n::INTEGER AS rank, vec_id, score FROM r WHERE n <= 20""",
+}
