@@ -151,13 +151,13 @@ def _windows(n: int, step: int) -> list[int]:
     return list(range(0, max(1, n - WINDOW + step), step)) if n > WINDOW else [0]
 
 
-def fit(windows: list[list[str]], owner: np.ndarray, labels: np.ndarray, seed: int = 7, steps: tuple[int, ...] = (250, 120, 120, 120)) -> Net:
-    """Train on windows (lists of words) of documents `owner` with `labels`; plain numpy, Adam."""
+def fit(windows: list[str], owner: np.ndarray, labels: np.ndarray, seed: int = 7, steps: tuple[int, ...] = (250, 120, 120, 120)) -> Net:
+    """Train on windows (words joined by spaces) of documents `owner`, ascending, with `labels`."""
     net, rng = Net.fresh(seed), np.random.default_rng(seed)
     vocab = {"\x00": 0}  # row 0 stands where a window has no word
     index = np.zeros((len(windows), WINDOW), np.int64)
     mask = np.zeros((len(windows), WINDOW), np.float32)
-    for i, w in enumerate(windows):
+    for i, w in enumerate(map(str.split, windows)):
         index[i, : len(w)] = [vocab.setdefault(x, len(vocab)) for x in w]
         mask[i, : len(w)] = 1
     words = list(vocab)
@@ -246,16 +246,15 @@ def _scatter(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
 
 def _common(index: np.ndarray, owner: np.ndarray, ids: np.ndarray, grams: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """1 for the word and n-gram buckets that occur in at least MIN_DOCS documents, as columns."""
-    seen = np.unique(np.stack([np.repeat(owner, index.shape[1]), index.ravel()]), axis=1)
-    out = []
-    for buckets, docs, n in ((ids[seen[1]], seen[0], WORD_ROWS), (None, None, CHAR_ROWS)):
-        if buckets is None:
-            size = counts[seen[1]]
-            docs = np.repeat(seen[0], size)
-            buckets = grams[np.repeat(starts[seen[1]] - np.cumsum(size) + size, size) + np.arange(size.sum())]
-        once = np.unique(docs * np.int64(n) + buckets)
-        out.append((np.bincount(once % n, minlength=n) >= MIN_DOCS).astype(np.float32)[:, None])
-    return out[0], out[1]
+    n_word, n_char = np.zeros(WORD_ROWS, np.int64), np.zeros(CHAR_ROWS, np.int64)
+    for i in range(0, len(index), 2048):  # owners ascend: cut where one ends, to count each document once
+        a, b = (np.searchsorted(owner, owner[j]) if j < len(owner) else len(owner) for j in (i, i + 2048))
+        seen = np.unique(np.stack([np.repeat(owner[a:b], index.shape[1]), index[a:b].ravel()]), axis=1)
+        size = counts[seen[1]]
+        chars = grams[np.repeat(starts[seen[1]] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        for docs, buckets, total in ((seen[0], ids[seen[1]], n_word), (np.repeat(seen[0], size), chars, n_char)):
+            total += np.bincount(np.unique(docs * np.int64(len(total)) + buckets) % len(total), minlength=len(total))
+    return tuple((x >= MIN_DOCS).astype(np.float32)[:, None] for x in (n_word, n_char))
 
 
 def score_windows(net: Net, table: np.ndarray, index: np.ndarray, mask: np.ndarray) -> np.ndarray:
@@ -366,7 +365,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_wind
     if not len(y) or y.min() == y.max():
         return None, rate
     with np.errstate(over="ignore"):
-        net = fit([w.split() for r in got for w in r["w"]], np.repeat(np.arange(len(got)), [len(r["w"]) for r in got]), y)
+        net = fit([w for r in got for w in r["w"]], np.repeat(np.arange(len(got)), [len(r["w"]) for r in got]), y)
     net.fit = _calibrate(*np.array(_scored(text, net).select("__logit", "__windows", "toxic").orderBy("doc_id").collect(), float).T, rate)
     return net, rate
 
