@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versehall.llm import adaptive_ann, byte_bpe, exact_topk, near_dup, source_mix, surrogates, toxicity
-from versehall.llm.common import table
+from versehall.llm import adaptive_ann, byte_bpe, exact_topk, near_dup, source_mix, surrogates, toxicity, warc
+from versehall.llm.common import shared_dir, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -32,6 +34,12 @@ def op4_adaptive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adaptive_ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/versehall/warc-{uuid.uuid4().hex}"
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -50,8 +58,15 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_surrogates, op4_adaptive_ann, op7_exact_topk, op8_byte_bpe, op9_source_mix, op10_near_dup)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_surrogates, op4_adaptive_ann, op6_warc, op7_exact_topk, op8_byte_bpe, op9_source_mix, op10_near_dup)}
 SQL: dict[str, str] = {
+    "op6_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+        d AS (SELECT page_id, octet_length(encode(h)) AS n, sha256(h) AS s FROM p),
+        f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY s) ELSE page_id END AS first FROM d)
+        SELECT page_id, n::BIGINT AS payload_bytes, s AS payload_digest,
+               CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN first <> page_id THEN first END AS refers_to FROM f""",
     "op7_exact_topk": """
         WITH v AS (SELECT vec_id, [floor(64 * x::DOUBLE) for x in embedding] AS q FROM embeddings
                    WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
