@@ -8,12 +8,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versehall.llm import adaptive_ann, byte_bpe, exact_topk, near_dup, source_mix, surrogates, toxicity, warc
+from versehall.llm import adaptive_ann, byte_bpe, consensus_html, exact_topk, language_id, near_dup, source_mix, surrogates, toxicity, warc
 from versehall.llm.common import shared_dir, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, and every document with its source in the place of a host."""
+    docs = table(spark, sf_dir, "documents")
+    none = F.lit(None).cast("string")
+    where = language_id.address(F.col("url"))
+    pages = table(spark, sf_dir, "pages").select(F.lit(None).cast("long").alias("doc_id"), "page_id", F.col("html").alias("text"), *[c.alias(k) for k, c in where.items()], language_id.declared(F.col("html")).alias("declared"))
+    rows = docs.select("doc_id", F.lit(None).cast("long").alias("page_id"), "text", F.concat(F.lit("source "), "source").alias("host"), none.alias("domain"), none.alias("suffix"), none.alias("code"), none.alias("declared"))
+    return language_id.identify(pages.unionByName(rows), docs.select("text", "lang"), F.col("page_id").isNotNull())
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score(docs, table(spark, sf_dir, "labels"))
@@ -34,6 +44,10 @@ def op4_adaptive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adaptive_ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op5_consensus_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus_html.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/versehall/warc-{uuid.uuid4().hex}"
     warc.write(table(spark, sf_dir, "pages"), path)
@@ -58,7 +72,7 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_surrogates, op4_adaptive_ann, op6_warc, op7_exact_topk, op8_byte_bpe, op9_source_mix, op10_near_dup)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_surrogates, op4_adaptive_ann, op5_consensus_html, op6_warc, op7_exact_topk, op8_byte_bpe, op9_source_mix, op10_near_dup)}
 SQL: dict[str, str] = {
     "op6_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
