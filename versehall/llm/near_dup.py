@@ -8,8 +8,9 @@ table with probability (1 - (1 - J**rows)**keys)**2, 0.99998 at J = 0.85 for the
 Every link is confirmed on the full shingle sets. Buckets are not expanded into all pairs:
 documents with equal sets are one node; in a bucket every node is first held against the bucket's
 smallest node; then, where a bucket still holds several components, nodes of different components
-are compared in blocks by a sketch of SKETCH minhash bytes, and only pairs whose estimate is within
-MARGIN of the threshold (some five standard errors) are confirmed. So the components are those of
+are compared in blocks by a sketch of SKETCH minhash bytes, each pair in the first bucket it shares,
+and only pairs whose estimate is within MARGIN of the threshold (over four standard errors) are
+confirmed. So the components are those of
 all colliding pairs, while a bucket that one group of copies fills costs one pair a member.
 
 Defined cases: null or blank texts have an empty set and link with nothing; fewer words than a
@@ -34,7 +35,7 @@ from versehall.llm.common import components, in_arrow, stage
 
 SHINGLE = 5
 KEYS, ROWS = 12, 3  # keys of each collection, minhashes of each key
-SKETCH, MARGIN = 256, 0.11
+SKETCH, MARGIN = 256, 0.10
 MEMBERS = 256  # nodes held against one leader in one group, or compared with as many others
 SEED = 20240611
 KNOWN_WORDS = 400_000
@@ -113,7 +114,8 @@ def signatures(docs: DataFrame, keys: int = KEYS, rows: int = ROWS) -> DataFrame
             out["set_lo"].append((both & ((1 << 64) - 1)) - (1 << 63))
             low = minhashes(s) if len(s) else None
             out["keys"].append([] if low is None else tensor_keys(low, keys, rows))
-            out["sketch"].append(b"" if low is None else low.astype(np.uint8).tobytes())
+            # after the sketch itself 32 bits of each key, by which a pair finds its first bucket
+            out["sketch"].append(b"" if low is None else low.astype(np.uint8).tobytes() + out["keys"][-1].astype(np.uint32).tobytes())
         return out
 
     schema = "doc_id long, n_shingles long, set_hi long, set_lo long, keys array<long>, sketch binary"
@@ -121,14 +123,16 @@ def signatures(docs: DataFrame, keys: int = KEYS, rows: int = ROWS) -> DataFrame
 
 
 def bucket_members(nodes: DataFrame, keys: int = KEYS) -> DataFrame:
-    """(bucket, node, n) of the tables' buckets. Keys that no other node has are dropped before
+    """(bucket, table, node, n) of the tables' buckets. Keys that no other node has are dropped before
     the pairs of keys are formed."""
     single = nodes.select("node", "n", F.posexplode("keys").alias("place", "key"))
     shared = single.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     lists = single.join(shared, "key").groupBy("node", "n")
-    lists = lists.agg(*[F.collect_list(F.when(c, F.col("key"))).alias(k) for k, c in (("a", F.col("place") < keys), ("b", F.col("place") >= keys))])
+    half = lambda c: F.collect_list(F.when(c, F.struct("key", "place")))
+    lists = lists.agg(half(F.col("place") < keys).alias("a"), half(F.col("place") >= keys).alias("b"))
     rows = lists.select("node", "n", "b", F.explode("a").alias("x")).select("node", "n", "x", F.explode("b").alias("y"))
-    return stage(rows.select(F.xxhash64("x", "y").alias("bucket"), "node", "n"), "buckets")
+    table = (F.col("x.place") * keys + F.col("y.place") - keys).cast("short").alias("table")
+    return stage(rows.select(F.xxhash64("x.key", "y.key").alias("bucket"), table, "node", "n"), "buckets")
 
 
 def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -140,7 +144,7 @@ def likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Those of `pairs` (x, y) whose sketches (node, sketch) come near the similarity."""
 
     def run(part: dict) -> dict:
-        a, b = (np.frombuffer(b"".join(part[k]), np.uint8).reshape(-1, SKETCH) for k in ("s", "t"))
+        a, b = (np.frombuffer(b"".join(x[:SKETCH] for x in part[k]), np.uint8).reshape(-1, SKETCH) for k in ("s", "t"))
         ok = np.flatnonzero(_alike(a, b, percent))
         return {k: [part[k][i] for i in ok] for k in ("x", "y")}
 
@@ -149,22 +153,23 @@ def likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return in_arrow(both.select("x", "y", "s", "t"), run, "x long, y long", max_rows=8192)
 
 
-def across(own: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs (x, y) of different components within buckets, from rows (bucket, node, n, c,
-    sketch). Buckets are cut into blocks of some MEMBERS nodes and every pair of blocks is one
+def across(own: DataFrame, percent: int, keys: int = KEYS) -> DataFrame:
+    """Likely pairs (x, y) of different components within buckets, from rows (bucket, table, node,
+    n, c, sketch); a pair comes once, from the first table in which it meets. Buckets are cut into blocks of some MEMBERS nodes and every pair of blocks is one
     group, so no group grows with its bucket."""
     parts = own.groupBy("bucket").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts"))
     rows = own.join(parts, "bucket").withColumn("p", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     rows = rows.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select(F.xxhash64("bucket", F.least("p", "q"), F.greatest("p", "q")).alias("g"), (F.col("p") > F.col("q")).alias("side"), (F.col("p") == F.col("q")).alias("one"), "node", "n", "c", "sketch")
+    rows = rows.select(F.xxhash64("bucket", F.least("p", "q"), F.greatest("p", "q")).alias("g"), (F.col("p") > F.col("q")).alias("side"), (F.col("p") == F.col("q")).alias("one"), "table", "node", "n", "c", "sketch")
     # a group is read as a run of equal g in a sorted stream: far cheaper than a call for each
     rows = rows.repartition("g").sortWithinPartitions("g")
     out = pa.schema([("x", pa.int64()), ("y", pa.int64())])
 
     def pairs(t: pa.Table) -> tuple[list, list]:
-        g, node, n, c = (t.column(k).to_numpy() for k in ("g", "node", "n", "c"))
+        g, table, node, n, c = (t.column(k).to_numpy() for k in ("g", "table", "node", "n", "c"))
         side, one = (t.column(k).to_numpy(zero_copy_only=False) for k in ("side", "one"))
-        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+        every = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(g), -1)
+        sketch, both = every[:, :SKETCH], np.ascontiguousarray(every[:, SKETCH:]).view(np.uint32)
         xs, ys = [], []
         cuts = np.flatnonzero(np.diff(g)) + 1
         for a, b in zip([0, *cuts], [*cuts, len(g)]):
@@ -176,6 +181,9 @@ def across(own: DataFrame, percent: int) -> DataFrame:
             i, j = np.nonzero(ok)
             for k in range(0, len(i), 8192):
                 ik, jk = i[k : k + 8192] + a, j[k : k + 8192] + a
+                same = both[ik] == both[jk]
+                first = same[:, :keys].argmax(1) * keys + same[:, keys:].argmax(1)
+                ik, jk = ik[first == table[a]], jk[first == table[a]]
                 near = _alike(sketch[ik], sketch[jk], percent)
                 xs.append(node[ik[near]])
                 ys.append(node[jk[near]])
@@ -198,7 +206,7 @@ def across(own: DataFrame, percent: int) -> DataFrame:
             if xs:
                 yield pa.RecordBatch.from_arrays([np.concatenate(xs), np.concatenate(ys)], schema=out)
 
-    return rows.mapInArrow(run, "x long, y long").distinct()
+    return rows.mapInArrow(run, "x long, y long")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -249,10 +257,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, keys: int = KEYS, rows:
     links = stage(confirm(first, texts, percent), "links")
     label = components(links).withColumnRenamed("component", "c")
     # what is left: colliding nodes of different components
-    own = members.join(label, "node", "left").select("bucket", "node", "n", F.coalesce("c", "node").alias("c"))
+    own = members.join(label, "node", "left").select("bucket", "table", "node", "n", F.coalesce("c", "node").alias("c"))
     mixed = own.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("bucket")
     own = stage(own.join(mixed, "bucket"), "mixed").join(sketches, "node")
-    rest = stage(across(own, percent).join(first, ["x", "y"], "left_anti"), "pairs")
+    rest = stage(across(own, percent, keys).join(first, ["x", "y"], "left_anti"), "pairs")
     links = links.union(stage(confirm(rest, texts, percent), "links")).union(same)
     label = components(links)
     out = sig.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left")
