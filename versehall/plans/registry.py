@@ -2,33 +2,40 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
-def query(sql: str | None = None, name: str | None = None):
-    """Register a function as a query, with its oracle SQL if there is one."""
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    """Register a function of (spark, sf_dir) under its name, with its oracle SQL if there is one."""
 
     def add(f):
-        key = name or f.__name__
-        QUERIES[key] = f
+        QUERIES[f.__name__] = f
         if sql:
-            SQL[key] = sql
+            SQL[f.__name__] = sql
         return f
 
     return add
 
 
-@query("""
-    SELECT role, conv_id, turn, text FROM (
-      SELECT *, row_number() OVER (PARTITION BY role ORDER BY abs(length(text) - 40), conv_id, turn) AS r
-      FROM conversations WHERE length(text) >= 10) WHERE r = 1""")
-def w1_sample_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").where(F.length("text") >= 10)
-    w = Window.partitionBy("role").orderBy(F.abs(F.length("text") - 40), "conv_id", "turn")
-    return c.withColumn("r", F.row_number().over(w)).where("r = 1").select("role", "conv_id", "turn", "text")
+def plain(name: str, sql: str) -> None:
+    """Register a query that is the same SQL statement in Spark and in the oracle."""
+    used = [t for t in TABLES if re.search(rf"\b{t}\b", sql)]
+    marked = re.sub(rf"\b({'|'.join(used)})\b", r"{\1}", sql)
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return spark.sql(marked, **{t: table(spark, sf_dir, t) for t in used})
+
+    run.__name__, run.__doc__ = name, sql
+    QUERIES[name], SQL[name] = run, sql
