@@ -108,7 +108,7 @@ plain("u2_concatenation", "SELECT c_name AS name, c_acctbal AS bal, 'c' AS kind
 plain("u4_intersection", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey AS k FROM supplier")
 plain("u4_difference", "SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'O' EXCEPT SELECT o_custkey AS k FROM orders WHERE o_orderpriority = '1-URGENT'")
 plain("u5_distinct", "SELECT DISTINCT p_brand, p_size FROM part")
-plain("u6_first_wins", "SELECT k, src, v FROM (SELECT k, src, v, row_number() OVER (PARTITION BY k ORDER BY src, v) AS r FROM (SELECT c_nationkey AS k, 1 AS src, c_name AS v FROM customer UNION ALL SELECT s_nationkey AS k, 0 AS src, s_name AS v FROM supplier WHERE s_suppkey % 2 = 0) y) x WHERE r = 1")
+plain("u6_first_wins", "SELECT k, src, v FROM (SELECT k, src, v, row_number() OVER (PARTITION BY k ORDER BY src, v) AS r FROM (SELECT c_nationkey AS k, 1 AS src, c_name AS v FROM customer UNION ALL SELECT s_nationkey AS k, 0 AS src, s_name AS v FROM supplier) y) x WHERE r = 1")
 
 # -- windows ----------------------------------------------------------------------------------
 
