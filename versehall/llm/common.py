@@ -4,31 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once an application: functions of its modules are
-    pickled by name, and workers find them (and keep their caches between tasks) that way."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    _shipped.add(app)
-    root = Path(__file__).resolve().parent.parent
-    to = Path(tempfile.mkdtemp(prefix="versehall-ship-")) / f"{root.name}.zip"
-    with zipfile.ZipFile(to, "w") as z:
-        for f in sorted(root.rglob("*.py")):
-            z.write(f, f.relative_to(root.parent))
-    spark.sparkContext.addPyFile(str(to))
+from versehall.session import ship  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
