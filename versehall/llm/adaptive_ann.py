@@ -14,7 +14,7 @@ own neighbours. Every row is indexed. Lists are cut into chunks of at most some
 queries of a list into chunks too, so no task grows with a popular list.
 
 Defined cases: rows null, zero or holding null or non-finite components take no part; shorter
-vectors count as zero in the dimensions they lack; repeated ids count once; fewer than k others give
+vectors count as zero in the dimensions they lack; rows that repeat id and vector count once; fewer than k others give
 all that the probed lists hold; empty tables an empty result.
 """
 

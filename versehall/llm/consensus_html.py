@@ -226,7 +226,7 @@ def extract(pages: DataFrame) -> DataFrame:
             own = page.best()
             at = page.at_path(path) if path else None
             # a winning element that misses most of the page's running text is another template's
-            texts.append(page.text(own if at is None or page.good[at] < page.good[own] / 4 else at))
+            texts.append(page.text(own if at is None or page.good[at] < page.good[own] / 10 else at))
         return {"page_id": part["page_id"], "url": part["url"], "text": texts, "n_chars": [len(t) for t in texts]}
 
     kinds = dict(pages.dtypes)

@@ -9,7 +9,7 @@ The work is the number of queries times the number of rows, in blocks of fixed s
 its own; equal rows are taken once.
 
 Defined cases: rows null or holding null or non-finite components take no part; shorter vectors
-weigh nothing in the dimensions they lack; repeated ids count once; scores beyond 64 bits are held
+weigh nothing in the dimensions they lack; rows that repeat id and vector count once; scores beyond 64 bits are held
 at their bound; fewer than k others give all of them; empty tables an empty result.
 """
 

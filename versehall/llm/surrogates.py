@@ -69,7 +69,7 @@ PATTERN = re.compile(
     re.X,
 )
 #: What every entity contains; rows without it pass by the detector (Java syntax).
-TRIGGER = r"[0-9]{2}|[0-9]\.[0-9]|@|=|:|\b(?:" + "|".join([t for ts in TITLES.values() for t in ts] + [x.replace("'", "['’]") for x in INTRODUCTIONS]) + r")\b|sk[-_]|pk[-_]|gh[po][-_]|xox[bap]"
+TRIGGER = r"[0-9@=:]|AKIA|ASIA|\b(?:" + "|".join([t for ts in TITLES.values() for t in ts] + [x.replace("'", "['’]") for x in INTRODUCTIONS]) + r")\b|sk[-_]|pk[-_]|gh[po][-_]|xox[bap]"
 _GENDER = {t: g for g, ts in TITLES.items() for t in ts}
 
 
