@@ -73,7 +73,35 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_surrogates, op4_adaptive_ann, op5_consensus_html, op6_warc, op7_exact_topk, op8_byte_bpe, op9_source_mix, op10_near_dup)}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"'[^\x20\x09-\x0D]+'"
+
 SQL: dict[str, str] = {
+    "op9_source_mix": rf"""
+        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {_WORDS}))::BIGINT AS size,
+                          ('0x' || substr(md5('mix-1|' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS u FROM documents),
+        s AS (SELECT source, sum(size)::BIGINT AS ss, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source),
+        w AS (SELECT source, ss, [3.0::DOUBLE, 1.0, 2.0][place % 3 + 1] AS w, ss * 2.0::DOUBLE AS cap, (SELECT sum(ss) FROM s)::DOUBLE * 1.5::DOUBLE AS whole FROM s),
+        o AS (SELECT *, whole - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+                     sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS free FROM w),
+        c AS (SELECT *, w * rest / free > cap AS clamped FROM o),
+        t AS (SELECT source, ss, CASE WHEN clamped THEN cap ELSE w * (whole - (SELECT coalesce(sum(cap), 0) FROM c WHERE clamped)) / (SELECT sum(w) FROM c WHERE NOT clamped) END AS target FROM c),
+        g AS (SELECT source, u, sum(size) AS gs FROM d GROUP BY source, u),
+        k AS (SELECT source, u, gs, sum(gs) OVER (PARTITION BY source ORDER BY u) AS upto FROM g)
+        SELECT d.doc_id, d.size, t.ss AS source_size, t.target,
+               (d.size * (floor(t.target / t.ss) + (k.upto - k.gs / 2 <= t.target - floor(t.target / t.ss) * t.ss AND t.target > floor(t.target / t.ss) * t.ss)::INT))::BIGINT AS taken
+        FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source JOIN k ON k.u = d.u AND k.source IS NOT DISTINCT FROM d.source""",
+    "op10_near_dup": rf"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_WORDS}) AS ws FROM documents),
+        s AS (SELECT DISTINCT doc_id, sh FROM (SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+              ELSE [array_to_string(ws[i:i + 4], ' ') for i in range(1, len(ws) - 3)] END) AS sh FROM w)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+        e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+        r AS (SELECT doc_id AS v, doc_id AS m FROM documents UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.v),
+        m AS (SELECT v, min(m) AS m FROM r GROUP BY v)
+        SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, m AS component_id, doc_id = m AS kept FROM documents JOIN m ON v = doc_id LEFT JOIN n USING (doc_id)""",
     "op6_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
         d AS (SELECT page_id, octet_length(encode(h)) AS n, sha256(h) AS s FROM p),
