@@ -100,3 +100,41 @@ def temperature(scores: DataFrame, item: str, logit: str, right: Column, grid: S
     each = t.groupBy(item, "t").agg((F.log(F.sum(F.exp(F.col("z") / F.col("t")))) - F.max(F.when(F.col("y"), F.col("z") / F.col("t")))).alias("nll"))
     total = each.groupBy("t").agg(F.sum("nll").alias("nll"))
     return total.agg(F.min_by(F.struct("t", "nll"), F.struct("nll", "t")).alias("x")).select("x.t", "x.nll")
+
+
+def point_of_view(chapters: DataFrame, heading: str, text: str, first_person: str, rate: float = 0.3, told: int = 2) -> DataFrame:
+    """Chapters headed by the name of who tells them: at least `rate` of their sentences in the
+    first person, the name itself at most `told` times in the text."""
+    sentences = F.filter(F.split(text, r"[.!?…]+"), lambda s: F.trim(s) != "")
+    share = F.size(F.filter(sentences, lambda s: s.rlike(first_person))) / F.greatest(F.lit(1), F.size(sentences))
+    about = (F.length(text) - F.length(F.replace(F.col(text), F.col(heading), F.lit("")))) / F.greatest(F.lit(1), F.length(heading))
+    out = chapters.withColumn("first_person_rate", share).withColumn("told_about", F.when(F.length(heading) > 0, about).cast("int"))
+    return out.where((F.col("first_person_rate") >= rate) & (F.col("told_about") <= told))
+
+
+def split_labels(terms: DataFrame, label: str, line: str, term: str) -> DataFrame:
+    """Labels whose lines fall into groups that share no term: (label, groups, largest).
+
+    Union-find over the lines of one label, which must fit a task; labels are independent."""
+    import pandas as pd
+
+    def groups(rows: pd.DataFrame) -> pd.DataFrame:
+        root: dict = {}
+
+        def find(x):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for a, t in zip(rows[line], rows[term]):
+            a, t = ("line", a), ("term", t)
+            root.setdefault(a, a)
+            root.setdefault(t, t)
+            root[find(a)] = find(t)
+        sizes = pd.Series([find(x) for x in root if x[0] == "line"]).value_counts()
+        return pd.DataFrame({label: [rows[label].iloc[0]], "groups": [len(sizes)], "largest": [int(sizes.max())]})
+
+    kind = dict(terms.dtypes)[label]
+    found = terms.select(label, line, term).distinct().groupBy(label).applyInPandas(groups, f"{label} {kind}, groups int, largest int")
+    return found.where("groups > 1")

@@ -86,3 +86,24 @@ def carry_over(claims: DataFrame, voice: str, holder: str, rank: Sequence[Column
 def violations(rows: DataFrame, key: str, value: str) -> DataFrame:
     """Keys that bear more than one value."""
     return rows.groupBy(key).agg(F.count_distinct(value).alias("n")).where("n > 1")
+
+
+def to_source_spelling(names: DataFrame, words: DataFrame, least: int = 3) -> DataFrame:
+    """Names that the source never writes to the only written form at one edit, else at two
+    for names of five letters or more. `words` holds (name, hits) of forms met mid-sentence; forms
+    under `least` hits are no targets. Compared folded, so accents cost nothing."""
+    folded = lambda df: df.withColumn("f", fold_all(F.col("name")))
+    absent = folded(names.select("name").join(words.select("name"), "name", "left_anti"))
+    known = folded(words.where(F.col("hits") >= least))
+    out = None
+    for edits in (0, 1, 2):
+        left = absent if edits < 2 else absent.where(F.length("f") >= 5)
+        if edits:
+            near = fuzzy_unique(left.select(F.col("f").alias("name")), known.select(F.col("f").alias("name")), "name", edits).select(F.col("name").alias("f"), F.col("target").alias("g"))
+        else:
+            near = left.select("f").distinct().withColumn("g", F.col("f"))
+        forms = known.groupBy(F.col("f").alias("g")).agg(F.count_distinct("name").alias("n"), F.min("name").alias("target")).where("n = 1")
+        found = left.join(near, "f").join(forms, "g").select("name", "target", F.lit(edits).alias("edits"))
+        out = found if out is None else out.unionByName(found)
+    best = out.groupBy("name").agg(F.min_by("target", F.struct("edits", "target")).alias("target"))
+    return best.where("name <> target")

@@ -48,3 +48,21 @@ def stale(rows: DataFrame, keys: Sequence[str], at: Column, now: Column, limit:
     """Age of the newest sign of life of each key, and whether it is over `limit`."""
     out = rows.groupBy(*keys).agg((F.first(now) - F.max(at)).alias("age"))
     return out.withColumn("stale", F.col("age") > limit)
+
+
+def merge_records(records: DataFrame, tombstones: DataFrame, key: str, at: str, owner: str, incoming: Column) -> DataFrame:
+    """Per key the newer record (ties to local), unless a tombstone of the key is at least as new;
+    `active` marks each owner's newest one left."""
+    kept = [c for c in records.columns if c not in (key, at)]
+    newest = records.groupBy(key).agg(F.max_by(F.struct(at, *kept), F.struct(F.col(at), -incoming.cast("int"))).alias("x")).select(key, "x.*")
+    dead = tombstones.groupBy(key).agg(F.max(at).alias("__dead"))
+    left = newest.join(dead, key, "left").where(F.col("__dead").isNull() | (F.col(at) > F.col("__dead"))).drop("__dead")
+    last = Window.partitionBy(owner).orderBy(F.col(at).desc(), F.col(key).desc())
+    return left.withColumn("active", F.row_number().over(last) == 1)
+
+
+def merge_wishes(local: DataFrame, incoming: DataFrame, key: str, status: str, order: Sequence[str]) -> DataFrame:
+    """Wishes of both sides by key, the status further along `order` winning."""
+    place = F.array_position(F.array(*[F.lit(x) for x in order]), F.col(status))
+    both = local.select(key, status).unionByName(incoming.select(key, status))
+    return both.groupBy(key).agg(F.max_by(status, F.struct(place, status)).alias(status))

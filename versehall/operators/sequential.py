@@ -232,3 +232,17 @@ def lpt(sizes: dict, folds: int) -> dict:
         i = min(range(folds), key=lambda f: (load[f], f))
         out[key], load[i] = i, load[i] + sizes[key]
     return out
+
+
+def allocate(people: Sequence[tuple], voices: Sequence[str]) -> dict:
+    """Voices for (name, lines, chapters): most lines first, each the voice with fewest lines so
+    far among those nobody in a shared chapter has, else with the fewest shared chapters; ties to
+    the smaller voice."""
+    load, where, out = {v: 0 for v in voices}, {v: [] for v in voices}, {}
+    for name, lines, chapters in sorted(people, key=lambda p: (-p[1], p[0])):
+        shared = lambda v: sum(c in where[v] for c in set(chapters))
+        pick = min(voices, key=lambda v: (shared(v), load[v], v))
+        out[name] = pick
+        load[pick] += lines
+        where[pick] += list(chapters)
+    return out
