@@ -48,18 +48,17 @@ def source_targets(sized: DataFrame, weights: Sequence[float], share: float, max
     placed = spark.createDataFrame(ranked.map(lambda x: (x[0][0], x[0][1], x[1])), "source string, source_size long, place long")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
     cur = stage(placed.select("source", "source_size", weight.alias("w"), (F.col("source_size") * max_epochs).alias("cap")), "source-weights")
-    whole = cur.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0] * share
-    level, below = F.lit(None).cast("double"), -1
-    clamped = F.lit(False)
-    while True:  # each round clamps at least one source more
-        n, capped, free = cur.where(clamped).agg(F.count("*"), F.sum("cap"), F.lit(0)).first()
-        free = cur.where(~clamped).agg(F.sum("w")).first()[0]
-        if n == below or not free:
+    every, free = cur.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("w"), F.lit(0.0))).first()
+    whole = every * share
+    rest, n = whole, 0
+    while True:  # the level rises from round to round, so what was clamped once stays so
+        level = F.col("w") * F.lit(rest) / F.lit(free or 1.0)
+        over = level > F.col("cap")
+        clamped, capped, unclamped = cur.agg(F.count_if(over), F.coalesce(F.sum(F.when(over, F.col("cap"))), F.lit(0.0)), F.sum(F.when(~over, F.col("w")))).first()
+        if clamped == n or not unclamped:
             break
-        below, rest = n, whole - float(capped or 0)
-        level = F.col("w") * F.lit(rest) / F.lit(float(free))
-        clamped = clamped | (level > F.col("cap"))
-    target = F.when(clamped, F.col("cap")).otherwise(level).cast("double")
+        n, rest, free = clamped, whole - capped, unclamped
+    target = F.when(over, F.col("cap")).otherwise(level).cast("double")
     return cur.select("source", "source_size", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
