@@ -187,6 +187,7 @@ def test_near_duplicates_awkward(spark):
 
 def test_blocks_of_large_buckets(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "MEMBERS", 3)
+    monkeypatch.setattr(near_dup, "BLOCK", 4)
     rng = random.Random(1)
     hub = [f"h{i}" for i in range(60)]
     texts = []

@@ -62,13 +62,11 @@ def source_targets(sized: DataFrame, weights: Sequence[float], share: float, max
     return cur.select("source", "source_size", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, seed: str = "mix-1", row_key: Sequence[str] = ("doc_id",)) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, seed: str = "mix-1", row_key: Sequence[str] = ("doc_id",), prefix: str = "") -> DataFrame:
     """All rows of `docs` with size, source_size, target (their source's) and repeats, the number
-    of times the mix takes the row."""
-    own = {"size", "source_size", "target", "repeats", "u", "bin", "epochs", "cut_bin", "cut", "part", "upto"}
-    kept = [c for c in docs.columns if c.lower() not in own and c.lower() != "source"]
-    sized = docs.select("source", *kept, n_words(F.col("text")).alias("size"), draw(seed, *[F.col(k) for k in row_key]).alias("u"))
-    slim = stage(sized.select("source", "size", "u"), "sizes")
+    of times the mix takes the row. The four names take `prefix`; columns of that name are replaced."""
+    sized = docs.select("*", n_words(F.col("text")).alias("__size"), draw(seed, *[F.col(k) for k in row_key]).alias("__u"))
+    slim = stage(sized.select("source", F.col("__size").alias("size"), F.col("__u").alias("u")), "sizes")
     targets = source_targets(slim, weights, share, max_epochs)
     slim = slim.withColumn("bin", F.shiftright("u", HASH_BITS - 12).cast("int"))
     part = (F.col("target") - F.floor(F.col("target") / F.col("source_size")) * F.col("source_size")).alias("part")
@@ -85,8 +83,10 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     cuts = inside.withColumn("upto", run).where("upto - size / 2 <= left").groupBy(F.col("s").alias("c")).agg(F.max("u").alias("cut"))
     plan = targets.join(edge.join(cuts, F.col("s").eqNullSafe(F.col("c")), "left").select("s", "cut_bin", "cut"), F.col("source").eqNullSafe(F.col("s")), "left")
     bound = F.when(F.col("cut_bin").isNull(), F.lit(-1)).otherwise(F.coalesce("cut", F.shiftleft(F.col("cut_bin").cast("long"), HASH_BITS - 12) - 1))
-    plan = stage(plan.select(F.col("source").alias("s"), "source_size", "target", bound.cast("long").alias("cut")), "mix-plan")
-    whole = F.coalesce(F.floor(F.col("target") / F.nullif(F.col("source_size").cast("double"), F.lit(0.0))), F.lit(0)).cast("long")
-    out = sized.join(plan, F.col("source").eqNullSafe(F.col("s")))
-    repeats = (whole + (F.col("u") <= F.col("cut")).cast("long")).alias("repeats")
-    return out.select("source", *kept, "size", "source_size", "target", repeats)
+    made = {"__source": F.col("source"), "__source_size": F.col("source_size"), "__target": F.col("target"), "__cut": bound.cast("long")}
+    plan = stage(plan.select(*[c.alias(k) for k, c in made.items()]), "mix-plan")
+    whole = F.coalesce(F.floor(F.col("__target") / F.nullif(F.col("__source_size").cast("double"), F.lit(0.0))), F.lit(0)).cast("long")
+    new = {"size": F.col("__size"), "source_size": F.col("__source_size"), "target": F.col("__target"), "repeats": whole + (F.col("__u") <= F.col("__cut")).cast("long")}
+    kept = [c for c in docs.columns if c.lower() not in {(prefix + k).lower() for k in new}]
+    out = sized.join(plan, F.col("source").eqNullSafe(F.col("__source")))
+    return out.select(*kept, *[c.alias(prefix + k) for k, c in new.items()])

@@ -210,8 +210,9 @@ def assign(entities: DataFrame, key: bytes = KEY) -> DataFrame:
     raise RuntimeError(f"no free surrogates after {MAX_ATTEMPTS} attempts")
 
 
-def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """`docs` with text replaced, and n_entities (mentions replaced)."""
+def pseudonymise(docs: DataFrame, key: bytes = KEY, count: str = "n_entities") -> DataFrame:
+    """`docs` with text replaced, and `count` (mentions replaced) in place of a column of that name."""
+    docs = docs.drop(count)
     own = docs.withColumn("__hit", F.coalesce(F.col("text").rlike(TRIGGER), F.lit(False)))
 
     def mentions(part: dict) -> dict:
@@ -223,7 +224,7 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     # the id stands for the text: equal texts share their mentions, and a clash would only add unused entries
     seen = stage(seen.select("id", F.explode("e").alias("e")).select("id", "e.kind", "e.value").distinct(), "mentions")
     table = assign(stage(seen.select("kind", "value").distinct(), "entities"), key)
-    own_map = seen.join(table, ["kind", "value"]).groupBy("id").agg(F.collect_list(F.struct("kind", "value", "surrogate")).alias("__map"))
+    own_map = seen.join(table, ["kind", "value"]).groupBy(F.col("id").alias("__key")).agg(F.collect_list(F.struct("kind", "value", "surrogate")).alias("__map"))
     rest = docs.columns
     schema = docs.select("text").schema
     assert schema[0].dataType.simpleString() == "string"
@@ -238,10 +239,10 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
                 at, n = b, n + 1
             texts.append("".join(out) + text[at:])
             counts.append(n)
-        return part | {"text": texts, "n_entities": counts}
+        return part | {"text": texts, count: counts}
 
-    both = own.where("__hit").withColumn("__id", F.xxhash64("text")).join(own_map, F.col("__id") == F.col("id"), "left")
+    both = own.where("__hit").withColumn("__id", F.xxhash64("text")).join(own_map, F.col("__id") == F.col("__key"), "left")
     kinds = dict(docs.dtypes)
     fields = ", ".join(f"`{c}` {kinds[c]}" for c in rest)
-    changed = in_arrow(both.select(*rest, "__map"), replaced, f"{fields}, n_entities long")
-    return changed.unionByName(own.where("NOT __hit").select(*rest, F.lit(0).cast("long").alias("n_entities")))
+    changed = in_arrow(both.select(*rest, "__map"), replaced, f"{fields}, `{count}` long")
+    return changed.unionByName(own.where("NOT __hit").select(*rest, F.lit(0).cast("long").alias(count)))

@@ -19,6 +19,7 @@ an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from dataclasses import dataclass
 
@@ -35,7 +36,7 @@ WORD_ROWS, CHAR_ROWS = 1 << 14, 1 << 15
 WORD_DIM, CHAR_DIM, HIDDEN = 8, 12, 8
 GRAMS = (3, 4)
 MIN_DOCS = 3  # training documents a word or n-gram bucket must occur in to get an embedding
-KNOWN_WORDS = 250_000
+KNOWN_WORDS = 150_000
 BLOCK = 1024
 _TOKEN = re.compile(r"\w+")
 
@@ -313,7 +314,7 @@ class Scorer:
         return best, n
 
 
-_scorers: dict[int, Scorer] = {}
+_scorers: dict[str, Scorer] = {}
 
 
 def held_out(doc_id: Column) -> Column:
@@ -323,7 +324,7 @@ def held_out(doc_id: Column) -> Column:
 def _scored(docs: DataFrame, net: Net) -> DataFrame:
     """docs with __logit and __windows; the network (under 3 MB) is broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
-    token = shared.id if hasattr(shared, "id") else shared._jbroadcast.id()
+    token = uuid.uuid4().hex
     kinds = dict(docs.dtypes)
 
     def rows(part: dict) -> dict:
@@ -392,11 +393,11 @@ def _calibrate(logit: np.ndarray, windows: np.ndarray, y: np.ndarray, rate: floa
     return tuple(float(b) for b in beta)
 
 
-def score(docs: DataFrame, labels: DataFrame, train_docs: DataFrame | None = None) -> DataFrame:
-    """`docs` (all columns) with toxicity, a probability; trained on labels of `train_docs`."""
+def score(docs: DataFrame, labels: DataFrame, train_docs: DataFrame | None = None, name: str = "toxicity") -> DataFrame:
+    """`docs` (all columns) with `name`, a probability; trained on labels of `train_docs`."""
     net, rate = train(docs if train_docs is None else train_docs, labels)
     if net is None:
-        return docs.withColumn("toxicity", F.lit(float(rate)))
+        return docs.withColumn(name, F.lit(float(rate)))
     a, b, c = net.fit
     x = F.lit(a) * F.col("__logit") + F.lit(b) * F.log("__windows") + F.lit(c)
-    return _scored(docs, net).withColumn("toxicity", 1 / (1 + F.exp(-x))).drop("__logit", "__windows")
+    return _scored(docs, net).withColumn(name, 1 / (1 + F.exp(-x))).drop("__logit", "__windows")
