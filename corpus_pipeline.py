@@ -19,7 +19,7 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose toxicity is at least one half go."""
-    return toxicity.score(docs, table(spark, sf_dir, "labels")).where("toxicity < 0.5").select(*docs.columns)
+    return toxicity.score(docs, table(spark, sf_dir, "labels"), name="__toxicity").where("__toxicity < 0.5").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with surrogates; n_chars follows the text."""
-    done = surrogates.pseudonymise(docs)
+    done = surrogates.pseudonymise(docs, count="__entities")
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
     return done.select(*docs.columns)
@@ -42,8 +42,8 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row as often as the mix takes it."""
-    taken = source_mix.mix(docs).where("repeats > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats")))).select(*docs.columns)
+    taken = source_mix.mix(docs, prefix="__mix_").where("__mix_repeats > 0")
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix_repeats")))).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
