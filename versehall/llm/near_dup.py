@@ -36,9 +36,10 @@ from versehall.llm.common import components, in_arrow, stage
 SHINGLE = 5
 KEYS, ROWS = 12, 3  # keys of each collection, minhashes of each key
 SKETCH, MARGIN = 256, 0.10
-MEMBERS = 256  # nodes held against one leader in one group, or compared with as many others
+MEMBERS = 256  # nodes held against one leader in one group
+BLOCK = 1024  # nodes of a bucket compared with as many others in one group
 SEED = 20240611
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 200_000
 
 
 class _WordHashes(dict):
@@ -155,9 +156,10 @@ def likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
 
 def across(own: DataFrame, percent: int, keys: int = KEYS) -> DataFrame:
     """Likely pairs (x, y) of different components within buckets, from rows (bucket, table, node,
-    n, c, sketch); a pair comes once, from the first table in which it meets. Buckets are cut into blocks of some MEMBERS nodes and every pair of blocks is one
-    group, so no group grows with its bucket."""
-    parts = own.groupBy("bucket").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts"))
+    n, c, sketch); a pair comes once, from the first table in which it meets. Buckets are cut into
+    blocks of some BLOCK nodes and every pair of blocks is one group, so no group grows with its
+    bucket."""
+    parts = own.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
     rows = own.join(parts, "bucket").withColumn("p", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     rows = rows.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select(F.xxhash64("bucket", F.least("p", "q"), F.greatest("p", "q")).alias("g"), (F.col("p") > F.col("q")).alias("side"), (F.col("p") == F.col("q")).alias("one"), "table", "node", "n", "c", "sketch")
