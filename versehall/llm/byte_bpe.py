@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from versehall.llm.common import in_arrow
 
-CACHED_PIECES = 600_000
+CACHED_PIECES = 450_000
 CACHED_PAIRS = 400_000
 STREAM_OVER = 1 << 20  # characters; longer texts are cut into pieces lazily
 STREAM_STEP = 1 << 16  # pieces held at once for such texts
