@@ -243,6 +243,26 @@ def test_surrogates_stay_distinct(spark):
     assert again == {(r["kind"], r["value"]): r["surrogate"] for r in got}
 
 
+def test_surrogates_without_letters_or_digits(spark):
+    texts = ["Password: ________", "secret: ......", "token=----------", "password=__a1b2c3"]
+    got = {r["doc_id"]: r for r in surrogates.pseudonymise(docs_of(spark, texts)).collect()}
+    assert [got[i]["text"] for i in range(3)] == texts[:3] and "a1b2c3" not in got[3]["text"]
+
+
+def test_surrogates_of_full_spaces(spark):
+    """Real values that take up every form of their length; the surrogates grow."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    entities = [("email", f"{a}@{b}.com") for a in letters for b in letters] + [("secret", "______")]
+    entities += [(k, f"{i:02d}") for k in ("phone", "ssn", "card") for i in range(100)] + [("iban", f"DE{i}") for i in range(10)]
+    got = surrogates.assign(spark.createDataFrame(entities, "kind string, value string").repartition(3)).collect()
+    assert {(r["kind"], r["value"]) for r in got} == set(entities) and len(got) == len(entities)
+    made = {(r["kind"], r["surrogate"]) for r in got}
+    assert len(made) == len(entities) and not made & set(entities)
+    assert surrogates.render("1-2", "phone", "345") == "3-45"
+    assert {surrogates.surrogate("ip", "10.0.0.1", n).split(".")[0] for n in range(8)} == {"10"}
+    assert ":" in surrogates.surrogate("ip", "10.0.0.1", 63)
+
+
 def test_surrogate_coreference():
     text = "Mrs. Ann Holm and Mr. Holm met Mrs. HOLM."
     found = surrogates.find(text)

@@ -6,7 +6,8 @@ canonical form) gets one surrogate for the whole corpus, derived from a secret k
 digits, letters keep case and script, a card that passes the Luhn test still does, an address keeps
 its top-level domain, a name keeps its gender and script. Surrogates are then checked in Spark: one
 that equals a real entity or another surrogate is drawn anew (the smallest entity keeps it), until
-none is left, so distinct entities stay distinct and mentions of one entity stay together.
+none is left, so distinct entities stay distinct and mentions of one entity stay together. Where the
+real values fill the forms an entity can take, its surrogate grows.
 
 Defined cases: null and empty texts pass unchanged; rows without an entity are not shuffled;
 repeated rows get equal results; doc_id is not used as a key, so nulls and repeats in it are fine;
@@ -26,6 +27,7 @@ from versehall.llm.common import in_arrow, stage
 
 KEY = b"versehall-surrogates-1"
 MAX_ATTEMPTS = 64
+GROW_AFTER = 8  # attempts of the same length
 
 # Titles by gender, given names and family names by gender and script.
 TITLES = {
@@ -57,7 +59,7 @@ _TITLE = "|".join(re.escape(t) for ts in TITLES.values() for t in ts)
 #: One alternative per type; the group named after the type is what gets replaced.
 PATTERN = re.compile(
     rf"""(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{{2,}})
-    |(?<![\w.])(?i:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)["']?\s*[=:]\s*["']?(?P<secret>[A-Za-z0-9+/_.~-]{{6,}}=*)
+    |(?<![\w.])(?i:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)["']?\s*[=:]\s*["']?(?P<secret>(?=[+/_.~-]*[A-Za-z0-9])[A-Za-z0-9+/_.~-]{{6,}}=*)
     |(?<![A-Za-z0-9])(?P<awskey>(?:AKIA|ASIA)[A-Z0-9]{{16}}|(?:sk|pk|ghp|gho|xox[bap])[-_][A-Za-z0-9_-]{{16,}})(?![A-Za-z0-9])
     |(?<![A-Za-z0-9])(?P<iban>[A-Z]{{2}}[0-9]{{2}}(?:[ ]?[A-Z0-9]{{4}}){{2,7}}(?:[ ]?[A-Z0-9]{{1,3}})?)(?![A-Za-z0-9])
     |(?<![\w.])(?P<ip>(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){{3}}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9]))(?![\w]|\.[0-9])
@@ -141,6 +143,15 @@ def _like(text: str, s: _Stream, hexed: bool = False) -> str:
     return "".join(out)
 
 
+def _tail(value: str, s: _Stream, n: int) -> str:
+    """`n` more characters for a value, of the class of its own."""
+    if value.isdigit():
+        return "".join("0123456789"[s.below(10)] for _ in range(n))
+    letters = "abcdef0123456789" if re.fullmatch(r"[0-9a-fA-F]+", value) else "abcdefghijklmnopqrstuvwxyz"
+    out = "".join(letters[s.below(len(letters))] for _ in range(n))
+    return out.upper() if value.isupper() else out
+
+
 def surrogate(kind: str, value: str, attempt: int = 0, key: bytes = KEY) -> str:
     """The canonical surrogate of a canonical entity."""
     s = _Stream(key, kind, value, attempt)
@@ -151,31 +162,36 @@ def surrogate(kind: str, value: str, attempt: int = 0, key: bytes = KEY) -> str:
         for _ in range((attempt > 2) + attempt // 8):  # short lists: longer names once they run out
             out += SYLLABLES[script][s.below(len(SYLLABLES[script]))]
         return out.casefold()
+    more = 0 if attempt < GROW_AFTER else 1 + (attempt - GROW_AFTER) // 4
     if kind == "email":
         local, _, domain = value.partition("@")
         labels = domain.split(".")
-        return _like(local, s) + "@" + ".".join([_like(x, s) for x in labels[:-1]] + labels[-1:])
+        return _like(local, s) + _tail(local, s, more) + "@" + ".".join([_like(x, s) for x in labels[:-1]] + labels[-1:])
     if kind == "ip":
-        first = value.split(".")[0]  # private ranges stay private
-        return ".".join([first if first in ("10", "127", "172", "192") else str(1 + s.below(223))] + [str(s.below(256)) for _ in range(3)])
+        if more > 4:  # an address has no room to grow: the other version's documentation range has
+            return "2001:db8:" + ":".join(f"{s.below(65536):x}" for _ in range(6))
+        first = value.split(".")[0]  # private ranges stay private, as long as they have room
+        return ".".join([first if first in ("10", "127", "172", "192") and not more else str(1 + s.below(223))] + [str(s.below(256)) for _ in range(3)])
+    if kind == "ipv6":
+        return _like(value, s, hexed=True) if not more else ":".join(f"{s.below(65536):x}" for _ in range(8))
     if kind == "card":
-        out = value[0] + "".join(str(s.below(10)) for _ in value[1:-1])
+        out = value[0] + "".join(str(s.below(10)) for _ in value[1:-1]) + _tail("0", s, more)
         ok = [d for d in "0123456789" if _luhn(out + d) == _luhn(value)]
         return out + ok[s.below(len(ok))]
     if kind == "phone":
-        return "".join(str(1 + s.below(9)) if i == 0 else str(s.below(10)) for i in range(len(value)))
+        return "".join(str(1 + s.below(9)) if i == 0 else str(s.below(10)) for i in range(len(value) + more))
     if kind == "iban":
-        return value[:2] + _like(value[2:], s)
+        return value[:2] + _like(value[2:], s) + _tail("0", s, more)
     if kind == "awskey":
-        return value[:4] + _like(value[4:], s)
-    return _like(value, s, hexed=bool(re.fullmatch(r"[0-9a-f:]+|[0-9A-F:]+", value)))
+        return value[:4] + _like(value[4:], s) + _tail(value, s, more)
+    return _like(value, s, hexed=bool(re.fullmatch(r"[0-9a-f:]+|[0-9A-F:]+", value))) + _tail(value, s, more)
 
 
 def render(mention: str, kind: str, canonical: str) -> str:
     """A canonical surrogate in the form of a mention: its separators, and the case of its letters."""
     if kind in ("card", "phone", "ssn", "iban"):
         left = iter(canonical)
-        return "".join(next(left) if c.isalnum() else c for c in mention)
+        return "".join(next(left) if c.isalnum() else c for c in mention) + "".join(left)
     if kind.startswith(("given", "family")):
         return canonical.upper() if mention.isupper() and len(mention) > 1 else canonical.title()
     if kind in ("email", "ipv6") and len(mention) == len(canonical):
