@@ -142,6 +142,25 @@ def test_page_text(spark):
     assert consensus_html.extract(df.limit(0)).count() == 0
 
 
+def test_page_text_outside_the_largest_box(spark):
+    """Pages without article or main keep titles, leads and second parts, by themselves and against their host's path."""
+    long, short = "A sentence of the longer part. " * 13, "One of the other. " * 12
+    lead = f"<body><div class=w><h1>Title</h1><p>The lead.</p><div class=body><p>{long}</p></div></div></body>"
+    parts = f"<body><div class=w><{{0}} class=a><p>{long}</p></{{0}}><{{0}} class=b><p>{short}</p></{{0}}></div></body>"
+    plain = f"<body><div class=box><h1>First</h1><p>{long}</p></div></body>"
+    other = f"<body><div class=box><p>{short}</p></div><div class=story><h1>Second</h1><p>{long}</p></div></body>"
+    late = f"<body><div class=box><h1>Third</h1><p>{short}</p></div><div class=story><p>{long * 2}</p></div></body>"
+    twice = f"<body><div class=box><h1>Fourth</h1><p>{long}</p></div><div class=box><p>{short}</p></div></body>"
+    cases = [("a", lead), ("b", parts.format("div")), ("c", parts.format("section"))]
+    cases += [("d", plain)] * 5 + [("d", other)] + [("e", plain)] * 5 + [("e", late)] * 2 + [("f", plain)] * 5 + [("f", twice)]
+    df = spark.createDataFrame([(i, f"http://{h}.example/", x) for i, (h, x) in enumerate(cases)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in consensus_html.extract(df).collect()}
+    long, short = long.strip(), short.strip()
+    want = [f"Title\nThe lead.\n{long}"] + [f"{long}\n{short}"] * 2 + [f"First\n{long}"] * 5 + [f"{short}\nSecond\n{long}"]
+    want += [f"First\n{long}"] * 5 + [f"Third\n{short}\n{long} {long}"] * 2 + [f"First\n{long}"] * 5 + [f"Fourth\n{long}\n{short}"]
+    assert [got[i] for i in range(len(cases))] == want
+
+
 # -- archives ---------------------------------------------------------------------------------
 
 INSIDE = "WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nhello\r\n\r\nWARC/1.0\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"

@@ -2,8 +2,10 @@
 
 Every page's containers are scored by their running text; the best one's generalised path (tags and
 class names without digits) is its page's vote. Votes are summed per host and path in Spark, and
-each page's text is then taken from its host's winning path, or from its own best container where
-it has no such element.
+each page's text is then taken from all elements of its host's winning path, or from its own best
+container where it has no such element. Where these miss headings or paragraphs of the page's own
+container, that is added if the page's top heading is among them or other pages of the host vote
+for the same container; a page alone in this keeps to its host's path.
 
 Defined cases: null or blank html gives an empty text; broken and cut-off markup is read as far as
 it goes; a page without a host (null or odd url) votes for the empty host; repeated rows give
@@ -14,7 +16,8 @@ from __future__ import annotations
 
 import html as entities
 import re
-from functools import lru_cache
+from bisect import bisect_left
+from functools import cached_property, lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +45,8 @@ CLOSES = {  # elements that a start tag ends when they are open right above
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
     "option": {"option"}, "tbody": {"tr", "td", "th", "tbody", "thead"}, "thead": set(), "tfoot": {"tr", "td", "th", "tbody"},
 }
+PARAGRAPHS = {"p", "blockquote", "pre"}
+SENTENCE = 10  # words that make a block of any other kind a paragraph
 SHARE = 0.6  # of the parent's running text that makes a container the better one
 
 _TAG = re.compile(
@@ -163,7 +168,7 @@ class Page:
 
     def best(self) -> int:
         """The container of the main text: an article that holds most of it, else the deepest
-        container that holds SHARE of its parent's running text."""
+        container that holds SHARE of its parent's running text and all its headings and paragraphs."""
         total = self.good[0]
         for tag in ("article", "main"):
             own = [i for i, t in enumerate(self.tags) if t == tag]
@@ -175,20 +180,72 @@ class Page:
         while True:
             # children that are containers, through elements that are none
             inner = [i for i in range(at + 1, self.ends[at]) if self.tags[i] in CONTAINERS and self.tags[i] != "blockquote" and self.good[i] >= SHARE * self.good[at]]
-            if not inner or not self.good[at]:
+            if not inner or not self.good[at] or self.wanted(inner[0]) < self.wanted(at):
                 return at
             at = inner[0]
 
-    def at_path(self, path: str) -> int | None:
-        """The element of that path with most running text."""
+    @cached_property
+    def kept(self) -> list[tuple[int, int]]:
+        """(element, heading level or 7) of the blocks that are headings or paragraphs, not links."""
+        blocks: dict[int, list] = {}
+        for i, block, text, link in self.runs:
+            b = blocks.setdefault(block, [i, [], 0])
+            if link:
+                b[2] += len(text.strip())
+            else:
+                b[1].append(text)
+        out = []
+        for i, parts, links in blocks.values():
+            at, own = i, "".join(parts)
+            while at and self.tags[at] not in BLOCKS:
+                at = self.parents[at]
+            tag = self.tags[at]
+            if tag in HEADINGS and (links or own.strip()):
+                out.append((i, int(tag[1])))
+            elif len(own.strip()) > links and (tag in PARAGRAPHS or len(own.split()) >= SENTENCE):
+                out.append((i, 7))
+        return out
+
+    def wanted(self, *ats: int) -> int:
+        """How many headings and paragraphs stand in these elements."""
+        inside = self._inside(ats)
+        return sum(inside[i] for i, _ in self.kept)
+
+    def _inside(self, ats: tuple[int, ...]) -> bytearray:
+        """1 for every element within these."""
+        out = bytearray(len(self.tags))
+        for at in ats:
+            out[at : self.ends[at]] = b"\1" * (self.ends[at] - at)
+        return out
+
+    def at_path(self, path: str) -> list[int]:
+        """The elements of that path: the one with most running text, and all with headings or paragraphs."""
         found = [i for i, p in enumerate(self.paths) if p == path and self.tags[i] in CONTAINERS]
-        return max(found, key=lambda i: (self.good[i], -i)) if found else None
+        if len(found) < 2:
+            return found
+        most = max(found, key=lambda i: (self.good[i], -i))
+        at = sorted(i for i, _ in self.kept)
+        return [i for i in found if i == most or bisect_left(at, i) < bisect_left(at, self.ends[i])]
+
+    def choose(self, path: str | None) -> tuple[str, str | None, str]:
+        """The text by the host's path; the text with the page's own container where the host's
+        votes for that one have to decide; that container's path."""
+        own = self.best()
+        ats = self.at_path(path) if path else []
+        if not ats or sum(self.good[i] for i in ats) < self.good[own] / 10:  # another template's element
+            return self.text(own), None, self.paths[own]
+        if own in ats or self.wanted(own, *ats) == self.wanted(*ats):
+            return self.text(*ats), None, self.paths[own]
+        top = min(self.kept, key=lambda k: k[1])
+        if top[1] < 7 and self._inside((own,))[top[0]] and not self._inside(tuple(ats))[top[0]]:
+            return self.text(own, *ats), None, self.paths[own]
+        return self.text(*ats), self.text(own, *ats), self.paths[own]
 
-    def text(self, at: int) -> str:
-        """Text of an element: blocks in order, joined by newlines, their white space single."""
-        out, last, parts = [], None, []
+    def text(self, *ats: int) -> str:
+        """Text of elements: blocks in order, joined by newlines, their white space single."""
+        out, last, parts, inside = [], None, [], self._inside(ats)
         for i, block, text, _ in self.runs:
-            if not at <= i < self.ends[at]:
+            if not inside[i]:
                 continue
             if block != last:
                 out.append("".join(parts))
@@ -213,21 +270,21 @@ def extract(pages: DataFrame) -> DataFrame:
         return {"host": part["host"], "path": paths, "weight": weight}
 
     votes = in_arrow(rows.select("host", "html"), vote, "host string, path string, weight double")
-    tally = votes.groupBy("host", "path").agg(F.sum("weight").alias("votes"))
+    tally = stage(votes.groupBy("host", "path").agg(F.sum("weight").alias("votes"), F.count("*").alias("n")), "host-votes")
     ranked = F.struct(F.round("votes", 6).alias("votes"), "path")
     won = stage(tally.groupBy("host").agg(F.max(ranked).alias("r")).select("host", F.col("r.path").alias("path")), "host-paths")
+    shared = tally.where("n > 1").select("host", F.col("path").alias("own"), F.lit(True).alias("shared"))
     if won.count() <= 100_000:  # 100,000 hosts of some 100 bytes; beyond that rows are dealt out by host
         won = F.broadcast(won)
+    if shared.count() <= 100_000:
+        shared = F.broadcast(shared)
 
     def take(part: dict) -> dict:
-        texts = []
-        for html, path in zip(part["html"], part["path"]):
-            page = Page(html or "")
-            own = page.best()
-            at = page.at_path(path) if path else None
-            # a winning element that misses most of the page's running text is another template's
-            texts.append(page.text(own if at is None or page.good[at] < page.good[own] / 10 else at))
-        return {"page_id": part["page_id"], "url": part["url"], "text": texts, "n_chars": [len(t) for t in texts]}
+        got = [Page(html or "").choose(path) for html, path in zip(part["html"], part["path"])]
+        return {"page_id": part["page_id"], "url": part["url"], "host": part["host"], "own": [g[2] for g in got], "text": [g[0] for g in got], "whole": [g[1] for g in got]}
 
     kinds = dict(pages.dtypes)
-    return in_arrow(rows.join(won, "host", "left").select("page_id", "url", "html", "path"), take, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
+    fields = f"page_id {kinds['page_id']}, url {kinds['url']}, host string, own string, text string, whole string"
+    both = in_arrow(rows.join(won, "host", "left").select("page_id", "url", "html", "host", "path"), take, fields)
+    text = F.when(F.col("shared"), F.coalesce("whole", "text")).otherwise(F.col("text"))
+    return both.join(shared, ["host", "own"], "left").select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
