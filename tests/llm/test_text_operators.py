@@ -243,6 +243,39 @@ def test_surrogates_stay_distinct(spark):
     assert again == {(r["kind"], r["value"]): r["surrogate"] for r in got}
 
 
+#: Forms of other countries, and introductions at the start of a sentence.
+PRIVATE_FORMS = [
+    ("My name is Anna Brown.", "Anna Brown"), ("Ich heiße Jürgen Groß.", "Jürgen Groß"), ("Je m'appelle Anne Roux.", "Anne Roux"), ("je m’appelle Anne Roux.", "Anne Roux"), ("Me llamo Ana Ruiz.", "Ana Ruiz"), ("Mi nombre es Ana Ruiz.", "Ana Ruiz"),
+    ("call 06 12 34 56 78.", "06 12 34 56 78"), ("call 06.12.34.56.78 now", "06.12.34.56.78"), ("call +33 6 12 34 56 78 now", "+33 6 12 34 56 78"), ("call +33 (0)6 12 34 56 78 now", "+33 (0)6 12 34 56 78"), ("call 0612345678.", "0612345678"),
+    ("call 612 34 56 78 now", "612 34 56 78"), ("call 91 234 56 78 now", "91 234 56 78"), ("call 030/1234567 now", "030/1234567"), ("from 2001:db8::1.", "2001:db8::1"), ("from fe80::a1:2 on", "fe80::a1:2"), ("net 2001:DB8:: on", "2001:DB8::"),
+]
+
+
+def test_surrogates_of_other_forms(spark):
+    clean = ["std::vector, a::b and ::add at 12:30:45", "in 2020-10-11 or 3.14159", "at ::1", "my name is not said"]
+    texts = [t for t, _ in PRIVATE_FORMS] + clean
+    got = {r["doc_id"]: r for r in surrogates.pseudonymise(docs_of(spark, texts)).collect()}
+    for i, (text, secret) in enumerate(PRIVATE_FORMS):
+        head, _, tail = text.partition(secret)
+        new = got[i]["text"]
+        assert new.startswith(head) and new.endswith(tail) and secret not in new and got[i]["n_entities"] >= 1
+        assert not any(w in new[len(head) :] for w in secret.split() if w.isalpha()), new
+    assert [got[len(PRIVATE_FORMS) + i]["text"] for i in range(len(clean))] == clean
+    same = {surrogates.find(a)[0][3] for a in ("2001:DB8::1", "2001:db8:0:0:0:0:0:1", "2001:0db8:0000:0000:0000:0000:0000:0001")}
+    assert len(same) == 1
+
+
+def test_given_names_across_genders(spark):
+    texts = ["Mr. Alex Kim came", "Dr. Alex Kim came", "Mrs. Robin Roth came", "Mr. Robin Roth came", "Dr. Robin Roth came"]
+    got = [r["text"].split(". ")[1].split()[0] for r in sorted(surrogates.pseudonymise(docs_of(spark, texts)).collect())]
+    assert got[0] == got[1] and len({*got[2:]}) == 3
+    taken = [x.casefold() for x in surrogates.GIVEN["m", "latin"]]
+    entities = [("given:m:latin", f"karl{i}") for i in range(5)] + [("given:n:latin", x) for x in taken] + [("given:f:latin", "karl0")]
+    made = surrogates.assign(spark.createDataFrame(entities, "kind string, value string")).collect()
+    assert {(r["kind"], r["value"]) for r in made} == set(entities)
+    assert len({r["surrogate"] for r in made}) == len(entities) and not {r["surrogate"] for r in made} & set(taken)
+
+
 def test_surrogates_without_letters_or_digits(spark):
     texts = ["Password: ________", "secret: ......", "token=----------", "password=__a1b2c3"]
     got = {r["doc_id"]: r for r in surrogates.pseudonymise(docs_of(spark, texts)).collect()}

@@ -4,7 +4,8 @@ Detection finds e-mail addresses, phone numbers, payment cards, national ids, IB
 secrets and titled or introduced personal names in whole texts. Every distinct entity (its
 canonical form) gets one surrogate for the whole corpus, derived from a secret key: digits stay
 digits, letters keep case and script, a card that passes the Luhn test still does, an address keeps
-its top-level domain, a name keeps its gender and script. Surrogates are then checked in Spark: one
+its top-level domain, a name keeps its gender and script. A given name behind a title without gender
+or an introduction is the entity of the one gender its name has elsewhere, if there is one. Surrogates are then checked in Spark: one
 that equals a real entity or another surrogate is drawn anew (the smallest entity keeps it), until
 none is left, so distinct entities stay distinct and mentions of one entity stay together. Where the
 real values fill the forms an entity can take, its surrogate grows.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 
 from pyspark.sql import DataFrame
@@ -35,7 +37,7 @@ TITLES = {
     "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Señorita", "Sra", "Doña", "Г-жа"],
     "n": ["Dr", "Prof", "Professor"],
 }
-INTRODUCTIONS = ["my name is", "je m'appelle", "ich heiße", "mein Name ist", "me llamo", "mi nombre es"]
+INTRODUCTIONS = ["my name is", "je m'appelle", "ich heiße", "ich heisse", "mein Name ist", "me llamo", "mi nombre es"]
 GIVEN = {
     ("m", "latin"): ["Adrian", "Bruno", "Casper", "Dario", "Emil", "Felix", "Gustav", "Hugo", "Ivo", "Julian", "Konrad", "Leon"],
     ("f", "latin"): ["Alma", "Bianca", "Clara", "Delia", "Elena", "Flora", "Greta", "Helena", "Ines", "Julia", "Katja", "Lena"],
@@ -54,8 +56,14 @@ SYLLABLES = {"latin": ["ba", "do", "ke", "li", "mar", "nor", "ra", "sen", "ti",
 
 _WORD = r"[^\W\d_][^\W\d_'’-]*(?:['’-][^\W\d_]+)*"
 _NAME = rf"(?-i:(?=[^\W\d_a-zß-öø-ÿа-яα-ω])){_WORD}"
-_INTRO = "|".join(x.replace(" ", "[ ]") for x in INTRODUCTIONS)
+_INTRO = "(?i:" + "|".join(x.replace(" ", "[ ]").replace("'", "['’]") for x in INTRODUCTIONS) + ")"
+#: National groupings: pairs (fr), three or two digits and pairs (es), an area code and a slash (de), unbroken behind a 0.
+_NATIONAL = r"""(?:(?:\+|00)[0-9]{1,3}[ .-]?(?:\(0\)[ .-]?)?|0)[1-9](?:[ .-]?[0-9]{2}){4}
+    |(?:(?:\+|00)[0-9]{1,3}[ .-]?)?(?:[6-9][0-9]{2}(?:[ .-][0-9]{2}){3}|[89][0-9][ .-][0-9]{3}(?:[ .-][0-9]{2}){2})
+    |(?:(?:\+|00)[0-9]{1,3}[ .-]?\(0\)[ .-]?[0-9]{2,4}|(?:\+|00)[0-9]{1,3}[ .-][0-9]{2,4}|0[0-9]{2,4})[ ./-][0-9]{5,8}|0[1-9][0-9]{8,10}"""
+_HEX = "[0-9A-Fa-f]{1,4}"
 _TITLE = "|".join(re.escape(t) for ts in TITLES.values() for t in ts)
+_FIRST = "".join(sorted({t[0] for ts in TITLES.values() for t in ts} | {c for x in INTRODUCTIONS for c in (x[0].lower(), x[0].upper())}))
 #: One alternative per type; the group named after the type is what gets replaced.
 PATTERN = re.compile(
     rf"""(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{{2,}})
@@ -63,15 +71,15 @@ PATTERN = re.compile(
     |(?<![A-Za-z0-9])(?P<awskey>(?:AKIA|ASIA)[A-Z0-9]{{16}}|(?:sk|pk|ghp|gho|xox[bap])[-_][A-Za-z0-9_-]{{16,}})(?![A-Za-z0-9])
     |(?<![A-Za-z0-9])(?P<iban>[A-Z]{{2}}[0-9]{{2}}(?:[ ]?[A-Z0-9]{{4}}){{2,7}}(?:[ ]?[A-Z0-9]{{1,3}})?)(?![A-Za-z0-9])
     |(?<![\w.])(?P<ip>(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){{3}}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9]))(?![\w]|\.[0-9])
-    |(?<![\w:])(?P<ipv6>(?:[0-9A-Fa-f]{{1,4}}:){{7}}[0-9A-Fa-f]{{1,4}})(?![\w:])
+    |(?<![\w:])(?P<ipv6>(?:{_HEX}:){{7}}{_HEX}|(?=[A-Fa-f:]*[0-9])(?![0-9A-Fa-f:]*::[0-9A-Fa-f:]*::)(?!(?:[0-9A-Fa-f]*:+){{8}})(?:(?:{_HEX}:)+(?::{_HEX})+|(?:{_HEX}:){{2,}}:|::{_HEX}(?::{_HEX})+))(?![\w:])
     |(?<![\w-])(?P<ssn>[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}})(?![\w-])
     |(?<![\w.+-])(?P<card>[0-9](?:[ -]?[0-9]){{12,18}})(?![\w-])
-    |(?<![\w+])(?P<phone>(?:\+[0-9]{{1,3}}[ .-]?)?(?:\([0-9]{{2,4}}\)[ .-]?|[0-9]{{2,4}}[ .-])[0-9]{{3,4}}[ .-]?[0-9]{{3,4}}|\+[0-9]{{8,15}})(?![\w-])
-    |(?<!\w)(?:(?P<title>{_TITLE})\b\.?|{_INTRO})[ ](?P<name>{_NAME}(?:[ ]{_NAME}){{0,2}})""",
+    |(?<![\w+])(?P<phone>{_NATIONAL}|(?:\+[0-9]{{1,3}}[ .-]?)?(?:\([0-9]{{2,4}}\)[ .-]?|[0-9]{{2,4}}[ .-])[0-9]{{3,4}}[ .-]?[0-9]{{3,4}}|\+[0-9]{{8,15}})(?![\w-])
+    |(?<!\w)(?=[{_FIRST}])(?:(?P<title>{_TITLE})\b\.?|{_INTRO})[ ](?P<name>{_NAME}(?:[ ]{_NAME}){{0,2}})""",
     re.X,
 )
 #: What every entity contains; rows without it pass by the detector (Java syntax).
-TRIGGER = r"[0-9@=:]|AKIA|ASIA|\b(?:" + "|".join([t for ts in TITLES.values() for t in ts] + [x.replace("'", "['’]") for x in INTRODUCTIONS]) + r")\b|sk[-_]|pk[-_]|gh[po][-_]|xox[bap]"
+TRIGGER = rf"[0-9@=:]|AKIA|ASIA|\b(?=[{_FIRST}])(?:" + "|".join(t for ts in TITLES.values() for t in ts) + "|(?iu:" + "|".join(x.replace("'", "['’]") for x in INTRODUCTIONS) + r"))\b|sk[-_]|pk[-_]|gh[po][-_]|xox[bap]"
 _GENDER = {t: g for g, ts in TITLES.items() for t in ts}
 
 
@@ -83,6 +91,13 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _whole(address: str) -> str:
+    """An IPv6 address with its eight groups, none of them padded."""
+    head, _, tail = address.partition("::")
+    ends = [[g.lstrip("0") or "0" for g in x.split(":")] if x else [] for x in (head, tail)]
+    return ":".join(ends[0] + ["0"] * (8 - len(ends[0]) - len(ends[1])) + ends[1])
+
+
 def _script(word: str) -> str:
     c = ord(word[0])
     return "cyrillic" if 0x400 <= c < 0x530 else "greek" if 0x370 <= c < 0x400 else "latin"
@@ -109,6 +124,8 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         elif kind == "iban":
             out.append((start, end, kind, value.replace(" ", "")))
         else:
+            if kind == "ipv6":
+                value = _whole(value)
             out.append((start, end, kind, value.casefold() if kind in ("email", "ipv6") else value))
     return out
 
@@ -143,6 +160,12 @@ def _like(text: str, s: _Stream, hexed: bool = False) -> str:
     return "".join(out)
 
 
+def _group(group: str, s: _Stream) -> str:
+    """A group of an IPv6 address redrawn, not to zero."""
+    got = _like(group, s, hexed=True)
+    return got if got.strip("0") else got[:-1] + "123456789"[s.below(9)]
+
+
 def _tail(value: str, s: _Stream, n: int) -> str:
     """`n` more characters for a value, of the class of its own."""
     if value.isdigit():
@@ -173,13 +196,15 @@ def surrogate(kind: str, value: str, attempt: int = 0, key: bytes = KEY) -> str:
         first = value.split(".")[0]  # private ranges stay private, as long as they have room
         return ".".join([first if first in ("10", "127", "172", "192") and not more else str(1 + s.below(223))] + [str(s.below(256)) for _ in range(3)])
     if kind == "ipv6":
-        return _like(value, s, hexed=True) if not more else ":".join(f"{s.below(65536):x}" for _ in range(8))
+        # groups of zeros stay, so that a shortened address can stay short
+        return ":".join(g if not g.strip("0") else _group(g, s) for g in value.split(":")) if not more else ":".join(f"{s.below(65536):x}" for _ in range(8))
     if kind == "card":
         out = value[0] + "".join(str(s.below(10)) for _ in value[1:-1]) + _tail("0", s, more)
         ok = [d for d in "0123456789" if _luhn(out + d) == _luhn(value)]
         return out + ok[s.below(len(ok))]
     if kind == "phone":
-        return "".join(str(1 + s.below(9)) if i == 0 else str(s.below(10)) for i in range(len(value) + more))
+        first = "0" if value.startswith("0") else str(1 + s.below(9))  # a national prefix stays
+        return first + "".join(str(s.below(10)) for _ in range(len(value) + more - 1))
     if kind == "iban":
         return value[:2] + _like(value[2:], s) + _tail("0", s, more)
     if kind == "awskey":
@@ -194,35 +219,50 @@ def render(mention: str, kind: str, canonical: str) -> str:
         return "".join(next(left) if c.isalnum() else c for c in mention) + "".join(left)
     if kind.startswith(("given", "family")):
         return canonical.upper() if mention.isupper() and len(mention) > 1 else canonical.title()
-    if kind in ("email", "ipv6") and len(mention) == len(canonical):
+    if kind == "ipv6":
+        if "::" in mention:
+            canonical = str(ipaddress.IPv6Address(canonical))
+        elif all(len(g) == 4 for g in mention.split(":")):
+            canonical = ":".join(g.zfill(4) for g in canonical.split(":"))
+        return canonical.upper() if mention.isupper() else canonical
+    if kind == "email" and len(mention) == len(canonical):
         return "".join(c.upper() if m.isupper() else c for m, c in zip(mention, canonical))
     return canonical
 
 
 def assign(entities: DataFrame, key: bytes = KEY) -> DataFrame:
-    """(kind, value, surrogate) of distinct (kind, value): distinct per kind and never a real value.
+    """(kind, value, surrogate) of distinct (kind, value): never a real value, and distinct per kind,
+    given names of a script and addresses of both versions over all their kinds. A given name without
+    gender shares the surrogate of its name with one.
 
     Rounds of drawing and checking; a round only handles what the one before had to refuse."""
+    given = entities.where("kind LIKE 'given:%'").select("value", F.split("kind", ":").alias("p"))
+    given = given.groupBy("value", F.col("p")[2].alias("script")).agg(F.array_remove(F.collect_set(F.col("p")[1]), "n").alias("g"))
+    one = given.where("size(g) = 1").select("value", F.concat(F.lit("given:n:"), "script").alias("kind"), F.concat(F.lit("given:"), F.col("g")[0], F.lit(":"), "script").alias("as"))
+    named = stage(entities.select("kind", "value").join(one, ["kind", "value"], "left").select("kind", "value", F.coalesce("as", "kind").alias("as")), "genders")
+    space = F.when(F.col("kind").startswith("ip"), "ip").otherwise(F.regexp_replace("kind", "^given:[mfn]:", "given:"))
 
     def drawn(df: DataFrame, attempt: int) -> DataFrame:
         def rows(part: dict) -> dict:
             return part | {"surrogate": [surrogate(k, v, attempt, key) for k, v in zip(part["kind"], part["value"])]}
 
-        return in_arrow(df, rows, "kind string, value string, surrogate string")
+        return in_arrow(df, rows, "kind string, value string, surrogate string").withColumn("space", space)
 
-    real = entities.select(F.col("kind").alias("k"), F.col("value").alias("s"))
-    done, pending = None, entities
+    real = entities.select(space.alias("k"), F.col("value").alias("s"))
+    done, pending = None, named.where("kind = as").select("kind", "value")
     for attempt in range(MAX_ATTEMPTS):
-        tried = stage(drawn(pending.select("kind", "value"), attempt), "surrogates")
-        same = [F.col("kind") == F.col("k"), F.col("surrogate") == F.col("s")]
+        tried = stage(drawn(pending, attempt), "surrogates")
+        same = [F.col("space") == F.col("k"), F.col("surrogate") == F.col("s")]
         free = tried.join(real, same, "left_anti")
         if done is not None:
-            free = free.join(done.select(F.col("kind").alias("k"), F.col("surrogate").alias("s")), same, "left_anti")
-        good = stage(free.groupBy("kind", "surrogate").agg(F.min("value").alias("value")).select("kind", "value", "surrogate"), "surrogates")
+            free = free.join(done.select(F.col("space").alias("k"), F.col("surrogate").alias("s")), same, "left_anti")
+        least = F.min(F.struct("value", "kind")).alias("e")
+        good = stage(free.groupBy("space", "surrogate").agg(least).select("e.kind", "e.value", "surrogate", "space"), "surrogates")
         done = good if done is None else done.union(good)
         pending = stage(tried.join(good, ["kind", "value"], "left_anti").select("kind", "value"), "pending")
         if pending.isEmpty():
-            return done
+            found = done.select(F.col("kind").alias("as"), "value", "surrogate")
+            return named.join(found, ["as", "value"]).select("kind", "value", "surrogate")
     raise RuntimeError(f"no free surrogates after {MAX_ATTEMPTS} attempts")
 
 
