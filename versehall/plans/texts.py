@@ -134,11 +134,24 @@ def p12_folded_search(spark, sf_dir):
 @query("""SELECT s.doc_id, s.grams, c.item_id FROM (SELECT doc_id, count(*) AS grams FROM documents GROUP BY doc_id) s JOIN
   (SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)) c USING (doc_id)""")
 def j19_containment(spark, sf_dir):
-    """Passages that stand in documents: an equi-join on eight of its words, then the test (passages of nine words or more)."""
-    gram = 8
-    words = lambda c: F.split(c, r"\s+")
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"), F.array_join(F.slice(words("text"), 2, gram), " ").alias("g"))
-    docs = _docs(spark, sf_dir).select("doc_id", "text", words("text").alias("w"))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - gram + 1)), lambda i: F.array_join(F.slice("w", i, gram), " "))
-    found = docs.select("doc_id", "text", F.explode(F.array_distinct(grams)).alias("g")).join(items, "g").where(F.col("text").contains(F.col("passage")))
-    return found.select("doc_id", "item_id").distinct().withColumn("grams", F.lit(1).cast("long"))
+    """Passages of any length that stand in documents: an equi-join on up to eight inner words (the outer
+    ones can be parts of words), or up to eight characters where there is no inner word, then the test."""
+    most = F.lit(8)
+    words, chars = lambda c: F.split(c, r"\s+"), lambda c: F.split(c, "")
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"), (F.size(words("text")) - 2).alias("inner"))
+    by_word = F.col("inner") > 0
+    items = items.select("item_id", "passage", by_word.alias("by_word"), F.least(most, F.when(by_word, F.col("inner")).otherwise(F.length("passage"))).alias("size"))
+    key = F.when(F.col("by_word"), F.array_join(F.slice(words("passage"), F.lit(2), F.col("size")), " ")).otherwise(F.array_join(F.slice(chars("passage"), F.lit(1), F.col("size")), ""))
+    items = items.where("passage IS NOT NULL").withColumn("g", key)
+    # sixteen rows and an empty one at most
+    sizes = F.broadcast(items.select("by_word", "size").distinct())
+
+    def grams(parts, joiner):
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(parts) - F.col("size") + 1))
+        return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(parts, i, F.col("size")), joiner)))
+
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    cut = docs.join(sizes).withColumn("parts", F.when(F.col("by_word"), words("text")).otherwise(chars("text")))
+    cut = cut.select("doc_id", "text", "by_word", "size", F.explode(F.when(F.col("by_word"), grams(F.col("parts"), " ")).otherwise(grams(F.col("parts"), ""))).alias("g"))
+    found = cut.join(items, ["by_word", "size", "g"]).where(F.col("text").contains(F.col("passage"))).select("doc_id", "item_id")
+    return found.join(docs.groupBy("doc_id").agg(F.count("*").alias("grams")), "doc_id").select("doc_id", "grams", "item_id")
