@@ -189,6 +189,50 @@ def test_archive_round_trip(spark, split):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+@pytest.mark.parametrize("split", ["2k", "10m"])
+def test_archive_of_long_and_torn_headers(spark, split):
+    """Addresses of 200 KB, ones that end with the magic line so that splits tear their headers, and repeated ids."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        mark = "WARC/1.0"
+        rows = [(i, f"http://a/{i}", f"page {i} " * 30) for i in range(12)]
+        rows[3] = (3, "http://a/" + "x" * 200_000, "behind a long header")
+        rows[5] = (5, "http://a/" + "y" * 600 + mark, "torn once")
+        rows[6] = (6, "http://a/" + f"{'z' * 700}{mark}\r\n" * 4 + mark, "torn often " * 90)
+        rows[7] = (7, mark, f"{mark}\r\nContent-Length: 7\r\nno blank line {mark}\r\n" * 60)
+        rows += [(0, "again", rows[0][2]), (4, "again", rows[0][2]), (4, "again", rows[0][2])]
+        df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+        path = f"{common.shared_dir(spark)}/long-{split}"
+        warc.write(df, path)
+        got = sorted(tuple(r)[2:] for r in warc.read(spark, path).collect())
+        want = []
+        for i, _, h in rows:
+            kind = ("revisit", i, 0) if h == rows[0][2] and i else ("response", i, None)
+            want.append((*kind, len(h.encode()), hashlib.sha256(h.encode()).hexdigest()))
+        assert sorted(got, key=str) == sorted(want, key=str)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_archive_damaged(spark, tmp_path):
+    record = lambda i, n: f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{i}>\r\nContent-Length: {n}\r\n\r\n{'p' * 20}\r\n\r\n"
+    for name, text in {"cut": record(1, 20) + record(2, 99), "gap": record(1, 20) + record(2, 10) + record(3, 20), "start": "x" + record(1, 20)}.items():
+        (tmp_path / name).write_bytes(text.encode())
+        with pytest.raises(ValueError):
+            warc.read(spark, str(tmp_path / name))
+        left = [r["page_id"] for r in warc.read(spark, str(tmp_path / name), strict=False).collect()]
+        assert sorted(left) == {"cut": [1], "gap": [1, 2], "start": []}[name]
+    (tmp_path / "good").write_bytes((record(1, 20) + record(2, 20)).encode())
+    assert warc.read(spark, str(tmp_path / "good")).count() == 2
+
+
+def test_attach_beyond_a_broadcast(spark):
+    rows = spark.createDataFrame([(i, None if i % 3 == 0 else f"k{i % 5}") for i in range(300)], "i long, k string")
+    small = spark.createDataFrame([(f"k{j}", j) for j in range(4)], "k string, v int")
+    both = [sorted(map(tuple, common.attach(rows, small, "k", F.col("i"), most).select("i", "k", "v").collect()), key=str) for most in (10, 1)]
+    assert both[0] == both[1] and len(both[0]) == 300
+
+
 def test_archive_empty(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     path = f"{common.shared_dir(spark)}/archive-empty"

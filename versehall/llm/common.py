@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from versehall.session import ship  # noqa: F401
@@ -18,9 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a private one only where none is configured (tests)."""
+    """The cluster's shared folder. A private one stands in for it only in local mode, where driver
+    and executors are one machine (tests); a cluster without the setting is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="versehall-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -30,10 +33,20 @@ def _own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/versehall/{spark.sparkContext.applicationId}"
 
 
+def own_path(spark: SparkSession, name: str) -> str:
+    """A new path in this application's folder."""
+    return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def clear_stages(spark: SparkSession) -> None:
-    """Delete this application's intermediate tables. Results that are not written yet read them."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete this application's intermediate tables and archives, for callers who have written
+    their results: results that are not written yet still read them."""
+    _delete(spark, _own_dir(spark))
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -42,14 +55,38 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     A lost executor then costs a re-read, not a recomputation, and the values of
     non-deterministic or expensive columns are fixed once."""
     spark = df.sparkSession
-    path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = own_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def in_arrow(df: DataFrame, rows: Callable[[dict], dict], schema: str, max_rows: int = 512) -> DataFrame:
-    """Apply `rows` (dict of column lists -> dict of column lists) to slices of at most
-    `max_rows` rows, so that a slice of long texts stays small in the Python worker."""
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stage_path = path
+    return out
+
+
+def forget(*staged: DataFrame) -> None:
+    """Delete staged tables that only later stages, written by now, were made from."""
+    for df in staged:
+        _delete(df.sparkSession, df.stage_path)
+
+
+def attach(rows: DataFrame, small: DataFrame, key: str, spread: Column, most: int = 100_000, salts: int = 16) -> DataFrame:
+    """`rows` left joined with a table of one row a key. That table is broadcast while it has at most
+    `most` rows; beyond, both are dealt out by key and a salt taken from `spread`, so that neither a
+    hot key nor the rows without one land in one task. A null key meets nothing."""
+    if small.count() <= most:
+        return rows.join(F.broadcast(small), key, "left")
+    dealt = small.where(F.col(key).isNotNull()).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    kept = small.columns
+    dealt = dealt.select(*[F.col(c).alias(f"__{c}" if c == key else c) for c in kept], F.col("__salt").alias("__s"))
+    salt = F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")
+    # a null key gets a hash of the row in its place, of no key's type and salt
+    on = [F.coalesce(F.col(key).cast("string"), F.concat(F.lit("\x00"), F.xxhash64(spread).cast("string"))) == F.col(f"__{key}").cast("string"), salt == F.col("__s")]
+    return rows.join(dealt, on, "left").drop(f"__{key}", "__s")
+
+
+def in_arrow(df: DataFrame, rows: Callable[[dict], dict], schema: str, max_rows: int = 512, max_bytes: int = 16 << 20) -> DataFrame:
+    """Apply `rows` (dict of column lists -> dict of column lists) to slices of at most `max_rows`
+    rows and some `max_bytes` (a longer row is a slice of its own), so that what is in the Python
+    worker at once stays small however long the texts are."""
     ship(df.sparkSession)
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -58,20 +95,26 @@ def in_arrow(df: DataFrame, rows: Callable[[dict], dict], schema: str, max_rows:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, max_rows):
+            at = 0
+            while at < batch.num_rows:
                 part = batch.slice(at, max_rows)
+                while part.num_rows > 1 and part.nbytes > max_bytes:
+                    part = part.slice(0, part.num_rows // 2)
+                at += part.num_rows
                 made = rows({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) for f in out], schema=out)
 
     return df.mapInArrow(run, schema)
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 60, large: int = 1 << 20) -> DataFrame:
     """Connected components of `edges` (a, b): rows (node, component = smallest node).
 
     Alternating large-star and small-star steps; every step is a grouped minimum (partial
-    aggregation, so a hub with a third of all edges is fine) and an equi-join. Nothing but the
-    edge count and a checksum reaches the driver. An empty edge table gives an empty result."""
+    aggregation) and an equi-join. From `large` edges on the minima are staged, so that both sides
+    of the joins are plain shuffles and adaptive execution can split a hub with a third of all
+    edges. Nothing but the edge count and a checksum reaches the driver; each round's edges replace
+    those of the round before. An empty edge table gives an empty result."""
 
     def both(e: DataFrame) -> DataFrame:
         return e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -84,14 +127,26 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not seen[0]:
             break
+        held = []
+
+        def minima(low: DataFrame, big: bool = seen[0] >= large, held: list = held) -> DataFrame:
+            if big:
+                held.append(stage(low, "minima"))
+                return held[-1].hint("merge")
+            return low
+
         e = both(cur)
-        low = e.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = e.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        cur = stage(small.where("a <> b").distinct(), "edges")
-        now = mark(cur)
+        low = minima(e.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        grown = e.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        grown = grown.where("a <> b").distinct()
+        if seen[0] >= large:
+            grown = stage(grown, "large-stars")
+            held.append(grown)
+        low = minima(grown.groupBy("a").agg(F.min("b").alias("m")))
+        small = grown.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
+        fresh = stage(small.where("a <> b").distinct(), "edges")
+        forget(cur, *held)
+        cur, now = fresh, mark(fresh)
         if now == seen:
             break
         seen = now

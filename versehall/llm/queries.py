@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from versehall.llm import adaptive_ann, byte_bpe, consensus_html, exact_topk, language_id, near_dup, source_mix, surrogates, toxicity, warc
-from versehall.llm.common import shared_dir, table
+from versehall.llm.common import own_path, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -49,7 +47,7 @@ def op5_consensus_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/versehall/warc-{uuid.uuid4().hex}"
+    path = own_path(spark, "warc")
     warc.write(table(spark, sf_dir, "pages"), path)
     return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
