@@ -11,7 +11,13 @@ smallest node; then, where a bucket still holds several components, nodes of dif
 are compared in blocks by a sketch of SKETCH minhash bytes, each pair in the first bucket it shares,
 and only pairs whose estimate is within MARGIN of the threshold (over four standard errors) are
 confirmed. So the components are those of
-all colliding pairs, while a bucket that one group of copies fills costs one pair a member.
+all colliding pairs, while a bucket that one group of copies fills costs one pair a member. Copies
+of one set take their set's component at the end and are no links.
+
+A leader of a large group is a hot key, and so is a large bucket or a set with many copies. What such
+keys are joined with is staged first and the joins are merge joins, so that both sides are plain
+shuffles, which adaptive execution splits where a key is skewed; texts and confirmations of a hot
+leader are dealt out in parts of MEMBERS pairs.
 
 Defined cases: null or blank texts have an empty set and link with nothing; fewer words than a
 shingle make one shingle of the whole sequence; rows with a null doc_id link with nothing
@@ -149,8 +155,8 @@ def likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
         ok = np.flatnonzero(_alike(a, b, percent))
         return {k: [part[k][i] for i in ok] for k in ("x", "y")}
 
-    both = pairs.join(sketches.select(F.col("node").alias("x"), F.col("sketch").alias("s")), "x")
-    both = both.join(sketches.select(F.col("node").alias("y"), F.col("sketch").alias("t")), "y")
+    both = pairs.join(sketches.select(F.col("node").alias("x"), F.col("sketch").alias("s")).hint("merge"), "x")
+    both = both.join(sketches.select(F.col("node").alias("y"), F.col("sketch").alias("t")).hint("merge"), "y")
     return in_arrow(both.select("x", "y", "s", "t"), run, "x long, y long", max_rows=8192)
 
 
@@ -159,8 +165,8 @@ def across(own: DataFrame, percent: int, keys: int = KEYS) -> DataFrame:
     n, c, sketch); a pair comes once, from the first table in which it meets. Buckets are cut into
     blocks of some BLOCK nodes and every pair of blocks is one group, so no group grows with its
     bucket."""
-    parts = own.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    rows = own.join(parts, "bucket").withColumn("p", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    parts = stage(own.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")), "blocks")
+    rows = own.join(parts.hint("merge"), "bucket").withColumn("p", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     rows = rows.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select(F.xxhash64("bucket", F.least("p", "q"), F.greatest("p", "q")).alias("g"), (F.col("p") > F.col("q")).alias("side"), (F.col("p") == F.col("q")).alias("one"), "table", "node", "n", "c", "sketch")
     # a group is read as a run of equal g in a sorted stream: far cheaper than a call for each
@@ -215,8 +221,8 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Those of `pairs` (x, y) whose full sets reach the similarity: (a, b).
 
     `texts` (node, text) goes to the pairs' y, and to each x once for every MEMBERS of its y."""
-    sizes = pairs.groupBy("x").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts"))
-    left = pairs.join(sizes, "x").select("x", "y", F.pmod(F.xxhash64("y"), F.col("parts")).cast("int").alias("part"))
+    sizes = stage(pairs.groupBy("x").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts")), "leaders")
+    left = pairs.join(sizes.hint("merge"), "x").select("x", "y", F.pmod(F.xxhash64("y"), F.col("parts")).cast("int").alias("part"))
     left = left.join(texts.withColumnRenamed("node", "y"), "y").select("x", "part", "y", "text")
     right = sizes.join(texts.withColumnRenamed("node", "x"), "x").select("x", "text", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     right = right.select([F.col(c).alias(c) for c in right.columns])  # columns of its own, or the two sides are ambiguous
@@ -243,13 +249,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, keys: int = KEYS, rows:
     links of at least `percent` % similarity), kept."""
     sig = stage(signatures(docs, keys, rows), "signatures")
     full = sig.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    nodes = full.groupBy("set_hi", "set_lo", "n_shingles", "keys", "sketch").agg(F.min("doc_id").alias("node"))
+    nodes = full.groupBy("set_hi", "set_lo", "n_shingles", "keys", "sketch").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
     nodes = stage(nodes.withColumnRenamed("n_shingles", "n"), "nodes")
-    same = full.join(nodes.select("set_hi", "set_lo", "node"), ["set_hi", "set_lo"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
     members = bucket_members(nodes, keys)
     near = f"least(n, m) * 100 >= {percent} * greatest(n, m)"
     leaders = members.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("l"), F.max("node").alias("top")).where("top > l.node")
-    first = members.join(leaders.select("bucket", F.col("l.node").alias("x"), F.col("l.n").alias("m")), "bucket")
+    leaders = stage(leaders.select("bucket", F.col("l.node").alias("x"), F.col("l.n").alias("m")), "leaders")
+    first = members.join(leaders.hint("merge"), "bucket")
     first = first.where(f"node <> x AND {near}").select("x", F.col("node").alias("y")).distinct()
     sketches = stage(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "sketch"), "sketches")
     first = stage(likely(first, sketches, percent), "pairs")
@@ -261,10 +267,25 @@ def near_duplicates(docs: DataFrame, percent: int = 85, keys: int = KEYS, rows:
     # what is left: colliding nodes of different components
     own = members.join(label, "node", "left").select("bucket", "table", "node", "n", F.coalesce("c", "node").alias("c"))
     mixed = own.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("bucket")
-    own = stage(own.join(mixed, "bucket"), "mixed").join(sketches, "node")
+    own = stage(own.join(stage(mixed, "mixed").hint("merge"), "bucket"), "mixed").join(sketches, "node")
     rest = stage(across(own, percent, keys).join(first, ["x", "y"], "left_anti"), "pairs")
-    links = links.union(stage(confirm(rest, texts, percent), "links")).union(same)
-    label = components(links)
-    out = sig.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    links = links.union(stage(confirm(rest, texts, percent), "links"))
+    # a doc_id with several texts stands for all their sets
+    ids = sig.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("set_hi", "set_lo")).alias("a"), F.max(F.struct("set_hi", "set_lo")).alias("b"))
+    ids = stage(ids.where("a <> b").select("doc_id"), "repeated")
+    several = not ids.isEmpty()
+    if several:
+        sets = full.join(ids, "doc_id", "left_semi").select("doc_id", "set_hi", "set_lo").join(nodes, ["set_hi", "set_lo"])
+        links = links.union(sets.select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
+    label = stage(components(links), "components")
+    # every set with copies or links has a component, and every row takes its set's
+    sets = nodes.join(label, "node", "left").where("copies > 1 OR component IS NOT NULL")
+    sets = stage(sets.select("set_hi", "set_lo", F.coalesce("component", "node").alias("component")), "sets")
+    alone = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id"))
+    out = sig.select("doc_id", "n_shingles", "set_hi", "set_lo").join(sets.hint("merge"), ["set_hi", "set_lo"], "left")
+    if several:
+        mine = ids.join(label.withColumnRenamed("node", "doc_id"), "doc_id").select("doc_id", F.col("component").alias("mine"))
+        out = out.join(mine, "doc_id", "left")
+        alone = F.coalesce("mine", alone)
+    out = out.select("doc_id", "n_shingles", F.coalesce(alone, F.when(F.col("doc_id").isNotNull(), F.col("component")), "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
