@@ -108,11 +108,34 @@ def test_ann_awkward(spark):
 
 def test_scan_abandons_but_keeps_the_nearest():
     rng = np.random.default_rng(4)
-    x = rng.standard_normal((5000, 65)).astype(np.float32)
-    q = rng.standard_normal(65).astype(np.float32)
-    kept = adaptive_ann.scan(np.asfortranarray(x), q, 21)
-    near = np.argsort(((x - q) ** 2).sum(1))[:21]
-    assert set(near) <= set(kept) and len(kept) < 1500
+    x = rng.standard_normal((5000, 130)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    q = x[:40] + rng.standard_normal((40, 130)).astype(np.float32) / 20
+    own = rng.integers(0, 9, 5000)
+    everywhere = np.tile(np.arange(9), 40)
+    d = ((q[:, None] - x[None]) ** 2).sum(2)
+    near = np.argsort(d, axis=1)[:, :21]
+    got = adaptive_ann.scan_lists(x, own, q, np.repeat(np.arange(40), 9), everywhere, np.full(40, np.inf, np.float32), 21)
+    pairs = set(zip(*map(np.ndarray.tolist, got)))
+    want = {(i, j) for i in range(40) for j in near[i].tolist()}
+    assert len(want & pairs) >= 0.98 * len(want) and len(pairs) < 3 * len(want)
+    some = adaptive_ann.scan(x, q, np.partition(d, 20, axis=1)[:, 20].astype(np.float32))
+    assert len(some[0]) < 1.1 * len(want)
+
+
+def test_ann_of_many_lists(spark, monkeypatch):
+    """More lists than the sample can give: they are cut in Spark."""
+    monkeypatch.setattr(adaptive_ann, "LIST_ROWS", 10)
+    monkeypatch.setattr(adaptive_ann, "CHUNK", 50)
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((30, 16)) * 3
+    rows = [(i, [float(x) for x in (centres[i % 30] + rng.standard_normal(16)).astype(np.float32)]) for i in range(2000)]
+    m = np.array([v for _, v in rows])
+    found = {}
+    for r in adaptive_ann.search(vectors_of(spark, rows), F.col("vec_id") % 20 == 0, k=10, sample=200).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = sum(len(found[i] & {v for v, _ in best(list(range(2000)), (m @ m[i]).tolist(), i, 10)}) for i in range(0, 2000, 20))
+    assert hits >= 0.93 * 1000
 
 
 # -- main text --------------------------------------------------------------------------------

@@ -2,20 +2,27 @@
 
 Vectors are lifted by one coordinate to equal length (so that the largest inner product is the
 smallest distance) and turned by a random rotation, which spreads a distance evenly over the
-dimensions. Every row is put on the list of its nearest centroid. Within a probed list a query adds
-squared differences one column block after the other; after each block the partial distance,
-scaled up, is tested against the distance of the k-th best so far, and candidates that with high
-confidence are further away are abandoned. Survivors are scored by the exact inner product in double
-precision. Equal vectors are searched once.
+dimensions. Every row is put on the list of its nearest centroid. Within a probed list squared
+differences are added one column block after the other; after each block the partial distance is
+tested against the bound, the distance of the k-th best so far, and candidates that with high
+confidence are further away are abandoned: of a distance of `width` turned columns, `seen` of them
+hold a share that follows a Beta distribution. A query's bound starts as its k-th best of the sample
+(its best there are results too, so no query ends with fewer than k) and goes from list to list.
+Survivors are scored by the exact inner product in double precision.
+Equal vectors are searched once.
 
-Centroids come from at most SAMPLE vectors chosen by hash (the documented bound of what reaches the
-driver), and so does the number of probed lists: the smallest that finds `recall` of the sample's
-own neighbours. Every row is indexed. Lists are cut into chunks of at most some CHUNK rows, and the
-queries of a list into chunks too, so no task grows with a popular list.
+The sample of at most SAMPLE vectors (a quarter of all, from LEAST_SAMPLE on), chosen by hash, is the documented bound of what reaches the
+driver; it gives the centroids and the number of probed lists, the smallest that finds `recall` of
+the sample's own neighbours. There is a list for every LIST_ROWS rows; where the sample is too small
+for so many, its centroids are cut further, each by the vectors near it, in Spark, on FINE_SAMPLE
+vectors a centroid and up to MOST_LISTS lists. Every row is indexed. Lists are packed into chunks of
+some CHUNK rows, larger ones are cut, and the queries of a chunk are cut too, so no task grows with
+a popular list; a query goes once to a chunk, with the lists it probes there.
 
 Defined cases: rows null, zero or holding null or non-finite components take no part; shorter
-vectors count as zero in the dimensions they lack; rows that repeat id and vector count once; fewer than k others give
-all that the probed lists hold; empty tables an empty result.
+vectors count as zero in the dimensions they lack; rows that repeat id and vector count once; ties go
+to the smaller id; fewer than k others give all that the probed lists hold; empty tables an empty
+result; other columns play no part.
 """
 
 from __future__ import annotations
@@ -29,29 +36,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from versehall.llm.common import in_arrow, ship, stage
-from versehall.llm.vectors import distinct, finite, spread, top
+from versehall.llm.vectors import distinct, finite, spread
 
-SAMPLE = 8192
-LISTS = 512
-CHUNK, QUERY_CHUNK = 4096, 1024
+SAMPLE, LEAST_SAMPLE = 8192, 1000
+LIST_ROWS = 100
+FINE_SAMPLE, MOST_LISTS = 4096, 16384
+CHUNK, QUERY_CHUNK = 4096, 4096
 BLOCK = 13  # columns of a block
-CONFIDENCE = 2.1  # of the abandonment test, in the unit of 1 / sqrt(columns seen)
+CONFIDENCE = 2.6  # of the abandonment test, in standard deviations
+GATHER = 0.1  # share of a list's pairs alive from which on they are followed one by one
 RECALL = 0.97
 SEED = 5
 
 
 @dataclass
 class Index:
-    """What every task needs: the lift, the rotation, the centroids, the lists to probe."""
+    """What every task needs: the lift, the rotation, the centroids, the lists to probe, the sample."""
 
     width: int
     norm: float
     turn: np.ndarray
     centroids: np.ndarray
     probes: int
+    sample: np.ndarray
+    plain: np.ndarray  # the sample as it was, and its ids
+    ids: np.ndarray
 
     def lift(self, v: np.ndarray) -> np.ndarray:
-        """Rows of equal length `norm`, turned."""
+        """Rows of equal length one, turned."""
         v = v / self.norm
         rest = np.sqrt(np.maximum(0.0, 1.0 - (v * v).sum(1)))
         return (np.column_stack([v, rest]) @ self.turn).astype(np.float32)
@@ -63,11 +75,27 @@ class Index:
 
     def nearest(self, v: np.ndarray, n: int) -> np.ndarray:
         d = (self.centroids**2).sum(1) - 2 * (v @ self.centroids.T)
+        if n == 1:
+            return d.argmin(1)[:, None]
         if n >= d.shape[1]:
             return np.argsort(d, axis=1)
         some = np.argpartition(d, n - 1, axis=1)[:, :n]
         return np.take_along_axis(some, np.argsort(np.take_along_axis(d, some, 1), axis=1), 1)
 
+    def first(self, y: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bound of each query (turned y, plain w), its k-th best distance in the sample, and the
+        ids and scores of its best there."""
+        d = 2 - 2 * (y @ self.sample.T)
+        k = min(k, d.shape[1])
+        best = np.argpartition(d, k - 1, axis=1)[:, :k]
+        bound = slack(np.take_along_axis(d, best, 1).max(1))
+        return bound, self.ids[best], (self.plain[best] * w[:, None]).sum(2)
+
+
+def slack(d: np.ndarray) -> np.ndarray:
+    """Room for rounding in single precision."""
+    return d * np.float32(1.0001) + np.float32(1e-5)
+
 
 def dense(rows: list, width: int) -> np.ndarray:
     out = np.zeros((len(rows), width))
@@ -76,66 +104,134 @@ def dense(rows: list, width: int) -> np.ndarray:
     return out
 
 
-def build(sample: np.ndarray, n: int, norm: float, k: int, recall: float = RECALL) -> Index:
-    """Fit rotation, centroids (k-means) and the number of probes on the sample of n vectors."""
-    rng = np.random.default_rng(SEED)
-    width = sample.shape[1]
-    turn = np.linalg.qr(rng.standard_normal((width + 1, width + 1)))[0]
-    lists = max(1, min(LISTS, int(math.sqrt(n)), len(sample) // 16 or 1))
-    index = Index(width, norm, turn, np.zeros((1, width + 1), np.float32), 1)
-    x = index.lift(sample)
-    index.centroids = x[rng.choice(len(x), lists, replace=False)].copy()
-    for _ in range(12):
-        own = index.nearest(x, 1)[:, 0]
+def means(x: np.ndarray, n: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
+    """Centroids of k-means."""
+    out = x[rng.choice(len(x), n, replace=False)].copy()
+    for _ in range(rounds):
+        own = ((out**2).sum(1) - 2 * (x @ out.T)).argmin(1)
         order = np.argsort(own, kind="stable")
         here, first = np.unique(own[order], return_index=True)
-        index.centroids[here] = np.add.reduceat(x[order], first, axis=0) / np.diff(np.append(first, len(x)))[:, None]
-    # how many lists the sample's own neighbours need
-    own = index.nearest(x, 1)[:, 0]
+        out[here] = np.add.reduceat(x[order], first, axis=0) / np.diff(np.append(first, len(x)))[:, None]
+    return out
+
+
+def build(sample: np.ndarray, ids: np.ndarray, n: int, norm: float) -> Index:
+    """Rotation and centroids from the sample of n vectors."""
+    rng = np.random.default_rng(SEED)
+    width = sample.shape[1]
+    index = Index(width, norm, np.linalg.qr(rng.standard_normal((width + 1, width + 1)))[0], np.zeros((1, width + 1), np.float32), 1, None, sample, ids)
+    index.sample = index.lift(sample)
+    index.centroids = means(index.sample, max(1, min(math.ceil(n / LIST_ROWS), len(sample) // 16)), rng)
+    return index
+
+
+def aim_probes(index: Index, sample: np.ndarray, k: int, recall: float) -> int:
+    """How many lists the sample's own neighbours need."""
+    rng = np.random.default_rng(SEED)
+    own = np.concatenate([index.nearest(index.sample[i : i + 512], 1)[:, 0] for i in range(0, len(sample), 512)])
     asks = rng.choice(len(sample), min(400, len(sample)), replace=False)
     scores = sample[asks] @ sample.T
     scores[np.arange(len(asks)), asks] = -np.inf
     best = np.argsort(-scores, axis=1)[:, : max(1, min(k, len(sample) - 1))]
-    place = np.argsort(index.nearest(index.ask(sample[asks]), lists), axis=1)  # of each list in the query's order
+    place = np.argsort(index.nearest(index.ask(sample[asks]), len(index.centroids)), axis=1)  # of each list in the query's order
     needed = np.sort(np.take_along_axis(place, own[best], 1).ravel())
-    index.probes = int(needed[min(len(needed) - 1, math.ceil(recall * len(needed)))]) + 1
-    return index
+    return int(needed[min(len(needed) - 1, math.ceil(recall * len(needed)))]) + 1
 
 
-def scan(x: np.ndarray, q: np.ndarray, k: int) -> np.ndarray:
-    """Places of the rows of `x` (turned, in columns first order) that survive the query's scan."""
-    n, width = x.shape
-    alive, bound = np.arange(n), np.inf
-    first = min(n, 4 * k)  # read in full: they give the first bound
-    d = ((x[:first] - q) ** 2).sum(1)
-    if first > k:
-        bound = np.partition(d, k - 1)[k - 1]
-    kept = [np.flatnonzero(d <= bound)]
-    for a in range(first, n, 1024):
-        alive = np.arange(a, min(n, a + 1024))
-        part = np.zeros(len(alive), np.float32)
-        for c in range(0, width, BLOCK):
-            cut = slice(c, min(width, c + BLOCK))
-            part += ((x[alive, cut] - q[cut]) ** 2).sum(1)
-            seen = min(width, c + BLOCK)
-            limit = bound if seen == width else bound * seen / width * (1 + CONFIDENCE / math.sqrt(seen)) ** 2
-            ok = part <= limit
-            alive, part = alive[ok], part[ok]
-            if not len(alive):
-                break
-        if len(alive):
-            kept.append(alive)
-            d = np.concatenate([d, part])
-            if len(d) > k:
-                d = np.partition(d, k - 1)[:k]
-                bound = d[k - 1]
-    return np.concatenate(kept)
+def refine(units: DataFrame, index: Index, n: int) -> np.ndarray:
+    """More centroids where the sample is too small for them: every list is cut by k-means on vectors
+    of its own, some FINE_SAMPLE a list on average, whatever the number of rows."""
+    lists = len(index.centroids)
+    each = math.ceil(min(n / LIST_ROWS, MOST_LISTS) / lists)
+    shared, rows = units.sparkSession.sparkContext.broadcast(index), min(1.0, lists * FINE_SAMPLE / n)
+    some = units.where(F.pmod(F.xxhash64("u", F.lit("fine")), F.lit(1_000_000)) < round(rows * 1_000_000)).select("v")
+
+    def place(part: dict) -> dict:
+        x = shared.value.lift(dense(part["v"], shared.value.width))
+        return {"list": shared.value.nearest(x, 1)[:, 0], "x": [r.tobytes() for r in x]}
+
+    def cut(rows: pd.DataFrame) -> pd.DataFrame:
+        x = np.frombuffer(b"".join(rows["x"].sort_values()), np.float32).reshape(len(rows), -1)
+        made = means(x, max(1, min(each, len(x) // 16)), np.random.default_rng(SEED))
+        return pd.DataFrame({"list": rows["list"].iloc[0], "c": [c.tobytes() for c in made]})
+
+    made = in_arrow(some, place, "list int, x binary").groupBy("list").applyInPandas(cut, "list int, c binary").collect()  # at most MOST_LISTS rows
+    held = {r["list"] for r in made}
+    made = sorted((r["list"], bytes(r["c"])) for r in made) + [(i, c.tobytes()) for i, c in enumerate(index.centroids) if i not in held]
+    return np.frombuffer(b"".join(c for _, c in sorted(made)), np.float32).reshape(len(made), -1)
+
+
+def limit(seen: int, width: int) -> np.float32:
+    """The share of a distance that its first `seen` columns hold at most, with CONFIDENCE."""
+    share = seen / width
+    return np.float32(min(1.0, share + CONFIDENCE * math.sqrt(2 * share * (1 - share) / (width + 2))))
+
+
+def scan(x: np.ndarray, q: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, distance) of the pairs of queries `q` and rows `x` of one list (both turned) that
+    survive the tests against the queries' bounds."""
+    width = x.shape[1]
+    part, alive, at = np.zeros((len(q), len(x)), np.float32), None, 0
+    while at < width:  # all pairs, while many are alive
+        cut = slice(at, min(width, at + BLOCK))
+        a, b = q[:, cut], x[:, cut]
+        part += (a * a).sum(1)[:, None] + ((b * b).sum(1) - 2 * (a @ b.T))
+        at = cut.stop
+        ok = part <= (bound * limit(at, width))[:, None]
+        alive = ok if alive is None else alive & ok
+        if np.count_nonzero(alive) < GATHER * alive.size:
+            break
+    i, j = np.nonzero(alive)
+    d = part[i, j]
+    while at < width and len(i):  # then those left
+        cut = slice(at, min(width, at + BLOCK))
+        d = d + ((q[i, cut] - x[j, cut]) ** 2).sum(1)
+        at = cut.stop
+        ok = d <= bound[i] * limit(at, width)
+        i, j, d = i[ok], j[ok], d[ok]
+    return i, j, d
+
+
+def scan_lists(x: np.ndarray, own: np.ndarray, y: np.ndarray, asked: np.ndarray, lists: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) pairs that survive: rows `x` on lists `own`, queries `y` where `asked` (places of
+    queries) probe `lists`. The k nearest so far and the bounds go on from list to list."""
+    order = np.argsort(own, kind="stable")
+    names, first = np.unique(own[order], return_index=True)
+    by = np.argsort(lists, kind="stable")
+    asked, lists = asked[by], lists[by]
+    best = np.full((len(y), k), np.inf, np.float32)
+    qs, rs, ds = [], [], []
+    for name, a, b in zip(names, first, np.append(first[1:], len(own))):
+        q = asked[np.searchsorted(lists, name) : np.searchsorted(lists, name, side="right")]
+        if not len(q):
+            continue
+        rows = order[a:b]
+        for r in range(0, len(rows), 1024):
+            i, j, d = scan(x[rows[r : r + 1024]], y[q], bound[q])
+            if not len(i):
+                continue
+            qs.append(q[i])
+            rs.append(rows[r + j])
+            ds.append(d)
+            met, start = np.unique(i, return_index=True)
+            size = np.diff(np.append(start, len(i)))
+            new = np.full((len(met), size.max()), np.inf, np.float32)
+            new[np.repeat(np.arange(len(met)), size), np.arange(len(i)) - np.repeat(start, size)] = d
+            both = np.concatenate([best[q[met]], new], axis=1)
+            best[q[met]] = np.partition(both, k - 1, axis=1)[:, :k]
+            bound[q[met]] = np.minimum(bound[q[met]], slack(best[q[met]].max(1)))
+    if not qs:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    q, r, d = map(np.concatenate, (qs, rs, ds))
+    ok = d <= bound[q]
+    return q[ok], r[ok]
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 20, sample: int = SAMPLE, recall: float = RECALL) -> DataFrame:
     """(query_id, rank, vec_id, score) of the rows (vec_id, embedding) that `is_query` picks."""
     spark = vectors.sparkSession
     ship(spark)
+    single = dict(vectors.dtypes)["embedding"] == "array<float>"
     v = F.transform("embedding", lambda x: x.cast("double"))
     rows = vectors.where(finite(F.col("embedding")) & F.exists("embedding", lambda x: x != 0) & F.col("vec_id").isNotNull())
     rows = rows.select(F.col("vec_id").cast("long").alias("id"), v.alias("v"), F.coalesce(is_query, F.lit(False)).alias("query"))
@@ -144,50 +240,79 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, sample: int = SAMP
     n, width, most = units.agg(F.count("*"), F.max(F.size("v")), F.max(norm)).first()
     if not n:
         return spread(units.select(F.col("u").alias("q"), "u", F.lit(0.0).alias("score")), members, askers, k)
-    picked = units.orderBy(F.xxhash64("u"), "u").limit(sample).select("v").collect()  # at most `sample` rows
-    index = spark.sparkContext.broadcast(build(dense([r["v"] for r in picked], width), n, most, k, recall))
+    sample = min(sample, max(LEAST_SAMPLE, n // 4))
+    picked = units.orderBy(F.xxhash64("u"), "u").limit(sample).select("u", "v").collect()  # at most `sample` rows
+    known = dense([r["v"] for r in picked], width)
+    fitted = build(known, np.array([r["u"] for r in picked]), n, most)
+    if n / LIST_ROWS > 2 * len(fitted.centroids) and n > len(known):
+        fitted.centroids = refine(units, fitted, n)
+    fitted.probes = aim_probes(fitted, known, k, recall)
+    index, kind = spark.sparkContext.broadcast(fitted), np.float32 if single else np.float64
 
     def place(part: dict) -> dict:
-        ix = index.value
-        plain = dense(part["v"], ix.width)
-        turned = ix.lift(plain)
-        return {"u": part["u"], "list": ix.nearest(turned, 1)[:, 0], "x": [r.tobytes() for r in turned], "v": [r.tobytes() for r in plain]}
+        plain = dense(part["v"], index.value.width)
+        return {"u": part["u"], "list": index.value.nearest(index.value.lift(plain), 1)[:, 0], "v": [r.astype(kind).tobytes() for r in plain]}
+
+    placed = stage(in_arrow(units.select("u", "v"), place, "u long, list int, v binary"), "placed")
+    # at most MOST_LISTS rows reach the driver: lists are packed into chunks, large ones cut into some
+    sizes = np.zeros(len(fitted.centroids), np.int64)
+    for r in placed.groupBy("list").count().collect():
+        sizes[r["list"]] = r["count"]
+    parts = np.maximum(1, -(-sizes // CHUNK))
+    chunk, held = np.zeros(len(sizes), np.int64), 0
+    for i in range(1, len(sizes)):
+        alone = parts[i] > 1 or parts[i - 1] > 1 or held + sizes[i] + sizes[i - 1] > CHUNK
+        held = 0 if alone else held + sizes[i - 1]
+        chunk[i] = chunk[i - 1] + (parts[i - 1] if alone else 0)
+    plan = spark.sparkContext.broadcast((chunk, parts))
+    packs = F.broadcast(spark.createDataFrame(pd.DataFrame({"list": np.arange(len(sizes), dtype=np.int32), "first": chunk, "parts": parts.astype(np.int32)})))
+    left = placed.join(packs, "list").select((F.col("first") + F.pmod(F.xxhash64("u"), F.col("parts"))).alias("chunk"), "list", "u", "v")
 
     def aim(part: dict) -> dict:
-        ix = index.value
+        ix, (chunk, parts) = index.value, plan.value
         plain = dense(part["v"], ix.width)
         turned = ix.ask(plain)
-        return {"q": part["u"], "lists": list(ix.nearest(turned, ix.probes)), "y": [r.tobytes() for r in turned], "w": [r.tobytes() for r in plain]}
-
-    placed = stage(in_arrow(units.select("u", "v"), place, "u long, list int, x binary, v binary", 4096), "placed")
-    aimed = stage(in_arrow(units.where("query").select("u", "v"), aim, "q long, lists array<int>, y binary, w binary", 4096), "aimed")
-    asks = aimed.select("q", "y", "w", F.explode("lists").alias("list"))
-    # at most LISTS rows: how many chunks each list's rows and queries need
-    count = lambda df, size, name: df.groupBy("list").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
-    cuts = count(placed, CHUNK, "rc").join(count(asks, QUERY_CHUNK, "qc"), "list")
-    deal = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = placed.join(F.broadcast(cuts), "list").select("list", "u", "x", "v", deal("u", "rc").alias("r"), every("qc").alias("s"))
-    right = asks.join(F.broadcast(cuts), "list").select("list", "q", "y", "w", every("rc").alias("r"), deal("q", "qc").alias("s"))
-    right = right.select([F.col(c).alias(c if c in "qyw" else f"{c}_q") for c in right.columns])
+        goes = []
+        for probed in ix.nearest(turned, ix.probes):
+            to: dict = {}
+            for name in np.sort(probed).tolist():
+                for c in range(chunk[name], chunk[name] + parts[name]):
+                    to.setdefault(c, []).append(name)
+            goes.append([{"chunk": c, "lists": x} for c, x in to.items()])
+        bound, ids, scores = ix.first(turned, plain, k + 1)
+        if len(ix.ids) <= k:
+            bound[:] = np.inf
+        met = [[{"u": u, "score": x} for u, x in zip(a, b)] for a, b in zip(ids.tolist(), scores.tolist())]
+        return {"q": part["u"], "goes": goes, "bound": bound, "w": [r.astype(kind).tobytes() for r in plain], "met": met}
+
+    aimed = in_arrow(units.where("query").select("u", "v"), aim, "q long, goes array<struct<chunk:long,lists:array<int>>>, bound float, w binary, met array<struct<u:long,score:double>>")
+    aimed = stage(aimed, "aimed")
+    asks = aimed.select("q", "bound", "w", F.explode("goes").alias("g")).select("q", "bound", "w", "g.chunk", "g.lists")
+    cuts = stage(asks.groupBy("chunk").agg(F.ceil(F.count("*") / QUERY_CHUNK).cast("int").alias("qc")), "cuts")
+    cuts = F.broadcast(cuts) if cuts.count() <= 100_000 else cuts.hint("merge")  # a row a chunk
+    left = left.join(cuts, "chunk").select("chunk", "list", "u", "v", F.explode(F.sequence(F.lit(0), F.col("qc") - 1)).alias("s"))
+    right = asks.join(cuts, "chunk").select(F.col("chunk").alias("chunk_q"), F.pmod(F.xxhash64("q"), F.col("qc")).cast("int").alias("s_q"), "q", "bound", "w", "lists")
 
     def run(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        q, u, s = [], [], []
+        q = r = np.empty(0, np.int64)
         if len(rows) and len(queries):
-            rows = rows.sort_values("u", ignore_index=True)  # ties to the smaller id
-            x = np.asfortranarray(np.frombuffer(b"".join(rows["x"]), np.float32).reshape(len(rows), -1))
-            v = np.frombuffer(b"".join(rows["v"])).reshape(len(rows), -1)
-            ids = rows["u"].to_numpy()
-            for name, y, w in zip(queries["q"], queries["y"], queries["w"]):
-                at = np.sort(scan(x, np.frombuffer(y, np.float32), k + 1))
-                score = (v[at] * np.frombuffer(w)).sum(1)
-                best = top(score, k + 1)
-                q += [name] * len(best)
-                u.append(ids[at[best]])
-                s.append(score[best])
-        if not q:
-            return pd.DataFrame({"q": np.empty(0, np.int64), "u": np.empty(0, np.int64), "score": np.empty(0)})
-        return pd.DataFrame({"q": q, "u": np.concatenate(u), "score": np.concatenate(s)})
-
-    found = left.groupBy("list", "r", "s").cogroup(right.groupBy("list_q", "r_q", "s_q")).applyInPandas(run, "q long, u long, score double")
+            ix = index.value
+            rows = rows.sort_values("u", ignore_index=True)
+            v = np.frombuffer(b"".join(rows["v"]), kind).reshape(len(rows), -1).astype(np.float64)
+            w = np.frombuffer(b"".join(queries["w"]), kind).reshape(len(queries), -1).astype(np.float64)
+            asked = np.repeat(np.arange(len(queries)), queries["lists"].map(len))
+            q, r = scan_lists(ix.lift(v), rows["list"].to_numpy(), ix.ask(w), asked, np.concatenate(list(queries["lists"])), queries["bound"].to_numpy().copy(), k + 1)
+        if not len(q):
+            return pd.DataFrame({"q": q, "u": q, "score": np.empty(0)})
+        score = np.concatenate([(v[r[i : i + 65536]] * w[q[i : i + 65536]]).sum(1) for i in range(0, len(q), 65536)])
+        order = np.lexsort((r, -score, q))  # ties to the smaller id
+        q, r, score = q[order], r[order], score[order]
+        first = np.flatnonzero(np.append(True, np.diff(q) != 0))
+        ok = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q)))) <= k
+        return pd.DataFrame({"q": queries["q"].to_numpy()[q[ok]], "u": rows["u"].to_numpy()[r[ok]], "score": score[ok]})
+
+    found = left.groupBy("chunk", "s").cogroup(right.groupBy("chunk_q", "s_q")).applyInPandas(run, "q long, u long, score double")
+    # rows of the sample stand on lists too; one shuffle by query serves this and the ranking
+    both = found.union(aimed.select("q", F.explode("met").alias("m")).select("q", "m.u", "m.score"))
+    found = both.repartition("q").groupBy("q", "u").agg(F.max("score").alias("score"))
     return spread(found, members, askers, k)
