@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from versehall.llm import byte_bpe, language_id, near_dup, source_mix, surrogates, toxicity
 
+KEY = b"a key of the tests"
 ODD = ["", None, " ", "a", "Straße ÉTÉ", "word " * 5000, "\n\n\t x", "日本語 text 😀 é", "a" * 3000, "x\x00y", "1 2 3 4 5", "1 2 3 4 5"]
 
 
@@ -185,6 +186,15 @@ def test_near_duplicates_awkward(spark):
         near_dup.signatures(df, keys=100, rows=3)
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """A doc_id with several texts joins their groups; its empty text goes with it."""
+    a, b, c = ("one two three four five six seven", "red green blue black white grey pink", "tic tac toe")
+    rows = [(5, a), (5, b), (5, ""), (7, a), (6, b), (6, b), (8, c), (9, None), (None, a), (9, "")]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(5, 3, 5, True), (5, 3, 5, True), (5, 0, 5, True), (7, 3, 5, False), (6, 3, 5, False), (6, 3, 5, False), (8, 1, 8, True), (9, 0, 9, True), (None, 3, None, True), (9, 0, 9, True)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_blocks_of_large_buckets(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "MEMBERS", 3)
     monkeypatch.setattr(near_dup, "BLOCK", 4)
@@ -213,7 +223,7 @@ PRIVATE = [
 
 def test_surrogates_replace_all(spark):
     texts = [t for _, t, _ in PRIVATE] + ODD + ["clean text of 12 words, nothing else: v1.2.3", PRIVATE[0][1]]
-    got = {r["doc_id"]: r for r in surrogates.pseudonymise(docs_of(spark, texts)).collect()}
+    got = {r["doc_id"]: r for r in surrogates.pseudonymise(docs_of(spark, texts), KEY).collect()}
     assert len(got) == len(texts)
     for i, (_, text, secret) in enumerate(PRIVATE):
         new = got[i]["text"]
@@ -227,7 +237,7 @@ def test_surrogates_replace_all(spark):
     assert surrogates._luhn(card) and card[0] == "4" and re.search(r"\d{4} \d{4} \d{4} \d{4}", got[2]["text"])
     assert re.search(r"\+\d \(\d{3}\) \d{3}-\d{4}", got[1]["text"]) and got[0]["text"].split()[2].endswith(".com")
     assert re.search(r"Г-н [А-Я][а-я]+ [А-Я][а-я]+ тут", got[11]["text"])
-    assert surrogates.pseudonymise(docs_of(spark, ODD).limit(0)).count() == 0
+    assert surrogates.pseudonymise(docs_of(spark, ODD).limit(0), KEY).count() == 0
 
 
 def test_surrogates_stay_distinct(spark):
@@ -235,11 +245,11 @@ def test_surrogates_stay_distinct(spark):
     names = [f"Mr. {a}{b}{c}" for a in "BCDFG" for b in "aeiou" for c in "klmnrst"]
     entities = [("family:latin", n[4:].casefold()) for n in names] + [("ssn", f"{i:09d}") for i in range(50)] + [("phone", f"{i:07d}") for i in range(300)]
     df = spark.createDataFrame(entities, "kind string, value string").repartition(3)
-    got = surrogates.assign(df).collect()
+    got = surrogates.assign(df, KEY).collect()
     assert len(got) == len(entities)
     assert len({(r["kind"], r["surrogate"]) for r in got}) == len(entities)
     assert not {(r["kind"], r["surrogate"]) for r in got} & set(entities)
-    again = {(r["kind"], r["value"]): r["surrogate"] for r in surrogates.assign(df.repartition(5)).collect()}
+    again = {(r["kind"], r["value"]): r["surrogate"] for r in surrogates.assign(df.repartition(5), KEY).collect()}
     assert again == {(r["kind"], r["value"]): r["surrogate"] for r in got}
 
 
@@ -254,7 +264,7 @@ PRIVATE_FORMS = [
 def test_surrogates_of_other_forms(spark):
     clean = ["std::vector, a::b and ::add at 12:30:45", "in 2020-10-11 or 3.14159", "at ::1", "my name is not said"]
     texts = [t for t, _ in PRIVATE_FORMS] + clean
-    got = {r["doc_id"]: r for r in surrogates.pseudonymise(docs_of(spark, texts)).collect()}
+    got = {r["doc_id"]: r for r in surrogates.pseudonymise(docs_of(spark, texts), KEY).collect()}
     for i, (text, secret) in enumerate(PRIVATE_FORMS):
         head, _, tail = text.partition(secret)
         new = got[i]["text"]
@@ -267,18 +277,63 @@ def test_surrogates_of_other_forms(spark):
 
 def test_given_names_across_genders(spark):
     texts = ["Mr. Alex Kim came", "Dr. Alex Kim came", "Mrs. Robin Roth came", "Mr. Robin Roth came", "Dr. Robin Roth came"]
-    got = [r["text"].split(". ")[1].split()[0] for r in sorted(surrogates.pseudonymise(docs_of(spark, texts)).collect())]
+    got = [r["text"].split(". ")[1].split()[0] for r in sorted(surrogates.pseudonymise(docs_of(spark, texts), KEY).collect())]
     assert got[0] == got[1] and len({*got[2:]}) == 3
     taken = [x.casefold() for x in surrogates.GIVEN["m", "latin"]]
     entities = [("given:m:latin", f"karl{i}") for i in range(5)] + [("given:n:latin", x) for x in taken] + [("given:f:latin", "karl0")]
-    made = surrogates.assign(spark.createDataFrame(entities, "kind string, value string")).collect()
+    made = surrogates.assign(spark.createDataFrame(entities, "kind string, value string"), KEY).collect()
     assert {(r["kind"], r["value"]) for r in made} == set(entities)
     assert len({r["surrogate"] for r in made}) == len(entities) and not {r["surrogate"] for r in made} & set(taken)
 
 
+def test_titles_genitives_and_dialled_numbers(spark):
+    """Titles in capitals and small letters, "Mr Smith's", numbers without separators behind a word for a call."""
+    cases = [("MR JOHN SMITH came", ["JOHN", "SMITH"]), ("mr. John Smith came", ["John", "Smith"]), ("DR. Smith came", ["Smith"]), ("Mr Smith's dog", ["Smith"]), ("Mr. Smith’s dog", ["Smith"]), ("call 5551234567 now", ["5551234567"]), ("Tel.: 5551234567.", ["5551234567"])]
+    clean = ["I miss London, don Quixote too", "id 5551234567", "Smith's dog"]
+    got = [r["text"] for r in sorted(surrogates.pseudonymise(docs_of(spark, [t for t, _ in cases] + clean), KEY).collect())]
+    for new, (text, names) in zip(got, cases):
+        assert not any(n in new for n in names), new
+        assert len(new.split()) == len(text.split()) and new.split()[-1] == text.split()[-1] or text.startswith("Tel")
+    assert got[3].split()[1].endswith("'s") and got[4].split()[1].endswith("’s") and got[3].split()[1][:-2] == got[4].split()[1][:-2]
+    assert got[len(cases) :] == clean
+    assert got[0].split()[2].casefold() == got[2].split()[1].casefold() == got[3].split()[1][:-2].casefold()
+
+
+def test_surrogates_of_a_whole_table(spark):
+    """Every document against a plain loop: surrogates one to one with entities and none of them real,
+    everything else as it was; documents without an entity untouched."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    old = {r["doc_id"]: r["text"] for r in docs.collect()}
+    real, made = {}, {}
+    rows = surrogates.pseudonymise(docs, KEY).collect()
+    assert len(rows) == docs.count()
+    for t in old.values():
+        for _, _, kind, value in surrogates.find(t or ""):
+            real.setdefault(kind, set()).add(value)
+    changed = 0
+    for r in rows:
+        text, new, at = old[r["doc_id"]] or "", r["text"] or "", 0
+        found = surrogates.find(text)
+        assert r["n_entities"] == len(found) and (found or new == text)
+        changed += bool(found)
+        for (a, b, kind, value), (a2, b2, kind2, value2) in zip(found, surrogates.find(new)):
+            assert text[at:a] == new[a2 - (a - at) : a2] and kind.split(":")[0] == kind2.split(":")[0]
+            assert value2 not in real[kind] and made.setdefault((kind, value), value2) == value2
+            at = b
+    assert changed and len(set((k, v) for (k, _), v in made.items())) == len(made)
+
+
+def test_surrogates_keep_clashing_columns(spark):
+    df = docs_of(spark, ["write to a.b@c.com", "clean"]).selectExpr("*", "1 AS hit", "2 AS id", "'k' AS key", "'m' AS map", "9 AS n_entities", "4 AS __hit")
+    got = sorted(surrogates.pseudonymise(df, KEY).collect())
+    assert [(r["hit"], r["id"], r["key"], r["map"], r["__hit"], r["n_entities"]) for r in got] == [(1, 2, "k", "m", 4, 1), (1, 2, "k", "m", 4, 0)]
+    spark.conf.unset(surrogates.CONF)
+    assert surrogates.session_key(spark) == surrogates.session_key(spark) and len(surrogates.session_key(spark)) == 64
+
+
 def test_surrogates_without_letters_or_digits(spark):
     texts = ["Password: ________", "secret: ......", "token=----------", "password=__a1b2c3"]
-    got = {r["doc_id"]: r for r in surrogates.pseudonymise(docs_of(spark, texts)).collect()}
+    got = {r["doc_id"]: r for r in surrogates.pseudonymise(docs_of(spark, texts), KEY).collect()}
     assert [got[i]["text"] for i in range(3)] == texts[:3] and "a1b2c3" not in got[3]["text"]
 
 
@@ -287,13 +342,13 @@ def test_surrogates_of_full_spaces(spark):
     letters = "abcdefghijklmnopqrstuvwxyz"
     entities = [("email", f"{a}@{b}.com") for a in letters for b in letters] + [("secret", "______")]
     entities += [(k, f"{i:02d}") for k in ("phone", "ssn", "card") for i in range(100)] + [("iban", f"DE{i}") for i in range(10)]
-    got = surrogates.assign(spark.createDataFrame(entities, "kind string, value string").repartition(3)).collect()
+    got = surrogates.assign(spark.createDataFrame(entities, "kind string, value string").repartition(3), KEY).collect()
     assert {(r["kind"], r["value"]) for r in got} == set(entities) and len(got) == len(entities)
     made = {(r["kind"], r["surrogate"]) for r in got}
     assert len(made) == len(entities) and not made & set(entities)
     assert surrogates.render("1-2", "phone", "345") == "3-45"
-    assert {surrogates.surrogate("ip", "10.0.0.1", n).split(".")[0] for n in range(8)} == {"10"}
-    assert ":" in surrogates.surrogate("ip", "10.0.0.1", 63)
+    assert {surrogates.surrogate("ip", "10.0.0.1", KEY, n).split(".")[0] for n in range(8)} == {"10"}
+    assert ":" in surrogates.surrogate("ip", "10.0.0.1", KEY, 63)
 
 
 def test_surrogate_coreference():
@@ -301,7 +356,7 @@ def test_surrogate_coreference():
     found = surrogates.find(text)
     assert [k for _, _, k, _ in found] == ["given:f:latin", "family:latin", "family:latin", "family:latin"]
     assert len({v for _, _, k, v in found if k.startswith("family")}) == 1
-    given = surrogates.surrogate(*found[0][2:])
+    given = surrogates.surrogate(*found[0][2:], KEY)
     assert given.title() in surrogates.GIVEN["f", "latin"]
 
 

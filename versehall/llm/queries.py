@@ -34,7 +34,8 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = surrogates.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = surrogates.pseudonymise(docs, surrogates.session_key(spark))
     return done.select("doc_id", "text", "n_entities")
 
 

@@ -10,9 +10,17 @@ that equals a real entity or another surrogate is drawn anew (the smallest entit
 none is left, so distinct entities stay distinct and mentions of one entity stay together. Where the
 real values fill the forms an entity can take, its surrogate grows.
 
-Defined cases: null and empty texts pass unchanged; rows without an entity are not shuffled;
-repeated rows get equal results; doc_id is not used as a key, so nulls and repeats in it are fine;
-all columns of the input are carried along; an empty table gives an empty result.
+The key comes from the caller: who has it can rebuild the mapping, so there is no default.
+`session_key` reads it from the session (CONF) or draws one for the session.
+
+An entity of every text and a text that many rows share are hot keys: what they are joined with is
+staged, and the merge joins are split by adaptive execution.
+
+Defined cases: null and empty texts pass unchanged; texts of any length are searched whole; rows
+whose text can hold no entity are not shuffled; repeated rows get equal results; doc_id is not used
+as a key, so nulls and repeats in it are fine; all columns of the input are carried along, whatever
+their names (`count` replaces a column of its name); of entities that want one surrogate the smallest
+gets it; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,13 +29,14 @@ import hashlib
 import hmac
 import ipaddress
 import re
+import secrets
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versehall.llm.common import in_arrow, stage
+from versehall.llm.common import in_arrow, stage, unused
 
-KEY = b"versehall-surrogates-1"
+CONF = "spark.versehall.surrogates.key"
 MAX_ATTEMPTS = 64
 GROW_AFTER = 8  # attempts of the same length
 
@@ -37,6 +46,8 @@ TITLES = {
     "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Señorita", "Sra", "Doña", "Г-жа"],
     "n": ["Dr", "Prof", "Professor"],
 }
+ABBREVIATED = ["Mr", "Mrs", "Ms", "Dr", "Prof", "Mme", "Mlle", "Sr", "Sra"]  # titles also in small letters, before a point
+DIALLED = ["tel", "phone", "telephone", "mobile", "cell", "fax", "call", "Telefon", "Handy", "téléphone", "portable", "teléfono", "móvil"]
 INTRODUCTIONS = ["my name is", "je m'appelle", "ich heiße", "ich heisse", "mein Name ist", "me llamo", "mi nombre es"]
 GIVEN = {
     ("m", "latin"): ["Adrian", "Bruno", "Casper", "Dario", "Emil", "Felix", "Gustav", "Hugo", "Ivo", "Julian", "Konrad", "Leon"],
@@ -62,8 +73,9 @@ _NATIONAL = r"""(?:(?:\+|00)[0-9]{1,3}[ .-]?(?:\(0\)[ .-]?)?|0)[1-9](?:[ .-]?[0-
     |(?:(?:\+|00)[0-9]{1,3}[ .-]?)?(?:[6-9][0-9]{2}(?:[ .-][0-9]{2}){3}|[89][0-9][ .-][0-9]{3}(?:[ .-][0-9]{2}){2})
     |(?:(?:\+|00)[0-9]{1,3}[ .-]?\(0\)[ .-]?[0-9]{2,4}|(?:\+|00)[0-9]{1,3}[ .-][0-9]{2,4}|0[0-9]{2,4})[ ./-][0-9]{5,8}|0[1-9][0-9]{8,10}"""
 _HEX = "[0-9A-Fa-f]{1,4}"
-_TITLE = "|".join(re.escape(t) for ts in TITLES.values() for t in ts)
-_FIRST = "".join(sorted({t[0] for ts in TITLES.values() for t in ts} | {c for x in INTRODUCTIONS for c in (x[0].lower(), x[0].upper())}))
+_TITLES = sorted({x for ts in TITLES.values() for t in ts for x in (t, t.upper())}, key=lambda t: (-len(t), t))
+_TITLE = "|".join(map(re.escape, _TITLES)) + "|(?:" + "|".join(t.lower() for t in ABBREVIATED) + r")(?=\.)"
+_FIRST = "".join(sorted({t[0] for t in _TITLES} | {t[0].lower() for t in ABBREVIATED} | {c for x in INTRODUCTIONS for c in (x[0].lower(), x[0].upper())}))
 #: One alternative per type; the group named after the type is what gets replaced.
 PATTERN = re.compile(
     rf"""(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{{2,}})
@@ -75,12 +87,38 @@ PATTERN = re.compile(
     |(?<![\w-])(?P<ssn>[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}})(?![\w-])
     |(?<![\w.+-])(?P<card>[0-9](?:[ -]?[0-9]){{12,18}})(?![\w-])
     |(?<![\w+])(?P<phone>{_NATIONAL}|(?:\+[0-9]{{1,3}}[ .-]?)?(?:\([0-9]{{2,4}}\)[ .-]?|[0-9]{{2,4}}[ .-])[0-9]{{3,4}}[ .-]?[0-9]{{3,4}}|\+[0-9]{{8,15}})(?![\w-])
+    |(?<!\w)(?i:{"|".join(DIALLED)})[.:]{{0,2}}[ ]{{0,2}}(?P<dialled>[0-9]{{7,15}})(?![\w-])
     |(?<!\w)(?=[{_FIRST}])(?:(?P<title>{_TITLE})\b\.?|{_INTRO})[ ](?P<name>{_NAME}(?:[ ]{_NAME}){{0,2}})""",
     re.X,
 )
-#: What every entity contains; rows without it pass by the detector (Java syntax).
-TRIGGER = rf"[0-9@=:]|AKIA|ASIA|\b(?=[{_FIRST}])(?:" + "|".join(t for ts in TITLES.values() for t in ts) + "|(?iu:" + "|".join(x.replace("'", "['’]") for x in INTRODUCTIONS) + r"))\b|sk[-_]|pk[-_]|gh[po][-_]|xox[bap]"
-_GENDER = {t: g for g, ts in TITLES.items() for t in ts}
+#: What entities begin with or contain; texts without any of it pass by the detector (Java syntax). The class of first
+#: letters comes first, so that most characters are tried once only.
+def _begins(words: list[str], tail: str = "") -> str:
+    return f"(?=[{''.join(sorted({w[0] for w in words}))}])(?<![A-Za-z])(?:{'|'.join(map(re.escape, words))}){tail}"
+
+
+TRIGGERS = [
+    "[0-9@=:]",
+    _begins(_TITLES, "(?![A-Za-z])"),
+    _begins([t.lower() + "." for t in ABBREVIATED] + ["AKIA", "ASIA", "sk-", "sk_", "pk-", "pk_", "gho", "ghp", "xoxa", "xoxb", "xoxp"]),
+    "(?iu)(?=[" + "".join(sorted({x[0] for x in INTRODUCTIONS})) + "])(?:" + "|".join(x.replace("'", "['’]") for x in INTRODUCTIONS) + ")",
+]
+_GENDER = {t.casefold(): g for g, ts in TITLES.items() for t in ts}
+
+
+def may_hold(text: Column) -> Column:
+    """Whether a text can hold an entity; false for null."""
+    hit = text.rlike(TRIGGERS[0])
+    for more in TRIGGERS[1:]:
+        hit = hit | text.rlike(more)
+    return F.coalesce(hit, F.lit(False))
+
+
+def session_key(spark: SparkSession) -> bytes:
+    """The session's secret (CONF), drawn once where it is not set."""
+    if not spark.conf.get(CONF, None):
+        spark.conf.set(CONF, secrets.token_hex(32))
+    return spark.conf.get(CONF).encode()
 
 
 def _luhn(digits: str) -> bool:
@@ -115,12 +153,14 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         value = m.group(kind)
         if kind == "name":
             parts = [(start + p.start(), start + p.end(), p.group()) for p in re.finditer(r"\S+", value)]
-            gender = _GENDER.get(m.group("title") or "", "n")
+            gender = _GENDER.get((m.group("title") or "").casefold(), "n")
             for i, (a, b, word) in enumerate(parts):
+                if len(word) > 2 and word[-2] in "'’" and word[-1] in "sS":  # a genitive is no part of the name
+                    b, word = b - 2, word[:-2]
                 family = i == len(parts) - 1 and (len(parts) > 1 or m.group("title"))
                 out.append((a, b, f"family:{_script(word)}" if family else f"given:{gender}:{_script(word)}", word.casefold()))
-        elif kind in ("card", "phone", "ssn"):
-            out.append((start, end, kind, re.sub(r"[^0-9]", "", value)))
+        elif kind in ("card", "phone", "ssn", "dialled"):
+            out.append((start, end, "phone" if kind == "dialled" else kind, re.sub(r"[^0-9]", "", value)))
         elif kind == "iban":
             out.append((start, end, kind, value.replace(" ", "")))
         else:
@@ -175,7 +215,7 @@ def _tail(value: str, s: _Stream, n: int) -> str:
     return out.upper() if value.isupper() else out
 
 
-def surrogate(kind: str, value: str, attempt: int = 0, key: bytes = KEY) -> str:
+def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
     """The canonical surrogate of a canonical entity."""
     s = _Stream(key, kind, value, attempt)
     if kind.startswith(("given", "family")):
@@ -230,7 +270,7 @@ def render(mention: str, kind: str, canonical: str) -> str:
     return canonical
 
 
-def assign(entities: DataFrame, key: bytes = KEY) -> DataFrame:
+def assign(entities: DataFrame, key: bytes) -> DataFrame:
     """(kind, value, surrogate) of distinct (kind, value): never a real value, and distinct per kind,
     given names of a script and addresses of both versions over all their kinds. A given name without
     gender shares the surrogate of its name with one.
@@ -244,7 +284,7 @@ def assign(entities: DataFrame, key: bytes = KEY) -> DataFrame:
 
     def drawn(df: DataFrame, attempt: int) -> DataFrame:
         def rows(part: dict) -> dict:
-            return part | {"surrogate": [surrogate(k, v, attempt, key) for k, v in zip(part["kind"], part["value"])]}
+            return part | {"surrogate": [surrogate(k, v, key, attempt) for k, v in zip(part["kind"], part["value"])]}
 
         return in_arrow(df, rows, "kind string, value string, surrogate string").withColumn("space", space)
 
@@ -266,28 +306,30 @@ def assign(entities: DataFrame, key: bytes = KEY) -> DataFrame:
     raise RuntimeError(f"no free surrogates after {MAX_ATTEMPTS} attempts")
 
 
-def pseudonymise(docs: DataFrame, key: bytes = KEY, count: str = "n_entities") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes, count: str = "n_entities") -> DataFrame:
     """`docs` with text replaced, and `count` (mentions replaced) in place of a column of that name."""
     docs = docs.drop(count)
-    own = docs.withColumn("__hit", F.coalesce(F.col("text").rlike(TRIGGER), F.lit(False)))
+    hit, id_, key_, map_ = unused(docs, "hit", "id", "key", "map")
+    own = docs.withColumn(hit, may_hold(F.col("text")))
 
     def mentions(part: dict) -> dict:
         found = [sorted({(k, v) for _, _, k, v in find(t)}) for t in part["text"]]
         return {"id": part["id"], "e": [[{"kind": k, "value": v} for k, v in x] for x in found]}
 
-    hit = own.where("__hit").select(F.xxhash64("text").alias("id"), "text")
-    seen = in_arrow(hit, mentions, "id long, e array<struct<kind:string,value:string>>")
+    texts = own.where(F.col(hit)).select(F.xxhash64("text").alias("id"), "text")
+    seen = in_arrow(texts, mentions, "id long, e array<struct<kind:string,value:string>>")
     # the id stands for the text: equal texts share their mentions, and a clash would only add unused entries
     seen = stage(seen.select("id", F.explode("e").alias("e")).select("id", "e.kind", "e.value").distinct(), "mentions")
-    table = assign(stage(seen.select("kind", "value").distinct(), "entities"), key)
-    own_map = seen.join(table, ["kind", "value"]).groupBy(F.col("id").alias("__key")).agg(F.collect_list(F.struct("kind", "value", "surrogate")).alias("__map"))
+    table = stage(assign(stage(seen.select("kind", "value").distinct(), "entities"), key), "surrogates")
+    pairs = seen.join(table.hint("merge"), ["kind", "value"])
+    own_map = stage(pairs.groupBy(F.col("id").alias(key_)).agg(F.collect_list(F.struct("kind", "value", "surrogate")).alias(map_)), "maps")
     rest = docs.columns
     schema = docs.select("text").schema
     assert schema[0].dataType.simpleString() == "string"
 
     def replaced(part: dict) -> dict:
         texts, counts = [], []
-        for text, found in zip(part["text"], part["__map"]):
+        for text, found in zip(part["text"], part[map_]):
             named = {(e["kind"], e["value"]): e["surrogate"] for e in found or ()}
             out, at, n = [], 0, 0
             for a, b, kind, value in find(text) if named else ():
@@ -297,8 +339,8 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY, count: str = "n_entities") -
             counts.append(n)
         return part | {"text": texts, count: counts}
 
-    both = own.where("__hit").withColumn("__id", F.xxhash64("text")).join(own_map, F.col("__id") == F.col("__key"), "left")
+    both = own.where(F.col(hit)).withColumn(id_, F.xxhash64("text")).join(own_map.hint("merge"), F.col(id_) == F.col(key_), "left")
     kinds = dict(docs.dtypes)
     fields = ", ".join(f"`{c}` {kinds[c]}" for c in rest)
-    changed = in_arrow(both.select(*rest, "__map"), replaced, f"{fields}, `{count}` long")
-    return changed.unionByName(own.where("NOT __hit").select(*rest, F.lit(0).cast("long").alias(count)))
+    changed = in_arrow(both.select(*rest, map_), replaced, f"{fields}, `{count}` long")
+    return changed.unionByName(own.where(~F.col(hit)).select(*rest, F.lit(0).cast("long").alias(count)))
