@@ -34,7 +34,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with surrogates; n_chars follows the text."""
-    done = surrogates.pseudonymise(docs, count="__entities")
+    done = surrogates.pseudonymise(docs, surrogates.session_key(spark), count="__entities")
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
     return done.select(*docs.columns)
