@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,9 @@ _ACCENTED = {
 FOLD_FROM = "".join(v for v in _ACCENTED.values())
 FOLD_TO = "".join(k * len(v) for k, v in _ACCENTED.items())
 
+#: The marks of each accented letter, from Unicode's own decompositions; đ bears a stroke.
+_MARKS = {c: unicodedata.normalize("NFD", c)[1:] for c in FOLD_FROM if len(unicodedata.normalize("NFD", c)) > 1} | {"đ": "\u0335"}
+
 
 def normalize(text: Column) -> Column:
     """line ends, no-break and zero-width characters, corner quotes, note marks, runs of spaces
@@ -36,6 +41,20 @@ def fold_all(text: Column) -> Column:
     return F.translate(fold(text), "đ", "d")
 
 
+def accents(name: Column) -> Column:
+    """the marks of a name as an array of "place:mark"."""
+    known = F.create_map(*[F.lit(x) for kv in _MARKS.items() for x in kv])
+    marks = F.transform(F.split(F.lower(name), ""), lambda c: F.split(F.coalesce(F.element_at(known, c), F.lit("")), ""))
+    each = F.transform(marks, lambda ms, i: F.transform(F.filter(ms, lambda m: m != ""), lambda m: F.concat(i.cast("string"), F.lit(":"), m)))
+    return F.flatten(each)
+
+
+def dropped_marks_of(name: Column, of: Column) -> Column:
+    """whether `name` is `of` with some of its marks left out and none put in or moved."""
+    own, whole = accents(name), accents(of)
+    return (fold_all(name) == fold_all(of)) & (F.size(own) < F.size(whole)) & (F.size(F.array_except(own, whole)) == 0)
+
+
 def identity_key(name: Column) -> Column:
     """case, underscores and white space levelled."""
     return F.trim(F.regexp_replace(F.lower(name), r"[\s_]+", " "))

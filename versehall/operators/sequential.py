@@ -7,51 +7,81 @@ Defined cases: null text counts as empty; an empty unit gives no rows.
 
 from __future__ import annotations
 
+import heapq
 import re
-from collections.abc import Callable, Sequence
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from versehall.staging import stage
+
 _SENTENCE = re.compile(r"(?<=[.!?…;:])\s+")
+_CLAUSE = re.compile(r"(?<=[.!?…;:,])(?=\s)")
 _OPEN = {"“": "”", "「": "」", "『": "』", "«": "»", '"': '"'}
 _SPEECH = re.compile(r"\b(?:nói|hỏi|đáp|gọi|said|asked|replied|cried|sagte|fragte|dit|demanda|dijo|preguntó)\b", re.I)
+LEAST_TAIL = 32  # characters a last piece should have
 
 
-def pack_sentences(text: str | None, most: int = 200) -> list[str]:
-    """sentences joined greedily up to `most`; a longer one is cut at its last space unless that
-    lies in its first half."""
-    out: list[str] = []
-    for sentence in _SENTENCE.split((text or "").strip()):
-        if out and len(out[-1]) + 1 + len(sentence) <= most:
-            out[-1] += " " + sentence
-            continue
-        while len(sentence) > most:
-            cut = sentence.rfind(" ", 0, most + 1)
-            cut = cut if cut >= most / 2 else most
-            out.append(sentence[:cut])
-            sentence = sentence[cut:].lstrip()
-        if sentence:
-            out.append(sentence)
-    return out
+def fill(sizes: Sequence[int], most: int, fresh: Sequence[bool] | None = None, gap: int = 1) -> list[int]:
+    """The bin of each unit: bins take units in order while sizes and gaps fit `most`; a `fresh` unit
+    always begins one. A unit above `most` is a bin of its own."""
+    marks = fresh if fresh is not None else [False] * len(sizes)
+    step = lambda held, unit: (held[0] + 1, unit[0]) if unit[1] or held[1] + gap + unit[0] > most else (held[0], held[1] + gap + unit[0])
+    return [i for i, _ in accumulate(zip(sizes, marks), step, initial=(-1, most))][1:]
 
 
-def split_clauses(text: str, most: int = 120) -> list[str]:
-    """pieces of at most some `most` characters ending at clause marks; they join to the text.
-    A short tail takes clauses back from the piece before."""
-    clauses = re.findall(r"[^,.!?…;:]*[,.!?…;:]+\s*|[^,.!?…;:]+\Z", text)
-    least, groups = min(32, most // 3), [[]]
-    for clause in clauses:
-        if groups[-1] and len("".join(groups[-1])) + len(clause) > most:
-            groups.append([])
-        groups[-1].append(clause)
-    while len(groups) > 1 and len(groups[-2]) > 1 and len("".join(groups[-1])) < least:
-        groups[-1].insert(0, groups[-2].pop())
-    out = ["".join(g) for g in groups if g]
-    assert "".join(out) == text
-    return out
+def pack_sentences(text: str | None, most: int = 200) -> list[str]:
+    """sentences joined by a space while they fit `most`. A longer sentence begins a piece and is
+    cut before the last space within `most`, or at `most` where that space would lie in the first half."""
+    whole = re.compile(rf"(?s)\s*(.{{1,{most}}}\Z|.{{{most // 2},{most - 1}}}(?= )|.{{{most}}})")
+    units: list[tuple[str, bool]] = []
+    for sentence in filter(None, map(str.strip, _SENTENCE.split((text or "").strip()))):
+        long = len(sentence) > most
+        units += [(x.strip(), long) for x in (whole.findall(sentence) if long else [sentence])]
+    bins = fill([len(x) for x, _ in units], most, [f for _, f in units])
+    pieces: list[list[str]] = [[] for _ in range(bins[-1] + 1)] if bins else []
+    for i, (x, _) in zip(bins, units):
+        pieces[i].append(x)
+    return [" ".join(x) for x in pieces]
+
+
+def split_clauses(text: str | None, most: int = 120) -> list[str]:
+    """pieces of at most `most` characters that end at clause marks where they can, else between
+    words; only a longer word is cut itself. They join to the stripped text (white space behind a piece
+    stays with it and does not count). A last piece under LEAST_TAIL (or a third of `most`) takes units
+    from the piece before, as long as that keeps as much itself and the last one fits."""
+    whole = text or ""
+    text = whole.strip()
+    words = re.compile(rf"(?s).{{1,{most}}}(?!\S)\s*|.{{1,{most}}}\s*")
+    units = [u for c in _split_keeping(_CLAUSE, text) for u in (words.findall(c) if len(c.rstrip()) > most else [c])]
+    ends = np.cumsum([len(u) for u in units])
+    starts, cuts = ends - [len(u) for u in units], [0] * bool(units)
+    bare = ends - [len(u) - len(u.rstrip()) for u in units]
+    for i in range(len(units)):
+        if bare[i] - starts[cuts[-1]] > most:
+            cuts.append(i)
+    if len(cuts) > 1:
+        least, (a, b), stop = min(LEAST_TAIL, most // 3), cuts[-2:], bare[-1]
+        fits = [i for i in range(b, a, -1) if stop - starts[i] <= most and (i == b or bare[i - 1] - starts[a] >= least)]
+        cuts[-1] = next((i for i in fits if stop - starts[i] >= least), fits[-1] if fits else b)
+    begins = [len(whole) - len(whole.lstrip()) + int(starts[i]) for i in cuts[1:]]
+    return [whole[a:b] for a, b in zip([0, *begins], [*begins, len(whole)])] if whole else []
+
+
+def _split_keeping(pattern: re.Pattern, text: str) -> Iterator[str]:
+    """The text between matches of an empty pattern; white space goes to the part before it."""
+    at = 0
+    for m in pattern.finditer(text):
+        end = re.compile(r"\s*").match(text, m.start()).end()
+        yield text[at:end]
+        at = end
+    if at < len(text):
+        yield text[at:]
 
 
 def segment(text: str | None) -> list[tuple[int, str, str, int]]:
@@ -126,21 +156,25 @@ def grouped(df: DataFrame, by: Sequence[str], order: Sequence[str], fn: Callable
     return df.groupBy(*by).applyInPandas(lambda rows: fn(rows.sort_values(list(order), ignore_index=True)), schema)
 
 
+def cohesive(parts: DataFrame, by: Sequence[str], order: Sequence[str], paragraph: str, text: str) -> DataFrame:
+    """`parts` with size and unit: a unit ends with its paragraph unless a quotation is open there."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    marks = lambda c: F.length(text) - F.length(F.translate(text, c, ""))
+    open_ = F.sum(marks("“「«") - marks("”」»")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = parts.withColumn("size", F.length(text)).withColumn("__open", F.coalesce(open_, F.lit(0)))
+    fresh = (F.col("__open") <= 0) & ~F.col(paragraph).eqNullSafe(F.lag(paragraph).over(w))
+    rows = rows.withColumn("__fresh", fresh.cast("int"))
+    return rows.withColumn("unit", F.sum("__fresh").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__open", "__fresh")
+
+
 def first_fit(sizes: Sequence[int], unit: Sequence[int], most: int) -> list[int]:
     """Batch of each row: runs of equal `unit` stay together and are packed in order while the
     batch holds at most `most`; a larger run is a batch of its own."""
-    out, batch, held, i = [], 0, 0, 0
-    while i < len(sizes):
-        j = i
-        while j < len(sizes) and unit[j] == unit[i]:
-            j += 1
-        size = sum(sizes[i:j])
-        if held and held + size > most:
-            batch, held = batch + 1, 0
-        out += [batch] * (j - i)
-        held += size
-        i = j
-    return out
+    if not len(sizes):
+        return []
+    first = np.flatnonzero(np.append(True, np.diff(np.asarray(unit)) != 0))
+    runs = np.diff(np.append(first, len(sizes)))
+    return np.repeat(fill(np.add.reduceat(np.asarray(sizes), first).tolist(), most, gap=0), runs).tolist()
 
 
 def balanced(costs: Sequence[float], target: float) -> list[int]:
@@ -155,30 +189,52 @@ def balanced(costs: Sequence[float], target: float) -> list[int]:
     return out
 
 
-def scenes(at: np.ndarray, end: np.ndarray, mood: np.ndarray, hard: np.ndarray, shift: float = 0.5, hold: float = 40, least: float = 60, most: float = 180) -> list[int]:
-    """Scene of each row: hard breaks, a mood that stays off the scene's mean for `hold` seconds,
-    then scenes under `least` joined to the one before and those over `most` cut."""
+def scenes(
+    at: np.ndarray, seconds: np.ndarray, mood: np.ndarray, hard: np.ndarray, smooth: float = 45, shift: float = 0.5, hold: float = 40, least: float = 60, most: float = 180
+) -> list[int]:
+    """Scene of each row, from its time, length, mood (n, axes) and whether it must begin one.
+
+    Moods are means weighted by length, so that sums from the start give any of them. A scene ends
+    at a hard break, or, once it lasts `least`, where the mood of the last `smooth` seconds has been
+    `shift` away from its own for `hold` seconds; it is cut where that began. Scenes under `least` then
+    join the neighbour of the nearer mood (the earlier on a tie), and those over `most` are cut evenly."""
+    n = len(at)
+    if not n:
+        return []
+    upto = np.append(0.0, np.cumsum(seconds))
+    sums = np.vstack([np.zeros(mood.shape[1]), np.cumsum(mood * seconds[:, None], axis=0)])
+    mean = lambda a, b: (sums[b] - sums[a]) / max(upto[b] - upto[a], 1e-12)
+    around = [mean(a, i + 1) for i, a in enumerate(np.searchsorted(at, at - smooth))]
     starts, off = [0], None
-    for i in range(1, len(at)):
-        mean = float(np.mean(mood[starts[-1] : i if off is None else max(off, starts[-1] + 1)]))
-        if abs(mood[i] - mean) >= shift:
-            off = i if off is None else off
-        else:
-            off = None
+    for i in range(1, n):
         if hard[i]:
-            starts, off = starts + [i], None
-        elif off is not None and end[i] - at[off] >= hold and off > starts[-1]:
-            starts, off = starts + [off], None
-    merged = [starts[0]]
-    for s in starts[1:]:
-        if at[s] - at[merged[-1]] >= least or hard[s]:
-            merged.append(s)
-    out, scene, first = [], -1, 0.0
-    for i in range(len(at)):
-        if i in merged or end[i] - first > most:
-            scene, first = scene + 1, at[i]
-        out.append(scene)
-    return out
+            starts, off = [*starts, i] if upto[i] > upto[starts[-1]] else starts, None
+        elif upto[i] - upto[starts[-1]] >= least:
+            away = np.linalg.norm(mean(starts[-1], i) - around[i]) >= shift
+            off = (i if off is None else off) if away else None
+            if off is not None and at[i] - at[off] >= hold:
+                starts.append(off)
+                off = None
+    # short scenes: what lies before the place has been long enough since the place passed it
+    cuts, k = [*starts, n], 0
+    while k < len(cuts) - 1 and len(cuts) > 2:
+        if upto[cuts[k + 1]] - upto[cuts[k]] >= least:
+            k += 1
+            continue
+        own = mean(cuts[k], cuts[k + 1])
+        sides = [(np.linalg.norm(mean(cuts[j], cuts[j + 1]) - own), j) for j in (k - 1, k + 1) if 0 <= j < len(cuts) - 1]
+        j = min(sides)[1]
+        del cuts[max(j, k)]
+        k = min(j, k)
+    out = np.zeros(n, int)
+    for a, b in zip(cuts, cuts[1:]):
+        parts = max(1, int(np.ceil((upto[b] - upto[a]) / most)))
+        begin, each = a, (upto[b] - upto[a]) / parts
+        while begin < b:  # a part ends with the row that brings it to its share
+            end = min(b, int(np.searchsorted(upto, upto[begin] + each - 1e-9)))
+            out[max(end, begin + 1) :] += 1
+            begin = max(end, begin + 1)
+    return out.tolist()
 
 
 def viterbi(emissions: np.ndarray, second: np.ndarray) -> list[int]:
@@ -201,17 +257,29 @@ def viterbi(emissions: np.ndarray, second: np.ndarray) -> list[int]:
     return path[::-1]
 
 
-def colour(edges: Sequence[tuple], nodes: Sequence) -> dict:
-    """Greedy colours, the node with most neighbours first, ties to the smaller."""
-    near: dict = {v: set() for v in nodes}
-    for a, b in edges:
-        near[a].add(b)
-        near[b].add(a)
-    out: dict = {}
-    for v in sorted(near, key=lambda v: (-len(near[v]), v)):
-        used = {out[u] for u in near[v] if u in out}
-        out[v] = next(c for c in range(len(near) + 1) if c not in used)
-    return out
+def colours(edges: DataFrame, node: str, other: str, most_rounds: int = 500) -> DataFrame:
+    """(node, colour) of a conflict graph given by rows (node, other) in one direction: greedy
+    colouring, the node with most neighbours first, ties to the smaller.
+
+    A node's colour depends only on its neighbours that come before it, so every round colours, at
+    once, all nodes whose earlier neighbours have theirs: the result of the sequential scan in as many
+    rounds as its longest chain, by joins and grouped sets. Rounds are staged tables."""
+    both = edges.where(F.col(node) != F.col(other)).select(F.col(node).alias("a"), F.col(other).alias("b"))
+    both = both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    degree = both.groupBy("a").agg(F.count("*").alias("d"))
+    before = both.join(degree, "a").join(degree.select(F.col("a").alias("b"), F.col("d").alias("e")), "b")
+    after = (F.col("e") > F.col("d")) | ((F.col("e") == F.col("d")) & (F.col("b") < F.col("a")))
+    waits = stage(before.where(after).select("a", "b"), "earlier-neighbours")
+    done = stage(degree.select("a").join(waits.select("a").distinct(), "a", "left_anti").withColumn("colour", F.lit(0)), "colours")
+    total = degree.count()
+    for _ in range(most_rounds):
+        if done.count() == total:
+            return done.select(F.col("a").alias(node), "colour")
+        known = waits.join(done.select(F.col("a").alias("b"), "colour"), "b", "left").join(done.select("a"), "a", "left_anti")
+        sets = known.groupBy("a").agg(F.collect_set("colour").alias("used"), F.count_if(F.col("colour").isNull()).alias("open"))
+        free = F.array_min(F.array_except(F.sequence(F.lit(0), F.size("used")), F.col("used")))
+        done = stage(done.union(sets.where("open = 0").select("a", free.cast("int"))), "colours")
+    raise RuntimeError(f"no colouring within {most_rounds} rounds")
 
 
 def keep_pins(rows: pd.DataFrame) -> pd.DataFrame:
@@ -227,10 +295,10 @@ def keep_pins(rows: pd.DataFrame) -> pd.DataFrame:
 
 def lpt(sizes: dict, folds: int) -> dict:
     """Largest first to the least loaded fold, ties to the lower fold and the smaller key."""
-    load, out = [0] * folds, {}
-    for key in sorted(sizes, key=lambda k: (-sizes[k], k)):
-        i = min(range(folds), key=lambda f: (load[f], f))
-        out[key], load[i] = i, load[i] + sizes[key]
+    loads, out = [(0, f) for f in range(folds)], {}
+    for size, key in sorted((-n, key) for key, n in sizes.items()):
+        held, out[key] = loads[0]
+        heapq.heapreplace(loads, (held - size, out[key]))
     return out
 
 
@@ -238,11 +306,23 @@ def allocate(people: Sequence[tuple], voices: Sequence[str]) -> dict:
     """Voices for (name, lines, chapters): most lines first, each the voice with fewest lines so
     far among those nobody in a shared chapter has, else with the fewest shared chapters; ties to
     the smaller voice."""
-    load, where, out = {v: 0 for v in voices}, {v: [] for v in voices}, {}
+    load, heard = dict.fromkeys(voices, 0), {v: Counter() for v in voices}
+    out = {}
     for name, lines, chapters in sorted(people, key=lambda p: (-p[1], p[0])):
-        shared = lambda v: sum(c in where[v] for c in set(chapters))
-        pick = min(voices, key=lambda v: (shared(v), load[v], v))
-        out[name] = pick
+        own = set(chapters)
+        out[name] = pick = min(voices, key=lambda v: (sum(map(heard[v].__getitem__, own)), load[v], v))
         load[pick] += lines
-        where[pick] += list(chapters)
+        heard[pick].update(own)
     return out
+
+
+def allocate_voices(people: DataFrame, by: str, name: str, lines: str, chapters: str, voices: str) -> DataFrame:
+    """E8 in Spark: rows (by, name, lines, chapters array, voices array) to (by, name, voice). A book
+    is one group: its cast is what fits a task, books are independent of one another."""
+
+    def cast(rows: pd.DataFrame) -> pd.DataFrame:
+        got = allocate(list(zip(rows[name], rows[lines], rows[chapters])), sorted(rows[voices].iloc[0]))
+        return pd.DataFrame({by: rows[by], name: rows[name], "voice": rows[name].map(got)})
+
+    kinds = dict(people.dtypes)
+    return people.select(by, name, lines, chapters, voices).groupBy(by).applyInPandas(cast, f"{by} {kinds[by]}, {name} {kinds[name]}, voice string")

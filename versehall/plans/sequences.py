@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from versehall.functions import readings
 from versehall.operators import sequential as sq
 from versehall.operators.intervals import micros
 from versehall.plans.registry import query, table
@@ -16,7 +17,7 @@ def f14_pack_sentences(spark, sf_dir):
 
 @query()
 def f15_split_clauses(spark, sf_dir):
-    return sq.explode_text(table(spark, sf_dir, "documents"), "doc_id", "text", lambda t: sq.split_clauses(t or ""), "piece string")
+    return sq.explode_text(table(spark, sf_dir, "documents"), "doc_id", "text", sq.split_clauses, "piece string")
 
 
 @query()
@@ -26,11 +27,13 @@ def f16_segments(spark, sf_dir):
 
 @query()
 def e12_first_fit(spark, sf_dir):
+    """Segments of a document in batches of 1,500 characters; those of a paragraph, and all from where a
+    quotation opens to where it ends, stay together."""
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        return rows.assign(batch=sq.first_fit(rows["size"], rows["turn"] // 2, 1500))[["conv_id", "turn", "batch"]]
+        return rows.assign(batch=sq.first_fit(rows["size"].to_numpy(), rows["unit"].to_numpy(), 1500))[["doc_id", "pos", "batch"]]
 
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").alias("size"))
-    return sq.grouped(turns, ["conv_id"], ["turn"], pack, "conv_id long, turn long, batch int")
+    parts = sq.explode_text(table(spark, sf_dir, "documents"), "doc_id", "text", sq.segment, "paragraph int, kind string, piece string, break_ms int")
+    return sq.grouped(sq.cohesive(parts, ["doc_id"], ["pos"], "paragraph", "piece"), ["doc_id"], ["pos"], pack, "doc_id long, pos int, batch int")
 
 
 @query()
@@ -44,10 +47,12 @@ def e13_balanced(spark, sf_dir):
 
 @query()
 def e16_scenes(spark, sf_dir):
+    """A user's events as lines that last until the next one, their value and type as mood."""
     def cut(rows: pd.DataFrame) -> pd.DataFrame:
         at = rows["s"].to_numpy()
-        end = np.append(at[1:], at[-1] + 30)
-        return rows.assign(scene=sq.scenes(at, end, rows["value"].to_numpy() / 50, (rows["event_type"] == "purchase").to_numpy(), hold=4e4, least=6e4, most=9e5))[["user_id", "event_id", "scene"]]
+        seconds = np.append(np.diff(at), 30.0)
+        mood = np.column_stack([rows["value"].to_numpy() / 50, (rows["event_type"] == "click").to_numpy(float)])
+        return rows.assign(scene=sq.scenes(at, seconds, mood, (rows["event_type"] == "purchase").to_numpy(), smooth=8e4, hold=4e4, least=6e4, most=9e5))[["user_id", "event_id", "scene"]]
 
     e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value", (micros("ts") / 1e6).alias("s"))
     return sq.grouped(e, ["user_id"], ["s", "event_id"], cut, "user_id long, event_id long, scene int")
@@ -67,8 +72,7 @@ def m7_viterbi(spark, sf_dir):
 
 @query()
 def e9_keep_pins(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").where("l_returnflag = 'A'")
-    own = li.groupBy(F.col("l_suppkey").alias("voice"), F.col("l_partkey").cast("string").alias("name"))
+    own = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("voice"), F.col("l_partkey").cast("string").alias("name"))
     pins = own.agg(F.sum("l_quantity").alias("exposure"), F.count("*").alias("lines"), F.collect_set(F.col("l_shipdate").cast("date").cast("string").substr(1, 7)).alias("chapters"))
     return pins.groupBy("voice").applyInPandas(sq.keep_pins, "voice long, name string")
 
@@ -80,3 +84,29 @@ def e14_lpt(spark, sf_dir):
 
     groups = table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.sum("n_chars").alias("size"))
     return groups.groupBy("lang").applyInPandas(deal, "lang string, source string, fold int")
+
+
+@query()
+def f35_word_times(spark, sf_dir):
+    """Words of a turn whose every second one has been timed."""
+    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("line"), "text")
+    w = F.filter(F.split("text", r"\s+"), lambda x: x != "")
+    timed = F.filter(F.transform(w, lambda x, i: F.struct(x.alias("text"), (i * 300).alias("start"), (i * 300 + 250).alias("end"))), lambda x: F.pmod(x["start"], F.lit(600)) == 0)
+    return readings.word_times(c.select("line", "text", (F.size(w) * 300).alias("ms"), timed.alias("pieces")), "line", "text", "ms", "pieces")
+
+
+@query()
+def m8_alignment(spark, sf_dir):
+    """The vectors of a label as frames over four labels and a blank."""
+    z = F.transform(F.slice("embedding", 1, 5), lambda x: x.cast("double") * 9)
+    logs = F.transform(z, lambda x: x - F.log(F.aggregate(z, F.lit(0.0), lambda s, y: s + F.exp(y))))
+    e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("unit"), "vec_id", logs.alias("logs"), F.array(*[F.lit(x) for x in (1, 2, 2, 4)]).alias("labels"))
+    return readings.align_frames(e, "unit", "vec_id", "logs", "labels")
+
+
+@query()
+def a26_colours(spark, sf_dir):
+    """Parts that one supplier sends in one order must not share a colour."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey").distinct()
+    other = li.withColumnRenamed("l_partkey", "other")
+    return sq.colours(li.join(other, ["l_orderkey", "l_suppkey"]).where("l_partkey < other"), "l_partkey", "other")
