@@ -114,9 +114,11 @@ def test_viterbi_against_all_paths():
     assert tuple(sequential.viterbi(e, t)) == max(itertools.product(range(3), repeat=6), key=score)
 
 
-def test_colour_lpt_pins():
-    c = sequential.colour([(1, 2), (2, 3), (1, 3), (3, 4)], [1, 2, 3, 4, 5])
-    assert len({c[1], c[2], c[3]}) == 3 and c[4] != c[3] and c[5] == 0
+def test_colour_lpt_pins(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (1, 3), (3, 4), (5, 5), (2, 1)], "a int, b int")
+    c = dict(rows(sequential.colours(edges, "a", "b")))
+    assert len({c[1], c[2], c[3]}) == 3 and c[4] != c[3] and c[3] == 0 and 5 not in c
+    assert sequential.colours(edges.limit(0), "a", "b").count() == 0
     assert sequential.lpt({"a": 5, "b": 4, "c": 3, "d": 3}, 2) == {"a": 0, "b": 1, "c": 1, "d": 0}
     pins = pd.DataFrame({"voice": "v", "name": ["a", "b", "c"], "exposure": [9, 8, 7], "lines": 1, "chapters": [[1], [1, 2], [2]]})
     assert list(sequential.keep_pins(pins)["name"]) == ["a", "c"]  # b goes and so does not block c

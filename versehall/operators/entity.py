@@ -1,33 +1,36 @@
 """Names to identities: merges of spellings by rules, each a join over the pass before.
 
 Every pass reads (name, lines) and gives (name, target) for the names it redirects. Nothing is
-closed transitively: passes are applied in order by `redirect`.
+closed transitively: passes are applied in order by `resolve`, a single one by `redirect`.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from versehall.functions.text import fold_all, identity_key
+from versehall.functions.text import accents, fold_all, identity_key
+from versehall.staging import stage
 
 
 def by_identity(names: DataFrame) -> DataFrame:
-    """A1.2: names of one identity key to the most frequent spelling, ties to the smaller."""
+    """Names of one identity key to the most frequent spelling, ties to the smaller without and then with case."""
     keyed = names.withColumn("k", identity_key(F.col("name")))
-    best = keyed.groupBy("k").agg(F.max_by("name", F.struct("lines", F.expr("translate(lower(name), 'abcdefghijklmnopqrstuvwxyz', 'zyxwvutsrqponmlkjihgfedcba')"))).alias("target"))
+    best = keyed.groupBy("k").agg(F.min_by("name", F.struct((-F.col("lines")).alias("n"), F.lower("name").alias("low"), "name")).alias("target"))
     return keyed.join(best, "k").where("name <> target").select("name", "target")
 
 
 def dropped_marks(names: DataFrame) -> DataFrame:
-    """Of names with equal letters but for accents, to the one with most accents, then lines,
-    then the greater name; names without any accent less than the winner go to it."""
-    marks = F.length("name") - F.length(F.translate(F.lower("name"), "àáảãạăằắẳẵặâầấẩẫậèéẻẽẹêềếểễệìíỉĩịòóỏõọôồốổỗộơờớởỡợùúủũụưừứửữựỳýỷỹỵđ", ""))
-    n = names.select("name", "lines", fold_all(F.col("name")).alias("base"), marks.alias("marks"))
-    best = n.groupBy("base").agg(F.max(F.struct("marks", "lines", "name")).alias("b"))
-    return n.join(best, "base").where("marks < b.marks").select("name", F.col("b.name").alias("target"))
+    """A name to one with the same letters that bears all of its marks in their places and more: of
+    those the one with most marks, then lines, then the greater name. "Má" is no "Mà" without its mark.
+
+    A self-join on the bare letters; a group holds the spellings of one name."""
+    n = names.select("name", "lines", fold_all(F.col("name")).alias("base"), accents(F.col("name")).alias("marks"))
+    fuller = n.select("base", F.col("name").alias("of"), F.col("lines").alias("m"), F.col("marks").alias("whole"))
+    hit = n.join(fuller, "base").where("size(marks) < size(whole) AND size(array_except(marks, whole)) = 0")
+    return hit.groupBy("name").agg(F.max_by("of", F.struct(F.size("whole"), "m", "of")).alias("target"))
 
 
 def stray_surnames(names: DataFrame, most: int = 3, times: int = 10) -> DataFrame:
@@ -40,13 +43,51 @@ def stray_surnames(names: DataFrame, most: int = 3, times: int = 10) -> DataFram
     return hit.groupBy("name").agg(F.min(F.struct("w", (-F.col("m")).alias("m"), "prefix")).alias("b")).select("name", F.col("b.prefix").alias("target"))
 
 
-def given_to_full(names: DataFrame) -> DataFrame:
-    """A single-word name to the only longer name that ends in it."""
-    words = F.split("name", " ")
-    one = names.where(F.size(words) == 1).select("name", F.col("name").alias("last"))
-    full = names.where(F.size(words) > 1).select(F.col("name").alias("full"), F.element_at(words, -1).alias("last"))
-    owner = full.groupBy("last").agg(F.count_distinct("full").alias("n"), F.min("full").alias("target")).where("n = 1")
-    return one.join(owner, "last").select("name", "target")
+def given_to_full(names: DataFrame, prefixes: Sequence[str] = (), suffixes: Sequence[str] = ()) -> DataFrame:
+    """A single-word name to the only longer name that ends in it. A name without marks is compared
+    without them, one with marks exactly. Names that begin with a word of address (`prefixes`) are no
+    targets, a title that stands behind names (`suffixes`) is no name."""
+    low = F.lower("name")
+    words = F.split(low, " ")
+    full = names.where((F.size(words) > 1) & ~words[0].isin(*prefixes, "")).select(F.col("name").alias("full"), F.element_at(words, -1).alias("last"))
+    one = names.where((F.size(words) == 1) & ~low.isin(*suffixes, "")).select("name", low.alias("last"))
+
+    def owners(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("last").agg(F.count_distinct("full").alias("n"), F.min("full").alias("target"))
+
+    exact = one.join(owners(full), "last", "left")
+    plain = F.when(fold_all(F.col("last")) == F.col("last"), F.col("last"))
+    bare = owners(full.withColumn("last", fold_all(F.col("last")))).select(F.col("last").alias("b"), F.col("n").alias("bn"), F.col("target").alias("bt"))
+    both = exact.join(bare, plain == F.col("b"), "left")
+    target = F.when(F.col("n").isNotNull(), F.when(F.col("n") == 1, F.col("target"))).when(F.col("bn") == 1, F.col("bt"))
+    return both.select("name", target.alias("target")).where("target IS NOT NULL")
+
+
+def part_of_written(names: DataFrame, written: DataFrame) -> DataFrame:
+    """A single-word name to the only full name of the text (`written`: name) that holds it as its
+    first or last word; to that name as `names` spells it, if they do."""
+    low = F.lower("name")
+    words = F.split(low, " ")
+    parts = written.where(F.size(words) > 1).select(F.col("name").alias("full"), F.explode(F.array_distinct(F.array(words[0], F.element_at(words, -1)))).alias("w"))
+    owner = parts.groupBy("w").agg(F.count_distinct("full").alias("n"), F.min("full").alias("full")).where("n = 1")
+    hit = names.where(F.size(words) == 1).select("name", low.alias("w")).join(owner, "w")
+    own = names.select(F.col("name").alias("spelt"), identity_key(F.col("name")).alias("k"))
+    return hit.withColumn("k", identity_key(F.col("full"))).join(own, "k", "left").select("name", F.coalesce("spelt", "full").alias("target"))
+
+
+def resolve(names: DataFrame, passes: Sequence[Callable[[DataFrame], DataFrame]], confirmed: DataFrame | None = None) -> DataFrame:
+    """(name, canonical) after ordered passes. A pass reads the names that stand when it begins,
+    with their own lines, and gives (name, target); names redirected before follow along. Nothing is
+    closed transitively within a pass. A confirmed alias (name, target) wins at the end."""
+    state = names.select("name", F.col("name").alias("canonical"))
+    lines = names.select(F.col("name").alias("canonical"), "lines")
+    for one in passes:
+        standing = state.select("canonical").distinct().join(lines, "canonical", "left").select(F.col("canonical").alias("name"), F.coalesce("lines", F.lit(0)).alias("lines"))
+        moved = one(standing).select(F.col("name").alias("canonical"), "target")
+        state = stage(state.join(moved, "canonical", "left").select("name", F.coalesce("target", "canonical").alias("canonical")), "names")
+    if confirmed is not None:
+        state = state.join(confirmed.select("name", "target"), "name", "left").select("name", F.coalesce("target", "canonical").alias("canonical"))
+    return state
 
 
 def redirect(names: DataFrame, targets: DataFrame, confirmed: DataFrame | None = None) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from versehall.operators.ranking import global_rank
+
 
 def mode_vote(df: DataFrame, by: Sequence[str], value: str, default: str) -> DataFrame:
     """The most frequent value of each key, `default` where two lead; nulls do not vote."""
@@ -81,13 +83,33 @@ def ensemble(probs: DataFrame, keys: Sequence[str], models: int) -> DataFrame:
     return mean.groupBy(*keys).agg(F.min_by(F.struct("label", "p"), F.struct((-F.col("p")).alias("p"), "label")).alias("x")).select(*keys, "x.label", "x.p")
 
 
-def review_curve(df: DataFrame, doubt: Column, wrong: Column, order: Sequence[str], cuts: Sequence[int], by: Sequence[str] = ()) -> DataFrame:
-    """Share of right rows once the top p % by doubt have been put right, for each p of `cuts`."""
-    w = Window.partitionBy(*by).orderBy(doubt.desc(), *order)
-    ranked = df.select(*by, F.row_number().over(w).alias("r"), F.count("*").over(Window.partitionBy(*by)).alias("n"), wrong.cast("int").alias("bad"))
-    ranked = ranked.withColumn("cut", F.explode(F.array(*[F.lit(c) for c in cuts])))
-    left = F.sum(F.when(F.col("r") > F.floor(F.col("n") * F.col("cut") / 100), F.col("bad")).otherwise(0))
-    return ranked.groupBy(*by, "cut").agg((1 - left / F.max("n")).alias("accuracy"))
+def review_curve(df: DataFrame, doubt: str, wrong: Column, tie: str, cuts: Sequence[int]) -> DataFrame:
+    """Share of right rows once the top p % by doubt (ties by `tie`) have been put right, for each p
+    of `cuts`. `doubt` and `tie` are numbers."""
+    rows = global_rank(df.select(doubt, tie, F.coalesce(wrong, F.lit(False)).cast("int").alias("bad")), doubt, tie, "r", descending=True)
+    n = df.count()
+    left = [F.sum(F.when(F.col("r") > n * c // 100, F.col("bad")).otherwise(0)).alias(str(c)) for c in cuts]
+    parts = F.array(*[F.struct(F.lit(c).alias("cut"), (1 - F.col(str(c)) / n).alias("accuracy")) for c in cuts])
+    return rows.agg(*left).select(F.explode(parts).alias("x")).select("x.cut", "x.accuracy").where(F.lit(n > 0))
+
+
+def origins(names: DataFrame, by: str, times: str, least: int, few: int = 4, ja_share: float = 0.7, honorific: tuple[int, int, float] = (5, 2, 0.5), ko_share: float = 0.3, ko_only_share: float = 0.15) -> DataFrame:
+    """Shares of a book's names by what languages can read them, and the origin they show. Rows
+    (by, times, ja, ko, suffixed) are names; `suffixed` ones stand with an honorific somewhere. The
+    origin is null under `least` occurrences or where no share is clear."""
+    n = F.col(times)
+    part = lambda c: F.sum(F.when(c, n).otherwise(0))
+    ja, ko, hon = F.coalesce(F.col("ja"), F.lit(False)), F.coalesce(F.col("ko"), F.lit(False)), F.coalesce(F.col("suffixed"), F.lit(False))
+    total = F.sum(n)
+    sums = names.groupBy(by).agg(
+        total.alias("total"), (part(ja) / total).alias("ja"), (part(ko) / total).alias("ko"), (part(ko & ~ja) / total).alias("ko_only"),
+        F.count_if(ja).alias("ja_names"), F.count_if(ko).alias("ko_names"), part(ja & hon).alias("hon"), F.count_if(ja & hon).alias("hon_names"),
+    )
+    c = F.col
+    clear = (c("ja") >= ja_share) | ((c("hon") >= honorific[0]) & (c("hon_names") >= honorific[1]) & (c("ja") >= honorific[2]))
+    korean = (c("ko_names") >= few) & (c("ko") >= ko_share) & (c("ko_only") >= ko_only_share)
+    origin = F.when(c("total") < least, None).when((c("ja_names") >= few) & clear, "ja").when(korean, "ko")
+    return sums.withColumn("origin", origin)
 
 
 def keep_top_share(df: DataFrame, by: Sequence[str], score: Column, order: Sequence[str], share: float) -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,11 +90,53 @@ def range_mean(df: DataFrame, by: Sequence[str], at: Column, span: int, value: C
     return df.withColumn(name, F.sum(value * weight).over(w) / F.sum(weight).over(w))
 
 
-def thin(df: DataFrame, by: Sequence[str], seconds: Column, order: Sequence[str], band: float) -> DataFrame:
-    """Rows no nearer than `band` seconds to the row before."""
-    w = Window.partitionBy(*by).orderBy(seconds, *order)
-    gap = seconds - F.lag(seconds).over(w)
-    return df.withColumn("__gap", gap).where(F.col("__gap").isNull() | (F.col("__gap") > band)).drop("__gap")
+def thin(df: DataFrame, by: Sequence[str], at: Column, order: Sequence[str], band: float) -> DataFrame:
+    """Rows kept in order of time, each unless a kept one lies within `band` before it.
+
+    A row further than `band` behind the row before it is always kept and begins a run of its own, so
+    runs are independent; only runs longer than `band` are scanned, each as one group. Rows without a
+    time are kept."""
+    w = Window.partitionBy(*by).orderBy(at, *order)
+    gap = at - F.lag(at).over(w)
+    rows = df.withColumn("__at", at.cast("double")).withColumn("__first", gap.isNull() | (gap > band))
+    rows = rows.withColumn("__run", F.sum(F.col("__first").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    run = Window.partitionBy(*by, "__run")
+    rows = rows.withColumn("__long", F.coalesce(F.max("__at").over(run) - F.min("__at").over(run) > band, F.lit(False)))
+
+    columns, keys = df.columns, ["__at", *order]
+
+    def scan(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(keys, ignore_index=True)
+        times, keep, i = part["__at"].to_numpy(), [], 0
+        while i < len(times):
+            keep.append(i)
+            i = int(np.searchsorted(times, times[i] + band, side="right"))
+        return part.loc[keep, columns]
+
+    alone = rows.where("__first AND NOT __long").select(*df.columns)
+    return alone.union(rows.where("__long").groupBy(*by, "__run").applyInPandas(scan, df.schema))
+
+
+def block_before(df: DataFrame, by: Sequence[str], order: Sequence[str], anchor: Column, inside: Column, most: int, name: str) -> DataFrame:
+    """`df` with `name`, the order key of the anchor row that a row belongs to: rows for which
+    `inside` holds that stand without a break right before an anchor, at most `most` of them, and the
+    anchor itself. A row is claimed by the nearest anchor behind it."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    ahead = w.rowsBetween(1, Window.unboundedFollowing)
+    place = F.row_number().over(w)
+    rows = df.withColumn("__place", place).withColumn("__stop", F.when(anchor | ~F.coalesce(inside, F.lit(False)), F.struct(F.col("__place"), anchor.alias("is"), F.struct(*order).alias("key"))))
+    nearest = F.first("__stop", ignorenulls=True).over(ahead)
+    rows = rows.withColumn("__next", nearest)
+    near = F.col("__next.is") & (F.col("__next.__place") - F.col("__place") <= most)
+    key = F.when(anchor, F.struct(*order)).when(F.coalesce(inside & near, F.lit(False)), F.col("__next.key"))
+    return rows.withColumn(name, key[order[-1]]).drop("__place", "__stop", "__next")
+
+
+def volume_starts(df: DataFrame, by: Sequence[str], order: Sequence[str], number: Column) -> DataFrame:
+    """Rows whose number is above that of every row before; rows without one are passed over."""
+    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = df.where(number.isNotNull()).withColumn("__top", F.max(number).over(w))
+    return out.where(F.col("__top").isNull() | (number > F.col("__top"))).drop("__top")
 
 
 def transitions(df: DataFrame, by: Sequence[str], order: Sequence[str], state: Column, n_states: int) -> DataFrame:

@@ -66,3 +66,18 @@ def merge_wishes(local: DataFrame, incoming: DataFrame, key: str, status: str, o
     place = F.array_position(F.array(*[F.lit(x) for x in order]), F.col(status))
     both = local.select(key, status).unionByName(incoming.select(key, status))
     return both.groupBy(key).agg(F.max_by(status, F.struct(place, status)).alias(status))
+
+
+def content_keys(rows: DataFrame, by: str, name: Column, digest: Column, hex_digits: int = 3) -> DataFrame:
+    """(by, key), one digest of all of a group's (name, digest) whatever their order. Names are
+    dealt to 16**hex_digits parts by hash, each part's sorted lines are digested, then the parts' digests."""
+    line, part = F.concat(name, F.lit("="), digest), F.substring(F.md5(name), 1, hex_digits)
+    hashed = lambda lines: F.sha2(F.array_join(F.sort_array(F.collect_list(lines)), "\n"), 256)
+    parts = rows.select(by, line.alias("line"), part.alias("part")).groupBy(by, "part").agg(hashed(F.col("line")).alias("digest"))
+    return parts.groupBy(by).agg(hashed(F.concat("part", F.lit("="), "digest")).alias("key"))
+
+
+def replace_partitions(rows: DataFrame, path: str, by: str) -> None:
+    """SNK6: write `rows` in place of what the table at `path` holds for their values of `by`. The
+    committer moves whole partitions at the end of the job, so readers see the old or the new ones."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)

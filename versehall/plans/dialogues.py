@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from versehall.functions import readings
 from versehall.operators import dialogue as dl
-from versehall.operators import sequential as sq
 from versehall.plans.registry import query, table
 
 
@@ -31,13 +30,29 @@ def e22_blockers(spark, sf_dir):
     return dl.blockers(e, "event_id", "event_type", ["view", "click"], e.where("value > 80")).select("event_id", "event_type")
 
 
-@query("""WITH a AS (SELECT event_id, 'speaker' AS kind, value AS affected, 0.85 AS doubt, 0 AS rule FROM events WHERE event_type = 'click'), b AS (SELECT event_id, 'audio' AS kind, value AS affected, 0.5 AS doubt, 1 AS rule FROM events WHERE value > 50),
-  u AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY rule) AS r FROM (SELECT * FROM a UNION ALL SELECT * FROM b)) SELECT event_id, kind, rule FROM u WHERE r = 1""")
+#: The kinds of findings in order of their rules: severity, doubt, and the events that show them here.
+_FINDINGS = [
+    ("speaker", 1.0, 0.85, "event_type = 'click' AND value > 90"), ("gender", 1.0, 0.5, "event_type = 'view' AND value > 90"), ("turn", 1.0, 0.9, "event_id % 97 = 0"),
+    ("bracket", 1.0, 0.8, "event_id % 89 = 1"), ("vocative", 0.9, 0.7, "value BETWEEN 40 AND 42"), ("audio", 0.9, 0.5, "value > 75"), ("alias", 0.8, 0.6, "user_id % 50 = 7"),
+    ("shared-voice", 0.6, 0.8, "value < 1"), ("pronunciation", 0.5, 0.35, "event_id % 31 = 5"), ("unnamed", 0.3, 0.4, "event_type = 'purchase'"),
+]
+
+
+@query("WITH f AS (" + " UNION ALL ".join(f"SELECT event_id, '{k}' AS kind, {i} AS rule, floor(value) * {d}e0 * {w}e0 AS raw FROM events WHERE {c}" for i, (k, w, d, c) in enumerate(_FINDINGS)) + """),
+  o AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY rule) AS r FROM f) SELECT event_id, kind, rule, round(raw, 3) AS score FROM o WHERE r = 1""")
 def e21_work_items(spark, sf_dir):
+    """Ten kinds of findings; a line asked about by an earlier rule is not asked again."""
     e = table(spark, sf_dir, "events")
-    one = lambda df, kind, doubt: df.select("event_id", F.lit(kind).alias("kind"), F.col("value").alias("affected"), F.lit(doubt).alias("doubt"))
-    items = dl.work_items([one(e.where("event_type = 'click'"), "speaker", 0.85), one(e.where("value > 50"), "audio", 0.5)], {"speaker": 1.0, "audio": 0.9}, "event_id")
-    return items.select("event_id", "kind", "rule")
+    found = [e.where(c).select("event_id", F.lit(k).alias("kind"), F.floor("value").cast("double").alias("affected"), F.lit(d).alias("doubt")) for k, _, d, c in _FINDINGS]
+    return dl.work_items(found, {k: w for k, w, _, _ in _FINDINGS}, "event_id")
+
+
+@query("""WITH s AS (SELECT event_type, round(floor(value) * 0.85e0, 3) AS score, count(*) AS n FROM events GROUP BY ALL) SELECT event_type, round(sum(score * n), 2) AS score FROM s GROUP BY event_type""")
+def s6_priority(spark, sf_dir):
+    """What all findings of a kind weigh together."""
+    e = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("kind"), F.floor("value").cast("double").alias("affected"), F.lit(0.85).alias("doubt"))
+    items = dl.work_items([e], {k: 1.0 for k in ("view", "click", "purchase", "signup", "error")}, "event_id")
+    return items.groupBy(F.col("kind").alias("event_type")).agg(F.round(F.sum("score"), 2).alias("score"))
 
 
 @query("""WITH c AS (SELECT lang, source, count(*) FILTER (WHERE n_chars > 2000) AS d, count(*) FILTER (WHERE n_chars <= 2000) AS n FROM documents GROUP BY ALL), r AS (SELECT *, (d + 1) / (n + 1) AS ratio FROM c),
@@ -62,22 +77,13 @@ def m6_temperature(spark, sf_dir):
     return out.select("t", F.round("nll", 4).alias("nll"))
 
 
-@query()
+@query("""WITH n AS (SELECT o_orderkey, floor(o_totalprice * 10007)::BIGINT % 1000000000000 AS n FROM orders), d AS (SELECT ['không', 'một', 'hai', 'ba', 'bốn', 'năm', 'sáu', 'bảy', 'tám', 'chín'] AS d),
+  g AS (SELECT o_orderkey, n, i, (n // (1000 ** i)::BIGINT) % 1000 AS g, n >= (1000 ** (i + 1))::BIGINT AS inner_ FROM n, (SELECT unnest([0, 1, 2, 3]) AS i)),
+  w AS (SELECT o_orderkey, i, concat_ws(' ', CASE WHEN inner_ OR g >= 100 THEN d[g // 100 + 1] || ' trăm' END,
+    CASE WHEN g % 100 >= 20 THEN d[g % 100 // 10 + 1] || ' mươi' WHEN g % 100 >= 10 THEN 'mười' WHEN g % 10 > 0 AND (inner_ OR g >= 100) THEN 'lẻ' END,
+    CASE WHEN g % 100 > 20 AND g % 10 = 1 THEN 'mốt' WHEN g % 100 > 20 AND g % 10 = 4 THEN 'tư' WHEN g % 100 > 10 AND g % 10 = 5 THEN 'lăm' WHEN g % 10 > 0 THEN d[g % 10 + 1] END)
+    || ['', ' nghìn', ' triệu', ' tỷ'][i + 1] AS t FROM g, d WHERE g > 0)
+  SELECT o_orderkey, string_agg(t, ' ' ORDER BY i DESC) AS words FROM w GROUP BY o_orderkey""")
 def f5_number_words(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("string").alias("n"))
-    return sq.explode_text(p, "p_partkey", "n", lambda t: [readings.number_words(int(t))], "words string")
-
-
-@query()
-def a26_colours(spark, sf_dir):
-    """Sources that share a language, coloured so that none of a language share one."""
-    import pandas as pd
-
-    pairs = table(spark, sf_dir, "documents").select("lang", "source").distinct()
-
-    def paint(rows: pd.DataFrame) -> pd.DataFrame:
-        nodes = sorted(rows["source"])
-        got = sq.colour([(a, b) for a in nodes for b in nodes if a < b], nodes)
-        return pd.DataFrame({"lang": rows["lang"].iloc[0], "source": nodes, "colour": [got[v] for v in nodes]})
-
-    return pairs.groupBy("lang").applyInPandas(paint, "lang string, source string, colour int")
+    n = F.floor(F.col("o_totalprice") * 10007).cast("long") % 1_000_000_000_000
+    return table(spark, sf_dir, "orders").select("o_orderkey", readings.number_words(n).alias("words"))

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from versehall.operators import intervals as iv
+from versehall.operators import ranking as rk
 from versehall.plans.registry import query, table
 
 DAY = 86_400_000_000
@@ -33,10 +34,23 @@ def j15_adjacent(spark, sf_dir):
     return iv.adjacent(_events(spark, sf_dir), ["user_id"], ["ts", "event_id"], ["event_type"], ["event_id"]).select("event_id", "event_type", "next_event_id")
 
 
-@query("""SELECT event_id FROM (SELECT event_id, date_diff('microsecond', lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id), ts) AS g FROM events) WHERE g IS NULL OR g > 3600000000""")
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
+  k AS (SELECT user_id, event_id, s FROM e WHERE r = 1 UNION ALL SELECT user_id, event_id, s FROM
+    (SELECT e.*, row_number() OVER (PARTITION BY e.user_id ORDER BY e.r) AS n FROM k JOIN e ON e.user_id = k.user_id AND e.s > k.s + 864e8) x WHERE n = 1)
+  SELECT event_id FROM k""")
 def j20_band_dedup(spark, sf_dir):
-    e = _events(spark, sf_dir).withColumn("s", iv.micros("ts") / 1e6)
-    return iv.thin(e, ["user_id"], F.col("s"), ["event_id"], 3600).select("event_id")
+    """Events kept a day apart: each is held against the last one kept."""
+    return iv.thin(_events(spark, sf_dir), ["user_id"], iv.micros("ts"), ["event_id"], DAY).select("event_id")
+
+
+@query("""WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r, event_type = 'purchase' AS a FROM events),
+  n AS (SELECT x.event_id, x.r, x.a, x.event_type, min(y.r) AS nr FROM e x LEFT JOIN e y ON y.user_id = x.user_id AND y.r > x.r AND (y.a OR y.event_type <> 'view') GROUP BY ALL),
+  t AS (SELECT n.event_id, CASE WHEN n.a THEN n.event_id WHEN n.event_type = 'view' AND z.a AND n.nr - n.r <= 3 THEN z.event_id END AS owner FROM n JOIN e o ON o.event_id = n.event_id LEFT JOIN e z ON z.user_id = o.user_id AND z.r = n.nr)
+  SELECT event_id, owner FROM t""")
+def w10_block_before(spark, sf_dir):
+    """Views right before a purchase, at most three, go with it."""
+    e = iv.block_before(_events(spark, sf_dir), ["user_id"], ["ts", "event_id"], F.col("event_type") == "purchase", F.col("event_type") == "view", 3, "owner")
+    return e.select("event_id", "owner")
 
 
 @query("""WITH g AS (SELECT event_type, date_diff('microsecond', lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id), ts) AS d FROM events)
@@ -100,3 +114,51 @@ def m11_progress(spark, sf_dir):
     done = F.col("event_type") == "purchase"
     e = _events(spark, sf_dir).groupBy("user_id").agg(F.count_if(done).alias("done"), F.sum(F.when(done, 60.0).otherwise(F.least(F.lit(60.0), F.col("value")))).alias("heard"))
     return e.select("user_id", "done", F.round("heard", 4).alias("heard"))
+
+
+_HOST = "regexp_extract(url, '^[a-z]+://([^/]+)', 1)"
+
+
+@query(f"""WITH p AS (SELECT page_id, {_HOST} AS host, try_cast(nullif(regexp_extract(url, '([0-9]{{1,9}})[^0-9]*$', 1), '') AS INTEGER) AS n FROM pages),
+  r AS (SELECT *, max(n) OVER (PARTITION BY host ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM p WHERE n IS NOT NULL)
+  SELECT page_id, n FROM r WHERE top IS NULL OR n > top""")
+def w14_volume_starts(spark, sf_dir):
+    """Pages of a host, in order, where the number in the address is above all before."""
+    n = F.regexp_extract("url", "([0-9]{1,9})[^0-9]*$", 1)
+    p = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host"), F.when(n != "", n.try_cast("int")).alias("n"))
+    return iv.volume_starts(p, ["host"], ["page_id"], F.col("n")).select("page_id", "n")
+
+
+@query("SELECT p_partkey, p_name, row_number() OVER (ORDER BY length(p_name) DESC, p_partkey) AS place FROM part")
+def s3_longest_first(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", F.length("p_name").alias("n"))
+    return rk.global_rank(p, "n", "p_partkey", "place", descending=True).select("p_partkey", "p_name", "place")
+
+
+@query("""WITH c AS (SELECT event_id, value, CASE event_type WHEN 'purchase' THEN 0 WHEN 'click' THEN 1 WHEN 'view' THEN 2 ELSE 3 END AS c FROM events)
+  SELECT event_id, c, row_number() OVER (ORDER BY c, value DESC, event_id) AS place FROM c""")
+def s5_category_order(spark, sf_dir):
+    """Categories in their order, the larger value first: one number orders both, values being below 10**6."""
+    c = F.when(F.col("event_type") == "purchase", 0).when(F.col("event_type") == "click", 1).when(F.col("event_type") == "view", 2).otherwise(3)
+    e = _events(spark, sf_dir).select("event_id", c.alias("c"), (c * 1e6 - F.col("value")).alias("v"))
+    return rk.global_rank(e, "v", "event_id", "place").select("event_id", "c", "place")
+
+
+@query("""WITH x AS (SELECT s_nationkey, sum(s_acctbal) AS spoken, count(*) AS names FROM supplier GROUP BY s_nationkey), y AS (SELECT s_nationkey, round(spoken * spoken / names, 6) AS score FROM x)
+  SELECT s_nationkey, score, row_number() OVER (ORDER BY score DESC, s_nationkey) AS place FROM y""")
+def s10_ratio_score(spark, sf_dir):
+    x = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.sum("s_acctbal").alias("spoken"), F.count("*").alias("names"))
+    x = x.select("s_nationkey", F.round(F.col("spoken") * F.col("spoken") / F.col("names"), 6).alias("score"))
+    return rk.global_rank(x, "score", "s_nationkey", "place", descending=True)
+
+
+@query("""WITH a AS (SELECT c_custkey AS k, 2 * row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS pos FROM customer),
+  b AS (SELECT o_custkey AS k, 2 * row_number() OVER (ORDER BY round(sum(o_totalprice), 2) DESC, o_custkey) + 1 AS pos FROM orders GROUP BY o_custkey)
+  SELECT k, min(pos)::BIGINT AS pos FROM (SELECT * FROM a UNION ALL SELECT * FROM b) x GROUP BY k ORDER BY 2, 1 LIMIT 40""")
+def s9_interleaved(spark, sf_dir):
+    """Two rankings taken in turn, each name once: the first 40."""
+    c = rk.global_rank(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), "c_acctbal"), "c_acctbal", "k", "r", descending=True)
+    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.round(F.sum("o_totalprice"), 2).alias("total"))
+    o = rk.global_rank(o, "total", "k", "r", descending=True)
+    both = c.select("k", (2 * F.col("r")).alias("pos")).union(o.select("k", (2 * F.col("r") + 1).alias("pos")))
+    return both.groupBy("k").agg(F.min("pos").cast("long").alias("pos")).orderBy("pos", "k").limit(40)

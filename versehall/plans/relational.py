@@ -52,7 +52,11 @@ plain(
     "SELECT coalesce(e.k, b.k) AS k, coalesce(e.v, b.v) AS v, e.k IS NOT NULL AS edited FROM (SELECT p_partkey AS k, p_brand AS v FROM part WHERE p_partkey % 4 <> 3) b "
     "FULL OUTER JOIN (SELECT p_partkey AS k, p_type AS v FROM part WHERE p_partkey % 10 = 3) e ON b.k = e.k",
 )
-plain("j22_content_match", "SELECT a.doc_id AS doc_id, min(b.doc_id) AS twin FROM documents a JOIN documents b ON a.n_chars = b.n_chars AND sha2_hex(a.text) = sha2_hex(b.text) AND b.doc_id < a.doc_id GROUP BY a.doc_id".replace("sha2_hex", "md5"))
+plain(
+    "j22_content_match",
+    "SELECT doc_id, twin FROM documents JOIN (SELECT n_chars AS n, md5(text) AS digest, min(doc_id) AS twin FROM documents GROUP BY n_chars, md5(text) HAVING count(*) > 1) x "
+    "ON n_chars = n AND md5(text) = digest AND doc_id > twin",
+)
 
 # -- aggregates -------------------------------------------------------------------------------
 
@@ -87,16 +91,8 @@ plain("a25_busiest", "SELECT max(n) AS busiest FROM (SELECT l_orderkey, count(DI
 
 plain("s1_multi_key", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderstatus, o_totalprice DESC, o_orderkey)::BIGINT AS place FROM orders")
 plain("s2_nulls_last", "SELECT c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY v NULLS LAST, c_custkey)::BIGINT AS place FROM (SELECT c_custkey, c_mktsegment, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_acctbal END AS v FROM customer) x")
-plain("s3_longest_first", "SELECT p_partkey, p_name FROM part ORDER BY length(p_name) DESC, p_name, p_partkey LIMIT 50")
 plain("s4_latest_n", "SELECT event_id, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 200")
-plain("s5_category_order", "SELECT event_id, c FROM (SELECT event_id, CASE event_type WHEN 'purchase' THEN 0 WHEN 'click' THEN 1 WHEN 'view' THEN 2 ELSE 3 END AS c, value FROM events) x ORDER BY c, value DESC, event_id LIMIT 300")
 plain("s8_lexicographic", "SELECT s_nationkey, s_suppkey FROM (SELECT s_nationkey, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY (s_acctbal > 0)::INT DESC, length(s_name), s_acctbal DESC, s_suppkey) AS r FROM supplier) x WHERE r <= 3")
-plain(
-    "s9_interleaved",
-    "SELECT k, min(pos)::BIGINT AS pos FROM (SELECT c_custkey AS k, 2 * row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS pos FROM customer "
-    "UNION ALL SELECT o_custkey AS k, 2 * row_number() OVER (ORDER BY sum(o_totalprice) DESC, o_custkey) + 1 AS pos FROM orders GROUP BY o_custkey) x GROUP BY k ORDER BY 2, 1 LIMIT 40",
-)
-plain("s10_ratio_score", "SELECT s_nationkey, round(spoken * spoken / names, 6) AS score FROM (SELECT s_nationkey, sum(s_acctbal) AS spoken, count(*) AS names FROM supplier GROUP BY s_nationkey) x ORDER BY 2 DESC, 1 LIMIT 10")
 plain("s11_lru_keep", "SELECT doc_id FROM (SELECT doc_id, source, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id DESC ROWS UNBOUNDED PRECEDING) AS size FROM documents) x WHERE size <= 20000")
 plain("s12_keep_last_n", "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) x WHERE r <= 5")
 plain("s13_two_tiers", "SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY (recent IS NULL)::INT, recent DESC NULLS LAST, c_name, c_custkey)::BIGINT AS place FROM (SELECT c_custkey, c_nationkey, c_name, max(o_orderdate) AS recent FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P' GROUP BY 1, 2, 3) x")
@@ -116,4 +112,3 @@ plain("w1_sample_turn", "SELECT role, conv_id, turn, text FROM (SELECT *, row_nu
 plain("w5_prefix_sum", "SELECT conv_id, turn, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS chars_before FROM conversations")
 plain("w7_timeline", "SELECT conv_id, turn, sum(length(text) / 15e0 + 38e-2) OVER (PARTITION BY conv_id ORDER BY turn) - (length(text) / 15e0 + 38e-2) AS starts FROM conversations".replace("sum(", "round(sum(", 1).replace(" AS starts", ", 4) AS starts"))
 plain("w13_neighbours", "SELECT conv_id, turn, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before_text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS after_text FROM conversations")
-plain("w14_volume_starts", "SELECT page_id FROM (SELECT page_id, n, max(n) OVER (PARTITION BY page_id % 10 ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM (SELECT page_id, length(html) AS n FROM pages) y) x WHERE top IS NULL OR n > top")

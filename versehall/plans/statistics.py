@@ -4,13 +4,21 @@ from pyspark.sql import functions as F
 
 from versehall.operators import evaluation as ev
 from versehall.plans.registry import plain, query, table
+from versehall.sources import books
 
-plain("a13_percentiles", "SELECT round(median(value), 6) AS med, round(min(value), 6) AS low, round(max(value) - min(value), 6) AS spread FROM events")
+plain("a13_percentiles", "SELECT round(median(value), 6) AS med, round(min(value), 6) AS low, round(max(value) - min(value), 6) AS spread, round(percentile_cont(0.05) WITHIN GROUP (ORDER BY value), 6) AS p05, round(percentile_cont(0.95) WITHIN GROUP (ORDER BY value), 6) AS p95 FROM events")
 plain("a20_agreement", "SELECT count(*) AS n, round(avg((quality = toxic)::INT), 6) AS same, round(avg((quality = 1 OR toxic = 1)::INT), 6) AS either FROM labels")
-plain("a31_corpus_stats", "SELECT source, count(*) AS docs, sum(length(text))::BIGINT AS chars, min(md5(text)) AS first_digest FROM documents GROUP BY source")
 plain("e14_leave_one_out", "SELECT doc_id, dense_rank() OVER (PARTITION BY lang ORDER BY source)::BIGINT AS fold FROM documents")
 
 
+@query("""WITH p AS (SELECT source, text, doc_id || '=' || sha256(text) AS line, substr(md5(doc_id::VARCHAR), 1, 3) AS part FROM documents),
+  h AS (SELECT source, part, count(*) AS docs, sum(len(regexp_extract_all(text, '\\S+'))) AS words, sum(length(text)) AS chars, sha256(string_agg(line, chr(10) ORDER BY line)) AS digest FROM p GROUP BY source, part)
+  SELECT source, sum(docs)::BIGINT AS files, sum(words)::BIGINT AS words, sum(chars)::BIGINT AS chars, sha256(string_agg(part || '=' || digest, chr(10) ORDER BY part)) AS digest FROM h GROUP BY source""")
+def a31_corpus_stats(spark, sf_dir):
+    """Documents, words, characters and one digest of each source, as its manifest has them."""
+    return books.manifest(table(spark, sf_dir, "documents"), "source", F.col("doc_id").cast("string"))
+
+
 @query("""WITH c AS (SELECT user_id, event_type, count(*) AS n, max(count(*)) OVER (PARTITION BY user_id) AS top FROM events GROUP BY 1, 2)
   SELECT user_id, CASE WHEN count(*) = 1 THEN min(event_type) ELSE 'unknown' END AS event_type FROM c WHERE n = top GROUP BY user_id""")
 def a7_mode_vote(spark, sf_dir):
@@ -92,10 +100,23 @@ def a33_nan_mean(spark, sf_dir):
   SELECT cut::INTEGER AS cut, round(1 - sum(CASE WHEN r > floor(n * cut / 100) THEN bad ELSE 0 END) / max(n), 6) AS accuracy FROM r, c GROUP BY cut""")
 def s14_review_curve(spark, sf_dir):
     both = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
-    out = ev.review_curve(both, F.col("n_chars"), F.col("toxic") == 1, ["doc_id"], [0, 5, 10, 20, 50])
+    out = ev.review_curve(both, "n_chars", F.col("toxic") == 1, "doc_id", [0, 5, 10, 20, 50])
     return out.select("cut", F.round("accuracy", 6).alias("accuracy"))
 
 
+@query("""WITH x AS (SELECT source, doc_id % 6 + 1 AS times, n_chars % 2 = 0 AS ja, n_chars % 3 = 0 AS ko, n_chars % 5 = 0 AS hon FROM documents),
+  s AS (SELECT source, sum(times) AS total, sum(CASE WHEN ja THEN times ELSE 0 END) / sum(times) AS ja, sum(CASE WHEN ko THEN times ELSE 0 END) / sum(times) AS ko, sum(CASE WHEN ko AND NOT ja THEN times ELSE 0 END) / sum(times) AS ko_only,
+    count(*) FILTER (WHERE ja) AS ja_names, count(*) FILTER (WHERE ko) AS ko_names, sum(CASE WHEN ja AND hon THEN times ELSE 0 END) AS hon, count(*) FILTER (WHERE ja AND hon) AS hon_names FROM x GROUP BY source)
+  SELECT source, round(ja, 6) AS ja, round(ko, 6) AS ko, CASE WHEN total < 30 THEN NULL WHEN ja_names >= 4 AND ja >= 0.7 THEN 'ja' WHEN hon >= 5 AND hon_names >= 2 AND ja_names >= 4 AND ja >= 0.5 THEN 'ja'
+    WHEN ko_names >= 4 AND ko >= 0.3 AND ko_only >= 0.15 THEN 'ko' END AS origin FROM s""")
+def a30_origins(spark, sf_dir):
+    """Documents stand for names, their lengths for what readings they have."""
+    n = F.col("n_chars")
+    d = table(spark, sf_dir, "documents").select("source", (F.col("doc_id") % 6 + 1).alias("times"), (n % 2 == 0).alias("ja"), (n % 3 == 0).alias("ko"), (n % 5 == 0).alias("suffixed"))
+    out = ev.origins(d, "source", "times", least=30, few=4, ja_share=0.7, honorific=(5, 2, 0.5), ko_share=0.3, ko_only_share=0.15)
+    return out.select("source", F.round("ja", 6).alias("ja"), F.round("ko", 6).alias("ko"), "origin")
+
+
 @query("""WITH r AS (SELECT doc_id, toxic, row_number() OVER (PARTITION BY toxic ORDER BY n_chars DESC, doc_id) AS r, count(*) OVER (PARTITION BY toxic) AS n FROM labels JOIN documents USING (doc_id))
   SELECT doc_id, toxic FROM r WHERE r <= floor(n * 0.4)""")
 def s15_keep_share(spark, sf_dir):

@@ -3,8 +3,12 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from versehall.functions import passages as ps
+from versehall.functions import readings as rd
 from versehall.functions import text as tx
+from versehall.operators import pages as pg
 from versehall.plans.registry import plain, query, table
+from versehall.sources import books
 
 plain("f37_cache_key", "SELECT doc_id, md5(concat_ws('|', lang, source, text)) AS key FROM documents")
 _FOLD = f"translate(lower({{0}}), '{tx.FOLD_FROM}', '{tx.FOLD_TO}')"
@@ -57,25 +61,18 @@ def f17_credit_lines(spark, sf_dir):
     return lines.groupBy("doc_id").agg(F.count_if(credit).alias("credits"), F.count("*").alias("lines"))
 
 
-@query("""WITH l AS (SELECT doc_id, source, regexp_replace(trim(unnest(string_split(text, chr(10)))), '[0-9]+', '#', 'g') AS line FROM documents),
-  n AS (SELECT source, line, count(DISTINCT doc_id) AS docs FROM l WHERE line <> '' GROUP BY 1, 2), t AS (SELECT source, count(*) AS every FROM documents GROUP BY 1)
-  SELECT source, md5(line) AS line, docs FROM n JOIN t USING (source) WHERE docs >= 3 AND docs >= 0.05 * every""")
-def f18_running_headers(spark, sf_dir):
-    docs = _docs(spark, sf_dir).select("doc_id", "source", "text")
-    lines = docs.select("doc_id", "source", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", "source", F.regexp_replace(F.trim("line"), "[0-9]+", "#").alias("line"))
-    often = lines.where("line <> ''").groupBy("source", "line").agg(F.count_distinct("doc_id").alias("docs"))
-    every = docs.groupBy("source").agg(F.count("*").alias("every"))
-    return often.join(every, "source").where("docs >= 3 AND docs >= 0.05 * every").select("source", F.md5("line").alias("line"), "docs")
+_HEADING = "(?i)^\\s*((chapter|part)\\s+[0-9ivxlcdm]+\\b.*|[ivxlcdm]{1,7}\\.?)\\s*$"
 
 
-@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
-  g AS (SELECT doc_id, sum(CASE WHEN length(line) < 20 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS part FROM l)
-  SELECT doc_id, part::BIGINT AS part, count(*) AS lines FROM g GROUP BY doc_id, part""")
+@query(f"""WITH d AS (SELECT doc_id, text || chr(10) || 'Chapter ' || doc_id % 7 || chr(10) || lang || chr(10) || 'Part ii: ' || source || chr(10) || 'xiv.' || chr(10) || 'end' AS t FROM documents),
+  l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS pos FROM d),
+  g AS (SELECT *, sum(CASE WHEN pos = 1 OR regexp_matches(line, '{_HEADING}') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) - 1 AS part FROM l)
+  SELECT doc_id, part::INTEGER AS part, md5(string_agg(line, chr(10) ORDER BY pos)) AS digest FROM g GROUP BY doc_id, part""")
 def f21_split_on_headings(spark, sf_dir):
-    lines = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    part = F.sum(F.when(F.length("line") < 20, 1).otherwise(0)).over(w)
-    return lines.withColumn("part", part).groupBy("doc_id", "part").agg(F.count("*").alias("lines"))
+    """Documents with three headings put behind their text."""
+    more = F.concat("text", F.lit("\nChapter "), (F.col("doc_id") % 7).cast("string"), F.lit("\n"), "lang", F.lit("\nPart ii: "), "source", F.lit("\nxiv.\nend"))
+    parts = books.split_on_headings(_docs(spark, sf_dir).select("doc_id", more.alias("text")))
+    return parts.select("doc_id", "part", F.md5("part_text").alias("digest"))
 
 
 @query("SELECT page_id, coalesce(try_cast(nullif(regexp_extract(lower(url), '/([0-9]{1,9})', 1), '') AS INTEGER), 1) AS volume FROM pages")
@@ -91,11 +88,11 @@ def f25_similarity(spark, sf_dir):
     return p.join(q, "p_partkey").select("p_partkey", F.round(tx.similarity(F.col("p_name"), F.col("other")), 6).alias("sim"))
 
 
-@query("""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(regexp_replace(text, 'licensed under', '', 'g')), '[a-z]+')) AS word FROM documents WHERE lang = 'en')
+@query("""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(regexp_replace(text, 'licensed under', '', 'g')), '[a-z]+')) AS word FROM documents )
   SELECT word, count(*) AS n, count(DISTINCT doc_id) AS docs FROM w GROUP BY word HAVING count(*) >= 20""")
 def a27_bag_of_words(spark, sf_dir):
     clean = F.lower(F.regexp_replace("text", "licensed under", ""))
-    words = _docs(spark, sf_dir).where("lang = 'en'").select("doc_id", F.explode(F.regexp_extract_all(clean, F.lit("[a-z]+"), F.lit(0))).alias("word"))
+    words = _docs(spark, sf_dir).select("doc_id", F.explode(F.regexp_extract_all(clean, F.lit("[a-z]+"), F.lit(0))).alias("word"))
     return words.groupBy("word").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs")).where("n >= 20")
 
 
@@ -131,27 +128,92 @@ def p12_folded_search(spark, sf_dir):
     return _docs(spark, sf_dir).where(hit).select("doc_id")
 
 
-@query("""SELECT s.doc_id, s.grams, c.item_id FROM (SELECT doc_id, count(*) AS grams FROM documents GROUP BY doc_id) s JOIN
-  (SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)) c USING (doc_id)""")
+@query("""SELECT d.doc_id, b.item_id, ((length(d.text) - length(replace(d.text, b.text, ''))) / length(b.text))::BIGINT AS mentions FROM documents d JOIN benchmark b ON b.text <> '' AND contains(d.text, b.text)""")
 def j19_containment(spark, sf_dir):
-    """Passages of any length that stand in documents: an equi-join on up to eight inner words (the outer
-    ones can be parts of words), or up to eight characters where there is no inner word, then the test."""
-    most = F.lit(8)
-    words, chars = lambda c: F.split(c, r"\s+"), lambda c: F.split(c, "")
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"), (F.size(words("text")) - 2).alias("inner"))
-    by_word = F.col("inner") > 0
-    items = items.select("item_id", "passage", by_word.alias("by_word"), F.least(most, F.when(by_word, F.col("inner")).otherwise(F.length("passage"))).alias("size"))
-    key = F.when(F.col("by_word"), F.array_join(F.slice(words("passage"), F.lit(2), F.col("size")), " ")).otherwise(F.array_join(F.slice(chars("passage"), F.lit(1), F.col("size")), ""))
-    items = items.where("passage IS NOT NULL").withColumn("g", key)
-    # sixteen rows and an empty one at most
-    sizes = F.broadcast(items.select("by_word", "size").distinct())
-
-    def grams(parts, joiner):
-        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(parts) - F.col("size") + 1))
-        return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(parts, i, F.col("size")), joiner)))
-
-    docs = _docs(spark, sf_dir).select("doc_id", "text")
-    cut = docs.join(sizes).withColumn("parts", F.when(F.col("by_word"), words("text")).otherwise(chars("text")))
-    cut = cut.select("doc_id", "text", "by_word", "size", F.explode(F.when(F.col("by_word"), grams(F.col("parts"), " ")).otherwise(grams(F.col("parts"), ""))).alias("g"))
-    found = cut.join(items, ["by_word", "size", "g"]).where(F.col("text").contains(F.col("passage"))).select("doc_id", "item_id")
-    return found.join(docs.groupBy("doc_id").agg(F.count("*").alias("grams")), "doc_id").select("doc_id", "grams", "item_id")
+    return pg.containment(_docs(spark, sf_dir), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
+
+
+@query("""WITH d AS (SELECT source, doc_id, 'Chronicle of ' || source || ', part ' || doc_id || chr(10) || chr(10) || text || chr(10) || '- ' || doc_id % 500 || ' -' AS t FROM documents),
+  l AS (SELECT source, doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS pos FROM d),
+  f AS (SELECT *, CASE WHEN trim(line) <> '' THEN row_number() OVER (PARTITION BY doc_id, trim(line) <> '' ORDER BY pos) END AS r, count(*) FILTER (WHERE trim(line) <> '') OVER (PARTITION BY doc_id) AS n FROM l),
+  z AS (SELECT *, CASE WHEN r <= 2 OR r > n - 2 THEN regexp_replace(lower(trim(line)), '[0-9]+', '#', 'g') END AS key FROM f),
+  h AS (SELECT source, key FROM z JOIN (SELECT source, count(*) AS pages FROM documents GROUP BY source) p USING (source) WHERE key IS NOT NULL GROUP BY source, key, pages HAVING count(DISTINCT doc_id) >= 3 AND pages >= 3 AND count(DISTINCT doc_id) * 5 >= pages * 2),
+  k AS (SELECT z.*, h.key IS NOT NULL OR (z.key IS NOT NULL AND (r = 1 OR r = n) AND regexp_matches(line, '^[-\\s]*[0-9]{1,5}[-\\s]*$')) AS dropped FROM z LEFT JOIN h ON h.source = z.source AND h.key = z.key)
+  SELECT source, doc_id, md5(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS digest, count(*) FILTER (WHERE dropped) AS dropped FROM k GROUP BY source, doc_id""")
+def f18_running_headers(spark, sf_dir):
+    """Documents of a source as pages of a book, with a running head and page numbers put on."""
+    head = F.concat(F.lit("Chronicle of "), "source", F.lit(", part "), F.col("doc_id").cast("string"), F.lit("\n\n"))
+    foot = F.concat(F.lit("\n- "), (F.col("doc_id") % 500).cast("string"), F.lit(" -"))
+    pages = _docs(spark, sf_dir).select("source", "doc_id", F.concat(head, "text", foot).alias("text"))
+    return pg.drop_running_lines(pages, "source", "doc_id", "text").select("source", "doc_id", F.md5("text").alias("digest"), "dropped")
+
+
+@query(r"""SELECT doc_id, md5(regexp_replace(regexp_replace(text, chr(173) || '[ \t]*\n[ \t]*(\p{Ll})', '\1', 'g'), '([^.!?…”"»’)。:;\s])[ \t]*\n[ \t]*(\p{Ll})', '\1 \2', 'g')) AS digest
+  FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '([a-z]{3})([a-z]{3}) ', '\1' || chr(173) || chr(10) || '\2 ', 'g'), ', ([a-z]+ [a-z])', chr(10) || '\1', 'g') AS text FROM documents) x""")
+def f19_join_wrapped(spark, sf_dir):
+    """Documents with words broken by soft hyphens and lines by commas."""
+    torn = F.regexp_replace(F.regexp_replace("text", "([a-z]{3})([a-z]{3}) ", "$1\u00ad\n$2 "), ", ([a-z]+ [a-z])", "\n$1")
+    return _docs(spark, sf_dir).select("doc_id", F.md5(ps.join_wrapped(torn)).alias("digest"))
+
+
+_TITLES = "CASE p_partkey % 4 WHEN 0 THEN p_name || ' · Vol. ' || p_size WHEN 1 THEN p_name || ' - Phần ' || p_size WHEN 2 THEN p_name ELSE p_name || ' | book ' || p_size || ' of all' END"
+_FORM = "(?i)^(.*?)\\s*[·|:—–-]\\s*(tập|quyển|phần|vol\\.?|book)\\s*([0-9]{1,9})\\b"
+
+
+@query(f"""WITH b AS (SELECT p_partkey AS k, {_TITLES} AS t, CASE WHEN p_partkey % 10 = 7 THEN p_partkey - 3 END AS root, 2 AS part FROM part),
+  s AS (SELECT *, regexp_matches(t, '{_FORM}') AS f, trim(CASE WHEN regexp_matches(t, '{_FORM}') THEN regexp_extract(t, '{_FORM}', 1) ELSE t END) AS name, try_cast(regexp_extract(t, '{_FORM}', 3) AS INTEGER) AS v, lower(regexp_extract(t, '{_FORM}', 2)) AS w FROM b),
+  c AS (SELECT s.*, CASE WHEN f AND w IN ('quyển', 'phần') THEN w ELSE 'tập' END AS u, root IS NULL AND k IN (SELECT root FROM b WHERE root IS NOT NULL) AS is_root FROM s),
+  n AS (SELECT name, arg_min(u, k) AS nu FROM c WHERE root IS NULL AND NOT is_root AND v IS NOT NULL GROUP BY name)
+  SELECT c.k AS p_partkey, CASE WHEN c.root IS NOT NULL OR c.is_root THEN 'chain:' || coalesce(c.root, c.k) ELSE 'title:' || c.name END AS series_key, CASE WHEN c.root IS NOT NULL THEN coalesce(r.name, c.name) ELSE c.name END AS series,
+    CASE WHEN c.root IS NOT NULL THEN c.part WHEN c.is_root OR (c.v IS NULL AND nu IS NOT NULL) THEN 1 ELSE c.v END AS volume, CASE WHEN c.root IS NOT NULL OR c.is_root THEN 'phần' WHEN c.v IS NULL AND nu IS NOT NULL THEN nu ELSE c.u END AS unit
+  FROM c LEFT JOIN c r ON r.k = c.root LEFT JOIN n ON n.name = c.name""")
+def f23_series_index(spark, sf_dir):
+    """Parts as books: volumes by title, unnumbered ones, and chains."""
+    n = F.col("p_size").cast("string")
+    title = F.when(F.col("p_partkey") % 4 == 0, F.concat("p_name", F.lit(" · Vol. "), n)).when(F.col("p_partkey") % 4 == 1, F.concat("p_name", F.lit(" - Phần "), n))
+    title = title.when(F.col("p_partkey") % 4 == 2, F.col("p_name")).otherwise(F.concat("p_name", F.lit(" | book "), n, F.lit(" of all")))
+    b = table(spark, sf_dir, "part").select("p_partkey", title.alias("t"), F.when(F.col("p_partkey") % 10 == 7, F.col("p_partkey") - 3).alias("root"), F.lit(2).alias("part"))
+    return pg.series_index(b, "p_partkey", "t", "root", "part")
+
+
+@query()
+def f24_f29_heard(spark, sf_dir):
+    """Each turn held against the next one as what was heard of it, in two seconds a turn; edits of words
+    and of accented letters are held against a plain count in the tests."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = table(spark, sf_dir, "conversations").withColumn("other", F.lead("text").over(w)).where("other IS NOT NULL")
+    a, b, alike = F.col("text"), F.col("other"), F.col("alike")
+    c = c.withColumn("edits", ps.token_distance(a, b)).withColumn("alike", tx.similarity(a, b))
+    wer = F.col("edits") / F.greatest(F.lit(1), ps.n_words(a))
+    seconds = F.col("turn") * 2.0
+    return c.select(
+        "conv_id", "turn", F.col("edits").cast("long").alias("edits"), F.round(wer, 6).alias("wer"), ps.severe_mismatch(a, b, alike).alias("severe"),
+        ps.beyond_rate(b, seconds).alias("too_fast"), ps.accepted(F.lit(True), alike, wer, 0.2, 0.9).alias("accepted"),
+    )
+
+
+@query()
+def f34_mentions(spark, sf_dir):
+    """Common words of three languages as aliases, some within others; held against a plain search."""
+    names = F.array(*[F.lit(x) for x in ("the", "and the", "of the", "and", "des", "le", "und der", "der", "les")])
+    spans = _docs(spark, sf_dir).select("doc_id", F.explode(ps.mention_spans(F.col("text"), names)).alias("m"))
+    return spans.select("doc_id", "m.start", "m.end", "m.alias")
+
+
+@query("""WITH w AS (SELECT DISTINCT w FROM (SELECT lower(unnest(regexp_extract_all(text, '\\p{L}+'))) AS w FROM documents) x WHERE regexp_full_match(w, '[ivxlcdm]+')), v AS (SELECT w, [CASE c WHEN 'i' THEN 1 WHEN 'v' THEN 5 WHEN 'x' THEN 10 WHEN 'l' THEN 50 WHEN 'c' THEN 100 WHEN 'd' THEN 500 ELSE 1000 END for c in string_split(w, '')] AS n FROM w)
+  SELECT w AS numeral, CASE WHEN regexp_matches(w, '^m*(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})$') THEN list_sum([CASE WHEN i < len(n) AND n[i] < n[i + 1] THEN -n[i] ELSE n[i] END for i in range(1, len(n) + 1)])::INTEGER END AS value FROM v""")
+def f4_roman(spark, sf_dir):
+    """Words of the documents made of numerals' letters."""
+    w = _docs(spark, sf_dir).select(F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))).alias("w"))
+    return w.select(F.lower("w").alias("numeral")).where("numeral RLIKE '^[ivxlcdm]+$'").distinct().withColumn("value", rd.roman_value(F.col("numeral")))
+
+
+_WIKI = "{{đầu đề|tên={{x}}\n|năm=1}} rest\n{{g|:Mr {{SIC|Jhon|John}} came.<ref>a  note</ref>}}\n[[File:p.jpg|thumb]]'''Bold''' [[Page|shown]] and [[plain]]<br/>.<ref>two</ref><ref name=x/>\n\n{{biên trái|2em|Inside}}"
+
+
+@query(f"SELECT p_partkey, 'Mr Jhon came.[1]' || chr(10) || chr(10) || 'Bold shown and plain.[2]' || chr(10) || chr(10) || 'Inside' || chr(10) || chr(10) || '▲ a note' || chr(10) || chr(10) || '▲ ' || p_name AS text, 2 AS notes FROM part")
+def src11_wikitext(spark, sf_dir):
+    """A page of every construct, with a part's name in its last note."""
+    source = F.replace(F.lit(_WIKI), F.lit("<ref>two"), F.concat(F.lit("<ref>"), "p_name"))
+    text, notes = rd.plain_wikitext(source)
+    return table(spark, sf_dir, "part").select("p_partkey", text.alias("text"), F.size(notes).alias("notes"))

@@ -8,7 +8,6 @@ one row with an error and no text.
 from __future__ import annotations
 
 import io
-import json
 import posixpath
 import re
 import unicodedata
@@ -22,6 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from versehall.functions.text import is_heading, natural_key
+from versehall.operators.merge import content_keys
+from versehall.operators.sequential import explode_text
 from versehall.session import ship
 
 SCHEMA = "path string, title string, chapter int, text string, error string"
@@ -81,9 +82,29 @@ def html_text(html: str) -> str:
 
 def docx_text(data: bytes) -> str:
     """SRC9: paragraphs of a word-processor file."""
+    return "\n".join(t for _, t in _docx_paragraphs(data))
+
+
+def _docx_paragraphs(data: bytes) -> list[tuple[bool, str]]:
+    """(whether it bears a heading or title style, text) of each paragraph."""
     w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
     root = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(data)).read("word/document.xml"))
-    return "\n".join("".join(t.text or "" for t in p.iter(f"{w}t")) for p in root.iter(f"{w}p"))
+    style = lambda p: next((s.get(f"{w}val") or "" for s in p.iter(f"{w}pStyle")), "")
+    return [(bool(re.match(r"(?i)heading\s*[12]\b|heading[12]\b|title", style(p))), "".join(t.text or "" for t in p.iter(f"{w}t"))) for p in root.iter(f"{w}p")]
+
+
+def docx_chapters(data: bytes, name: str) -> list[tuple[str, str]]:
+    """SRC9: a chapter begins at each paragraph of a heading style; what stands before the first is one
+    of the file's name."""
+    out: list[tuple[str, list[str]]] = []
+    for heading, text in _docx_paragraphs(data):
+        if heading and text.strip():
+            out.append((text.strip(), [text]))
+        elif text.strip() or out:
+            if not out:
+                out.append((name, []))
+            out[-1][1].append(text)
+    return [(title, "\n".join(lines)) for title, lines in out]
 
 
 def epub_chapters(data: bytes) -> list[tuple[str, str]]:
@@ -109,12 +130,58 @@ def chapters_of(path: str, data: bytes) -> list[tuple[str, str]]:
     if ending == "epub":
         return epub_chapters(data)
     if ending == "docx":
-        return [(name, docx_text(data))]
+        return docx_chapters(data, name) or [(name, "")]
     if ending in ("html", "htm", "xhtml"):
         return [(name, html_text(decode(data)))]
     return [(name, decode(data))]
 
 
+class _Paragraphs(HTMLParser):
+    """SRC12: the visible <p> of a page."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out: list[list[str]] = []
+        self.open, self.hidden = False, 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag in _HIDDEN:
+            self.hidden += 1
+        elif tag == "p":
+            named = dict(attrs)
+            style = (named.get("style") or "").replace(" ", "").lower()
+            self.open = "hidden" not in named and "display:none" not in style and "visibility:hidden" not in style
+            if self.open:
+                self.out.append([])
+        elif tag in _BLOCK and tag != "br":
+            self.open = False
+        elif self.open and tag == "br":
+            self.out[-1].append("\n")
+
+    def handle_endtag(self, tag):
+        if tag in _HIDDEN and self.hidden:
+            self.hidden -= 1
+        elif tag == "p":
+            self.open = False
+
+    def handle_data(self, data):
+        if self.open and not self.hidden:
+            self.out[-1].append(data)
+
+
+def web_paragraphs(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """SRC12: (key, pos, text) of the paragraphs of web chapters, those hidden by an attribute or style
+    left out."""
+
+    def cut(source: str | None) -> list[str]:
+        p = _Paragraphs()
+        p.feed(source or "")
+        p.close()
+        return [" ".join("".join(x).split()) for x in p.out]
+
+    return explode_text(pages, key, html, cut, "text string")
+
+
 def read_books(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """SRC3, SRC6: chapters of all files under `path`, with `order_key` in natural order of names."""
     ship(spark)
@@ -203,10 +270,15 @@ def blinded_report(scores: DataFrame, model: str, seed: str) -> tuple[DataFrame,
     return scores.join(key, model).drop(model), key
 
 
-def manifest(chapters: DataFrame, by: str) -> DataFrame:
-    """SNK4: files, words and digest of each group."""
-    words = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
-    return chapters.groupBy(by).agg(F.count("*").alias("files"), F.sum(words).alias("words"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.sha2("text", 256))), "\n"), 256).alias("digest"))
+def manifest(chapters: DataFrame, by: str, name: Column | None = None) -> DataFrame:
+    """SNK4: files, words, characters and one digest of each group, whatever the order of its files:
+    files are dealt to 4096 parts by their name (without one, by their text), whose sorted digests are
+    digested in turn."""
+    name = F.sha2(F.coalesce("text", F.lit("")), 256) if name is None else name
+    words = F.coalesce(F.regexp_count("text", F.lit(r"\S+")), F.lit(0))
+    sums = chapters.groupBy(by).agg(F.count("*").alias("files"), F.sum(words).cast("long").alias("words"), F.sum(F.coalesce(F.length("text"), F.lit(0))).cast("long").alias("chars"))
+    keys = content_keys(chapters, by, name, F.sha2(F.coalesce("text", F.lit("")), 256)).withColumnRenamed("key", "digest")
+    return sums.join(keys, sums[by].eqNullSafe(keys[by])).drop(keys[by])
 
 
 def drift(old: DataFrame, new: DataFrame, by: str) -> DataFrame:
@@ -215,20 +287,3 @@ def drift(old: DataFrame, new: DataFrame, by: str) -> DataFrame:
     b = new.select(by, F.col("digest").alias("now"))
     state = F.when(F.col("was").isNull(), "new").when(F.col("now").isNull(), "gone").otherwise("changed")
     return a.join(b, by, "full_outer").where(~F.col("was").eqNullSafe(F.col("now"))).select(by, state.alias("state"))
-
-
-def gold_json(rows: list[dict]) -> str:
-    """Rows as JSON lines."""
-    return "".join(json.dumps(r, ensure_ascii=False) + "\n" for r in rows)
-
-
-_ROMAN = re.compile(r"^(?=[mdclxvi])m*(?:c[md]|d?c{0,3})(?:x[cl]|l?x{0,3})(?:i[xv]|v?i{0,3})$", re.I)
-
-
-def roman_value(text: str) -> int | None:
-    """value of a roman numeral, null if it is none."""
-    if not _ROMAN.match(text or ""):
-        return None
-    worth = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
-    n = [worth[c] for c in text.lower()]
-    return sum(-a if a < b else a for a, b in zip(n, [*n[1:], 0]))
