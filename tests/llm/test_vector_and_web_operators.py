@@ -184,6 +184,35 @@ def test_page_text_outside_the_largest_box(spark):
     assert [got[i] for i in range(len(cases))] == want
 
 
+def test_page_text_of_many_templates(spark):
+    """Hosts of ten templates with random boilerplate around a known article."""
+    rng = random.Random(5)
+    words = lambda n: " ".join(rng.choice("lorem ipsum dolor sit amet elit sed do eiusmod tempor".split()) for _ in range(n)).capitalize()
+    junk = [
+        lambda: f"<nav><ul><li><a href=/>{words(2)}</a><li><a href=/>{words(1)}</a></ul></nav>", lambda: f"<aside class='sidebar'><p>{words(30)}</p></aside>", lambda: f"<div class='cookie-banner'>{words(12)}</div>",
+        lambda: f"<div id='comments'><h3>2 comments</h3><p>{words(25)}</p></div>", lambda: f"<footer>{words(9)} &copy;</footer>", lambda: f"<form><input><button>{words(2)}</button></form>", lambda: f"<div class='ad-box ads'><p>{words(14)}</p></div>",
+        lambda: f"<script>var a = '<p>{words(5)}</p>';</script>", lambda: f"<style>p{{}}</style><!-- {words(8)} -->", lambda: f"<div style='display:none'><p>{words(20)}</p></div>",
+    ]
+    boxes = ["<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>", "<div class='post-body'>{}</div>", "<div id=content><div class='entry'>{}</div></div>", "<section class='text'>{}</section>", "<table><tr><td>{}</td></tr></table>", "<div><div><div class='a1'>{}</div></div></div>", "<center>{}</center>", "<div class='wrap'><section>{}</section></div>"]
+    rows, want = [], {}
+    for host, box in enumerate(boxes):
+        for i in range(6):
+            blocks = [("h1", words(4))] + [(rng.choice(["p", "p", "p", "blockquote", "h2"]), words(rng.randint(12, 40))) for _ in range(rng.randint(3, 8))]
+            body = "".join(f"<{t}>{x[:9]}<b>{x[9:]}</b></{t}>\n" for t, x in blocks)
+            some = rng.sample(junk, 5)
+            html = f"<html><body><div class=page>{some[0]()}{some[1]()}{box.format(body)}{some[2]()}{some[3]()}{some[4]()}</div></body></html>"
+            rows.append((host * 100 + i, f"https://h{host}.example/{i}", html))
+            want[host * 100 + i] = "\n".join(x for _, x in blocks)
+    got = {r["page_id"]: r["text"] for r in consensus_html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
+def test_page_nesting_is_linear():
+    for source in ("<div>" * 30000 + "text " * 50 + "</div>" * 30000, "<b>" * 20000 + "</p>x" * 20000, "<b>" * 20000 + "<p>t</p>" * 20000):
+        page = consensus_html.Page(source)
+        assert page.choose(page.path(page.best()))[0]
+
+
 # -- archives ---------------------------------------------------------------------------------
 
 INSIDE = "WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nhello\r\n\r\nWARC/1.0\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"

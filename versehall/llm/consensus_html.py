@@ -7,9 +7,15 @@ container where it has no such element. Where these miss headings or paragraphs
 container, that is added if the page's top heading is among them or other pages of the host vote
 for the same container; a page alone in this keeps to its host's path.
 
+The pass over a page and the choice of its container take time in proportion to the page, however
+deep its elements are nested: open elements are counted by name, a path is a parent and a step, and
+subtrees that hold too little are passed over whole.
+
 Defined cases: null or blank html gives an empty text; broken and cut-off markup is read as far as
-it goes; a page without a host (null or odd url) votes for the empty host; repeated rows give
-repeated results; an empty table an empty result; other columns of the pages play no part.
+it goes; of paths with equal votes (to 6 decimals) the greater in code point order wins, of equally good elements
+the first; a page without a host (null or odd url) votes for the empty host; repeated rows give
+repeated results and vote as often; an empty table an empty result; other columns of the pages play
+no part.
 """
 
 from __future__ import annotations
@@ -17,12 +23,13 @@ from __future__ import annotations
 import html as entities
 import re
 from bisect import bisect_left
+from collections import Counter
 from functools import cached_property, lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from versehall.llm.common import in_arrow, stage
+from versehall.llm.common import attach, in_arrow, stage
 
 # Element kinds of HTML, and words that name parts of a page in class, id and role.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -45,6 +52,7 @@ CLOSES = {  # elements that a start tag ends when they are open right above
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
     "option": {"option"}, "tbody": {"tr", "td", "th", "tbody", "thead"}, "thead": set(), "tfoot": {"tr", "td", "th", "tbody"},
 }
+SEPARATOR = "\n"  # of a path's steps; labels hold no white space
 PARAGRAPHS = {"p", "blockquote", "pre"}
 SENTENCE = 10  # words that make a block of any other kind a paragraph
 SHARE = 0.6  # of the parent's running text that makes a container the better one
@@ -66,7 +74,7 @@ def _about(attrs: str) -> tuple[str, str]:
     names = named.get("class", "").split() + [named[k] for k in ("id", "role") if named.get(k)]
     label = "".join(sorted({"." + x for x in (re.sub(r"\d+", "", c.lower()).strip("-_") for c in named.get("class", "").split()) if x}))
     if named.get("id") and not re.search(r"\d", named["id"]):
-        label += "#" + named["id"].lower()
+        label += "#" + "".join(named["id"].lower().split())
     verdict = ""
     for name in names:
         words = {w.lower() for w in _PART.findall(name)}
@@ -84,10 +92,25 @@ class Page:
     """Elements in document order with the text runs that may count, from one tolerant pass."""
 
     def __init__(self, html: str):
-        self.tags, self.paths, self.ends, self.parents = ["#"], [""], [0], [0]
+        self.tags, self.steps, self.ends, self.parents, self.blocks = ["#"], [(-1, "")], [0], [0], [0]
+        self.path_of = [0]  # of each element: the place of its path in `steps`
+        self._steps: dict[tuple[int, str], int] = {}
         self.runs: list[tuple[int, int, str, bool]] = []  # element, block, text, inside a link
         open_, state, block, at = [0], [""], 0, 0  # state: "" wanted, "skip", "head" (headings only), "in" (wanted, inside an article)
-        links = 0
+        links, names, walls = 0, Counter(), []  # open elements by name; places of the open blocks in `open_`
+
+        def shut(to: int) -> None:
+            """Close the open elements from place `to` on."""
+            nonlocal block, links
+            while len(open_) > to:
+                i = open_.pop()
+                state.pop()
+                self.ends[i] = len(self.tags)
+                names[self.tags[i]] -= 1
+                links -= self.tags[i] == "a"
+                if walls and walls[-1] == len(open_):
+                    walls.pop()
+
         for m in _TAG.finditer(html):
             if m.start() > at:
                 self._text(html[at : m.start()], open_, state, block, links)
@@ -97,32 +120,21 @@ class Page:
                 continue
             tag = name.lower()
             if m["end"]:
-                if tag in self._open_tags(open_):
-                    while True:
-                        i = open_.pop()
-                        state.pop()
-                        self.ends[i] = len(self.tags)
-                        links -= self.tags[i] == "a"
-                        if self.tags[i] in BLOCKS:
-                            block += 1
-                        if self.tags[i] == tag:
-                            break
+                if names[tag] > 0:
+                    k = len(open_) - 1
+                    while self.tags[open_[k]] != tag:
+                        k -= 1
+                    block += sum(self.tags[i] in BLOCKS for i in open_[k:])
+                    shut(k)
                 elif tag == "p":
                     block += 1
                 continue
             if tag in BLOCKS:
                 block += 1
-                shut = {"p"} if tag not in ("option",) else {"option"}
-                shut = shut | CLOSES.get(tag, set())
+                closed = ({"p"} if tag != "option" else {"option"}) | CLOSES.get(tag, set())
                 # a block ends an open paragraph and what it left open inside
-                k = next((k for k in range(len(open_) - 1, 0, -1) if self.tags[open_[k]] in BLOCKS), 0)
-                while k and self.tags[open_[k]] in shut:
-                    while len(open_) > k:
-                        i = open_.pop()
-                        state.pop()
-                        self.ends[i] = len(self.tags)
-                        links -= self.tags[i] == "a"
-                    k = next((k for k in range(len(open_) - 1, 0, -1) if self.tags[open_[k]] in BLOCKS), 0)
+                while walls and self.tags[open_[walls[-1]]] in closed:
+                    shut(walls[-1])
             elif tag == "br":
                 self._text(" ", open_, state, block, links)
             if tag in VOID:
@@ -141,11 +153,15 @@ class Page:
                 new = "in" if tag in ("article", "main") else kind
             if not attrs.endswith("/") or tag in BLOCKS or tag == "a":
                 links += tag == "a"
+                names[tag] += 1
+                if tag in BLOCKS:
+                    walls.append(len(open_))
                 open_.append(len(self.tags))
                 state.append(new)
+                self.blocks.append(len(self.tags) if tag in BLOCKS else self.blocks[up])
                 self.tags.append(tag)
                 self.parents.append(up)
-                self.paths.append(f"{self.paths[up]}>{tag}{label}" if tag in CONTAINERS else self.paths[up])
+                self.path_of.append(self._step(self.path_of[up], f"{tag}{label}") if tag in CONTAINERS else self.path_of[up])
                 self.ends.append(-1)
         if at < len(html) and "<" not in html[at : at + 1]:
             self._text(html[at:], open_, state, block, links)
@@ -159,8 +175,29 @@ class Page:
         for i in range(len(self.tags) - 1, 0, -1):
             self.good[self.parents[i]] += self.good[i]
 
-    def _open_tags(self, open_: list[int]) -> list[str]:
-        return [self.tags[i] for i in open_]
+    def _step(self, path: int, step: str) -> int:
+        known = self._steps.get((path, step))
+        if known is None:
+            known = self._steps[path, step] = len(self.steps)
+            self.steps.append((path, step))
+        return known
+
+    def path(self, i: int) -> str:
+        """An element's path: its containers' steps."""
+        out, at = [], self.path_of[i]
+        while at:
+            at, step = self.steps[at]
+            out.append(step)
+        return "".join(SEPARATOR + x for x in reversed(out))
+
+    def _place(self, path: str) -> int | None:
+        """The place of a path in `steps`, if the page has it."""
+        at: int | None = 0
+        for step in path.split(SEPARATOR)[1:]:
+            at = self._steps.get((at, step))
+            if at is None:
+                return None
+        return at
 
     def _text(self, raw: str, open_: list[int], state: list[str], block: int, links: int) -> None:
         if state[-1] not in ("skip", "head"):
@@ -176,13 +213,17 @@ class Page:
                 i = max(own, key=lambda i: (self.good[i], -i))
                 if self.good[i] >= SHARE * sum(self.good[j] for j in own if self.parents[j] != i) and self.good[i] >= total / 4:
                     return i
-        at = 0
-        while True:
-            # children that are containers, through elements that are none
-            inner = [i for i in range(at + 1, self.ends[at]) if self.tags[i] in CONTAINERS and self.tags[i] != "blockquote" and self.good[i] >= SHARE * self.good[at]]
-            if not inner or not self.good[at] or self.wanted(inner[0]) < self.wanted(at):
-                return at
-            at = inner[0]
+        at, i = 0, 1
+        while i < self.ends[at]:
+            if self.good[i] < SHARE * self.good[at] or not self.good[at]:
+                i = self.ends[i]  # nothing in it can hold the share
+            elif self.tags[i] not in CONTAINERS or self.tags[i] == "blockquote":
+                i += 1
+            elif self.wanted(i) < self.wanted(at):
+                break
+            else:
+                at, i = i, i + 1
+        return at
 
     @cached_property
     def kept(self) -> list[tuple[int, int]]:
@@ -196,20 +237,25 @@ class Page:
                 b[1].append(text)
         out = []
         for i, parts, links in blocks.values():
-            at, own = i, "".join(parts)
-            while at and self.tags[at] not in BLOCKS:
-                at = self.parents[at]
-            tag = self.tags[at]
+            own, tag = "".join(parts), self.tags[self.blocks[i]]
             if tag in HEADINGS and (links or own.strip()):
                 out.append((i, int(tag[1])))
             elif len(own.strip()) > links and (tag in PARAGRAPHS or len(own.split()) >= SENTENCE):
                 out.append((i, 7))
         return out
 
+    @cached_property
+    def _places(self) -> list[int]:
+        return sorted(i for i, _ in self.kept)
+
     def wanted(self, *ats: int) -> int:
         """How many headings and paragraphs stand in these elements."""
-        inside = self._inside(ats)
-        return sum(inside[i] for i, _ in self.kept)
+        at, n, upto = self._places, 0, 0
+        for i in sorted(ats, key=lambda i: (i, -self.ends[i])):
+            if self.ends[i] > upto:  # elements lie in one another or apart
+                n += bisect_left(at, self.ends[i]) - bisect_left(at, i)
+                upto = self.ends[i]
+        return n
 
     def _inside(self, ats: tuple[int, ...]) -> bytearray:
         """1 for every element within these."""
@@ -220,11 +266,11 @@ class Page:
 
     def at_path(self, path: str) -> list[int]:
         """The elements of that path: the one with most running text, and all with headings or paragraphs."""
-        found = [i for i, p in enumerate(self.paths) if p == path and self.tags[i] in CONTAINERS]
+        place = self._place(path)
+        found = [i for i, p in enumerate(self.path_of) if p == place and self.tags[i] in CONTAINERS]
         if len(found) < 2:
             return found
-        most = max(found, key=lambda i: (self.good[i], -i))
-        at = sorted(i for i, _ in self.kept)
+        most, at = max(found, key=lambda i: (self.good[i], -i)), self._places
         return [i for i in found if i == most or bisect_left(at, i) < bisect_left(at, self.ends[i])]
 
     def choose(self, path: str | None) -> tuple[str, str | None, str]:
@@ -233,13 +279,13 @@ class Page:
         own = self.best()
         ats = self.at_path(path) if path else []
         if not ats or sum(self.good[i] for i in ats) < self.good[own] / 10:  # another template's element
-            return self.text(own), None, self.paths[own]
+            return self.text(own), None, self.path(own)
         if own in ats or self.wanted(own, *ats) == self.wanted(*ats):
-            return self.text(*ats), None, self.paths[own]
+            return self.text(*ats), None, self.path(own)
         top = min(self.kept, key=lambda k: k[1])
         if top[1] < 7 and self._inside((own,))[top[0]] and not self._inside(tuple(ats))[top[0]]:
-            return self.text(own, *ats), None, self.paths[own]
-        return self.text(*ats), self.text(own, *ats), self.paths[own]
+            return self.text(own, *ats), None, self.path(own)
+        return self.text(*ats), self.text(own, *ats), self.path(own)
 
     def text(self, *ats: int) -> str:
         """Text of elements: blocks in order, joined by newlines, their white space single."""
@@ -265,7 +311,7 @@ def extract(pages: DataFrame) -> DataFrame:
         for html in part["html"]:
             page = Page(html or "")
             at = page.best()
-            paths.append(page.paths[at])
+            paths.append(page.path(at))
             weight.append(page.good[at] / page.good[0] if page.good[0] else 0.0)
         return {"host": part["host"], "path": paths, "weight": weight}
 
@@ -273,11 +319,7 @@ def extract(pages: DataFrame) -> DataFrame:
     tally = stage(votes.groupBy("host", "path").agg(F.sum("weight").alias("votes"), F.count("*").alias("n")), "host-votes")
     ranked = F.struct(F.round("votes", 6).alias("votes"), "path")
     won = stage(tally.groupBy("host").agg(F.max(ranked).alias("r")).select("host", F.col("r.path").alias("path")), "host-paths")
-    shared = tally.where("n > 1").select("host", F.col("path").alias("own"), F.lit(True).alias("shared"))
-    if won.count() <= 100_000:  # 100,000 hosts of some 100 bytes; beyond that rows are dealt out by host
-        won = F.broadcast(won)
-    if shared.count() <= 100_000:
-        shared = F.broadcast(shared)
+    shared = tally.where("n > 1").select(F.xxhash64("host", "path").alias("vote"), F.lit(True).alias("shared")).distinct()
 
     def take(part: dict) -> dict:
         got = [Page(html or "").choose(path) for html, path in zip(part["html"], part["path"])]
@@ -285,6 +327,9 @@ def extract(pages: DataFrame) -> DataFrame:
 
     kinds = dict(pages.dtypes)
     fields = f"page_id {kinds['page_id']}, url {kinds['url']}, host string, own string, text string, whole string"
-    both = in_arrow(rows.join(won, "host", "left").select("page_id", "url", "html", "host", "path"), take, fields)
+    # a host of its own size: beyond a broadcast its pages are dealt out by a salt, too
+    placed = attach(rows, won, "host", F.col("html")).select("page_id", "url", "html", "host", "path")
+    both = in_arrow(placed, take, fields).withColumn("vote", F.xxhash64("host", "own"))
     text = F.when(F.col("shared"), F.coalesce("whole", "text")).otherwise(F.col("text"))
-    return both.join(shared, ["host", "own"], "left").select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    both = attach(both, shared, "vote", F.col("text"))
+    return both.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
