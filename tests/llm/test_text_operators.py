@@ -6,6 +6,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -406,6 +407,65 @@ def test_language(spark):
     assert len(blank) == len(ODD) and {r["lang"] for r in blank} == {None}
 
 
+def test_language_held_out(spark):
+    """Each document by the counts of other folds; each page by text and host alone against what its markup and address say."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    none = F.lit(None).cast("string")
+    where = language_id.address(F.col("url"))
+    rows = pages.select("page_id", F.col("html").alias("text"), language_id.declared(F.col("html")).alias("truth"), *[where[k].alias(k) for k in ("host", "domain", "suffix")], none.alias("code"), none.alias("declared"))
+    got = language_id.identify(rows, docs.select("text", "lang"), True).collect()
+    assert sum(r["lang"] == r["truth"] for r in got) >= 0.97 * len(got)
+    frame = docs.select("doc_id", F.col("lang").alias("truth"), "text", F.col("source").alias("host"), *[none.alias(c) for c in ("domain", "suffix", "code", "declared")])
+    own = language_id.identify(frame, docs.select("text", "lang"), held=True).collect()
+    assert sum(r["lang"] == r["truth"] for r in own) >= 0.95 * len(own)
+    # a label of its own is no evidence: alone in its language, a text cannot be found to be in it
+    odd = spark.createDataFrame([(1, "qqq zzz xxx qqq zzz", "xx"), (2, "the and of with that", "en"), (3, "the of and that with", "en"), (4, "that the and of the", "en"), (5, "of the that and with", "en")], "doc_id long, text string, lang string")
+    frame = odd.select("doc_id", "text", *[none.alias(c) for c in language_id.KEYS])
+    one = {r["doc_id"]: r for r in language_id.identify(frame, odd.select("text", "lang"), held=True).collect()}
+    langs, model = language_id.text_model(odd.select("text", "lang"))
+    fold = odd.select(language_id.fold_of(F.col("text"))).first()[0]
+    assert np.allclose(model[fold, :, langs.index("xx")], model[fold, 0, langs.index("xx")]) and len(one) == 5
+
+
+def test_language_sums_against_loops():
+    """Fusion of sparse sums against the formulas row by row."""
+    rng = np.random.default_rng(2)
+    n, k = 40, 3
+    ll = np.maximum(rng.normal(-3, 3, (n, k)), -60)
+    post = np.exp(ll) / np.exp(ll).sum(1, keepdims=True)
+    keys = {kind: [rng.choice(["a", "b", None]) for _ in range(n)] for kind in language_id.KEYS}
+    total = post.sum(0)
+    sums = {kind: [None if v is None else [{"i": i, "n": sum(post[j, i] for j in range(n) if vs[j] == v)} for i in range(k)] for v in vs] for kind, vs in keys.items()}
+    got, prior = language_id.fuse(ll, sums, total)
+    for r in range(n):
+        level = [(total[i] + 1) / (n + k) for i in range(k)]
+        rest = lambda kind: [sum(post[j, i] for j in range(n) if j != r and keys[kind][j] == keys[kind][r] and keys[kind][r] is not None) for i in range(k)]
+        for kind in ("domain", "host"):
+            own = rest(kind)
+            level = [(own[i] + 4 * level[i]) / (sum(own) + 4) for i in range(k)]
+        logs = [np.log(level[i]) + ll[r, i] for i in range(k)]
+        for kind in ("declared", "suffix", "code"):
+            own = rest(kind)
+            if keys[kind][r] is not None:
+                logs = [logs[i] + np.log((own[i] + 4 * (sum(own) + 1) / (n + 1)) / (total[i] + 4)) for i in range(k)]
+        want = np.exp(logs - np.max(logs))
+        assert np.allclose(got[r], want / want.sum()) and np.allclose(prior[r], level)
+
+
+def test_many_languages_and_clashing_ids(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MODEL", 4096)
+    rng = random.Random(4)
+    vocab = {f"l{i:03d}": ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(5)] for i in range(600)}
+    rows = [(j, " ".join(rng.choices(w, k=12)), lang) for j, (lang, w) in enumerate(x for x in vocab.items() for _ in range(3))]
+    docs = spark.createDataFrame(rows, "ll long, text string, lang string")
+    none = F.lit(None).cast("string")
+    frame = docs.select("ll", F.lit(1).alias("post"), F.lit(2).alias("ids"), F.lit(3).alias("n"), "text", *[none.alias(c) for c in language_id.KEYS])
+    got = language_id.identify(frame, docs.select("text", "lang"))
+    assert got.columns == ["ll", "post", "ids", "n", "lang", "probability", "text_lang", "host_prior"]
+    assert got.count() == 1800
+
+
 def test_language_evidence_beyond_text(spark):
     """A page without letters takes the language of its host, and of what it declares."""
     train = spark.createDataFrame([("the and of with that", "en"), ("der und das nicht mit", "de")], "text string, lang string")

@@ -1,35 +1,46 @@
 """Language by Bayesian fusion of the text with what is known about its address.
 
-Four kinds of evidence are multiplied: the text (character trigrams, counted per language over all
-labelled documents), the language the markup declares, the suffix of the address and a language
-code in it, and a prior of the host. How far a declaration or a suffix is to be trusted is learnt
-from the data: P(value | language) by grouped sums of the text posteriors. Host priors are smoothed
-down the hierarchy all -> domain -> host, each level with the weight of KAPPA rows of the one above,
-and leave the row itself out.
+Four kinds of evidence are multiplied: the text (character trigrams, counted per language over the
+labelled documents), the language the markup declares, the suffix of the address and a language code
+in it, and a prior of the host. How far a declaration or a suffix is to be trusted is learnt from the
+data: P(value | language) by grouped sums of the text posteriors. Host priors are smoothed down the
+hierarchy all -> domain -> host, each level with the weight of KAPPA rows of the one above.
+
+Nothing is judged by itself: labelled texts are dealt to FOLDS by a hash of the text, and rows that are
+among them (`held`) are scored by the trigrams of the other folds, so neither a document's own label
+nor that of its copies is evidence for it; and every row is left out of the sums of its host, domain,
+suffix, code and declaration.
+
+There may be any number of languages: trigrams are hashed to so many buckets that the model holds at
+most MODEL numbers, which is what reaches the driver and every task. Sums of evidence are sparse.
 
 Defined cases: null or letterless texts say nothing about the language, the other evidence decides;
-missing url, host or declaration say nothing either; without labelled documents the language is
-null; repeated rows give repeated results; an empty table gives an empty result.
+texts of any length count whole; missing url, host or declaration say nothing either; without
+labelled documents the language is null; equally likely languages go to the first in code point
+order; repeated rows give repeated results and count as often; id columns may have any names; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from versehall.llm.common import in_arrow, ship, stage
+from versehall.llm.common import attach, in_arrow, ship, stage
 
 BUCKETS = 1 << 16
+MODEL = 1 << 22
+FOLDS = 3
 TEMPER = 1 / 3  # each character is in three trigrams
 MOST = 60.0  # nats that a text may add against the likeliest language: models are never that sure
+LEAST = 1e-9  # probability of a language below which a text is no evidence for it
 KAPPA = 4.0
-MOST_LANGUAGES = 500
+KEYS = ["host", "domain", "declared", "suffix", "code"]
 _MARKUP = re.compile(r"<(script|style)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<[^>]*>?", re.S | re.I)
 _LETTER = np.array([chr(i).isalpha() for i in range(0x3000)] + [True])
 
@@ -56,35 +67,43 @@ def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return h[ok].astype(np.int64), np.maximum(n, 0)
 
 
+def fold_of(text: Column) -> Column:
+    return F.pmod(F.xxhash64(text), F.lit(FOLDS)).cast("int")
+
+
 def text_model(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages and log probabilities (BUCKETS, languages) from all rows (text, lang). At most
-    BUCKETS rows a language reach the driver."""
+    """Languages and log probabilities (FOLDS + 1, buckets, languages) from all rows (text, lang): those
+    of a fold come from the texts of the others, the last ones from all."""
     ship(labelled.sparkSession)
     known = labelled.where("lang IS NOT NULL")
-    if known.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    schema = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("n", pa.int64())])
+    langs = sorted(r["lang"] for r in known.select("lang").distinct().collect())  # languages
+    if not langs:
+        return [], np.empty((FOLDS + 1, 1, 0), np.float32)
+    buckets = BUCKETS
+    while buckets > 1 and (FOLDS + 1) * buckets * len(langs) > MODEL:
+        buckets //= 2
+    schema = pa.schema([("lang", pa.string()), ("fold", pa.int32()), ("bucket", pa.int32()), ("n", pa.int64())])
 
     def count(batches):
-        sums: dict[str, np.ndarray] = {}
+        sums: dict[tuple, np.ndarray] = {}
         for batch in batches:
-            langs, texts = (batch.column(k).to_pylist() for k in ("lang", "text"))
-            for lang in set(langs):
-                for i in range(0, len(texts), 256):
-                    own = [t for t, x in zip(texts[i : i + 256], langs[i : i + 256]) if x == lang]
-                    if own:
-                        sums[lang] = sums.get(lang, 0) + np.bincount(trigrams(own)[0], minlength=BUCKETS)
-        for lang, n in sums.items():
+            for i in range(0, batch.num_rows, 256):
+                names, folds, texts = (batch.slice(i, 256).column(k).to_pylist() for k in ("lang", "fold", "text"))
+                for key in set(zip(names, folds)):
+                    own = [t for *k, t in zip(names, folds, texts) if tuple(k) == key]
+                    sums[key] = sums.get(key, 0) + np.bincount(trigrams(own)[0] % buckets, minlength=buckets)
+        for (lang, fold), n in sums.items():
             at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at, pa.int32()), pa.array(n[at])], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array([fold] * len(at), pa.int32()), pa.array(at, pa.int32()), pa.array(n[at])], schema=schema)
 
-    rows = known.select("lang", "text").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(rows["lang"].unique())
-    counts = np.full((BUCKETS, len(langs)), 0.5)
-    for i, lang in enumerate(langs):
-        own = rows[rows["lang"] == lang]
-        counts[own["bucket"], i] += own["n"]
-    return langs, np.log(counts / counts.sum(0)).astype(np.float32)
+    rows = known.select("lang", fold_of(F.col("text")).alias("fold"), "text").mapInArrow(count, "lang string, fold int, bucket int, n long")
+    rows = rows.groupBy("lang", "fold", "bucket").agg(F.sum("n").alias("n")).groupBy("lang", "fold").agg(F.collect_list(F.struct("bucket", "n")).alias("x"))
+    counts, place = np.zeros((FOLDS, buckets, len(langs))), {x: i for i, x in enumerate(langs)}
+    for r in rows.collect():  # at most MODEL pairs of numbers
+        at = np.array([tuple(x) for x in r["x"]], np.int64)
+        counts[r["fold"], at[:, 0], place[r["lang"]]] = at[:, 1]
+    rest = np.concatenate([counts.sum(0) - counts, counts.sum(0)[None]]) + 0.5
+    return langs, np.log(rest / rest.sum(1, keepdims=True)).astype(np.float32)
 
 
 def address(url: Column) -> dict[str, Column]:
@@ -103,74 +122,87 @@ def declared(html: Column) -> Column:
     return F.when(tag != "", F.lower(tag)).when(meta != "", F.lower(meta))
 
 
-def identify(rows: DataFrame, labelled: DataFrame, is_html: bool | Column = False) -> DataFrame:
+def fuse(ll: np.ndarray, sums: dict[str, list], total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Posteriors (rows, languages) and host priors from text log likelihoods, sparse sums of evidence by
+    kind (per row a list of (language, sum), or None without a value) and the sums of all rows."""
+    n = ll.shape[1]
+    post = np.exp(ll - ll.max(1, keepdims=True))
+    post /= post.sum(1, keepdims=True)
+
+    def others(kind: str) -> tuple[np.ndarray, np.ndarray]:
+        """The kind's sums without the row itself, and which rows have a value."""
+        out = np.zeros(ll.shape)
+        for row, pairs in zip(out, sums[kind]):
+            for x in pairs or ():
+                row[x["i"]] = x["n"]
+        has = np.array([x is not None for x in sums[kind]])
+        return np.maximum(out - np.where(has[:, None], post, 0.0), 0.0), has
+
+    prior = np.tile((total + 1) / (total.sum() + n), (len(ll), 1))
+    for kind in ("domain", "host"):
+        own, _ = others(kind)
+        prior = (own + KAPPA * prior) / (own.sum(1, keepdims=True) + KAPPA)
+    logs = np.log(prior) + ll
+    for kind in ("declared", "suffix", "code"):  # log P(value | language), nothing where there is no value
+        own, has = others(kind)
+        share = (own.sum(1, keepdims=True) + 1) / (total.sum() + 1)
+        logs += np.where(has[:, None], np.log((own + KAPPA * share) / (total + KAPPA)), 0.0)
+    out = np.exp(logs - logs.max(1, keepdims=True))
+    return out / out.sum(1, keepdims=True), prior
+
+
+def identify(rows: DataFrame, labelled: DataFrame, is_html: bool | Column = False, held: bool | Column = False) -> DataFrame:
     """Rows (id columns, text, host, domain, suffix, code, declared) with lang, probability,
-    text_lang and host_prior (of lang). `is_html` says which texts are markup."""
+    text_lang and host_prior (of lang). `is_html` says which texts are markup, `held` which rows are
+    among the labelled ones."""
     langs, log_p = text_model(labelled)
-    ids = [c for c in rows.columns if c not in ("text", "host", "domain", "suffix", "code", "declared")]
+    ids = [c for c in rows.columns if c not in ("text", *KEYS)]
     if not langs:
         none = F.lit(None)
         return rows.select(*ids, none.cast("string").alias("lang"), none.cast("double").alias("probability"), none.cast("string").alias("text_lang"), none.cast("double").alias("host_prior"))
     shared = rows.sparkSession.sparkContext.broadcast(log_p)
-    given = rows.withColumn("__html", is_html if isinstance(is_html, Column) else F.lit(is_html))
-    keep = [c for c in given.columns if c not in ("text", "__html")]
-    kinds = dict(given.dtypes)
+    column = lambda x: x if isinstance(x, Column) else F.lit(x)
+    named = F.struct(*[F.col(c) for c in ids]) if ids else F.struct(F.lit(0).alias("none"))
+    given = rows.select(named.alias("ids"), "text", F.when(column(held), fold_of(F.col("text"))).otherwise(FOLDS).alias("fold"), column(is_html).alias("html"), *KEYS)
+    kind = dict(given.dtypes)["ids"]
 
     def likelihood(part: dict) -> dict:
         table = shared.value
-        texts = [visible(t) if h else t for t, h in zip(part.pop("text"), part.pop("__html"))]
+        texts = [visible(t) if h else t for t, h in zip(part.pop("text"), part.pop("html"))]
         grams, n = trigrams(texts)
-        sums = np.zeros((len(n), table.shape[1]))
+        at = grams % table.shape[1] + np.repeat(np.array(part.pop("fold")), n) * table.shape[1]
+        flat = table.reshape(-1, table.shape[2])
+        sums = np.zeros((len(n), table.shape[2]))
         some = np.flatnonzero(n)
         if len(some):
             first = (np.cumsum(n) - n)[some]
-            for i in range(table.shape[1]):
-                sums[some, i] = np.add.reduceat(table[:, i][grams].astype(np.float64), first)
+            for i in range(table.shape[2]):
+                sums[some, i] = np.add.reduceat(flat[:, i][at].astype(np.float64), first)
         sums = np.maximum((sums - sums.max(1, keepdims=True)) * TEMPER, -MOST)
-        return part | {"ll": list(sums)}
-
-    scored = stage(in_arrow(given.select(*keep, "text", "__html"), likelihood, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", ll array<double>", 256), "likelihoods")
-    n = len(langs)
-    every = lambda f: F.array(*[f(i) for i in range(n)])
-    normal = lambda c: F.transform(c, lambda x: x / F.aggregate(c, F.lit(0.0), lambda s, y: s + y))
-    scored = scored.withColumn("post", normal(F.transform("ll", lambda x: F.exp(x))))
-    total = [float(x or 0) for x in scored.agg(*[F.sum(F.col("post")[i]) for i in range(n)]).first()]
-    base = [(t + 1) / (sum(total) + n) for t in total]
-
-    def sums(key: str) -> DataFrame:
-        return scored.where(F.col(key).isNotNull()).groupBy(key).agg(every(lambda i: F.sum(F.col("post")[i])).alias(f"n_{key}"))
-
-    out = scored
-    for key in ("host", "domain", "declared", "suffix", "code"):
-        out = out.join(sums(key), key, "left")
-    post = F.col("post")
-
-    def smoothed(key: str, above) -> Column:
-        """The level's share of each language without the row itself, by that of the level above."""
-        c = F.col(f"n_{key}")
-        own = lambda i: F.greatest(F.coalesce(c[i] - post[i], F.lit(0.0)), F.lit(0.0))
-        all_ = reduce(lambda a, b: a + b, [own(i) for i in range(n)])
-        return every(lambda i: (own(i) + KAPPA * above(i)) / (all_ + KAPPA))
-
-    out = out.withColumn("p_domain", smoothed("domain", lambda i: F.lit(base[i])))
-    out = out.withColumn("p_host", smoothed("host", lambda i: F.col("p_domain")[i]))
-
-    def trust(key: str, i: int) -> Column:
-        """log P(value | language), without the row itself; nothing where there is no value."""
-        c = F.col(f"n_{key}")
-        own = F.greatest(c[i] - post[i], F.lit(0.0))
-        whole = reduce(lambda a, b: a + b, [c[j] for j in range(n)])
-        return F.coalesce(F.log((own + KAPPA * whole / sum(total or [1])) / (total[i] + KAPPA)), F.lit(0.0))
-
-    fused = every(lambda i: F.log(F.col("p_host")[i]) + F.col("ll")[i] + trust("declared", i) + trust("suffix", i) + trust("code", i))
-    out = out.withColumn("fused", fused)
-    out = out.withColumn("posterior", normal(F.transform("fused", lambda x: F.exp(x - F.array_max("fused")))))
-    names = F.array(*[F.lit(x) for x in langs])
-    best = F.array_position("posterior", F.array_max("posterior")).cast("int")
-    return out.select(
-        *ids,
-        F.element_at(names, best).alias("lang"),
-        F.round(F.array_max("posterior"), 6).alias("probability"),
-        F.element_at(names, F.array_position("ll", F.array_max("ll")).cast("int")).alias("text_lang"),
-        F.round(F.element_at("p_host", best), 6).alias("host_prior"),
-    )
+        post = np.exp(sums)
+        post /= post.sum(1, keepdims=True)
+        sparse = [[{"i": int(i), "p": float(row[i])} for i in np.flatnonzero(row > LEAST)] for row in post]
+        return part | {"ll": list(sums), "post": sparse}
+
+    fields = ", ".join(f"{k} string" for k in KEYS)
+    scored = stage(in_arrow(given, likelihood, f"ids {kind}, {fields}, ll array<double>, post array<struct<i:int,p:double>>", 256), "likelihoods")
+    known = F.array(F.struct(F.lit("all").alias("kind"), F.lit("").alias("key")), *[F.struct(F.lit(k).alias("kind"), F.col(k).alias("key")) for k in KEYS])
+    sums = scored.select("post", F.explode(known).alias("k")).where("k.key IS NOT NULL").select("k.kind", "k.key", F.explode("post").alias("x"))
+    sums = stage(sums.groupBy("kind", "key", "x.i").agg(F.sum("x.p").alias("n")), "evidence")
+    total = np.zeros(len(langs))
+    for r in sums.where("kind = 'all'").collect():  # languages
+        total[r["i"]] = r["n"]
+    out = scored.drop("post")
+    for k in KEYS:
+        table = sums.where(F.col("kind") == k).groupBy(F.col("key").alias(k)).agg(F.collect_list(F.struct("i", "n")).alias(f"s_{k}"))
+        out = attach(out, stage(table, k), k, F.struct("ids", "ll"))
+
+    def decide(part: dict) -> dict:
+        ll = np.array(part["ll"]).reshape(-1, len(langs))
+        post, prior = fuse(ll, {k: part[f"s_{k}"] for k in KEYS}, total)
+        best = post.argmax(1)
+        at = np.arange(len(best))
+        return {"ids": part["ids"], "lang": [langs[i] for i in best], "probability": post[at, best].round(6), "text_lang": [langs[i] for i in ll.argmax(1)], "host_prior": prior[at, best].round(6)}
+
+    done = in_arrow(out.select("ids", "ll", *[f"s_{k}" for k in KEYS]), decide, f"ids {kind}, lang string, probability double, text_lang string, host_prior double", 4096)
+    return done.select(*[F.col("ids")[c].alias(c) for c in ids], "lang", "probability", "text_lang", "host_prior")

@@ -19,7 +19,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     where = language_id.address(F.col("url"))
     pages = table(spark, sf_dir, "pages").select(F.lit(None).cast("long").alias("doc_id"), "page_id", F.col("html").alias("text"), *[c.alias(k) for k, c in where.items()], language_id.declared(F.col("html")).alias("declared"))
     rows = docs.select("doc_id", F.lit(None).cast("long").alias("page_id"), "text", F.concat(F.lit("source "), "source").alias("host"), none.alias("domain"), none.alias("suffix"), none.alias("code"), none.alias("declared"))
-    return language_id.identify(pages.unionByName(rows), docs.select("text", "lang"), F.col("page_id").isNotNull())
+    return language_id.identify(pages.unionByName(rows), docs.select("text", "lang"), F.col("page_id").isNotNull(), F.col("page_id").isNull())
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
