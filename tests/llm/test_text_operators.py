@@ -60,6 +60,31 @@ def test_bpe_random_and_edits(ranks):
     assert long.edit(16000, 16004, "new") < 10 and long.ids == want.encode_ordinary(long.text)
 
 
+def test_bpe_drafts_go_on_with_their_tables(ranks):
+    """One long piece: an append fills the new entries only, an edit those from its first byte on; other patterns."""
+    want = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    coder, rng = byte_bpe.PrefixCoder(ranks, P.PATTERN), random.Random(9)
+    draft = byte_bpe.Draft(coder, "".join(rng.choice("abcdeghino") for _ in range(3000)))
+    assert len(draft.pieces) == 1
+    draft.append("xy")
+    assert draft.filled == 2 and draft.ids == want.encode_ordinary(draft.text)
+    draft.edit(2990, 2991, "q")
+    assert draft.filled == 12 and draft.ids == want.encode_ordinary(draft.text)
+    draft.edit(1500, 1500, " ")
+    assert draft.filled < 1510 and draft.ids == want.encode_ordinary(draft.text)
+    lines = r"""(?i:'s|'t|'re|'ve|'m|'ll|'d)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+"""
+    other, lib = byte_bpe.PrefixCoder(ranks, lines), tiktoken.Encoding("own2", pat_str=lines, mergeable_ranks=ranks, special_tokens={})
+    draft = byte_bpe.Draft(other, "x   y")
+    draft.edit(4, 5, "\n")
+    assert draft.pieces == ["x", "   \n"]
+    for _ in range(400):
+        a = rng.randint(0, len(draft.text))
+        draft.edit(a, min(len(draft.text), a + rng.randint(0, 3)), "".join(rng.choice("ab \n\r'st1.é  ") for _ in range(rng.randint(0, 4))))
+        assert "".join(draft.pieces) == draft.text and draft.ids == lib.encode_ordinary(draft.text)
+    with pytest.raises(ValueError):
+        byte_bpe.Draft(byte_bpe.PrefixCoder(ranks, r"(?<=a)b|[\s\S]"), "ab")
+
+
 def test_bpe_pairs_by_definition(ranks):
     coder, rng = byte_bpe.PrefixCoder(ranks, P.PATTERN), random.Random(5)
     ids = sorted(coder.usable.values())[:4000]

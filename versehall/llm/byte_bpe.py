@@ -13,8 +13,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import itertools
+import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -188,42 +190,70 @@ class PrefixCoder:
 
 
 class Draft:
-    """A text under edit with its tokens: `append` and `edit` re-encode only what they touch."""
+    """A text under edit with its tokens. Every piece keeps its table of last tokens: a piece that grows
+    goes on with it, and one that is edited keeps it up to the first byte that changed.
+
+    The split is resumed some pieces before the edit: a match is taken to be settled by its own
+    characters, the white space behind it and LOOK more, which holds for the patterns of the public
+    byte-level vocabularies. A pattern that looks back or further ahead is refused where that can be
+    seen in it."""
+
+    LOOK = 8
 
     def __init__(self, coder: PrefixCoder, text: str = ""):
+        if re.search(r"\(\?<[=!]|\(\?=.*[+*]", coder.split.pattern):
+            raise ValueError("a draft needs a pattern without lookbehind or unbounded lookahead")
         self.coder, self.text = coder, text
-        self.spans = [(m.start(), m.end()) for m in coder.split.finditer(text)]
-        self.tokens = [coder.piece(text[a:b]) for a, b in self.spans]
+        self.pieces = [m.group() for m in coder.split.finditer(text)]
+        self.starts = np.cumsum([0, *map(len, self.pieces)])[:-1]
+        self.tables = [coder.extend(p.encode(), []) for p in self.pieces]
+        self.filled = sum(map(len, self.tables))  # table entries that the last change worked out
 
     @property
     def ids(self) -> list[int]:
-        return list(itertools.chain.from_iterable(self.tokens))
+        return [i for p, t in zip(self.pieces, self.tables) for i in self._tokens(p, t)]
+
+    def _tokens(self, piece: str, table: list[int]) -> list[int]:
+        whole = self.coder.ranks.get(piece.encode())
+        return self.coder.unwind(table) if whole is None else [whole]
 
     def append(self, more: str) -> int:
         """Add to the end; gives the number of pieces encoded anew."""
         return self.edit(len(self.text), len(self.text), more)
 
     def edit(self, start: int, end: int, new: str) -> int:
-        """Replace text[start:end]; pieces before the edit and those after the split falls into
-        step with the old one again are kept. Gives the number of pieces encoded anew."""
-        shift = len(new) - (end - start)
-        self.text = self.text[:start] + new + self.text[end:]
-        keep = 0  # a piece is settled by its own characters and the one after it
-        while keep < len(self.spans) and self.spans[keep][1] < start:
-            keep += 1
-        old = {a + shift: i for i, (a, _) in enumerate(self.spans) if i >= keep and a > end}
-        spans, tokens = self.spans[:keep], self.tokens[:keep]
-        fresh = 0
-        for m in self.coder.split.finditer(self.text, spans[-1][1] if spans else 0):
-            again = old.get(m.start())
-            if again is not None:
-                spans += [(a + shift, b + shift) for a, b in self.spans[again:]]
-                tokens += self.tokens[again:]
+        """Replace text[start:end]; pieces before the edit and those from where the split falls into
+        step with the old one again stay as they are. Gives the number of pieces encoded anew."""
+        old, shift = self.text, len(new) - (end - start)
+        k = max(0, int(np.searchsorted(self.starts, start, "right")) - 1)
+        while k and (self.starts[k] > start - self.LOOK or old[self.starts[k] : start].isspace()):
+            k -= 1
+        self.text = old[:start] + new + old[end:]
+        j = int(np.searchsorted(self.starts, end))  # old pieces from the edit's end on
+        pieces, tables, fresh, i, self.filled = [], [], 0, k, 0
+        at = int(self.starts[k]) if len(self.starts) else 0
+        for m in self.coder.split.finditer(self.text, at):
+            while j < len(self.starts) and self.starts[j] + shift < m.start():
+                j += 1
+            if j < len(self.starts) and self.starts[j] + shift == m.start() >= start + len(new):
                 break
-            spans.append(m.span())
-            tokens.append(self.coder.piece(m.group()))
-            fresh += 1
-        self.spans, self.tokens = spans, tokens
+            while i < len(self.starts) and self.starts[i] < m.start():
+                i += 1
+            known = i < len(self.starts) and self.starts[i] == m.start() <= start
+            piece, table = m.group(), self.tables[i] if known else []
+            if not known or piece != self.pieces[i]:
+                data, was = piece.encode(), self.pieces[i].encode() if known else b""
+                same = next((n for n, (x, y) in enumerate(zip(data, was)) if x != y), min(len(data), len(was)))
+                table = self.coder.extend(data, table[:same], same)
+                self.filled += len(data) - same
+                fresh += 1
+            pieces.append(piece)
+            tables.append(table)
+        else:
+            j = len(self.starts)
+        # moves of memory only: nothing behind the edit is looked at
+        self.starts = np.concatenate([self.starts[:k], at + np.cumsum([0, *map(len, pieces)])[:-1], self.starts[j:] + shift]).astype(np.int64)
+        self.pieces[k:j], self.tables[k:j] = pieces, tables
         return fresh
 
 
