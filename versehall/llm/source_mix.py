@@ -9,7 +9,7 @@ The draw orders a source's documents by a keyed hash and takes them up to the fr
 source's size. The cut is found by a histogram of the hash and, inside its one boundary bin, by a
 running sum, so that no source is ever ordered as a whole.
 
-Defined cases: null text has size 0; the null source is a source of its own, last in order; rows
+Defined cases: null text has size 0, a text of any length its whole number of words; the null source is a source of its own, last in order; rows
 of the same doc_id share their draw unless `row_key` tells them apart; with no rows or no words
 all targets are 0; columns besides those named are carried along untouched.
 """
@@ -42,10 +42,13 @@ def source_targets(sized: DataFrame, weights: Sequence[float], share: float, max
     """Rows (source, source_size, target) from rows (source, size); weights repeat along the
     sources in code point order, null last. Staged; only sums over sources reach the driver."""
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    spark = sized.sparkSession
-    # ranks without ordering everything in one task: sort in ranges, then number range by range
-    ranked = stage(totals, "source-totals").orderBy(F.col("source").isNull(), "source").rdd.zipWithIndex()
-    placed = spark.createDataFrame(ranked.map(lambda x: (x[0][0], x[0][1], x[1])), "source string, source_size long, place long")
+    # ranks without ordering everything in one task: ranges of sources, numbered within and then range by range
+    order = [F.col("source").isNull(), F.col("source")]
+    ranged = stage(stage(totals, "source-totals").repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "source-ranges")
+    before = F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))  # a row a range
+    ranges = ranged.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(before, F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("range").orderBy(*order)) - 1 + F.col("before")
+    placed = ranged.join(F.broadcast(ranges), "range").select("source", "source_size", place.alias("place"))
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
     cur = stage(placed.select("source", "source_size", weight.alias("w"), (F.col("source_size") * max_epochs).alias("cap")), "source-weights")
     every, free = cur.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("w"), F.lit(0.0))).first()
