@@ -84,14 +84,13 @@ def work_items(findings: Sequence[DataFrame], severity: dict[str, float], line:
 
 def context_budget(lines: DataFrame, by: str, seq: str, size: Column, budget: int) -> DataFrame:
     """For each line the first and last line whose words, taken evenly before and after, stay
-    within half the budget each; by prefix sums and a range join within the unit."""
-    w = Window.partitionBy(by).orderBy(seq)
-    upto = lines.select(by, seq, size.alias("__w"), F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("__upto"))
-    near = upto.select(F.col(by).alias("__k"), F.col(seq).alias("__s"), F.col("__w").alias("__v"), F.col("__upto").alias("__u"))
+    within half the budget each: range frames over the running sum of sizes (sizes are not negative)."""
+    upto = F.sum(size).over(Window.partitionBy(by).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0))
+    rows = lines.select(by, seq, size.alias("__w"), upto.cast("long").alias("__end"))
     half = budget // 2
-    before = (F.col("__s") <= F.col(seq)) & (F.col("__upto") - F.col("__w") - (F.col("__u") - F.col("__v")) <= half)
-    after = (F.col("__s") >= F.col(seq)) & (F.col("__u") - F.col("__upto") <= half)
-    return upto.join(near, (F.col(by) == F.col("__k")) & (before | after)).groupBy(by, seq).agg(F.min("__s").alias("first"), F.max("__s").alias("last"))
+    before = Window.partitionBy(by).orderBy(F.col("__end") - F.col("__w")).rangeBetween(-half, 0)
+    after = Window.partitionBy(by).orderBy("__end").rangeBetween(0, half)
+    return rows.select(by, seq, F.min(seq).over(before).alias("first"), F.max(seq).over(after).alias("last"))
 
 
 def temperature(scores: DataFrame, item: str, logit: str, right: Column, grid: Sequence[float]) -> DataFrame:
