@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,29 +112,76 @@ def point_of_view(chapters: DataFrame, heading: str, text: str, first_person: st
     return out.where((F.col("first_person_rate") >= rate) & (F.col("told_about") <= told))
 
 
+def voices_of(lines: Sequence, terms: Sequence[Sequence]) -> list[tuple[list, dict]]:
+    """Groups of lines that share terms, directly or over other lines, the largest first (ties to the one
+    with the first line): (lines, count of each term). Lines without terms are in none."""
+    root: dict = {}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for own in terms:
+        for t in own:
+            root.setdefault(t, t)
+            root[find(t)] = find(own[0])
+    out: dict = {}
+    for line, own in zip(lines, terms):
+        if len(own):
+            held, bag = out.setdefault(find(own[0]), ([], {}))
+            held.append(line)
+            for t in own:
+                bag[t] = bag.get(t, 0) + 1
+    return sorted(out.values(), key=lambda v: (-len(v[0]), v[0][0]))
+
+
 def split_labels(terms: DataFrame, label: str, line: str, term: str) -> DataFrame:
     """Labels whose lines fall into groups that share no term: (label, groups, largest).
 
-    Union-find over the lines of one label, which must fit a task; labels are independent."""
-    import pandas as pd
+    Groups over the lines of one label, which must fit a task; labels are independent."""
 
     def groups(rows: pd.DataFrame) -> pd.DataFrame:
-        root: dict = {}
-
-        def find(x):
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        for a, t in zip(rows[line], rows[term]):
-            a, t = ("line", a), ("term", t)
-            root.setdefault(a, a)
-            root.setdefault(t, t)
-            root[find(a)] = find(t)
-        sizes = pd.Series([find(x) for x in root if x[0] == "line"]).value_counts()
-        return pd.DataFrame({label: [rows[label].iloc[0]], "groups": [len(sizes)], "largest": [int(sizes.max())]})
+        own = rows.groupby(line)[term].agg(list)
+        found = voices_of(list(own.index), list(own))
+        return pd.DataFrame({label: [rows[label].iloc[0]], "groups": [len(found)], "largest": [len(found[0][0])]})
 
     kind = dict(terms.dtypes)[label]
     found = terms.select(label, line, term).distinct().groupBy(label).applyInPandas(groups, f"{label} {kind}, groups int, largest int")
     return found.where("groups > 1")
+
+
+def split_doubts(terms: DataFrame, label: str, chapter: str, line: str, term: str, selves: Sequence[str], vocabulary: int, least_lines: int = 2, least_known: int = 8, margin: float = 0.5) -> DataFrame:
+    """Chapters in which a label seems to stand for two people: (label, chapter, odd lines, odd
+    terms, usual terms, margin). Rows are the terms of address of each line.
+
+    The two largest groups of lines that share no term must either have different terms for the
+    speaker's self (`selves`) or two terms each. Which is the odd one is told by the label's terms in its
+    other chapters (at least `least_known`): its log likelihood a term is lower by `margin`. A label's
+    chapter is one group; profiles are grouped sums."""
+
+    def pair(rows: pd.DataFrame) -> pd.DataFrame:
+        own = rows.groupby(line)[term].agg(list)
+        found = [v for v in voices_of(list(own.index), list(own)) if len(v[0]) >= least_lines][:2]
+        two = len(found) == 2
+        if two:
+            a, b = ({t for t in bag if t in selves} for _, bag in found)
+            two = bool(a and b and not a & b) or min(len(bag) for _, bag in found) >= 2
+        out = [(rows[label].iloc[0], rows[chapter].iloc[0], i, held, t, n) for i, (held, bag) in enumerate(found) if two for t, n in bag.items()]
+        return pd.DataFrame(out, columns=[label, chapter, "side", "lines", "t", "n"])
+
+    kinds = dict(terms.dtypes)
+    fields = f"{label} {kinds[label]}, {chapter} {kinds[chapter]}, side int, lines array<{kinds[line]}>, t {kinds[term]}, n long"
+    sides = terms.select(label, chapter, line, term).groupBy(label, chapter).applyInPandas(pair, fields)
+    here = terms.groupBy(label, chapter, F.col(term).alias("t")).agg(F.count("*").alias("own"))
+    every = terms.groupBy(label, F.col(term).alias("t")).agg(F.count("*").alias("all"))
+    size = terms.groupBy(label, chapter).agg(F.count("*").alias("own_size")).join(terms.groupBy(label).agg(F.count("*").alias("size")), label)
+    rows = sides.join(here, [label, chapter, "t"]).join(every, [label, "t"]).join(size, [label, chapter])
+    known = F.col("size") - F.col("own_size")
+    fit = F.sum(F.col("n") * F.log((F.col("all") - F.col("own") + 0.5) / (known + 0.5 * vocabulary))) / F.sum("n")
+    fits = rows.where(known >= least_known).groupBy(label, chapter, "side", "lines").agg(fit.alias("fit"), F.sort_array(F.collect_list("t")).alias("terms"))
+    both = fits.groupBy(label, chapter).agg(F.min(F.struct("fit", "side", "lines", "terms")).alias("odd"), F.max(F.struct("fit", "side", "lines", "terms")).alias("usual"))
+    apart = F.col("usual.fit") - F.col("odd.fit")
+    out = both.where((apart >= margin) & (F.col("usual.side") != F.col("odd.side")))
+    return out.select(label, chapter, F.col("odd.lines").alias("lines"), F.col("odd.terms").alias("odd"), F.col("usual.terms").alias("usual"), apart.alias("margin"))

@@ -24,9 +24,12 @@ from versehall.functions.text import is_heading, natural_key
 from versehall.operators.merge import content_keys
 from versehall.operators.sequential import explode_text
 from versehall.session import ship
+from versehall.sources.epub import Epub
 
+CODECS = ("utf-8-sig", "cp1258", "cp1252")
 SCHEMA = "path string, title string, chapter int, text string, error string"
 _BLOCK = set("p div h1 h2 h3 h4 h5 h6 li br tr blockquote section article pre hr title".split())
+UNREADABLE = (zipfile.BadZipFile, KeyError, StopIteration, ElementTree.ParseError)
 _HIDDEN = {"script", "style", "head", "template", "rt", "rp"}
 
 
@@ -38,28 +41,40 @@ def decode(data: bytes) -> str:
         even = data[0::2].count(0) > data[1::2].count(0)
         text = data.decode("utf-16-be" if even else "utf-16-le", "replace")
     else:
-        for name in ("utf-8-sig", "cp1258", "cp1252"):
-            try:
-                text = data.decode(name)
-                break
-            except UnicodeDecodeError:
-                continue
-        else:
-            text = data.decode("latin-1")
+        text = next((t for t in (_strict(data, name) for name in CODECS) if t is not None), None)
+    if text is None or data and text.count("\ufffd") > max(0, data.count(b"\xef\xbf\xbd")):
+        # what was taken for UTF-16 does not hold as such: the other codecs again, then one that takes all
+        text = next((t for t in (_strict(data, name) for name in CODECS) if t is not None), data.decode("latin-1"))
     return unicodedata.normalize("NFC", text)
 
 
+def _strict(data: bytes, codec: str) -> str | None:
+    try:
+        return data.decode(codec)
+    except UnicodeDecodeError:
+        return None
+
+
 class _Blocks(HTMLParser):
-    """SRC8: text of a page block by block."""
+    """SRC8: text of a page block by block; parts begin at the elements of `marks`."""
 
-    def __init__(self):
+    def __init__(self, marks: set[str] | None = None):
         super().__init__(convert_charrefs=True)
-        self.out, self.hidden = [[]], 0
+        self.marks, self.hidden = marks or set(), 0
+        self.parts: list[tuple[str, list[list[str]]]] = [("", [[]])]
+
+    @property
+    def out(self) -> list[list[str]]:
+        return self.parts[-1][1]
 
     def handle_starttag(self, tag, attrs):
         if tag in _HIDDEN:
             self.hidden += 1
-        if tag in _BLOCK:
+        here = next((v for k, v in attrs if k in ("id", "name") and v in self.marks), None)
+        if here is not None:
+            self.marks = self.marks - {here}
+            self.parts.append((here, [[]]))
+        elif tag in _BLOCK:
             self.out.append([])
 
     def handle_endtag(self, tag):
@@ -73,11 +88,16 @@ class _Blocks(HTMLParser):
             self.out[-1].append(data)
 
 
-def html_text(html: str) -> str:
-    p = _Blocks()
+def html_parts(html: str, marks: set[str] | None = None) -> list[tuple[str, str]]:
+    """The text of a page, cut before the elements whose id is in `marks`: (id, text)."""
+    p = _Blocks(marks)
     p.feed(html)
     p.close()
-    return "\n".join(x for x in (" ".join("".join(b).split()) for b in p.out) if x)
+    return [(i, "\n".join(x for x in (" ".join("".join(b).split()) for b in out) if x)) for i, out in p.parts]
+
+
+def html_text(html: str) -> str:
+    return html_parts(html)[0][1]
 
 
 def docx_text(data: bytes) -> str:
@@ -108,19 +128,8 @@ def docx_chapters(data: bytes, name: str) -> list[tuple[str, str]]:
 
 
 def epub_chapters(data: bytes) -> list[tuple[str, str]]:
-    """SRC7: (title, text) of each document of the reading order."""
-    z = zipfile.ZipFile(io.BytesIO(data))
-    local = lambda e: e.tag.rpartition("}")[2]
-    container = ElementTree.fromstring(z.read("META-INF/container.xml"))
-    opf = next(e.get("full-path") for e in container.iter() if local(e) == "rootfile")
-    package = ElementTree.fromstring(z.read(opf))
-    items = {e.get("id"): e.get("href") for e in package.iter() if local(e) == "item"}
-    out = []
-    for ref in (e.get("idref") for e in package.iter() if local(e) == "itemref"):
-        text = html_text(decode(z.read(posixpath.normpath(posixpath.join(posixpath.dirname(opf), items[ref])))))
-        if text:
-            out.append((text.split("\n")[0][:200], text))
-    return out
+    """SRC7: (title, text) of each chapter in reading order."""
+    return Epub(data).chapters(lambda page, marks: html_parts(decode(page), marks))
 
 
 def chapters_of(path: str, data: bytes) -> list[tuple[str, str]]:
@@ -192,7 +201,7 @@ def read_books(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
             for p, data in zip(batch["path"], batch["content"]):
                 try:
                     rows += [(p, title, i, text, None) for i, (title, text) in enumerate(chapters_of(p, data))]
-                except (zipfile.BadZipFile, KeyError, StopIteration, ElementTree.ParseError) as e:
+                except UNREADABLE as e:
                     rows.append((p, None, 0, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=["path", "title", "chapter", "text", "error"])
 
@@ -201,6 +210,27 @@ def read_books(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return out.withColumn("order_key", natural_key(F.element_at(F.split("path", "/"), -1)))
 
 
+BOOK = "path string, title string, author string, language string, cover binary, cover_type string, error string"
+
+
+def read_titles(spark: SparkSession, path: str, pattern: str = "*.epub") -> DataFrame:
+    """SRC7: title, author, language and cover of e-books; a file that cannot be read gives an error."""
+    ship(spark)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for p, data in zip(batch["path"], batch["content"]):
+                try:
+                    book = Epub(data)
+                    rows.append((p, book.title, book.author, book.language, *(book.cover or (None, None)), None))
+                except UNREADABLE as e:
+                    rows.append((p, None, None, None, None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=[x.split(" ")[0] for x in BOOK.split(", ")])
+
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content").mapInPandas(run, BOOK)
+
+
 def split_on_headings(chapters: DataFrame, text: str = "text") -> DataFrame:
     """chapters cut before their heading lines; what stands before the first is part 0."""
     lines = F.split(text, "\n")
