@@ -350,3 +350,34 @@ def test_running_heads(spark):
     assert got == {i: (t.split("\n", 1)[1].rsplit("\n", 1)[0], 2) if i < 5 else (t, 0) for i, t in texts.items()}
     few = {r["p"]: r["dropped"] for r in pages.drop_running_lines(df.where("p < 2"), "b", "p", "t").collect()}
     assert few == {0: 1, 1: 1}  # two pages show no running head, but page numbers
+
+
+def test_anchors(spark):
+    """Against all alignments, and a name's form that must leave a plain word alone."""
+    rng = np.random.default_rng(8)
+
+    def every(units, heard):
+        if not units and not heard:
+            yield (0, 0, 0, 0)
+        if heard:
+            yield from ((a + 1, b, c, d + 1) for a, b, c, d in every(units, heard[1:]))
+        if units:
+            u = units[0]
+            yield from ((a + 1, b, c, d + 1) for a, b, c, d in every(units[1:], heard))
+            if heard:
+                same = u == heard[0]
+                yield from ((a + (not same), b - same, c, d) for a, b, c, d in every(units[1:], heard[1:]))
+            for f in u if not isinstance(u, str) else ():
+                if heard[: len(f)] == f:
+                    yield from ((a, b, c - 1, d) for a, b, c, d in every(units[1:], heard[len(f) :]))
+
+    for _ in range(60):
+        word = lambda: "xyz"[rng.integers(0, 3)]
+        units = [word() if rng.random() < 0.7 else [[word()], [word(), word()]] for _ in range(rng.integers(0, 5))]
+        heard = [word() for _ in range(rng.integers(0, 5))]
+        cost, steps = readings.anchored(units, heard)
+        assert cost == min(every(units, heard))
+        assert [u for _, u, _, _ in steps if u >= 0] == list(range(len(units)))
+    assert [k for k, *_ in readings.anchored([[["an"]], "an"], ["an"])[1]] == ["drop", "match"]
+    rows = found(spark, "f30_anchors")
+    assert {r["kind"] for r in rows} <= {"match", "swap", "name", "drop", "put"} and any(r["kind"] == "name" for r in rows)

@@ -81,3 +81,20 @@ def replace_partitions(rows: DataFrame, path: str, by: str) -> None:
     """SNK6: write `rows` in place of what the table at `path` holds for their values of `by`. The
     committer moves whole partitions at the end of the job, so readers see the old or the new ones."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
+def replace_table(rows: DataFrame, path: str) -> None:
+    """SNK1: write `rows` beside the table at `path` and move them into its place when they are complete:
+    a job that fails leaves the old table as it was, also where `rows` are read from it."""
+    spark = rows.sparkSession
+    files = spark._jvm.org.apache.hadoop.fs
+    fresh, old, kept = (files.Path(f"{path.rstrip('/')}{end}") for end in (".new", "", ".old"))
+    system = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    rows.write.mode("overwrite").parquet(fresh.toString())
+    system.delete(kept, True)
+    if system.exists(old):
+        system.rename(old, kept)
+    if not system.rename(fresh, old):
+        system.rename(kept, old)
+        raise OSError(f"{path} could not be replaced")
+    system.delete(kept, True)

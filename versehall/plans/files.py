@@ -79,3 +79,12 @@ def src12_web_paragraphs(spark, sf_dir):
     """Paragraphs of pages with a hidden one put into each, which must not count."""
     html = F.regexp_replace("html", "</body>", '<p style="display:none">decoy</p></body>')
     return books.web_paragraphs(table(spark, sf_dir, "pages").withColumn("html", html), "page_id", "html").groupBy("page_id").agg(F.count("*").alias("paragraphs"))
+
+
+@query("SELECT s_suppkey, s_acctbal + 1 AS s_acctbal FROM supplier")
+def snk1_replaced(spark, sf_dir):
+    """A table replaced by rows read from itself."""
+    path = own_path(spark, "table")
+    merge.replace_table(table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal"), path)
+    merge.replace_table(spark.read.schema("s_suppkey long, s_acctbal double").parquet(path).withColumn("s_acctbal", F.col("s_acctbal") + 1), path)
+    return spark.read.schema("s_suppkey long, s_acctbal double").parquet(path)

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from versehall.functions import readings
@@ -110,3 +111,15 @@ def a26_colours(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey").distinct()
     other = li.withColumnRenamed("l_partkey", "other")
     return sq.colours(li.join(other, ["l_orderkey", "l_suppkey"]).where("l_partkey < other"), "l_partkey", "other")
+
+
+@query()
+def f30_anchors(spark, sf_dir):
+    """The first words of a turn against those of the next, the longest of them being a name of two forms."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    words = lambda c: F.slice(F.filter(F.split(F.lower(c), r"[^\p{L}]+"), lambda x: x != ""), 1, 12)
+    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("line"), words("text").alias("own"), words(F.coalesce(F.lead("text").over(w), "text")).alias("heard"))
+    longest = F.array_max(F.transform("own", lambda x: F.struct(F.length(x).alias("n"), x.alias("w"))))["w"]
+    forms = F.array(F.array(longest), F.array(F.substring(longest, 1, 2)))
+    units = F.transform("own", lambda x: F.struct(x.alias("word"), F.when(x == longest, forms).alias("forms")))
+    return readings.align_anchors(c.select("line", units.alias("units"), "heard"), "line", "units", "heard")
