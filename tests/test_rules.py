@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from versehall.functions import passages, readings
+from versehall.functions import passages, readings, speech
 from versehall.functions import text as tx
 from versehall.operators import entity, intervals, pages, ranking, select, sequential
 from versehall.plans.catalogue import QUERIES
@@ -381,3 +381,17 @@ def test_anchors(spark):
     assert [k for k, *_ in readings.anchored([[["an"]], "an"], ["an"])[1]] == ["drop", "match"]
     rows = found(spark, "f30_anchors")
     assert {r["kind"] for r in rows} <= {"match", "swap", "name", "drop", "put"} and any(r["kind"] == "name" for r in rows)
+
+
+def test_spoken_symbols(spark):
+    cases = {
+        "Thường (Common) (C) » Hiếm": "Thường, Common, C, Hiếm", "↓ 1.000 Đơn vị": "giảm 1.000 đơn vị".replace("đ", "Đ"), "Lửa => Băng": "Lửa, Băng", "=> Băng": "Băng", "8.5/10 điểm": "8.5/10 điểm",
+        "Mạnh / khó": "Mạnh, khó", "Cái #&!@! gì": "Cái … gì".replace(" …", "…"), "[thở dài] Ừ [A-rank].": "[thở dài] Ừ, A-rank.", "(Legendary)": "Legendary", "a + b = c": "a cộng b bằng c", "• mục": "mục", "!!! ***": "!!!",
+    }
+    df = spark.createDataFrame([(t,) for t in cases] + [(None,)], "t string").select("t", speech.spoken_symbols(F.col("t")).alias("s"))
+    got = dict(map(tuple, df.collect()))
+    assert {t: got[t] for t in cases} == cases and got[None] is None
+    again = dict(map(tuple, df.select("s", speech.spoken_symbols(F.col("s"))).collect()))
+    assert all(a == b for a, b in again.items())  # stable on its own output
+    docs = {r["doc_id"]: r["said"] for r in QUERIES["f2_spoken_symbols"](spark, SF).collect()}
+    assert len(docs) == 200 and all(not re.search(r"[()\[\]↓»|]", x) for x in docs.values())

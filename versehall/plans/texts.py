@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from versehall.functions import passages as ps
 from versehall.functions import readings as rd
+from versehall.functions import speech as sp
 from versehall.functions import text as tx
 from versehall.operators import pages as pg
 from versehall.plans.registry import plain, query, table
@@ -217,3 +218,10 @@ def src11_wikitext(spark, sf_dir):
     source = F.replace(F.lit(_WIKI), F.lit("<ref>two"), F.concat(F.lit("<ref>"), "p_name"))
     text, notes = rd.plain_wikitext(source)
     return table(spark, sf_dir, "part").select("p_partkey", text.alias("text"), F.size(notes).alias("notes"))
+
+
+@query()
+def f2_spoken_symbols(spark, sf_dir):
+    """Documents with marks put between their words; held against hand-made cases in the tests."""
+    marked = F.regexp_replace("text", r"([a-z])\. ([A-Z])", "$1 ($2) » ↓ | $2")
+    return _docs(spark, sf_dir).select("doc_id", sp.spoken_symbols(marked).alias("said"))
