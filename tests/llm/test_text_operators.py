@@ -412,6 +412,50 @@ def test_toxicity_awkward(spark):
     assert {r["toxicity"] for r in none} == {0.0}
 
 
+def test_network_against_loops():
+    """Windows, gates of both directions, attention and the highest window, step by step and word by word."""
+    rng, h = np.random.default_rng(3), toxicity.HIDDEN
+    net = toxicity.Net.fresh(5)
+    net.word[:] = rng.normal(0, 0.5, net.word.shape)
+    net.char[:] = rng.normal(0, 0.5, net.char.shape)
+    net.b[:] = rng.normal(0, 0.3, net.b.shape)
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def run(x, d):
+        part = lambda m, g: m[..., (2 * g + d) * h : (2 * g + d + 1) * h]
+        own, state, out = net.wh[d * h : (d + 1) * h], np.zeros(h), []
+        for v in x:
+            z, r = (sig(v @ part(net.wx, g) + part(net.b, g) + state @ part(own, g)) for g in (0, 1))
+            new = np.tanh(v @ part(net.wx, 2) + part(net.b, 2) + r * (state @ part(own, 2)))
+            state = new + z * (state - new)
+            out.append(state)
+        return np.array(out)
+
+    def logit(words):
+        if not words:
+            return float(net.out[-1])
+        x = np.concatenate([net.vectors([w]) for w in words]).astype(float)
+        states = np.concatenate([run(x, 0), run(x[::-1], 1)[::-1]], axis=1)
+        a = np.exp(states @ net.att)
+        return float((a / a.sum()) @ states @ net.out[:-1] + net.out[-1])
+
+    vocab = ["".join(rng.choice(list("abcdeé"), rng.integers(1, 7))) for _ in range(80)]
+    texts = [" ".join(rng.choice(vocab, n)) for n in (0, 1, 5, 31, 32, 33, 48, 49, 100, 333)] + [None, "!!"]
+    got, n = toxicity.Scorer(net).logits(texts)
+    for text, score, windows in zip(texts, got, n):
+        words = toxicity.words_of(text)
+        starts = [0] if len(words) <= 32 else range(0, len(words) - 16, 16)
+        assert windows == len(list(starts))
+        assert score == pytest.approx(max(logit(words[s : s + 32]) for s in starts), abs=2e-4)
+
+
+def test_toxicity_keeps_clashing_columns(spark):
+    docs = docs_of(spark, ["you idiot"] * 8 + ["fine words"] * 8).selectExpr("*", "1 AS logit", "2 AS windows", "3 AS __logit", "9.5D AS toxicity")
+    got = toxicity.score(docs, spark.createDataFrame([(i, int(i < 8)) for i in range(16)], "doc_id long, toxic int"))
+    assert got.columns == docs.columns
+    assert {(r["logit"], r["windows"], r["__logit"]) for r in got.collect()} == {(1, 2, 3)} and got.where("toxicity > 1").count() == 0
+
+
 def test_windows_cover_everything():
     for n in range(0, 200):
         starts = toxicity._windows(n, toxicity.WINDOW // 2)

@@ -10,7 +10,9 @@ Training is multiple-instance: first every window bears its document's label, th
 are represented by their highest windows. It sees at most MAX_DOCS labelled documents a class and
 MAX_WINDOWS windows of each, chosen by hash: that bound is what may reach the driver.
 
-Defined cases: null and empty texts score as one window without words; labels of unknown or null
+Defined cases: null and empty texts score as one window without words; texts of any length are scored
+whole, in windows; repeated rows get equal scores; all columns of the documents are kept whatever
+their names (the score replaces a column of its name); equal windows tie without effect; labels of unknown or null
 documents are ignored, a document labelled more than once counts as toxic if any label says so;
 without both classes among the labels every document gets the rate of label 1 (0 without labels);
 an empty table gives an empty result.
@@ -27,7 +29,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from versehall.llm.common import in_arrow
+from versehall.llm.common import in_arrow, unused
 
 WINDOW = 32
 MAX_DOCS = 2000
@@ -321,8 +323,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def _scored(docs: DataFrame, net: Net) -> DataFrame:
-    """docs with __logit and __windows; the network (under 3 MB) is broadcast."""
+def _scored(docs: DataFrame, net: Net, logit: str = "__logit", windows: str = "__windows") -> DataFrame:
+    """docs with the highest logit and the number of windows; the network (under 3 MB) is broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
     token = uuid.uuid4().hex
     kinds = dict(docs.dtypes)
@@ -333,9 +335,9 @@ def _scored(docs: DataFrame, net: Net) -> DataFrame:
             _scorers.clear()
             scorer = _scorers[token] = Scorer(shared.value)
         best, n = scorer.logits(part["text"])
-        return part | {"__logit": best, "__windows": n}
+        return part | {logit: best, windows: n}
 
-    return in_arrow(docs, rows, ", ".join(f"`{c}` {kinds[c]}" for c in docs.columns) + ", __logit double, __windows long")
+    return in_arrow(docs, rows, ", ".join(f"`{c}` {kinds[c]}" for c in docs.columns) + f", `{logit}` double, `{windows}` long")
 
 
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_windows: int = MAX_WINDOWS) -> tuple[Net | None, float]:
@@ -399,5 +401,7 @@ def score(docs: DataFrame, labels: DataFrame, train_docs: DataFrame | None = Non
     if net is None:
         return docs.withColumn(name, F.lit(float(rate)))
     a, b, c = net.fit
-    x = F.lit(a) * F.col("__logit") + F.lit(b) * F.log("__windows") + F.lit(c)
-    return _scored(docs, net).withColumn(name, 1 / (1 + F.exp(-x))).drop("__logit", "__windows")
+    docs = docs.drop(name)
+    logit, windows = unused(docs, "logit", "windows")
+    x = F.lit(a) * F.col(logit) + F.lit(b) * F.log(windows) + F.lit(c)
+    return _scored(docs, net, logit, windows).select(*[F.col(f"`{k}`") for k in docs.columns], (1 / (1 + F.exp(-x))).alias(name))
