@@ -6,17 +6,19 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from versehall.functions import readings
+from versehall.functions import text as tx
 from versehall.operators import dialogue
 
 
-def test_number_words():
-    known = {0: "không", 5: "năm", 15: "mười lăm", 21: "hai mươi mốt", 105: "một trăm lẻ năm", 1005: "một nghìn không trăm lẻ năm", 2000000: "hai triệu", 10: "mười", -3: "âm ba"}
-    assert {n: readings.number_words(n) for n in known} == known
+def test_number_words(spark):
+    known = {0: "không", 5: "năm", 15: "mười lăm", 21: "hai mươi mốt", 24: "hai mươi tư", 105: "một trăm lẻ năm", 1005: "một nghìn không trăm lẻ năm", 2000000: "hai triệu", 10: "mười", -3: None, 10**12: None}
+    df = spark.createDataFrame([(n,) for n in known], "n long")
+    assert {r[0]: r[1] for r in df.select("n", readings.number_words(F.col("n"))).collect()} == known
 
 
-def test_dropped_marks():
-    assert readings.dropped_marks_variant("Duc Trí", "Đức Trí")
-    assert not readings.dropped_marks_variant("Đức Trí", "Đức Trí") and not readings.dropped_marks_variant("Đúc", "Đức Trí")
+def test_dropped_marks(spark):
+    df = spark.createDataFrame([("Duc Trí", "Đức Trí"), ("Đức Trí", "Đức Trí"), ("Đúc", "Đức Trí"), ("Đúc", "Đức")], "a string, b string")
+    assert [r[0] for r in df.select(tx.dropped_marks_of(F.col("a"), F.col("b"))).collect()] == [True, False, False, True]  # the last lacks the horn only
 
 
 def test_map_words():
@@ -37,9 +39,13 @@ def test_align_against_all_paths():
     assert readings.align(lp, labels) == [(min(f), max(f)) for f in frames]
 
 
-def test_wikitext():
-    text, notes = readings.plain_wikitext("== T ==\n'''Bold''' [[a|link]] {{SIC|wrng|wrong}}<ref>see x</ref> {{t|{{u}}}}<br/>end<!-- c -->")
-    assert text == "T\nBold link wrong[1] end" and notes == ["see x"]
+def test_wikitext(spark):
+    """A misprint keeps the book's word, frames their content; notes stand where their list does, else at the end."""
+    one = "== T ==\n'''Bold''' [[a|link]] {{SIC|wrng|wrong}}<ref>see x</ref> {{t|{{u}}}}<br/>end<!-- c -->"
+    two = "a<ref>n</ref>\n{{chú thích}}\nb [[Hình:x.png|y]]"
+    df = spark.createDataFrame([(one,), (two,), ("",), (None,)], "s string")
+    got = [tuple(r) for r in df.select(*readings.plain_wikitext(F.col("s"))).collect()]
+    assert got == [("T\n\nBold link wrng[1] uend\n\n▲ see x", ["see x"]), ("a[1]\n\n▲ n\n\nb", ["n"]), ("", []), (None, None)]
 
 
 def test_work_items_and_blockers(spark):
