@@ -105,6 +105,8 @@ def test_segment_kinds():
     assert [(n, k) for n, k, _, _ in got] == [(0, "narration"), (0, "dialogue"), (0, "narration"), (1, "dialogue"), (1, "thought"), (1, "dialogue"), (1, "dialogue"), (1, "narration")]
     assert got[2][3] == 380 and got[-1][3] == 0
     assert sequential.segment(None) == []
+    over = sequential.segment("He began. “First part\n\nsecond part” he said.\n\n“Never closed\n\nNarration goes on.\n\nThe so-called “guild,” grew.")
+    assert [(n, k) for n, k, _, _ in over] == [(0, "narration"), (0, "dialogue"), (1, "dialogue"), (1, "narration"), (2, "dialogue"), (3, "narration"), (4, "narration"), (4, "narration"), (4, "narration")]
 
 
 def test_viterbi_against_all_paths():

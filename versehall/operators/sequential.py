@@ -24,6 +24,8 @@ _SENTENCE = re.compile(r"(?<=[.!?…;:])\s+")
 _CLAUSE = re.compile(r"(?<=[.!?…;:,])(?=\s)")
 _OPEN = {"“": "”", "「": "」", "『": "』", "«": "»", '"': '"'}
 _SPEECH = re.compile(r"\b(?:nói|hỏi|đáp|gọi|said|asked|replied|cried|sagte|fragte|dit|demanda|dijo|preguntó)\b", re.I)
+# Words that introduce a term in quotes.
+_TERM = re.compile(r"\b(?:là|gọi|tên|chữ|từ|cụm|câu|hiệu|danh|như|kiểu|thành|xưng|called|named|word|so-called)\s*$", re.I)
 LEAST_TAIL = 32  # characters a last piece should have
 
 
@@ -86,48 +88,60 @@ def _split_keeping(pattern: re.Pattern, text: str) -> Iterator[str]:
 
 def segment(text: str | None) -> list[tuple[int, str, str, int]]:
     """F16: (paragraph, kind, text, break_ms) of a chapter: dialogue in quotes or after a dash,
-    thoughts in round brackets, narration. A quote left open runs on over lines; one that never
-    closes is shut at the end of its paragraph. The tokens stay those of the text."""
+    thoughts in round brackets, narration. A quote left open runs on over lines and paragraphs to where
+    it closes; one that never closes is shut at the end of its paragraph. A quotation that ends in a
+    comma behind a word that introduces a term is no speech. The tokens stay those of the text."""
     out: list[list] = []
-    for n, paragraph in enumerate(p for p in re.split(r"\n\s*\n", text or "") if p.strip()):
-        closer = ""
-        for line in filter(None, (x.strip() for x in paragraph.split("\n"))):
-            parts: list[tuple[str, str]] = []
-            if closer and closer not in line:
-                parts = [("dialogue", line)]
-            elif not closer and re.match(r"[-–—]\s*\w", line):
-                parts = [("dialogue", line)]
-            elif not closer and line[0] in "(（" and line[-1] in ")）":
-                parts = [("thought", line)]
-            else:
-                at = 0
-                while at < len(line):
-                    if closer:
-                        end = line.find(closer, at)
-                        parts.append(("dialogue", line[at : end + 1 or None]))
-                        at, closer = (end + 1, "") if end >= 0 else (len(line), closer)
-                        continue
-                    start = min((i for i in (line.find(q, at) for q in _OPEN) if i >= 0), default=-1)
-                    if start < 0:
-                        parts.append(("narration", line[at:]))
-                        break
-                    parts.append(("narration", line[at:start]))
-                    mark = _OPEN[line[start]]
-                    end = line.find(mark, start + 1)
-                    if end < 0:
-                        parts.append(("dialogue", line[start:]))
-                        at, closer = len(line), mark
-                        continue
-                    quote = line[start : end + 1]
-                    around = line[max(0, start - 100) : start] + " " + line[end + 1 : end + 101]
-                    spoken = quote == line or re.search(r"[?!…]", quote) or quote[-2:-1] in ".," or line[:start].rstrip().endswith(":") or _SPEECH.search(around)
-                    parts.append(("dialogue" if spoken else "narration", quote))
-                    at = end + 1
-            for kind, piece in parts:
-                if re.search(r"\w", piece):
-                    out.append([n, kind, piece.strip(), {"narration": 210, "thought": 230}.get(kind, 170)])
-                elif piece.strip() and out:
-                    out[-1][2] += piece.strip() if piece[0] == piece.strip()[0] else " " + piece.strip()
+    lines = [(n, x) for n, p in enumerate(p for p in re.split(r"\n\s*\n", text or "") if p.strip()) for x in map(str.strip, p.split("\n")) if x]
+
+    def closes(at: int, opener: str, mark: str) -> bool:
+        """Whether a quotation open before line `at` ends behind it before another one opens."""
+        for k in range(at, len(lines)):
+            end, start = lines[k][1].find(mark), lines[k][1].find(opener)
+            if end >= 0 or start >= 0:  # straight quotes open and close alike: the next one opens
+                return end >= 0 and mark != opener and (start < 0 or end < start)
+        return False
+
+    closer, opened, goes_on = "", 0, False
+    for here, (n, line) in enumerate(lines):
+        if closer and n != opened and not goes_on:
+            closer = ""
+        parts: list[tuple[str, str]] = []
+        if closer and closer not in line:
+            parts = [("dialogue", line)]
+        elif not closer and re.match(r"[-–—]\s*\w", line):
+            parts = [("dialogue", line)]
+        elif not closer and line[0] in "(（" and line[-1] in ")）":
+            parts = [("thought", line)]
+        else:
+            at = 0
+            while at < len(line):
+                if closer:
+                    end = line.find(closer, at)
+                    parts.append(("dialogue", line[at : end + 1 or None]))
+                    at, closer = (end + 1, "") if end >= 0 else (len(line), closer)
+                    continue
+                start = min((i for i in (line.find(q, at) for q in _OPEN) if i >= 0), default=-1)
+                if start < 0:
+                    parts.append(("narration", line[at:]))
+                    break
+                parts.append(("narration", line[at:start]))
+                mark = _OPEN[line[start]]
+                end = line.find(mark, start + 1)
+                if end < 0:
+                    parts.append(("dialogue", line[start:]))
+                    at, closer, opened, goes_on = len(line), mark, n, closes(here + 1, line[start], mark)
+                    continue
+                quote = line[start : end + 1]
+                around = line[max(0, start - 100) : start] + " " + line[end + 1 : end + 101]
+                spoken = quote == line or re.search(r"[?!…]", quote) or quote[-2:-1] == "." or (quote[-2:-1] == "," and not _TERM.search(line[:start])) or line[:start].rstrip().endswith(":") or _SPEECH.search(around)
+                parts.append(("dialogue" if spoken else "narration", quote))
+                at = end + 1
+        for kind, piece in parts:
+            if re.search(r"\w", piece):
+                out.append([n, kind, piece.strip(), {"narration": 210, "thought": 230}.get(kind, 170)])
+            elif piece.strip() and out:
+                out[-1][2] += piece.strip() if piece[0] == piece.strip()[0] else " " + piece.strip()
     for a, b in zip(out, out[1:]):
         if a[0] != b[0]:
             a[3] = max(a[3], 380)
