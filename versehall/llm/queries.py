@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versehall.llm import adaptive_ann, byte_bpe, consensus_html, exact_topk, language_id, near_dup, source_mix, surrogates, toxicity, warc
+from versehall.llm import adaptive_ann, byte_bpe, consensus_html, exact_topk, language_id, near_dup, source_mix, surrogates, token_counts, toxicity, warc
 from versehall.llm.common import own_path, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+PIECES = "piece_bpe_32k.model"
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +72,11 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_surrogates, op4_adaptive_ann, op5_consensus_html, op6_warc, op7_exact_topk, op8_byte_bpe, op9_source_mix, op10_near_dup)}
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_surrogates, op4_adaptive_ann, op5_consensus_html, op6_warc, op7_exact_topk, op8_byte_bpe, op9_source_mix, op10_near_dup, op13_token_counts)}
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 
