@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versehall.llm import adaptive_ann, byte_bpe, consensus_html, exact_topk, language_id, near_dup, source_mix, surrogates, token_counts, toxicity, warc
+from versehall.llm import adaptive_ann, byte_bpe, consensus_html, exact_topk, language_id, near_dup, prefix_trie, source_mix, surrogates, token_counts, toxicity, warc
 from versehall.llm.common import own_path, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -72,14 +72,27 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = prefix_trie.turns(table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(*prefix_trie.grafted(rows))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_surrogates, op4_adaptive_ann, op5_consensus_html, op6_warc, op7_exact_topk, op8_byte_bpe, op9_source_mix, op10_near_dup, op13_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_surrogates, op4_adaptive_ann, op5_consensus_html, op6_warc, op7_exact_topk, op8_byte_bpe, op9_source_mix, op10_near_dup, op11_prefix_trie, op13_token_counts)}
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 
+
+
+def _crc(text: str) -> str:
+    """CRC-32 of a text of ASCII characters, in DuckDB's SQL."""
+    bits = "list_reduce(list_prepend(xor(c, b), [0::BIGINT for _ in range(8)]), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, [ascii(x)::BIGINT for x in string_split({text}, '')]), lambda c, b: {bits}), 4294967295::BIGINT)"
+
+
 SQL: dict[str, str] = {
     "op9_source_mix": rf"""
         WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {_WORDS}))::BIGINT AS size,
@@ -120,4 +133,23 @@ SQL: dict[str, str] = {
               FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
         SELECT query_id, n::INTEGER AS rank, vec_id, score FROM r WHERE n <= 20""",
+    "op11_prefix_trie": rf"""
+        WITH t AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+        d AS (SELECT *, md5(length(role) || ':' || role || text) AS d, len(regexp_extract_all(text, {_WORDS}))::BIGINT AS words FROM t),
+        k AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, d) AS pos FROM d),
+        n AS (SELECT c, count(*) AS n, {_crc("c::VARCHAR")} % 4 AS h, c - c % 20 AS base FROM k GROUP BY c),
+        g AS (SELECT n.*, least(n.h, coalesce(b.n, 0)) AS nb FROM n LEFT JOIN n b ON b.c = n.base),
+        r AS (SELECT g.c, k.pos AS i, k.d, k.words FROM g JOIN k ON k.c = g.base AND k.pos <= g.h
+              UNION ALL SELECT g.c, k.pos - g.h + g.nb, k.d, k.words FROM g JOIN k ON k.c = g.c AND k.pos > g.h),
+        p AS (SELECT c, i, words, string_agg(d, ',') OVER (PARTITION BY c ORDER BY i ROWS UNBOUNDED PRECEDING) AS path FROM r
+              UNION ALL SELECT c, 0, 0, '' FROM g),
+        q AS (SELECT *, CASE WHEN i > 0 THEN substr(path, 1, greatest(33 * (i - 1) - 1, 0)) END AS above FROM p),
+        v AS (SELECT path, i, any_value(above) AS above, min(c) AS c, count(*) AS n_convs, any_value(words) AS words FROM q GROUP BY path, i),
+        ch AS (SELECT above AS path, count(*) AS n_children FROM v WHERE i > 0 GROUP BY above),
+        w AS (SELECT v.*, coalesce(ch.n_children, 0) AS n_children FROM v LEFT JOIN ch USING (path)),
+        s AS (SELECT a.path, sum((w.n_children = 0)::BIGINT) AS n_leaves, sum((w.n_convs - 1) * w.words) AS saved FROM w JOIN p a ON a.c = w.c AND a.i <= w.i GROUP BY a.path),
+        l AS (SELECT c, max(i) AS i FROM p GROUP BY c),
+        e AS (SELECT p.path, string_agg(p.c::VARCHAR, ',' ORDER BY p.c) AS ids FROM p JOIN l USING (c, i) GROUP BY p.path)
+        SELECT w.c AS conv_id, w.i AS depth, u.c AS parent_conv_id, w.n_convs, w.n_children, s.n_leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+        FROM w JOIN s USING (path) LEFT JOIN v u ON u.path = w.above LEFT JOIN e ON e.path = w.path""",
 }
