@@ -9,7 +9,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from versehall.llm import prefix_trie
+from versehall.llm import conversation_repair, prefix_trie
 
 SCHEMA = "conv_id long, turn long, role string, text string, n long, i long, conv long, block long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -95,3 +95,92 @@ def test_deep_nesting_needs_few_rounds(spark):
     root = got.where("depth = 0").first()
     assert root.n_leaves == 40 and root.n_convs == 40
     assert got.agg(F.sum("n_children")).first()[0] == got.count() - 1
+
+
+# -- repair -----------------------------------------------------------------------------------
+
+
+def damaged_by_loops(rows):
+    out = []
+    for c, t, role, text in rows:
+        c_, t_, role, text = (" " if x is None else x for x in (c, t, role, text))
+        k = zlib.crc32(f"{c_}:{t_}".encode()) % 20
+        text = "" if k == 1 else re.sub("[.!?]", "", text) if k == 2 else text
+        out += [(c, t, "user" if k == 4 else role, text)] * (0 if not k else 2 if k == 3 else 1)
+    return out
+
+
+def cheapest(rows, faults):
+    """(cost, initials, repaired lines) by trying every edit in every state, least first."""
+    after = {"": {"s": "s", "u": "u"}, "s": {"u": "u"}, "u": {"a": "a"}, "a": {"u": "u"}}
+    name = {"u": "user", "a": "assistant"}
+    best = {(len(rows), q): x for q, x in {"": (0, "", ()), "s": (6, "II", ("user:", "assistant:")), "u": (3, "I", ("assistant:",)), "a": (0, "", ())}.items()}
+    for t in range(len(rows) - 1, -1, -1):
+        (role, text), extra = rows[t], 3 * (faults[t] == "truncated")
+        plain = {}
+        for q in after:
+            ways = [(4, "D", (), (t + 1, q))]
+            if faults[t] not in ("blank", "duplicate"):
+                if role[:1] in after[q]:
+                    ways.append((extra, "K", (f"{role}:{text}",), (t + 1, role[:1])))
+                ways += [(3 + extra, "R", (f"{name[r]}:{text}",), (t + 1, r)) for r in after[q] if r in name]
+            plain[q] = min((cost + best[to][0], letter + best[to][1], line + best[to][2]) for cost, letter, line, to in ways)
+        for q in after:
+            best[t, q] = plain[q]
+        for _ in range(3):
+            for q in after:
+                for r in set(after[q]) & set(name):
+                    cost, letters, lines = best[t, r]
+                    best[t, q] = min(best[t, q], (cost + 3, "I" + letters, (name[r] + ":", *lines)))
+    return best[0, ""]
+
+
+def repair_by_loops(rows, ids, filled):
+    out = {c: (0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest()) for c in ids}
+    times = defaultdict(set)
+    for c, t, *_ in rows:
+        times[c] |= {t} - {None}
+    for c, turns in in_order(rows, filled).items():
+        seen, faults = set(), []
+        for x in turns:
+            shown = WORD.findall(x[1])
+            faults.append("blank" if not shown else "duplicate" if x in seen else "truncated" if shown[-1][-1] not in ".!?" else "")
+            seen.add(x)
+        odd = sum(a[0][:1] + b[0][:1] not in ("su", "ua", "au") for a, b in zip(turns, turns[1:]))
+        cost, audit, lines = cheapest(turns, faults)
+        gaps = max(times[c]) - min(times[c]) + 1 - len(times[c]) if times[c] else 0
+        out[c] = (gaps, *[faults.count(f) for f in ("blank", "duplicate", "truncated")], odd, cost, audit, hashlib.sha256("\n".join(lines).encode()).hexdigest())
+    return out
+
+
+def repaired(df):
+    got = df.collect()
+    assert len(got) == len({r.conv_id for r in got})
+    return {r.conv_id: (r.gaps, r.blank, r.duplicate, r.truncated, r.illegal, r.cost, r.audit, r.repaired_sha256) for r in got}
+
+
+@pytest.mark.parametrize("seed, convs, most, bits", [(1, 80, 7, 12), (2, 30, 30, 2), (3, 6, 60, 1)])
+def test_repair_against_loops(spark, monkeypatch, seed, convs, most, bits):
+    """With blocks of two or four rows nearly every conversation lies in several."""
+    monkeypatch.setattr(conversation_repair, "BLOCK_BITS", bits)
+    rows = conversations(seed, convs, most, words=40)
+    table = table_of(spark, rows)
+    want = repair_by_loops(damaged_by_loops(rows), {r[0] for r in rows}, " ")
+    assert repaired(conversation_repair.repair(conversation_repair.damaged(table), table)) == want
+    plain = repair_by_loops(rows, {r[0] for r in rows}, "")
+    assert repaired(conversation_repair.repair(table)) == plain
+
+
+def test_repair_of_nothing_and_small_tensors(spark, monkeypatch):
+    table = table_of(spark, conversations(9, 20, 5))
+    assert conversation_repair.repair(table.limit(0)).count() == 0
+    gone = conversation_repair.repair(table.limit(0), table)
+    assert {(r.cost, r.audit) for r in gone.collect()} == {(0, "")} and gone.count() == table.select("conv_id").distinct().count()
+    monkeypatch.setattr(conversation_repair, "CELLS", 8)
+    assert list(map(sorted, conversation_repair._tensors([2, 9, 3, 2, 1]))) == [[1], [0, 2], [3, 4]]
+
+
+def test_long_texts_and_roles(spark):
+    long = "word " * 200_000 + "end."
+    rows = [(1, 0, "system", "Be kind."), (1, 1, "useful", long), (1, 2, "assistant", "Yes"), (1, 3, "tool", long + "!"), (1, 4, "", "No role.")]
+    assert repaired(conversation_repair.repair(table_of(spark, rows))) == repair_by_loops(rows, {1}, "")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versehall.llm import adaptive_ann, byte_bpe, consensus_html, exact_topk, language_id, near_dup, prefix_trie, source_mix, surrogates, token_counts, toxicity, warc
+from versehall.llm import adaptive_ann, byte_bpe, consensus_html, conversation_repair, exact_topk, language_id, near_dup, prefix_trie, source_mix, surrogates, token_counts, toxicity, warc
 from versehall.llm.common import own_path, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -77,11 +77,16 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(*prefix_trie.grafted(rows))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversation_repair.repair(conversation_repair.damaged(rows), rows)
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_surrogates, op4_adaptive_ann, op5_consensus_html, op6_warc, op7_exact_topk, op8_byte_bpe, op9_source_mix, op10_near_dup, op11_prefix_trie, op13_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_surrogates, op4_adaptive_ann, op5_consensus_html, op6_warc, op7_exact_topk, op8_byte_bpe, op9_source_mix, op10_near_dup, op11_prefix_trie, op12_conversation_repair, op13_token_counts)}
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 
@@ -93,6 +98,42 @@ def _crc(text: str) -> str:
     return f"xor(list_reduce(list_prepend(4294967295::BIGINT, [ascii(x)::BIGINT for x in string_split({text}, '')]), lambda c, b: {bits}), 4294967295::BIGINT)"
 
 
+def _repair_sql() -> str:
+    """Costs to the end row by row from the last one, in each state with the edits and the repaired lines."""
+    behind, role = [2, 2, 3, 2], ["user", "user", "assistant", "user"]
+    keep = [{"s": 1, "u": 2}, {"u": 2}, {"a": 3}, {"u": 2}]
+    base, once, twice = [], [], []
+    for q in range(4):
+        to = "CASE" + "".join(f" WHEN x.initial = '{r}' THEN b.b{k}" for r, k in keep[q].items()) + " END"
+        ways = [f"{{'c': b.b{q}.c + 4, 'a': 'D' || b.b{q}.a, 'r': b.b{q}.r}}"]
+        ways += [f"CASE WHEN NOT x.must AND ({to}) IS NOT NULL THEN {{'c': ({to}).c + x.pen, 'a': 'K' || ({to}).a, 'r': chr(10) || x.role || ':' || x.text || ({to}).r}} END"]
+        n = f"b.b{behind[q]}"
+        ways += [f"CASE WHEN NOT x.must THEN {{'c': {n}.c + 3 + x.pen, 'a': 'R' || {n}.a, 'r': chr(10) || '{role[q]}:' || x.text || {n}.r}} END"]
+        base.append(f"list_sort(list_filter([{', '.join(ways)}], lambda y: y IS NOT NULL))[1] AS b{q}")
+        more = [f"list_sort([z{i}.b{q}, {{'c': z{i}.b{behind[q]}.c + 3, 'a': 'I' || z{i}.b{behind[q]}.a, 'r': chr(10) || '{role[q]}:' || z{i}.b{behind[q]}.r}}])[1] AS b{q}" for i in (1, 2)]
+        once.append(more[0])
+        twice.append(more[1])
+    end = ["{'c': 0::BIGINT, 'a': '', 'r': ''}", "{'c': 6::BIGINT, 'a': 'II', 'r': chr(10) || 'user:' || chr(10) || 'assistant:'}", "{'c': 3::BIGINT, 'a': 'I', 'r': chr(10) || 'assistant:'}", "{'c': 0::BIGINT, 'a': '', 'r': ''}"]
+    space = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return rf"""
+        WITH RECURSIVE s AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS k FROM conversations),
+        d AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+                     CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+              FROM (SELECT *, unnest(CASE WHEN k = 3 THEN [1, 2] ELSE [1] END) FROM s WHERE k <> 0)),
+        o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text)) AS t, rtrim(text, {space}) AS shown, left(role, 1) AS initial FROM d),
+        f AS (SELECT *, CASE WHEN shown = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY t) > 1 THEN 'd' WHEN right(shown, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+                     coalesce(lag(initial) OVER (PARTITION BY conv_id ORDER BY t) || initial NOT IN ('su', 'ua', 'au'), false) AS odd FROM o),
+        x AS MATERIALIZED (SELECT conv_id, t, role, text, initial, fault IN ('b', 'd') AS must, CASE WHEN fault = 't' THEN 3 ELSE 0 END AS pen FROM f),
+        b AS (SELECT conv_id, max(t) + 1 AS t, {", ".join(f"{e} AS b{q}" for q, e in enumerate(end))} FROM x GROUP BY conv_id
+              UNION ALL SELECT conv_id, t, {", ".join(twice)} FROM (SELECT conv_id, t, {", ".join(once)} FROM (SELECT x.conv_id, x.t, {", ".join(base)}
+              FROM b JOIN x ON x.conv_id IS NOT DISTINCT FROM b.conv_id AND x.t = b.t - 1) z1) z2),
+        c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+                     count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (odd) AS illegal FROM f GROUP BY conv_id)
+        SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+               coalesce(b.b0.c, 0) AS cost, coalesce(b.b0.a, '') AS audit, sha256(coalesce(substr(b.b0.r, 2), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM i.conv_id AND b.t = 1"""
+
+
 SQL: dict[str, str] = {
     "op9_source_mix": rf"""
         WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {_WORDS}))::BIGINT AS size,
@@ -152,4 +193,5 @@ SQL: dict[str, str] = {
         e AS (SELECT p.path, string_agg(p.c::VARCHAR, ',' ORDER BY p.c) AS ids FROM p JOIN l USING (c, i) GROUP BY p.path)
         SELECT w.c AS conv_id, w.i AS depth, u.c AS parent_conv_id, w.n_convs, w.n_children, s.n_leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
         FROM w JOIN s USING (path) LEFT JOIN v u ON u.path = w.above LEFT JOIN e ON e.path = w.path""",
+    "op12_conversation_repair": _repair_sql(),
 }
