@@ -61,6 +61,52 @@ def merge_records(records: DataFrame, tombstones: DataFrame, key: str, at: str,
     return left.withColumn("active", F.row_number().over(last) == 1)
 
 
+def merge_library(
+    records: DataFrame, pointers: DataFrame, tombstones: DataFrame, arrived: DataFrame, arrived_tombstones: DataFrame, default_name: str = "Default", name_length: int = 60
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """L5 over the linked tables of a library, all messages at once.
+
+    records (record, book, name, name_at, heard_at), pointers (book, record, active_at) and tombstones (record, at)
+    are ours; `arrived` (seq, record, book, name, name_at, active_at, heard_at) are messages of other
+    devices in the order of seq. Gives the three tables merged, by these rules:
+
+    * a deleted record never comes back, whatever its time; a tombstone keeps its latest time;
+    * an unknown record is adopted, by the book of its first message; a known one stays with its book;
+    * the later name wins, ties to ours and then to the earlier message; blank names do not count, but
+      an adopted record begins as `default_name` where its first message has none;
+    * a book's pointer has a time of its own: a message that chose its record later moves it. A pointer
+      to a deleted record passes to the book's record heard last; a book without one points to its first adopted.
+    """
+    dead = tombstones.select("record", "at").unionByName(arrived_tombstones.select("record", "at")).groupBy("record").agg(F.max("at").alias("at"))
+    ours = records.join(dead, "record", "left_anti")
+    sent = arrived.join(dead, "record", "left_anti")
+    sent = sent.join(ours.select("record", F.lit(True).alias("known")), "record", "left").withColumn("known", F.col("known").isNotNull())
+    first = sent.groupBy("record").agg(F.min("seq").alias("first"))
+    sent = sent.join(first, "record").withColumn("fresh", ~F.col("known") & (F.col("seq") == F.col("first")))
+
+    name = F.substring(F.trim(F.coalesce("name", F.lit(""))), 1, name_length)
+    name = F.when(name != "", name).when(F.col("fresh"), F.lit(default_name))
+    named = sent.select("record", name.alias("name"), F.coalesce("name_at", F.lit(0)).alias("name_at"), "seq").where("name IS NOT NULL")
+    named = ours.select("record", "name", "name_at", F.lit(-1).cast("long").alias("seq")).unionByName(named)
+    names = named.groupBy("record").agg(F.max_by(F.struct("name", "name_at"), F.struct(F.col("name_at"), -F.col("seq"))).alias("n")).select("record", "n.*")
+    owned = ours.select("record", "book").unionByName(sent.where("fresh").select("record", "book"))
+    heard = ours.select("record", "heard_at").unionByName(sent.select("record", "heard_at")).groupBy("record").agg(F.max(F.coalesce("heard_at", F.lit(0))).alias("heard_at"))
+    merged = owned.join(names, "record").join(heard, "record")
+
+    live = merged.select("record", "book")
+    chosen = sent.where("active_at > 0").join(live.withColumnRenamed("book", "of"), "record").select(F.col("of").alias("book"), "record", "active_at", "seq")
+    adopted = sent.where("fresh").select("book", "record", F.lit(0).alias("active_at"), "seq")
+    held = pointers.select("book", "record", "active_at").join(live, ["record", "book"], "left_semi")
+    lost = pointers.join(held.select("book"), "book", "left_anti").select("book", F.col("active_at").alias("lost_at"))
+    # a book that lost its record passes to the one heard last among those it had, at the lost one's time
+    passed = ours.join(heard.withColumnRenamed("heard_at", "last_heard"), "record").join(lost, "book").groupBy("book").agg(F.max_by("record", F.struct("last_heard", "record")).alias("record"), F.first("lost_at").alias("active_at"))
+    new = adopted.join(held.select("book"), "book", "left_anti").join(passed.select("book"), "book", "left_anti")
+    every = held.withColumn("seq", F.lit(-1).cast("long")).unionByName(passed.withColumn("seq", F.lit(-1).cast("long"))).unionByName(new).unionByName(chosen)
+    best = F.max_by(F.struct("record", "active_at"), F.struct(F.col("active_at"), -F.col("seq")))
+    merged_pointers = every.groupBy("book").agg(best.alias("p")).select("book", "p.record", "p.active_at")
+    return merged.select("record", "book", "name", "name_at", "heard_at"), merged_pointers, dead
+
+
 def merge_wishes(local: DataFrame, incoming: DataFrame, key: str, status: str, order: Sequence[str]) -> DataFrame:
     """Wishes of both sides by key, the status further along `order` winning."""
     place = F.array_position(F.array(*[F.lit(x) for x in order]), F.col(status))

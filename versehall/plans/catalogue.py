@@ -1,4 +1,4 @@
 """All registered queries; importing the modules registers theirs."""
 
-from versehall.plans import dialogues, entities, files, ordered, relational, sequences, statistics, texts  # noqa: F401
+from versehall.plans import arrivals, dialogues, entities, files, ordered, relational, sequences, statistics, texts  # noqa: F401
 from versehall.plans.registry import QUERIES, SQL  # noqa: F401
