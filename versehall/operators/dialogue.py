@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from versehall.operators.graph import components
+
 WORD = r"[\p{L}]+"
 
 
@@ -112,43 +113,16 @@ def point_of_view(chapters: DataFrame, heading: str, text: str, first_person: st
     return out.where((F.col("first_person_rate") >= rate) & (F.col("told_about") <= told))
 
 
-def voices_of(lines: Sequence, terms: Sequence[Sequence]) -> list[tuple[list, dict]]:
-    """Groups of lines that share terms, directly or over other lines, the largest first (ties to the one
-    with the first line): (lines, count of each term). Lines without terms are in none."""
-    root: dict = {}
-
-    def find(x):
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for own in terms:
-        for t in own:
-            root.setdefault(t, t)
-            root[find(t)] = find(own[0])
-    out: dict = {}
-    for line, own in zip(lines, terms):
-        if len(own):
-            held, bag = out.setdefault(find(own[0]), ([], {}))
-            held.append(line)
-            for t in own:
-                bag[t] = bag.get(t, 0) + 1
-    return sorted(out.values(), key=lambda v: (-len(v[0]), v[0][0]))
-
-
 def split_labels(terms: DataFrame, label: str, line: str, term: str) -> DataFrame:
-    """Labels whose lines fall into groups that share no term: (label, groups, largest).
-
-    Groups over the lines of one label, which must fit a task; labels are independent."""
-
-    def groups(rows: pd.DataFrame) -> pd.DataFrame:
-        own = rows.groupby(line)[term].agg(list)
-        found = voices_of(list(own.index), list(own))
-        return pd.DataFrame({label: [rows[label].iloc[0]], "groups": [len(found)], "largest": [len(found[0][0])]})
-
-    kind = dict(terms.dtypes)[label]
-    found = terms.select(label, line, term).distinct().groupBy(label).applyInPandas(groups, f"{label} {kind}, groups int, largest int")
+    """Labels whose lines fall into groups that share no term: (label, groups, largest). Groups are the
+    connected components of a label's terms, joined where a line has both."""
+    own = terms.select(label, line, F.col(term).alias("t")).where(F.col("t").isNotNull()).distinct()
+    first = own.groupBy(label, line).agg(F.min("t").alias("first"))
+    end = lambda t: F.struct(F.col(label).alias("l"), F.col(t).alias("t"))
+    of = components(own.join(first, [label, line]).select(end("t").alias("a"), end("first").alias("b")).distinct())
+    of = of.select(F.col("node.l").alias(label), F.col("node.t").alias("first"), "component")
+    sizes = first.join(of, [label, "first"]).groupBy(label, "component").agg(F.count("*").alias("lines"))
+    found = sizes.groupBy(label).agg(F.count("*").cast("int").alias("groups"), F.max("lines").cast("int").alias("largest"))
     return found.where("groups > 1")
 
 
@@ -156,32 +130,41 @@ def split_doubts(terms: DataFrame, label: str, chapter: str, line: str, term: st
     """Chapters in which a label seems to stand for two people: (label, chapter, odd lines, odd
     terms, usual terms, margin). Rows are the terms of address of each line.
 
-    The two largest groups of lines that share no term must either have different terms for the
+    Terms said in one line belong together, and so do those joined over other lines: the voices of a
+    label's chapter are the connected components of its terms, found for all chapters at once. The two
+    voices with most lines (at least `least_lines`; ties to the one whose first line comes first) must either have different terms for the
     speaker's self (`selves`) or two terms each. Which is the odd one is told by the label's terms in its
-    other chapters (at least `least_known`): its log likelihood a term is lower by `margin`. A label's
-    chapter is one group; profiles are grouped sums."""
-
-    def pair(rows: pd.DataFrame) -> pd.DataFrame:
-        own = rows.groupby(line)[term].agg(list)
-        found = [v for v in voices_of(list(own.index), list(own)) if len(v[0]) >= least_lines][:2]
-        two = len(found) == 2
-        if two:
-            a, b = ({t for t in bag if t in selves} for _, bag in found)
-            two = bool(a and b and not a & b) or min(len(bag) for _, bag in found) >= 2
-        out = [(rows[label].iloc[0], rows[chapter].iloc[0], i, held, t, n) for i, (held, bag) in enumerate(found) if two for t, n in bag.items()]
-        return pd.DataFrame(out, columns=[label, chapter, "side", "lines", "t", "n"])
-
-    kinds = dict(terms.dtypes)
-    fields = f"{label} {kinds[label]}, {chapter} {kinds[chapter]}, side int, lines array<{kinds[line]}>, t {kinds[term]}, n long"
-    sides = terms.select(label, chapter, line, term).groupBy(label, chapter).applyInPandas(pair, fields)
-    here = terms.groupBy(label, chapter, F.col(term).alias("t")).agg(F.count("*").alias("own"))
-    every = terms.groupBy(label, F.col(term).alias("t")).agg(F.count("*").alias("all"))
-    size = terms.groupBy(label, chapter).agg(F.count("*").alias("own_size")).join(terms.groupBy(label).agg(F.count("*").alias("size")), label)
-    rows = sides.join(here, [label, chapter, "t"]).join(every, [label, "t"]).join(size, [label, chapter])
+    other chapters (at least `least_known`): its log likelihood a term is lower by `margin`. Only the
+    lines of chapters found are gathered."""
+    own = terms.select(label, chapter, line, F.col(term).alias("t")).where(F.col("t").isNotNull())
+    node = F.struct(F.col(label).alias("l"), F.col(chapter).alias("c"), F.col("t").alias("t"))
+    first = own.groupBy(label, chapter, line).agg(F.min("t").alias("first"))
+    edges = own.join(first, [label, chapter, line]).select(node.alias("a"), F.struct(F.col(label).alias("l"), F.col(chapter).alias("c"), F.col("first").alias("t")).alias("b"))
+    of = components(edges.distinct()).select(F.col("node.l").alias(label), F.col("node.c").alias(chapter), F.col("node.t").alias("t"), F.col("component.t").alias("voice"))
+
+    keys = [label, chapter]
+    bags = own.groupBy(*keys, "t").agg(F.count("*").alias("n")).join(of, [*keys, "t"])
+    in_lines = first.join(of.withColumnRenamed("t", "first"), [*keys, "first"])
+    lines = in_lines.groupBy(*keys, "voice").agg(F.count("*").alias("lines"), F.min(line).alias("begins"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("lines").desc(), "begins"))
+    two = lines.where(F.col("lines") >= least_lines).withColumn("place", place).where("place <= 2").select(*keys, "voice", "place")
+    told = bags.join(two, [*keys, "voice"])
+    mine = F.array_sort(F.collect_set(F.when(F.col("t").isin(*selves), F.col("t"))))
+    sides = told.groupBy(*keys, "voice", "place").agg(F.count("*").alias("kinds"), mine.alias("selves"))
+    pair = sides.groupBy(*keys).agg(F.count("*").alias("sides"), F.min("kinds").alias("kinds"), F.max_by("selves", "place").alias("x"), F.min_by("selves", "place").alias("y"))
+    differ = (F.size("x") > 0) & (F.size("y") > 0) & ~F.arrays_overlap("x", "y")
+    pair = pair.where((F.col("sides") == 2) & (differ | (F.col("kinds") >= 2))).select(*keys)
+
+    every = own.groupBy(label, "t").agg(F.count("*").alias("all"))
+    size = own.groupBy(*keys).agg(F.count("*").alias("own_size")).join(own.groupBy(label).agg(F.count("*").alias("size")), label)
+    rows = told.join(pair, keys).join(every, [label, "t"]).join(size, keys)
     known = F.col("size") - F.col("own_size")
-    fit = F.sum(F.col("n") * F.log((F.col("all") - F.col("own") + 0.5) / (known + 0.5 * vocabulary))) / F.sum("n")
-    fits = rows.where(known >= least_known).groupBy(label, chapter, "side", "lines").agg(fit.alias("fit"), F.sort_array(F.collect_list("t")).alias("terms"))
-    both = fits.groupBy(label, chapter).agg(F.min(F.struct("fit", "side", "lines", "terms")).alias("odd"), F.max(F.struct("fit", "side", "lines", "terms")).alias("usual"))
+    fit = F.sum(F.col("n") * F.log((F.col("all") - F.col("n") + 0.5) / (known + 0.5 * vocabulary))) / F.sum("n")
+    fits = rows.where(known >= least_known).groupBy(*keys, "voice", "place").agg(fit.alias("fit"), F.sort_array(F.collect_list("t")).alias("terms"))
+    side = F.struct("fit", "place", "voice", "terms")
+    both = fits.groupBy(*keys).agg(F.min(side).alias("odd"), F.max(side).alias("usual"))
     apart = F.col("usual.fit") - F.col("odd.fit")
-    out = both.where((apart >= margin) & (F.col("usual.side") != F.col("odd.side")))
-    return out.select(label, chapter, F.col("odd.lines").alias("lines"), F.col("odd.terms").alias("odd"), F.col("usual.terms").alias("usual"), apart.alias("margin"))
+    found = both.where((apart >= margin) & (F.col("usual.place") != F.col("odd.place")))
+    found = found.select(*keys, F.col("odd.voice").alias("voice"), F.col("odd.terms").alias("odd"), F.col("usual.terms").alias("usual"), apart.alias("margin"))
+    gathered = in_lines.join(found.select(*keys, "voice"), [*keys, "voice"]).groupBy(*keys).agg(F.sort_array(F.collect_list(line)).alias("lines"))
+    return found.join(gathered, keys).select(*keys, "lines", "odd", "usual", "margin")
