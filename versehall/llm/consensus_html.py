@@ -11,7 +11,13 @@ The pass over a page and the choice of its container take time in proportion to
 deep its elements are nested: open elements are counted by name, a path is a parent and a step, and
 subtrees that hold too little are passed over whole.
 
-Defined cases: null or blank html gives an empty text; broken and cut-off markup is read as far as
+Menus, notices and the like are known by their elements and by names in class, id and role. A name of
+nothing but such words ("sidebar", "cookie-banner") is believed, also "comments-area"; a word in a longer name ("sidebar-left",
+"toc-enabled", "social-science") or beside a name of content ("post sidebar") only where the element holds less than a
+third of the page's running text, so that a wrapper around the article is never dropped for a word.
+
+Defined cases: formulas (`math`) are text, but not their annotations; an attribute's value without quotes ends at
+white space or `>`; a `<` that begins no tag is text; null or blank html gives an empty text; broken and cut-off markup is read as far as
 it goes; of paths with equal votes (to 6 decimals) the greater in code point order wins, of equally good elements
 the first; a page without a host (null or odd url) votes for the empty host; repeated rows give
 repeated results and vote as often; an empty table an empty result; other columns of the pages play
@@ -39,7 +45,7 @@ BLOCKS = set(
     "tbody td tfoot th thead tr ul".split()
 )
 CONTAINERS = {"article", "main", "section", "div", "td", "center", "body", "blockquote"}
-SKIPPED = set("head nav footer aside form script style noscript template iframe svg math button select textarea input object dialog menu canvas audio video map datalist".split())
+SKIPPED = set("head nav footer aside form script style noscript template iframe svg annotation annotation-xml button select textarea input object dialog menu canvas audio video map datalist".split())
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 UNWANTED = set(
     "nav navbar navigation menu sidebar aside footer header masthead ad ads advert adverts advertisement adsense sponsor sponsored promo "
@@ -48,6 +54,10 @@ UNWANTED = set(
     "widget pagination pager toolbar copyright skip contentinfo complementary search toc".split()
 )
 EXCEPT = {"has", "with", "no", "without"}
+CONTENT = set("article body container content entry layout main page post story text wrap wrapper".split())
+TALK = set("comment comments commentlist disqus reply replies respond".split())  # parts whose text may be longer than the article
+FRAME = set("area block body box container content form inner list region section thread wrap wrapper".split())
+LITTLE = 1 / 3  # of the page's running text: an element that is unwanted by a word in a longer name holds less
 CLOSES = {  # elements that a start tag ends when they are open right above
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
     "option": {"option"}, "tbody": {"tr", "td", "th", "tbody", "thead"}, "thead": set(), "tfoot": {"tr", "td", "th", "tbody"},
@@ -59,7 +69,7 @@ SHARE = 0.6  # of the parent's running text that makes a container the better on
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|textarea|title|xmp|noscript|iframe)\b[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)"
+    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+|))*+)(?:>|\Z)"
     r"|</?[a-zA-Z][^>]*+(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)",
     re.S | re.I,
 )
@@ -69,20 +79,25 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 @lru_cache(maxsize=20_000)
 def _about(attrs: str) -> tuple[str, str]:
-    """(generalised class and id, "skip", "head" or "") of an attribute text."""
+    """(generalised class and id, verdict) of an attribute text. Verdicts: "skip" and "head" (only
+    headings count) for what a whole name says or what is hidden; "soft" and "softhead" for a word in a longer name
+    or beside a name of content, which may as well say something about what the element holds."""
     named = {m[0].lower(): m[1] or m[2] or m[3] for m in _ATTR.findall(attrs)}
     names = named.get("class", "").split() + [named[k] for k in ("id", "role") if named.get(k)]
     label = "".join(sorted({"." + x for x in (re.sub(r"\d+", "", c.lower()).strip("-_") for c in named.get("class", "").split()) if x}))
     if named.get("id") and not re.search(r"\d", named["id"]):
         label += "#" + "".join(named["id"].lower().split())
-    verdict = ""
-    for name in names:
-        words = {w.lower() for w in _PART.findall(name)}
-        if words & UNWANTED and not words & EXCEPT:
-            verdict = "head" if words & UNWANTED == {"header"} else "skip"
-            if verdict == "skip":
-                break
-    bare = re.sub(r"\"[^\"]*\"|'[^']*'", "", attrs)
+    parts = [{w.lower() for w in _PART.findall(name)} for name in names]
+    content = any(words & CONTENT and not words & UNWANTED for words in parts)
+    found = set()
+    for words in parts:
+        bad = words & UNWANTED
+        if bad and not words & EXCEPT:
+            rest = words - bad
+            alone = not content and (not rest or (bool(bad & TALK) and rest <= FRAME))
+            found.add(("head" if alone else "softhead") if bad == {"header"} else "skip" if alone else "soft")
+    verdict = next((v for v in ("skip", "soft", "head", "softhead") if v in found), "")
+    bare = _ATTR.sub(" ", attrs)
     if re.search(r"\bhidden\b(?!\s*=)", bare) or named.get("hidden") is not None or named.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", named.get("style", "")):
         verdict = "skip"
     return label, verdict
@@ -96,7 +111,8 @@ class Page:
         self.path_of = [0]  # of each element: the place of its path in `steps`
         self._steps: dict[tuple[int, str], int] = {}
         self.runs: list[tuple[int, int, str, bool]] = []  # element, block, text, inside a link
-        open_, state, block, at = [0], [""], 0, 0  # state: "" wanted, "skip", "head" (headings only), "in" (wanted, inside an article)
+        self.verdicts = [""]
+        open_, block, at = [0], 0, 0
         links, names, walls = 0, Counter(), []  # open elements by name; places of the open blocks in `open_`
 
         def shut(to: int) -> None:
@@ -104,7 +120,6 @@ class Page:
             nonlocal block, links
             while len(open_) > to:
                 i = open_.pop()
-                state.pop()
                 self.ends[i] = len(self.tags)
                 names[self.tags[i]] -= 1
                 links -= self.tags[i] == "a"
@@ -113,7 +128,7 @@ class Page:
 
         for m in _TAG.finditer(html):
             if m.start() > at:
-                self._text(html[at : m.start()], open_, state, block, links)
+                self._text(html[at : m.start()], open_, block, links)
             at = m.end()
             name = m["name"]
             if not name:
@@ -136,38 +151,56 @@ class Page:
                 while walls and self.tags[open_[walls[-1]]] in closed:
                     shut(walls[-1])
             elif tag == "br":
-                self._text(" ", open_, state, block, links)
+                self._text(" ", open_, block, links)
             if tag in VOID:
                 continue
-            up, kind = open_[-1], state[-1]
-            attrs = m["attrs"]
+            up, attrs = open_[-1], m["attrs"]
             label, verdict = _about(attrs) if attrs and tag not in ("a", "p", "b", "i", "span", "li", "img") or "hidden" in attrs or "none" in attrs or "class" in attrs else ("", "")
-            if tag in ("html", "body", "main", "article"):
+            if tag in SKIPPED:
+                verdict = "skip"
+            elif tag in ("html", "body", "main", "article"):
                 verdict = ""
-            if kind == "skip" or tag in SKIPPED or verdict == "skip":
-                new = "skip"
-            elif kind == "head" or tag == "header" or verdict == "head":
-                inside = kind == "in" or kind == "head"
-                new = "in" if inside and tag in HEADINGS else "head" if inside else "skip"
-            else:
-                new = "in" if tag in ("article", "main") else kind
+            elif tag == "header" and verdict != "skip":
+                verdict = "head"
             if not attrs.endswith("/") or tag in BLOCKS or tag == "a":
                 links += tag == "a"
                 names[tag] += 1
                 if tag in BLOCKS:
                     walls.append(len(open_))
                 open_.append(len(self.tags))
-                state.append(new)
+                self.verdicts.append(verdict)
                 self.blocks.append(len(self.tags) if tag in BLOCKS else self.blocks[up])
                 self.tags.append(tag)
                 self.parents.append(up)
                 self.path_of.append(self._step(self.path_of[up], f"{tag}{label}") if tag in CONTAINERS else self.path_of[up])
                 self.ends.append(-1)
-        if at < len(html) and "<" not in html[at : at + 1]:
-            self._text(html[at:], open_, state, block, links)
+        if at < len(html):
+            self._text(html[at:], open_, block, links)
         for i, end in enumerate(self.ends):
             if end < 0 or not i:
                 self.ends[i] = len(self.tags)
+        every = self.runs
+        self._keep(every, {"soft": "", "softhead": ""})
+        if "soft" in self.verdicts or "softhead" in self.verdicts:
+            little = self.good[0] * LITTLE
+            self.verdicts = [v if not v.startswith("soft") else "" if self.good[i] >= little > 0 else {"soft": "skip"}.get(v, "head") for i, v in enumerate(self.verdicts)]
+            self._keep(every, {})
+
+    def _keep(self, runs: list[tuple[int, int, str, bool]], as_: dict[str, str]) -> None:
+        """Keep the runs that count, and sum the running text of every element. An element's state: ""
+        wanted, "skip", "head" (headings only), "in" (wanted, inside an article)."""
+        state = [""]
+        for i in range(1, len(self.tags)):
+            kind, verdict, tag = state[self.parents[i]], self.verdicts[i], self.tags[i]
+            verdict = as_.get(verdict, verdict)
+            if kind == "skip" or verdict == "skip":
+                state.append("skip")
+            elif kind == "head" or verdict == "head":
+                inside = kind == "in" or kind == "head"
+                state.append("in" if inside and tag in HEADINGS else "head" if inside else "skip")
+            else:
+                state.append("in" if tag in ("article", "main") else kind)
+        self.runs = [r for r in runs if state[r[0]] not in ("skip", "head")]
         self.good = [0] * len(self.tags)
         for i, _, text, link in self.runs:
             if not link:
@@ -199,9 +232,8 @@ class Page:
                 return None
         return at
 
-    def _text(self, raw: str, open_: list[int], state: list[str], block: int, links: int) -> None:
-        if state[-1] not in ("skip", "head"):
-            self.runs.append((open_[-1], block, entities.unescape(raw) if "&" in raw else raw, links > 0))
+    def _text(self, raw: str, open_: list[int], block: int, links: int) -> None:
+        self.runs.append((open_[-1], block, entities.unescape(raw) if "&" in raw else raw, links > 0))
 
     def best(self) -> int:
         """The container of the main text: an article that holds most of it, else the deepest
