@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from versehall.staging import stage
+
 
 def last_writer(rows: DataFrame, keys: Sequence[str], at: str, value: str, incoming: Column, ties_to_incoming: bool, order: Sequence[str] = ()) -> DataFrame:
     """L1 (ties to local), L2 (ties to incoming): the newest value of each key."""
@@ -78,11 +80,13 @@ def merge_library(
       to a deleted record passes to the book's record heard last; a book without one points to its first adopted.
     """
     dead = tombstones.select("record", "at").unionByName(arrived_tombstones.select("record", "at")).groupBy("record").agg(F.max("at").alias("at"))
-    ours = records.join(dead, "record", "left_anti")
+    # staged where used more than once: each table is worked out once, and plans stay small
+    dead = stage(dead, "tombstones")
+    ours = stage(records.join(dead, "record", "left_anti"), "own-records")
     sent = arrived.join(dead, "record", "left_anti")
     sent = sent.join(ours.select("record", F.lit(True).alias("known")), "record", "left").withColumn("known", F.col("known").isNotNull())
     first = sent.groupBy("record").agg(F.min("seq").alias("first"))
-    sent = sent.join(first, "record").withColumn("fresh", ~F.col("known") & (F.col("seq") == F.col("first")))
+    sent = stage(sent.join(first, "record").withColumn("fresh", ~F.col("known") & (F.col("seq") == F.col("first"))), "messages")
 
     name = F.substring(F.trim(F.coalesce("name", F.lit(""))), 1, name_length)
     name = F.when(name != "", name).when(F.col("fresh"), F.lit(default_name))
@@ -91,15 +95,15 @@ def merge_library(
     names = named.groupBy("record").agg(F.max_by(F.struct("name", "name_at"), F.struct(F.col("name_at"), -F.col("seq"))).alias("n")).select("record", "n.*")
     owned = ours.select("record", "book").unionByName(sent.where("fresh").select("record", "book"))
     heard = ours.select("record", "heard_at").unionByName(sent.select("record", "heard_at")).groupBy("record").agg(F.max(F.coalesce("heard_at", F.lit(0))).alias("heard_at"))
-    merged = owned.join(names, "record").join(heard, "record")
+    merged = stage(owned.join(names, "record").join(heard, "record"), "records")
 
     live = merged.select("record", "book")
     chosen = sent.where("active_at > 0").join(live.withColumnRenamed("book", "of"), "record").select(F.col("of").alias("book"), "record", "active_at", "seq")
     adopted = sent.where("fresh").select("book", "record", F.lit(0).alias("active_at"), "seq")
-    held = pointers.select("book", "record", "active_at").join(live, ["record", "book"], "left_semi")
+    held = stage(pointers.select("book", "record", "active_at").join(live, ["record", "book"], "left_semi"), "held-pointers")
     lost = pointers.join(held.select("book"), "book", "left_anti").select("book", F.col("active_at").alias("lost_at"))
     # a book that lost its record passes to the one heard last among those it had, at the lost one's time
-    passed = ours.join(heard.withColumnRenamed("heard_at", "last_heard"), "record").join(lost, "book").groupBy("book").agg(F.max_by("record", F.struct("last_heard", "record")).alias("record"), F.first("lost_at").alias("active_at"))
+    passed = ours.select("record", "book").join(merged.select("record", F.col("heard_at").alias("last_heard")), "record").join(lost, "book").groupBy("book").agg(F.max_by("record", F.struct("last_heard", "record")).alias("record"), F.first("lost_at").alias("active_at"))
     new = adopted.join(held.select("book"), "book", "left_anti").join(passed.select("book"), "book", "left_anti")
     every = held.withColumn("seq", F.lit(-1).cast("long")).unionByName(passed.withColumn("seq", F.lit(-1).cast("long"))).unionByName(new).unionByName(chosen)
     best = F.max_by(F.struct("record", "active_at"), F.struct(F.col("active_at"), -F.col("seq")))
