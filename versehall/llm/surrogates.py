@@ -4,7 +4,10 @@ Detection finds e-mail addresses, phone numbers, payment cards, national ids, IB
 secrets and titled or introduced personal names in whole texts. Every distinct entity (its
 canonical form) gets one surrogate for the whole corpus, derived from a secret key: digits stay
 digits, letters keep case and script, a card that passes the Luhn test still does, an address keeps
-its top-level domain, a name keeps its gender and script. A given name behind a title without gender
+its top-level domain, a name keeps its gender and script. Names stand behind titles, also chains of
+them ("Frau Prof. Dr."), or introductions, over any white space and over the line end of a wrapped line; their particles
+("von der") stay, initials become other letters by a keyed order of the alphabet (distinct, but as there are only so many letters not
+unlike all real ones). A given name behind a title without gender
 or an introduction is the entity of the one gender its name has elsewhere, if there is one. Surrogates are then checked in Spark: one
 that equals a real entity or another surrogate is drawn anew (the smallest entity keeps it), until
 none is left, so distinct entities stay distinct and mentions of one entity stay together. Where the
@@ -49,6 +52,10 @@ TITLES = {
 ABBREVIATED = ["Mr", "Mrs", "Ms", "Dr", "Prof", "Mme", "Mlle", "Sr", "Sra"]  # titles also in small letters, before a point
 DIALLED = ["tel", "phone", "telephone", "mobile", "cell", "fax", "call", "Telefon", "Handy", "téléphone", "portable", "teléfono", "móvil"]
 INTRODUCTIONS = ["my name is", "je m'appelle", "ich heiße", "ich heisse", "mein Name ist", "me llamo", "mi nombre es"]
+DEGREES = ["med", "dent", "rer", "nat", "jur", "phil", "pol", "oec", "habil", "h.c", "Ing", "Dipl"]  # between titles, before a point
+CHAINED = ["Don", "Doña", "Miss"]  # also given names: not titles behind another title
+PARTICLES = ["von", "van", "vom", "zu", "zum", "zur", "de", "del", "della", "di", "da", "do", "dos", "das", "du", "ten", "ter", "af", "av", "bin", "ibn", "y"]
+ARTICLES = ["la", "las", "los", "le", "el", "al", "der", "den", "dem", "het"]
 GIVEN = {
     ("m", "latin"): ["Adrian", "Bruno", "Casper", "Dario", "Emil", "Felix", "Gustav", "Hugo", "Ivo", "Julian", "Konrad", "Leon"],
     ("f", "latin"): ["Alma", "Bianca", "Clara", "Delia", "Elena", "Flora", "Greta", "Helena", "Ines", "Julia", "Katja", "Lena"],
@@ -67,7 +74,13 @@ SYLLABLES = {"latin": ["ba", "do", "ke", "li", "mar", "nor", "ra", "sen", "ti",
 
 _WORD = r"[^\W\d_][^\W\d_'’-]*(?:['’-][^\W\d_]+)*"
 _NAME = rf"(?-i:(?=[^\W\d_a-zß-öø-ÿа-яα-ω])){_WORD}"
-_INTRO = "(?i:" + "|".join(x.replace(" ", "[ ]").replace("'", "['’]") for x in INTRODUCTIONS) + ")"
+#: White space between the parts of a name: any run with at most one line end.
+_GAP = r"(?:[^\S\n]+\n?[^\S\n]*|\n[^\S\n]*)"
+_INITIAL = r"(?-i:(?=[^\W\d_a-zß-öø-ÿа-яα-ω]))[^\W\d_]\."
+_BEFORE = rf"(?:{'|'.join(PARTICLES)})\b(?:{_GAP}(?:{'|'.join(ARTICLES)})\b)?"
+_LEAD = rf"(?:{_INITIAL}{_GAP}?-?)*(?:(?-i:{_BEFORE}){_GAP})?"
+_FULL = rf"(?:(?-i:(?:{'|'.join(ARTICLES)}))\b{_GAP})?{_LEAD}{_NAME}(?:{_GAP}{_LEAD}{_NAME}){{0,2}}|{_INITIAL}(?:{_GAP}?-?{_INITIAL})*"
+_INTRO = "(?i:" + "|".join(x.replace(" ", _GAP).replace("'", "['’]") for x in INTRODUCTIONS) + ")"
 #: National groupings: pairs (fr), three or two digits and pairs (es), an area code and a slash (de), unbroken behind a 0.
 _NATIONAL = r"""(?:(?:\+|00)[0-9]{1,3}[ .-]?(?:\(0\)[ .-]?)?|0)[1-9](?:[ .-]?[0-9]{2}){4}
     |(?:(?:\+|00)[0-9]{1,3}[ .-]?)?(?:[6-9][0-9]{2}(?:[ .-][0-9]{2}){3}|[89][0-9][ .-][0-9]{3}(?:[ .-][0-9]{2}){2})
@@ -75,10 +88,12 @@ _NATIONAL = r"""(?:(?:\+|00)[0-9]{1,3}[ .-]?(?:\(0\)[ .-]?)?|0)[1-9](?:[ .-]?[0-
 _HEX = "[0-9A-Fa-f]{1,4}"
 _TITLES = sorted({x for ts in TITLES.values() for t in ts for x in (t, t.upper())}, key=lambda t: (-len(t), t))
 _TITLE = "|".join(map(re.escape, _TITLES)) + "|(?:" + "|".join(t.lower() for t in ABBREVIATED) + r")(?=\.)"
+_MORE = "|".join(re.escape(t) for t in _TITLES if t.capitalize() not in CHAINED)
+_MORE = rf"(?:(?:{_MORE})\b\.?|(?:{'|'.join(map(re.escape, DEGREES))})\.)"
 _FIRST = "".join(sorted({t[0] for t in _TITLES} | {t[0].lower() for t in ABBREVIATED} | {c for x in INTRODUCTIONS for c in (x[0].lower(), x[0].upper())}))
 #: One alternative per type; the group named after the type is what gets replaced.
 PATTERN = re.compile(
-    rf"""(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{{2,}})
+    rf"""(?<!\w)(?P<email>\w[\w.%+-]*@(?:[^\W_]|-)+(?:\.(?:[^\W_]|-)+)*\.[^\W\d_]{{2,}})
     |(?<![\w.])(?i:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)["']?\s*[=:]\s*["']?(?P<secret>(?=[+/_.~-]*[A-Za-z0-9])[A-Za-z0-9+/_.~-]{{6,}}=*)
     |(?<![A-Za-z0-9])(?P<awskey>(?:AKIA|ASIA)[A-Z0-9]{{16}}|(?:sk|pk|ghp|gho|xox[bap])[-_][A-Za-z0-9_-]{{16,}})(?![A-Za-z0-9])
     |(?<![A-Za-z0-9])(?P<iban>[A-Z]{{2}}[0-9]{{2}}(?:[ ]?[A-Z0-9]{{4}}){{2,7}}(?:[ ]?[A-Z0-9]{{1,3}})?)(?![A-Za-z0-9])
@@ -88,7 +103,7 @@ PATTERN = re.compile(
     |(?<![\w.+-])(?P<card>[0-9](?:[ -]?[0-9]){{12,18}})(?![\w-])
     |(?<![\w+])(?P<phone>{_NATIONAL}|(?:\+[0-9]{{1,3}}[ .-]?)?(?:\([0-9]{{2,4}}\)[ .-]?|[0-9]{{2,4}}[ .-])[0-9]{{3,4}}[ .-]?[0-9]{{3,4}}|\+[0-9]{{8,15}})(?![\w-])
     |(?<!\w)(?i:{"|".join(DIALLED)})[.:]{{0,2}}[ ]{{0,2}}(?P<dialled>[0-9]{{7,15}})(?![\w-])
-    |(?<!\w)(?=[{_FIRST}])(?:(?P<title>{_TITLE})\b\.?|{_INTRO})[ ](?P<name>{_NAME}(?:[ ]{_NAME}){{0,2}})""",
+    |(?<!\w)(?=[{_FIRST}])(?:(?P<title>(?:{_TITLE})\b\.?(?:{_GAP}{_MORE})*)|{_INTRO}){_GAP}(?P<name>{_FULL})""",
     re.X,
 )
 #: What entities begin with or contain; texts without any of it pass by the detector (Java syntax). The class of first
@@ -101,8 +116,12 @@ TRIGGERS = [
     "[0-9@=:]",
     _begins(_TITLES, "(?![A-Za-z])"),
     _begins([t.lower() + "." for t in ABBREVIATED] + ["AKIA", "ASIA", "sk-", "sk_", "pk-", "pk_", "gho", "ghp", "xoxa", "xoxb", "xoxp"]),
-    "(?iu)(?=[" + "".join(sorted({x[0] for x in INTRODUCTIONS})) + "])(?:" + "|".join(x.replace("'", "['’]") for x in INTRODUCTIONS) + ")",
+    "(?iu)(?=[" + "".join(sorted({x[0] for x in INTRODUCTIONS})) + "])(?:" + "|".join(x.replace("'", "['’]").replace(" ", r"\s+") for x in INTRODUCTIONS) + ")",
 ]
+WRAPPED = 40  # characters of a line that may have been wrapped within a name
+_PIECE = re.compile(rf"(?P<initial>{_INITIAL})|(?P<particle>(?:{'|'.join(PARTICLES + ARTICLES)})\b(?!['’]))|(?P<word>{_WORD})")
+#: Letters that initials, and letters beyond ASCII in addresses, are redrawn within.
+ALPHABETS = ["abcdefghijklmnopqrstuvwxyz", "àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿœß", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω"]
 _GENDER = {t.casefold(): g for g, ts in TITLES.items() for t in ts}
 
 
@@ -152,13 +171,7 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         start, end = m.span(kind)
         value = m.group(kind)
         if kind == "name":
-            parts = [(start + p.start(), start + p.end(), p.group()) for p in re.finditer(r"\S+", value)]
-            gender = _GENDER.get((m.group("title") or "").casefold(), "n")
-            for i, (a, b, word) in enumerate(parts):
-                if len(word) > 2 and word[-2] in "'’" and word[-1] in "sS":  # a genitive is no part of the name
-                    b, word = b - 2, word[:-2]
-                family = i == len(parts) - 1 and (len(parts) > 1 or m.group("title"))
-                out.append((a, b, f"family:{_script(word)}" if family else f"given:{gender}:{_script(word)}", word.casefold()))
+            out += _name_parts(text, m)
         elif kind in ("card", "phone", "ssn", "dialled"):
             out.append((start, end, "phone" if kind == "dialled" else kind, re.sub(r"[^0-9]", "", value)))
         elif kind == "iban":
@@ -166,7 +179,36 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         else:
             if kind == "ipv6":
                 value = _whole(value)
-            out.append((start, end, kind, value.casefold() if kind in ("email", "ipv6") else value))
+            out.append((start, end, kind, value.lower() if kind in ("email", "ipv6") else value))
+    return out
+
+
+def _name_parts(text: str, m: re.Match) -> list[tuple[int, int, str, str]]:
+    """The parts of a name found: given names, initials and the family name, its particles left out.
+
+    Behind a line end a name goes on only in wrapped text, where the line is a long one: else the next
+    line begins something else."""
+    start, end = m.span("name")
+    titles = re.sub(r"[.]", " ", m["title"] or "").split()
+    gender = next((g for g in (_GENDER.get(t.casefold(), "n") for t in titles) if g != "n"), "n")
+    parts = list(_PIECE.finditer(text, start, end))
+    for i, p in enumerate(parts):
+        line = text.rfind("\n", 0, p.start()) if i else -1
+        if line > parts[i - 1].end() - 1 and parts[i - 1]["word"] and line - text.rfind("\n", 0, line) < WRAPPED:
+            parts = parts[:i]
+            while len(parts) > 1 and parts[-1]["particle"]:
+                parts.pop()
+            break
+    out, words = [], [p for p in parts if p["word"]]
+    for p in parts:
+        a, b, word = p.start(), p.end(), p.group()
+        if p["initial"]:
+            out.append((a, a + 1, f"initial:{_script(word)}", word[0].casefold()))
+        elif p["word"]:
+            if len(word) > 2 and word[-2] in "'’" and word[-1] in "sS":  # a genitive is no part of the name
+                b, word = b - 2, word[:-2]
+            family = p is words[-1] and (len(parts) > 1 or m["title"])
+            out.append((a, b, f"family:{_script(word)}" if family else f"given:{gender}:{_script(word)}", word.casefold()))
     return out
 
 
@@ -195,11 +237,25 @@ def _like(text: str, s: _Stream, hexed: bool = False) -> str:
                 out.append("abcdef"[s.below(6)].upper() if c.isupper() else "abcdef"[s.below(6)])
             else:
                 out.append(chr((65 if c.isupper() else 97) + s.below(26)))
+        elif c.isalpha():
+            letters = next((x for x in ALPHABETS if c.lower() in x), ALPHABETS[0])
+            new = letters[s.below(len(letters))]
+            out.append(new.upper() if c.isupper() and len(new.upper()) == 1 else new)
         else:
             out.append(c)
     return "".join(out)
 
 
+def _initial(letter: str, key: bytes) -> str:
+    """The letter that stands for an initial: the next one in a keyed order of its alphabet, so that
+    different letters stay different and none stays itself."""
+    letters = next((x for x in ALPHABETS if letter in x), None)
+    if letters is None:
+        return letter
+    order = sorted(letters, key=lambda c: hmac.digest(key, f"initial\0{c}".encode(), hashlib.sha256))
+    return order[(order.index(letter) + 1) % len(order)]
+
+
 def _group(group: str, s: _Stream) -> str:
     """A group of an IPv6 address redrawn, not to zero."""
     got = _like(group, s, hexed=True)
@@ -217,6 +273,8 @@ def _tail(value: str, s: _Stream, n: int) -> str:
 
 def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
     """The canonical surrogate of a canonical entity."""
+    if kind.startswith("initial"):
+        return _initial(value, key)
     s = _Stream(key, kind, value, attempt)
     if kind.startswith(("given", "family")):
         script = kind.split(":")[-1]
@@ -257,6 +315,8 @@ def render(mention: str, kind: str, canonical: str) -> str:
     if kind in ("card", "phone", "ssn", "iban"):
         left = iter(canonical)
         return "".join(next(left) if c.isalnum() else c for c in mention) + "".join(left)
+    if kind.startswith("initial"):
+        return canonical.upper()
     if kind.startswith(("given", "family")):
         return canonical.upper() if mention.isupper() and len(mention) > 1 else canonical.title()
     if kind == "ipv6":
@@ -320,7 +380,14 @@ def pseudonymise(docs: DataFrame, key: bytes, count: str = "n_entities") -> Data
     seen = in_arrow(texts, mentions, "id long, e array<struct<kind:string,value:string>>")
     # the id stands for the text: equal texts share their mentions, and a clash would only add unused entries
     seen = stage(seen.select("id", F.explode("e").alias("e")).select("id", "e.kind", "e.value").distinct(), "mentions")
-    table = stage(assign(stage(seen.select("kind", "value").distinct(), "entities"), key), "surrogates")
+    entities = stage(seen.select("kind", "value").distinct(), "entities")
+    initial = F.col("kind").startswith("initial:")  # there are no more of them than letters, and they need no checks
+
+    def letters(part: dict) -> dict:
+        return part | {"surrogate": [surrogate(k, v, key) for k, v in zip(part["kind"], part["value"])]}
+
+    table = assign(entities.where(~initial), key).union(in_arrow(entities.where(initial), letters, "kind string, value string, surrogate string"))
+    table = stage(table, "surrogates")
     pairs = seen.join(table.hint("merge"), ["kind", "value"])
     own_map = stage(pairs.groupBy(F.col("id").alias(key_)).agg(F.collect_list(F.struct("kind", "value", "surrogate")).alias(map_)), "maps")
     rest = docs.columns
