@@ -6,22 +6,23 @@ dimensions. Every row is put on the list of its nearest centroid. Within a probe
 differences are added one column block after the other; after each block the partial distance is
 tested against the bound, the distance of the k-th best so far, and candidates that with high
 confidence are further away are abandoned: of a distance of `width` turned columns, `seen` of them
-hold a share that follows a Beta distribution. A query's bound starts as its k-th best of the sample
-(its best there are results too, so no query ends with fewer than k) and goes from list to list.
-Survivors are scored by the exact inner product in double precision.
+hold a share that follows a Beta distribution. Rows that no query follows any more, and queries that follow none, are dropped from the
+blocks to come. A query's bound starts as its k-th best of the sample and goes from list to list.
+Survivors are scored by the exact inner product in double precision. Results come from the scan
+alone; a query for which the probed lists held fewer than k is sent to all lists, with no bound to start from.
 Equal vectors are searched once.
 
 The sample of at most SAMPLE vectors (a quarter of all, from LEAST_SAMPLE on), chosen by hash, is the documented bound of what reaches the
 driver; it gives the centroids and the number of probed lists, the smallest that finds `recall` of
 the sample's own neighbours. There is a list for every LIST_ROWS rows; where the sample is too small
-for so many, its centroids are cut further, each by the vectors near it, in Spark, on FINE_SAMPLE
+for so many, its centroids are cut further, each by the vectors near it, in Spark, on at most some FINE_SAMPLE
 vectors a centroid and up to MOST_LISTS lists. Every row is indexed. Lists are packed into chunks of
 some CHUNK rows, larger ones are cut, and the queries of a chunk are cut too, so no task grows with
 a popular list; a query goes once to a chunk, with the lists it probes there.
 
 Defined cases: rows null, zero or holding null or non-finite components take no part; shorter
 vectors count as zero in the dimensions they lack; rows that repeat id and vector count once; ties go
-to the smaller id; fewer than k others give all that the probed lists hold; empty tables an empty
+to the smaller id; fewer than k others give all of them; empty tables an empty
 result; other columns play no part.
 """
 
@@ -45,6 +46,7 @@ CHUNK, QUERY_CHUNK = 4096, 4096
 BLOCK = 13  # columns of a block
 CONFIDENCE = 2.6  # of the abandonment test, in standard deviations
 GATHER = 0.1  # share of a list's pairs alive from which on they are followed one by one
+COMPACT = 0.8  # share of rows or queries still followed below which the others are dropped
 RECALL = 0.97
 SEED = 5
 
@@ -59,8 +61,6 @@ class Index:
     centroids: np.ndarray
     probes: int
     sample: np.ndarray
-    plain: np.ndarray  # the sample as it was, and its ids
-    ids: np.ndarray
 
     def lift(self, v: np.ndarray) -> np.ndarray:
         """Rows of equal length one, turned."""
@@ -82,14 +82,11 @@ class Index:
         some = np.argpartition(d, n - 1, axis=1)[:, :n]
         return np.take_along_axis(some, np.argsort(np.take_along_axis(d, some, 1), axis=1), 1)
 
-    def first(self, y: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The bound of each query (turned y, plain w), its k-th best distance in the sample, and the
-        ids and scores of its best there."""
-        d = 2 - 2 * (y @ self.sample.T)
-        k = min(k, d.shape[1])
-        best = np.argpartition(d, k - 1, axis=1)[:, :k]
-        bound = slack(np.take_along_axis(d, best, 1).max(1))
-        return bound, self.ids[best], (self.plain[best] * w[:, None]).sum(2)
+    def first(self, y: np.ndarray, k: int) -> np.ndarray:
+        """The bound of each (turned) query: its k-th best distance in the sample."""
+        if len(self.sample) < k:
+            return np.full(len(y), np.inf, np.float32)
+        return slack(np.partition(2 - 2 * (y @ self.sample.T), k - 1, axis=1)[:, k - 1])
 
 
 def slack(d: np.ndarray) -> np.ndarray:
@@ -115,11 +112,11 @@ def means(x: np.ndarray, n: int, rng: np.random.Generator, rounds: int = 12) ->
     return out
 
 
-def build(sample: np.ndarray, ids: np.ndarray, n: int, norm: float) -> Index:
+def build(sample: np.ndarray, n: int, norm: float) -> Index:
     """Rotation and centroids from the sample of n vectors."""
     rng = np.random.default_rng(SEED)
     width = sample.shape[1]
-    index = Index(width, norm, np.linalg.qr(rng.standard_normal((width + 1, width + 1)))[0], np.zeros((1, width + 1), np.float32), 1, None, sample, ids)
+    index = Index(width, norm, np.linalg.qr(rng.standard_normal((width + 1, width + 1)))[0], np.zeros((1, width + 1), np.float32), 1, None)
     index.sample = index.lift(sample)
     index.centroids = means(index.sample, max(1, min(math.ceil(n / LIST_ROWS), len(sample) // 16)), rng)
     return index
@@ -140,22 +137,30 @@ def aim_probes(index: Index, sample: np.ndarray, k: int, recall: float) -> int:
 
 def refine(units: DataFrame, index: Index, n: int) -> np.ndarray:
     """More centroids where the sample is too small for them: every list is cut by k-means on vectors
-    of its own, some FINE_SAMPLE a list on average, whatever the number of rows."""
+    of its own, at most some FINE_SAMPLE of them, drawn by hash at a rate of the list's own, however
+    unevenly the rows lie on the lists."""
     lists = len(index.centroids)
     each = math.ceil(min(n / LIST_ROWS, MOST_LISTS) / lists)
-    shared, rows = units.sparkSession.sparkContext.broadcast(index), min(1.0, lists * FINE_SAMPLE / n)
-    some = units.where(F.pmod(F.xxhash64("u", F.lit("fine")), F.lit(1_000_000)) < round(rows * 1_000_000)).select("v")
+    spark = units.sparkSession
+    shared, rows = spark.sparkContext.broadcast(index), min(1.0, lists * FINE_SAMPLE / n)
+    draw = F.pmod(F.xxhash64("u", F.lit("fine")), F.lit(1_000_000))
+    some = units.where(draw < round(rows * 1_000_000)).select("v", draw.alias("draw"))
 
     def place(part: dict) -> dict:
         x = shared.value.lift(dense(part["v"], shared.value.width))
-        return {"list": shared.value.nearest(x, 1)[:, 0], "x": [r.tobytes() for r in x]}
+        return {"list": shared.value.nearest(x, 1)[:, 0], "draw": part["draw"], "x": [r.tobytes() for r in x]}
+
+    near = stage(in_arrow(some, place, "list int, draw long, x binary"), "fine-sample")
+    sizes = near.groupBy("list").count().collect()  # a row a list of the sample
+    upto = spark.createDataFrame([(r["list"], round(rows * 1_000_000 * min(1.0, FINE_SAMPLE / r["count"]))) for r in sizes], "list int, upto long")
+    near = near.join(F.broadcast(upto), "list").where("draw < upto").select("list", "x")
 
     def cut(rows: pd.DataFrame) -> pd.DataFrame:
         x = np.frombuffer(b"".join(rows["x"].sort_values()), np.float32).reshape(len(rows), -1)
         made = means(x, max(1, min(each, len(x) // 16)), np.random.default_rng(SEED))
         return pd.DataFrame({"list": rows["list"].iloc[0], "c": [c.tobytes() for c in made]})
 
-    made = in_arrow(some, place, "list int, x binary").groupBy("list").applyInPandas(cut, "list int, c binary").collect()  # at most MOST_LISTS rows
+    made = near.groupBy("list").applyInPandas(cut, "list int, c binary").collect()  # at most MOST_LISTS rows
     held = {r["list"] for r in made}
     made = sorted((r["list"], bytes(r["c"])) for r in made) + [(i, c.tobytes()) for i, c in enumerate(index.centroids) if i not in held]
     return np.frombuffer(b"".join(c for _, c in sorted(made)), np.float32).reshape(len(made), -1)
@@ -172,17 +177,23 @@ def scan(x: np.ndarray, q: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, n
     survive the tests against the queries' bounds."""
     width = x.shape[1]
     part, alive, at = np.zeros((len(q), len(x)), np.float32), None, 0
-    while at < width:  # all pairs, while many are alive
+    qs, rs = np.arange(len(q)), np.arange(len(x))  # those that are still followed
+    while at < width and len(qs) and len(rs):  # all pairs of them, while many are alive
         cut = slice(at, min(width, at + BLOCK))
-        a, b = q[:, cut], x[:, cut]
+        a, b = q[qs, cut], x[rs, cut]
         part += (a * a).sum(1)[:, None] + ((b * b).sum(1) - 2 * (a @ b.T))
         at = cut.stop
-        ok = part <= (bound * limit(at, width))[:, None]
+        ok = part <= (bound[qs] * limit(at, width))[:, None]
         alive = ok if alive is None else alive & ok
         if np.count_nonzero(alive) < GATHER * alive.size:
             break
+        keep_q, keep_r = alive.any(1), alive.any(0)
+        if min(keep_q.mean(), keep_r.mean()) < COMPACT:
+            qs, rs = qs[keep_q], rs[keep_r]
+            part, alive = part[keep_q][:, keep_r], alive[keep_q][:, keep_r]
     i, j = np.nonzero(alive)
     d = part[i, j]
+    i, j = qs[i], rs[j]
     while at < width and len(i):  # then those left
         cut = slice(at, min(width, at + BLOCK))
         d = d + ((q[i, cut] - x[j, cut]) ** 2).sum(1)
@@ -243,7 +254,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, sample: int = SAMP
     sample = min(sample, max(LEAST_SAMPLE, n // 4))
     picked = units.orderBy(F.xxhash64("u"), "u").limit(sample).select("u", "v").collect()  # at most `sample` rows
     known = dense([r["v"] for r in picked], width)
-    fitted = build(known, np.array([r["u"] for r in picked]), n, most)
+    fitted = build(known, n, most)
     if n / LIST_ROWS > 2 * len(fitted.centroids) and n > len(known):
         fitted.centroids = refine(units, fitted, n)
     fitted.probes = aim_probes(fitted, known, k, recall)
@@ -268,51 +279,55 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, sample: int = SAMP
     packs = F.broadcast(spark.createDataFrame(pd.DataFrame({"list": np.arange(len(sizes), dtype=np.int32), "first": chunk, "parts": parts.astype(np.int32)})))
     left = placed.join(packs, "list").select((F.col("first") + F.pmod(F.xxhash64("u"), F.col("parts"))).alias("chunk"), "list", "u", "v")
 
-    def aim(part: dict) -> dict:
-        ix, (chunk, parts) = index.value, plan.value
-        plain = dense(part["v"], ix.width)
-        turned = ix.ask(plain)
-        goes = []
-        for probed in ix.nearest(turned, ix.probes):
-            to: dict = {}
-            for name in np.sort(probed).tolist():
-                for c in range(chunk[name], chunk[name] + parts[name]):
-                    to.setdefault(c, []).append(name)
-            goes.append([{"chunk": c, "lists": x} for c, x in to.items()])
-        bound, ids, scores = ix.first(turned, plain, k + 1)
-        if len(ix.ids) <= k:
-            bound[:] = np.inf
-        met = [[{"u": u, "score": x} for u, x in zip(a, b)] for a, b in zip(ids.tolist(), scores.tolist())]
-        return {"q": part["u"], "goes": goes, "bound": bound, "w": [r.astype(kind).tobytes() for r in plain], "met": met}
-
-    aimed = in_arrow(units.where("query").select("u", "v"), aim, "q long, goes array<struct<chunk:long,lists:array<int>>>, bound float, w binary, met array<struct<u:long,score:double>>")
-    aimed = stage(aimed, "aimed")
-    asks = aimed.select("q", "bound", "w", F.explode("goes").alias("g")).select("q", "bound", "w", "g.chunk", "g.lists")
-    cuts = stage(asks.groupBy("chunk").agg(F.ceil(F.count("*") / QUERY_CHUNK).cast("int").alias("qc")), "cuts")
-    cuts = F.broadcast(cuts) if cuts.count() <= 100_000 else cuts.hint("merge")  # a row a chunk
-    left = left.join(cuts, "chunk").select("chunk", "list", "u", "v", F.explode(F.sequence(F.lit(0), F.col("qc") - 1)).alias("s"))
-    right = asks.join(cuts, "chunk").select(F.col("chunk").alias("chunk_q"), F.pmod(F.xxhash64("q"), F.col("qc")).cast("int").alias("s_q"), "q", "bound", "w", "lists")
-
-    def run(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        q = r = np.empty(0, np.int64)
-        if len(rows) and len(queries):
-            ix = index.value
-            rows = rows.sort_values("u", ignore_index=True)
-            v = np.frombuffer(b"".join(rows["v"]), kind).reshape(len(rows), -1).astype(np.float64)
-            w = np.frombuffer(b"".join(queries["w"]), kind).reshape(len(queries), -1).astype(np.float64)
-            asked = np.repeat(np.arange(len(queries)), queries["lists"].map(len))
-            q, r = scan_lists(ix.lift(v), rows["list"].to_numpy(), ix.ask(w), asked, np.concatenate(list(queries["lists"])), queries["bound"].to_numpy().copy(), k + 1)
-        if not len(q):
-            return pd.DataFrame({"q": q, "u": q, "score": np.empty(0)})
-        score = np.concatenate([(v[r[i : i + 65536]] * w[q[i : i + 65536]]).sum(1) for i in range(0, len(q), 65536)])
-        order = np.lexsort((r, -score, q))  # ties to the smaller id
-        q, r, score = q[order], r[order], score[order]
-        first = np.flatnonzero(np.append(True, np.diff(q) != 0))
-        ok = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q)))) <= k
-        return pd.DataFrame({"q": queries["q"].to_numpy()[q[ok]], "u": rows["u"].to_numpy()[r[ok]], "score": score[ok]})
-
-    found = left.groupBy("chunk", "s").cogroup(right.groupBy("chunk_q", "s_q")).applyInPandas(run, "q long, u long, score double")
-    # rows of the sample stand on lists too; one shuffle by query serves this and the ranking
-    both = found.union(aimed.select("q", F.explode("met").alias("m")).select("q", "m.u", "m.score"))
-    found = both.repartition("q").groupBy("q", "u").agg(F.max("score").alias("score"))
+    def probe(asking: DataFrame, every: bool) -> DataFrame:
+        """(q, u, score) of the queries (u, v), at least the k + 1 best of each on the lists it probes in
+        every chunk."""
+
+        def aim(part: dict) -> dict:
+            ix, (chunk, parts) = index.value, plan.value
+            plain = dense(part["v"], ix.width)
+            turned = ix.ask(plain)
+            goes = []
+            for probed in ix.nearest(turned, len(ix.centroids) if every else ix.probes):
+                to: dict = {}
+                for name in np.sort(probed).tolist():
+                    for c in range(chunk[name], chunk[name] + parts[name]):
+                        to.setdefault(c, []).append(name)
+                goes.append([{"chunk": c, "lists": x} for c, x in to.items()])
+            bound = np.full(len(plain), np.inf, np.float32) if every else ix.first(turned, k + 1)
+            return {"q": part["u"], "goes": goes, "bound": bound, "w": [r.astype(kind).tobytes() for r in plain]}
+
+        aimed = stage(in_arrow(asking.select("u", "v"), aim, "q long, goes array<struct<chunk:long,lists:array<int>>>, bound float, w binary"), "aimed")
+        asks = aimed.select("q", "bound", "w", F.explode("goes").alias("g")).select("q", "bound", "w", "g.chunk", "g.lists")
+        cuts = stage(asks.groupBy("chunk").agg(F.ceil(F.count("*") / QUERY_CHUNK).cast("int").alias("qc")), "cuts")
+        cuts = F.broadcast(cuts) if cuts.count() <= 100_000 else cuts.hint("merge")  # a row a chunk
+        rows = left.join(cuts, "chunk").select("chunk", "list", "u", "v", F.explode(F.sequence(F.lit(0), F.col("qc") - 1)).alias("s"))
+        right = asks.join(cuts, "chunk").select(F.col("chunk").alias("chunk_q"), F.pmod(F.xxhash64("q"), F.col("qc")).cast("int").alias("s_q"), "q", "bound", "w", "lists")
+
+        def run(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+            q = r = np.empty(0, np.int64)
+            if len(rows) and len(queries):
+                ix = index.value
+                rows = rows.sort_values("u", ignore_index=True)
+                v = np.frombuffer(b"".join(rows["v"]), kind).reshape(len(rows), -1).astype(np.float64)
+                w = np.frombuffer(b"".join(queries["w"]), kind).reshape(len(queries), -1).astype(np.float64)
+                asked = np.repeat(np.arange(len(queries)), queries["lists"].map(len))
+                q, r = scan_lists(ix.lift(v), rows["list"].to_numpy(), ix.ask(w), asked, np.concatenate(list(queries["lists"])), queries["bound"].to_numpy().copy(), k + 1)
+            if not len(q):
+                return pd.DataFrame({"q": q, "u": q, "score": np.empty(0)})
+            score = np.concatenate([(v[r[i : i + 65536]] * w[q[i : i + 65536]]).sum(1) for i in range(0, len(q), 65536)])
+            order = np.lexsort((r, -score, q))  # ties to the smaller id
+            q, r, score = q[order], r[order], score[order]
+            first = np.flatnonzero(np.append(True, np.diff(q) != 0))
+            ok = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q)))) <= k
+            return pd.DataFrame({"q": queries["q"].to_numpy()[q[ok]], "u": rows["u"].to_numpy()[r[ok]], "score": score[ok]})
+
+        return rows.groupBy("chunk", "s").cogroup(right.groupBy("chunk_q", "s_q")).applyInPandas(run, "q long, u long, score double")
+
+    asking = units.where("query")
+    found = stage(probe(asking, every=False), "found")
+    full = found.groupBy("q").agg(F.count("*").alias("n")).where(F.col("n") > min(k, n - 1))
+    short = stage(asking.join(full, asking["u"] == full["q"], "left_anti"), "short")
+    if short.limit(1).count():
+        found = found.join(short.select(F.col("u").alias("q")), "q", "left_anti").union(stage(probe(short, every=True), "found"))
     return spread(found, members, askers, k)

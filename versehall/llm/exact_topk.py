@@ -9,13 +9,15 @@ The work is the number of queries times the number of rows, in blocks of fixed s
 its own; equal rows are taken once.
 
 Defined cases: rows null or holding null or non-finite components take no part; shorter vectors
-weigh nothing in the dimensions they lack; rows that repeat id and vector count once; scores beyond 64 bits are held
+weigh nothing in the dimensions they lack; rows that repeat id and vector count once; a component whose product with the
+scale is beyond a double counts as the largest double; scores beyond 64 bits are held
 at their bound; fewer than k others give all of them; empty tables an empty result.
 """
 
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
@@ -55,7 +57,9 @@ def accumulate(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
 
 
 def floor_double(x: Column) -> Column:
-    """floor() that stays a double: beyond 2**53 every double is whole already."""
+    """floor() that stays a double: beyond 2**53 every double is whole already, and beyond the largest
+    double it is held at that."""
+    x = F.greatest(F.least(x, F.lit(sys.float_info.max)), F.lit(-sys.float_info.max))
     return F.when(F.abs(x) < float(1 << 53), F.floor(x).cast("double")).otherwise(x)
 
 
