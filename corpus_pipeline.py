@@ -12,29 +12,31 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from versehall.llm import byte_bpe, near_dup, source_mix, surrogates, toxicity
-from versehall.llm.common import stage, table
+from versehall.llm.common import stage, table, unused
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose toxicity is at least one half go."""
-    return toxicity.score(docs, table(spark, sf_dir, "labels"), name="__toxicity").where("__toxicity < 0.5").select(*docs.columns)
+    name = unused(docs, "__toxicity")[0]
+    return toxicity.score(docs, table(spark, sf_dir, "labels"), name=name).where(F.col(name) < 0.5).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similarity 0.8 or more stays, that with the smallest doc_id;
     of rows that repeat a doc_id one stays; rows without a doc_id stay."""
-    kept = near_dup.near_duplicates(docs, percent=80).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__id")).distinct()
-    once = F.row_number().over(Window.partitionBy("__id").orderBy(F.xxhash64("text")))
+    id_, once_ = unused(docs, "__id", "__once")
+    kept = near_dup.near_duplicates(docs.select("doc_id", "text"), percent=80).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(id_)).distinct()
+    once = F.row_number().over(Window.partitionBy(id_).orderBy(F.xxhash64("text")))
     # a merge join at any size, so that the cost of dealing out the texts stays in proportion
-    own = docs.join(kept.hint("merge"), F.col("doc_id").cast("long") == F.col("__id")).withColumn("__once", once).where("__once = 1")
+    own = docs.join(kept.hint("merge"), F.col("doc_id").cast("long") == F.col(id_)).withColumn(once_, once).where(F.col(once_) == 1)
     return own.select(*docs.columns).union(docs.where("doc_id IS NULL"))
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with surrogates; n_chars follows the text."""
-    done = surrogates.pseudonymise(docs, surrogates.session_key(spark), count="__entities")
+    done = surrogates.pseudonymise(docs, surrogates.session_key(spark), count=unused(docs, "__entities")[0])
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
     return done.select(*docs.columns)
@@ -42,8 +44,9 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row as often as the mix takes it."""
-    taken = source_mix.mix(docs, prefix="__mix_").where("__mix_repeats > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix_repeats")))).select(*docs.columns)
+    prefix, copy = unused(docs, "__mix_repeats", "__copy")
+    taken = source_mix.mix(docs, prefix=prefix.removesuffix("repeats")).where(F.col(prefix) > 0)
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(prefix)))).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ that fits the encoding of the prefix before it. Storing that last token per pref
 exact (continue the table) and an edit local (keep the table up to the edit, rebuild from there).
 
 Defined cases: null text is the empty text (no tokens, digests of nothing); very long texts are
-cut into pieces as a stream; repeated rows give repeated results; an empty table an empty result.
+cut into pieces as a stream; repeated rows give repeated results; an empty table an empty result;
+columns to keep pass untouched whatever their names, but one that has the name of a result is refused.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from versehall.llm.common import in_arrow
+from versehall.llm.common import in_arrow, unused
 
 CACHED_PIECES = 450_000
 CACHED_PAIRS = 400_000
@@ -266,6 +267,10 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str, keep_ids: bo
 
     The vocabulary file is read on the driver and broadcast (its size is fixed); each Python worker
     builds its tables once. Narrow: no shuffle."""
+    made = {"n_tokens", "ids_sha256", "decoded_sha256"} | ({"ids"} if keep_ids else set())
+    if made & {k.lower() for k in keep}:
+        raise ValueError(f"columns to keep may not be named {sorted(made)}")
+    text_ = unused(docs, "__text")[0]
     with open(rank_path, encoding="ascii") as f:
         shared = docs.sparkSession.sparkContext.broadcast(parse_ranks(f))
     token = (hash(rank_path), pattern)
@@ -277,7 +282,7 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str, keep_ids: bo
         out: dict = {k: part[k] for k in keep} | {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
         if keep_ids:
             out["ids"] = []
-        for text in part["__text"]:
+        for text in part[text_]:
             n, named, decoded, every = 0, hashlib.sha256(), hashlib.sha256(), []
             for pieces in coder.parts(text or ""):
                 ids = coder.ids(pieces)
@@ -295,4 +300,4 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str, keep_ids: bo
 
     kinds = dict(docs.dtypes)
     schema = ", ".join([f"`{k}` {kinds[k]}" for k in keep] + ["n_tokens long, ids_sha256 string, decoded_sha256 string"] + ["ids array<int>"] * keep_ids)
-    return in_arrow(docs.select(*keep, F.col("text").alias("__text")), rows, schema)
+    return in_arrow(docs.select(*keep, F.col("text").alias(text_)), rows, schema)

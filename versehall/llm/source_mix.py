@@ -11,7 +11,7 @@ running sum, so that no source is ever ordered as a whole.
 
 Defined cases: null text has size 0, a text of any length its whole number of words; the null source is a source of its own, last in order; rows
 of the same doc_id share their draw unless `row_key` tells them apart; with no rows or no words
-all targets are 0; columns besides those named are carried along untouched.
+all targets are 0; columns besides those named are carried along untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from versehall.llm.common import stage
+from versehall.llm.common import stage, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 BINS = 4096
@@ -68,8 +68,9 @@ def source_targets(sized: DataFrame, weights: Sequence[float], share: float, max
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, seed: str = "mix-1", row_key: Sequence[str] = ("doc_id",), prefix: str = "") -> DataFrame:
     """All rows of `docs` with size, source_size, target (their source's) and repeats, the number
     of times the mix takes the row. The four names take `prefix`; columns of that name are replaced."""
-    sized = docs.select("*", n_words(F.col("text")).alias("__size"), draw(seed, *[F.col(k) for k in row_key]).alias("__u"))
-    slim = stage(sized.select("source", F.col("__size").alias("size"), F.col("__u").alias("u")), "sizes")
+    size_, u_, source_, whole_, target_, cut_ = unused(docs, "__size", "__u", "__source", "__source_size", "__target", "__cut")
+    sized = docs.select("*", n_words(F.col("text")).alias(size_), draw(seed, *[F.col(k) for k in row_key]).alias(u_))
+    slim = stage(sized.select("source", F.col(size_).alias("size"), F.col(u_).alias("u")), "sizes")
     targets = source_targets(slim, weights, share, max_epochs)
     slim = slim.withColumn("bin", F.shiftright("u", HASH_BITS - 12).cast("int"))
     part = (F.col("target") - F.floor(F.col("target") / F.col("source_size")) * F.col("source_size")).alias("part")
@@ -86,10 +87,10 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     cuts = inside.withColumn("upto", run).where("upto - size / 2 <= left").groupBy(F.col("s").alias("c")).agg(F.max("u").alias("cut"))
     plan = targets.join(edge.join(cuts, F.col("s").eqNullSafe(F.col("c")), "left").select("s", "cut_bin", "cut"), F.col("source").eqNullSafe(F.col("s")), "left")
     bound = F.when(F.col("cut_bin").isNull(), F.lit(-1)).otherwise(F.coalesce("cut", F.shiftleft(F.col("cut_bin").cast("long"), HASH_BITS - 12) - 1))
-    made = {"__source": F.col("source"), "__source_size": F.col("source_size"), "__target": F.col("target"), "__cut": bound.cast("long")}
+    made = {source_: F.col("source"), whole_: F.col("source_size"), target_: F.col("target"), cut_: bound.cast("long")}
     plan = stage(plan.select(*[c.alias(k) for k, c in made.items()]), "mix-plan")
-    whole = F.coalesce(F.floor(F.col("__target") / F.nullif(F.col("__source_size").cast("double"), F.lit(0.0))), F.lit(0)).cast("long")
-    new = {"size": F.col("__size"), "source_size": F.col("__source_size"), "target": F.col("__target"), "repeats": whole + (F.col("__u") <= F.col("__cut")).cast("long")}
+    whole = F.coalesce(F.floor(F.col(target_) / F.nullif(F.col(whole_).cast("double"), F.lit(0.0))), F.lit(0)).cast("long")
+    new = {"size": F.col(size_), "source_size": F.col(whole_), "target": F.col(target_), "repeats": whole + (F.col(u_) <= F.col(cut_)).cast("long")}
     kept = [c for c in docs.columns if c.lower() not in {(prefix + k).lower() for k in new}]
-    out = sized.join(plan, F.col("source").eqNullSafe(F.col("__source")))
+    out = sized.join(plan, F.col("source").eqNullSafe(F.col(source_)))
     return out.select(*kept, *[c.alias(prefix + k) for k, c in new.items()])
