@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -32,33 +33,47 @@ def epithet_links(docs: DataFrame, text: str, labels: DataFrame, label: str, lin
     are apart by one space: after a comma stands another person of a list. A name counts once a
     place. Labels of which one holds the other, or that share a word, are left out.
 
-    Texts are read once; every word brings the few behind it that the longest form needs and meets the
-    index of forms and links by its first word (broadcast up to `most` rows, shuffled beyond). Hits
-    meet their neighbours in equi-joins on (document, place)."""
-    forms = name_forms(labels, label).select("label", "folded", "form")
-    spark = docs.sparkSession
-    said = [(" ".join(re.findall(r"\w+", x)),) for x in links]
-    between = spark.createDataFrame(said, "form string").select(F.lit(None).cast(dict(labels.dtypes)[label]).alias("label"), F.lit(None).cast("string").alias("folded"), tx.fold_all(F.col("form")).alias("form"))
-    index = forms.union(between.where("form <> ''")).withColumn("words", F.split("form", " "))
-    index = index.select("label", "folded", (F.col("form") == F.col("folded")).alias("whole"), F.col("words")[0].alias("w"), F.expr("slice(words, 2, size(words))").alias("rest"))
-    index = stage(index, "name-forms")
+    Texts are read once: every word brings the few behind it that two names and a link can take, meets
+    the index of forms by its first word, and what follows the form found meets the index again
+    (broadcast up to `most` forms, shuffled beyond). Only pairs found are shuffled, as numbers."""
+    forms = name_forms(labels, label)
+    ids = stage(forms.select("label", "folded").distinct().withColumn("id", F.monotonically_increasing_id()), "name-labels")
+    index = forms.join(ids, ["label", "folded"]).withColumn("words", F.split("form", " "))
+    index = stage(index.select("id", "folded", (F.col("form") == F.col("folded")).alias("whole"), F.col("words")[0].alias("w"), F.expr("slice(words, 2, size(words))").alias("rest")), "name-forms")
     more, n = index.agg(F.coalesce(F.max(F.size("rest")), F.lit(0)), F.count("*")).first()
+    bounded = (lambda df: F.broadcast(df)) if n <= most else (lambda df: df)
+    between = sorted({tuple(_folded_words(x)) for x in links} - {()})
+    reach = 2 * more + 1 + max(map(len, between), default=0)
 
     # whatever is not one space between two words becomes a token of its own, so that neighbours are next tokens
     tokens = F.split(F.regexp_replace(tx.fold_all(F.col(text)), GAP, " | "), " ")
     rows = docs.where(F.col(text).isNotNull()).select(F.monotonically_increasing_id().alias("doc"), tokens.alias("t"))
-    each = F.transform("t", lambda w, i: F.struct(i.cast("long").alias("at"), w.alias("w"), F.slice("t", i + 2, F.lit(max(more, 1))).alias("behind")))
+    each = F.transform("t", lambda w, i: F.struct(i.cast("long").alias("at"), w.alias("w"), F.slice("t", i + 2, F.lit(reach)).alias("behind")))
     rows = rows.select("doc", F.explode(each).alias("x")).select("doc", "x.*").where("w <> '|' AND w <> ''")
-    hits = rows.join(F.broadcast(index) if n <= most else index, "w").where(F.slice("behind", F.lit(1), F.size("rest")) == F.col("rest"))
-    hits = stage(hits.select("doc", "at", (F.col("at") + 1 + F.size("rest")).alias("end"), "label", "folded", "whole"), "name-hits")
+    is_next = lambda tail, rest: F.slice(tail, F.lit(1), F.size(rest)) == F.col(rest)
+    left = rows.join(bounded(index), "w").where(is_next("behind", "rest"))
+    tail = lambda of, k: F.slice(of, k + 1, F.lit(reach))
+    left = left.select("doc", "at", "id", "folded", "whole", (F.size("rest") + 1).alias("size"), tail("behind", F.size("rest")).alias("tail"))
+    # what may hold the other name: what follows, and what follows a link
+    ways = [F.struct(F.lit(0).alias("skip"), F.col("tail").alias("tail"))]
+    for words in between:
+        said = F.slice("tail", 1, len(words)) == F.array(*[F.lit(w) for w in words])
+        ways.append(F.when(said, F.struct(F.lit(len(words)).alias("skip"), tail("tail", F.lit(len(words))).alias("tail"))))
+    left = left.select("doc", "at", "id", "folded", "whole", "size", F.explode(F.array(*ways)).alias("way")).where("way IS NOT NULL AND size(way.tail) > 0")
+    left = left.select("*", F.col("way.skip").alias("skip"), F.col("way.tail")[0].alias("w"), tail("way.tail", F.lit(1)).alias("behind")).drop("way")
+    right = index.select(F.col("id").alias("r_id"), F.col("folded").alias("r_folded"), F.col("whole").alias("r_whole"), "w", "rest")
+    pairs = left.join(bounded(right), "w").where(is_next("behind", "rest"))
+    apart = ~F.col("folded").contains(F.col("r_folded")) & ~F.col("r_folded").contains(F.col("folded")) & ~F.arrays_overlap(F.split("folded", " "), F.split("r_folded", " "))
+    ahead = F.when(F.col("whole") & (F.col("skip") == 0), F.struct(F.col("at").alias("place"), F.col("id").alias("epithet"), F.col("r_id").alias("name")))
+    back = F.when(F.col("r_whole"), F.struct((F.col("at") + F.col("size") + F.col("skip")).alias("place"), F.col("r_id").alias("epithet"), F.col("id").alias("name")))
+    found = pairs.where(apart).select("doc", F.explode(F.array(ahead, back)).alias("x")).where("x IS NOT NULL").select("doc", "x.*").distinct()
+    counts = found.groupBy("epithet", "name").agg(F.count("*").alias("n"))
+    named = lambda c: ids.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label"))
+    counts = counts.join(named("epithet"), "epithet").join(named("name"), "name")
+    return counts.select(F.col("epithet_label").alias("epithet"), F.col("name_label").alias("name"), "n")
 
-    names = hits.where("label IS NOT NULL")
-    left = names.select("doc", F.col("end").alias("at"), F.col("at").alias("l_at"), *[F.col(c).alias(f"l_{c}") for c in ("label", "folded", "whole")])
-    linking = hits.where("label IS NULL").select("doc", "at", "end").distinct()
-    linked = left.join(linking, ["doc", "at"]).withColumn("l_whole", F.lit(False)).select("doc", F.col("end").alias("at"), "l_at", "l_label", "l_folded", "l_whole")
-    near = names.drop("end").join(left.union(linked), ["doc", "at"])
-    apart = ~F.col("folded").contains(F.col("l_folded")) & ~F.col("l_folded").contains(F.col("folded")) & ~F.arrays_overlap(F.split("folded", " "), F.split("l_folded", " "))
-    near = near.where(apart)
-    pairs = near.where("l_whole").select("doc", F.col("l_at").alias("place"), F.col("l_label").alias("epithet"), F.col("label").alias("name"))
-    pairs = pairs.union(near.where("whole").select("doc", F.col("at").alias("place"), F.col("label").alias("epithet"), F.col("l_label").alias("name")))
-    return pairs.distinct().groupBy("epithet", "name").agg(F.count("*").alias("n"))
+
+def _folded_words(phrase: str) -> list[str]:
+    """The words of a phrase, in small letters without marks."""
+    plain = "".join(c for c in unicodedata.normalize("NFD", phrase.lower()) if unicodedata.category(c) != "Mn")
+    return re.findall(r"\w+", plain.replace("đ", "d"))
