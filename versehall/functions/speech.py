@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -13,6 +14,10 @@ SPOKEN = {"↓": "giảm", "↑": "tăng", "+": "cộng", "=": "bằng", "≥":
 PARTING = "»«›‹→⇒▸▶►([{)]}|"
 SILENT = "•▪◦*"
 CENSOR = "#&@$%*!?"
+SOUNDS = {"cười": "Ha ha...", "chuckle": "Ha ha...", "thở dài": "Hầy...", "sigh": "Hầy...", "hắng giọng": "Khụ khụ...", "clear throat": "Khụ khụ..."}
+PAIN = "a+r*g+h*|u+r*g+h*|g+r+h*"
+LAUGHS, VOWELS = ["ha", "he", "hi", "hu"], "aeiouyưăâêôơ"
+MOST_LAUGHS, MOST_SAID = 8, 4  # syllables of a laugh on the page, and as it is said
 CUES = ["cười", "chuckle", "thở dài", "sigh", "hắng giọng", "clear throat"]
 
 
@@ -43,3 +48,47 @@ def spoken_symbols(text: Column) -> Column:
     out = F.array_join(F.transform(parts, said), "")
     tidy = [(r"(?<=\p{L})\s*/\s*(?=\p{L})", ", "), (r"\s+([,.!?;:…])", "$1"), (r"(?:\s*,)+(?=\s*,)", ""), (r",(\s*[.!?…:;])", "$1"), (r"[ \t]{2,}", " ")]
     return F.trim(reduce(lambda s, p: F.regexp_replace(s, *p), tidy, out))
+
+
+#: Vowels with a tone mark and without: every letter of VOWELS with each of the five tones.
+_TONED = {unicodedata.normalize("NFC", v + t): v for v in VOWELS for t in "\u0300\u0301\u0303\u0309\u0323"}
+
+
+def spoken_cries(text: Column) -> Column:
+    """`text` with its cries and laughs as words that can be read aloud. A word is
+
+    * a cry of pain (argh, ugh, grrh): Á; a sigh (haizz): Hầy; a hum (hmm): Hừm;
+    * a laugh of two to eight equal syllables: the syllable up to four times, apart;
+    * a vowel of three letters and more: "A... a"; behind a letter that is the same vowel with a tone mark
+      this letter leads ("ÁAAA": "Á... a"), behind another one the word stays.
+
+    Cues in brackets become sounds, a gasp alone ("Ha…") a laugh, runs of more than three points three.
+    Each word is looked at once, so work and result are in proportion to the text."""
+    gasp = r"(?iu)^(\s*[“\"'‘—–-]?\s*)ha(?:…|\.{2,})(\s*[”\"'’]?\s*)$"
+    said = text
+    for cue, sound in SOUNDS.items():
+        said = F.regexp_replace(said, r"(?iu)\[" + cue.replace(" ", r"\s+") + r"\]", sound)
+    low = lambda w: F.lower(w)
+    laugh = "|".join(f"(?:{x}){{2,{MOST_LAUGHS}}}" for x in LAUGHS)
+    vowel = "(?:" + "|".join(f"{v}{{3,}}" for v in VOWELS) + ")h*"
+    base = lambda c: F.translate(low(c), "".join(_TONED), "".join(_TONED.values()))
+
+    def word(w: Column) -> Column:
+        l = low(w)
+        first, second = F.substring(w, 1, 1), F.substring(l, 2, 1)
+        times = F.least(F.lit(MOST_SAID), (F.length(w) / 2).cast("int"))
+        ha = F.rtrim(F.repeat(F.concat(F.substring(l, 1, 2), F.lit(" ")), times))
+        leads = l.rlike(f"^[À-ỹ]{vowel}$")
+        led = F.when(base(first) == second, F.concat(first, F.lit("... "), second)).otherwise(w)
+        return (
+            F.when(l.rlike(f"^(?:{PAIN})$"), "Á").when(l.rlike("^ha+i+z+$"), "Hầy").when(l.rlike("^(?:hừ+m+|h+m+)$"), "Hừm")
+            .when(l.rlike(f"^(?:{laugh})$"), F.concat(F.upper(F.substring(ha, 1, 1)), F.substring(ha, 2, 100)))
+            .when(leads, led).when(l.rlike(f"^{vowel}$"), F.concat(F.upper(F.substring(l, 1, 1)), F.lit("... "), F.substring(l, 1, 1))).otherwise(w)
+        )
+
+    #: no other word can be one of these
+    maybe = f"^[{VOWELS}{''.join(_TONED)}hg]"
+    parts = F.regexp_extract_all(said, F.lit(r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_]+"), F.lit(0))
+    out = F.array_join(F.transform(parts, lambda w: F.when(low(w).rlike(maybe), word(w)).otherwise(w)), "")
+    out = F.regexp_replace(out, r"\.{4,}", "...")
+    return F.when(text.rlike(gasp), F.regexp_replace(text, gasp, "$1Ha ha.$2")).otherwise(out)

@@ -155,3 +155,10 @@ def throughput(df: DataFrame, ts: Column, now: Column, window_s: int = 1800, lea
     recent = df.where((ts > now - window_s) & (ts <= now))
     out = recent.agg(F.count("*").alias("n"), (F.first(now) - F.min(ts)).alias("span"))
     return out.select("n", F.when((F.col("n") >= least) & (F.col("span") >= span_s), F.round(F.col("n") / F.col("span"), 6)).alias("rate"))
+
+
+def recent_rate(df: DataFrame, ts: Column, now: Column, window_s: int = 1800, least: int = 12, span_s: int = 60) -> DataFrame:
+    """Rows a second since the first of the last `window_s` (its edge included) before `now`, over
+    at least `span_s`; null under `least` rows."""
+    out = df.where((ts >= now - window_s) & (ts <= now)).agg(F.count("*").alias("n"), (F.first(now) - F.min(ts)).alias("span"))
+    return out.select("n", F.when(F.col("n") >= least, F.round(F.col("n") / F.greatest(F.col("span"), F.lit(span_s)), 6)).alias("rate"))

@@ -47,8 +47,9 @@ def night_log(rows: DataFrame, keys: Sequence[str], at: str, incoming: Column) -
 
 
 def stale(rows: DataFrame, keys: Sequence[str], at: Column, now: Column, limit: float) -> DataFrame:
-    """Age of the newest sign of life of each key, and whether it is over `limit`."""
-    out = rows.groupBy(*keys).agg((F.first(now) - F.max(at)).alias("age"))
+    """Age of the newest sign of life of each key, at least 0, and whether it is over `limit`."""
+    age = F.first(now) - F.max(at)
+    out = rows.groupBy(*keys).agg(F.when(age < 0, 0).otherwise(age).alias("age"))
     return out.withColumn("stale", F.col("age") > limit)
 
 

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 
 def throughput(stream: DataFrame, ts: str, late: str = "10 minutes", window: str = "30 minutes", slide: str = "5 minutes", least: int = 12) -> DataFrame:
-    """W15 over sliding windows: rows a second, null under `least` rows. Late rows count until the
+    """W15 over sliding windows: rows a second over at least a minute, null under `least` rows. Late rows count until the
     watermark passes their window."""
     w = F.window(ts, window, slide)
     out = stream.withWatermark(ts, late).groupBy(w.alias("w")).agg(F.count("*").alias("n"), F.min(ts).alias("first"), F.max(ts).alias("last"))
     span = F.unix_micros("last") - F.unix_micros("first")
-    return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", F.when((F.col("n") >= least) & (span >= 60_000_000), F.col("n") * 1e6 / span).alias("rate"))
+    return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", F.when(F.col("n") >= least, F.col("n") * 1e6 / F.greatest(span, F.lit(60_000_000))).alias("rate"))
 
 
 def sessions_once(stream: DataFrame, ts: str, keys: list[str], late: str = "1 day") -> DataFrame:
