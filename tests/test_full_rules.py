@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from versehall.functions import readings, speech
-from versehall.operators import intervals, merge, ordering, scoring
+from versehall.operators import intervals, merge, ordering, ranking, scoring
 
 
 def test_cries(spark):
@@ -116,3 +116,19 @@ def test_recent_rate_and_age(spark):
     assert tuple(intervals.recent_rate(df, F.col("t"), F.col("now"), 11, 12).first()) == (11, None)
     ahead = spark.createDataFrame([("k", 10)], "k string, at int")
     assert tuple(merge.stale(ahead, ["k"], F.col("at"), F.lit(8), 4).first()) == ("k", 0, False)
+
+
+def test_ranks_of_any_type_and_group(spark):
+    """Keys above 2**53, values beyond any packing, texts and nulls; groups that run over many ranges."""
+    big = 1 << 53
+    rows = [("g", big + 1, "b"), ("g", big, "a"), (None, None, None), ("g", None, "z"), (None, 5, "x"), ("h", -5_000_000, "q"), ("h", 2_000_000, "p")] + [("g", big + 2 + i, "c") for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, v long, at string")
+    got = ranking.ranked(df.repartition(7), [F.desc_nulls_last("v"), F.asc("at")], "place", ["g"])
+    want = {}
+    for g in {r[0] for r in rows}:
+        for k, (_, v, at) in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is None, -(r[1] or 0), r[2])), 1):
+            want[g, v, at] = k
+    assert {(r.g, r.v, r["at"]): r.place for r in got.collect()} == want
+    whole = ranking.ranked(df, [F.asc_nulls_last("v"), F.asc("g")], "place").orderBy("place").collect()
+    assert [r.place for r in whole] == list(range(1, len(rows) + 1)) and [r.v for r in whole[3:5]] == [big, big + 1]
+    assert ranking.ranked(df.limit(0), [F.asc("v")], "place", ["g"]).count() == 0

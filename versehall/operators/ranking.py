@@ -1,35 +1,37 @@
-"""Ranks over a whole table without one task that holds it all."""
+"""Ranks over a whole table, or within groups of any size, without one task that holds them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CUTS = 256
-
-
-def global_rank(df: DataFrame, value: str, tie: str, name: str, descending: bool = False, cuts: int = CUTS) -> DataFrame:
-    """`df` with `name`, the row's place by `value` and then `tie` (numbers; nulls last), from 1.
-
-    Quantiles of both (at most `cuts` numbers each reach the driver) cut the table into ordered
-    buckets: a range of values, or, where one value fills a range, a range of its ties. A row's place
-    is its place in the bucket behind the rows of the buckets before; a bucket holds about 1/cuts of
-    the rows."""
-    sign = -1 if descending else 1
-    v, t = F.col(value).cast("double") * sign, F.col(tie).cast("double")
-    rows = df.withColumn("__v", v).withColumn("__t", t)
-    share = [i / cuts for i in range(1, cuts)]
-    got = rows.stat.approxQuantile(["__v", "__t"], share, 0.25 / cuts)
-    points = [sorted(x) for x in got]
-    bucket = lambda c, at: F.coalesce(F.size(F.filter(F.array(*[F.lit(float(p)) for p in at]), lambda p: p < c)), F.lit(0)) if at else F.lit(0)
-    heavy = sorted({p for p, q in zip(points[0], points[0][1:]) if p == q})
-    rows = rows.withColumn("__b", F.when(F.col("__v").isNull(), F.lit(cuts)).otherwise(bucket(F.col("__v"), sorted(set(points[0])))))
-    alone = F.col("__v").isin(heavy) | F.col("__v").isNull() if heavy else F.col("__v").isNull()
-    # rows of a heavy value end its range: they come behind the others of the range, cut by their ties
-    rows = rows.withColumn("__h", F.when(alone, 1 + bucket(F.col("__t"), sorted(set(points[1])))).otherwise(0))
-    size = rows.groupBy("__b", "__h").agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(Window.orderBy("__b", "__h").rowsBetween(Window.unboundedPreceding, -1))  # a row a bucket
-    size = size.select("__b", "__h", F.coalesce(before, F.lit(0)).alias("__before"))
-    place = F.row_number().over(Window.partitionBy("__b", "__h").orderBy(F.col("__v").asc_nulls_last(), F.col("__t").asc_nulls_last()))
-    ranked = rows.withColumn("__place", place).join(F.broadcast(size), ["__b", "__h"])
-    return ranked.select(*df.columns, (F.col("__place") + F.col("__before")).alias(name))
+from versehall.staging import stage, unused
+
+
+def ranked(df: DataFrame, order: Sequence[Column], name: str, by: Sequence[str] = ()) -> DataFrame:
+    """`df` with `name`, the row's place in its group (`by`; none: the whole table) in the given order,
+    from 1. Orders are sort columns (`F.desc_nulls_last(...)`) of any type, compared as they are; rows equal in all of
+    them stand in any order.
+
+    Rows are dealt out by ranges of (group, order) and staged in order; a row's place is its place
+    among its group's rows of its range, behind those of the ranges before. Only a group that began in
+    an earlier range has rows before, so the broadcast table of offsets has at most a row a range."""
+    at, part, own, before, n = unused(df, "at", "part", "own", "before", "n")
+    keys = [F.col(b).asc() for b in by] + list(order)
+    rows = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(at, F.monotonically_increasing_id())
+    rows = stage(rows.withColumn(part, F.shiftright(at, 33)), "ranges")
+    sizes = rows.groupBy(*by, part).agg(F.count("*").alias(n))
+    upto = F.sum(n).over(Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select(*[F.col(b).alias(f"__by_{b}") for b in by], F.col(part).alias("__part"), upto.alias(before)).where(F.col(before) > 0)
+    on = [F.col(part) == F.col("__part"), *[F.col(b).eqNullSafe(F.col(f"__by_{b}")) for b in by]]
+    placed = rows.withColumn(own, F.row_number().over(Window.partitionBy(*by, part).orderBy(at))).join(F.broadcast(offsets), on, "left")
+    return placed.select(*df.columns, (F.col(own) + F.coalesce(F.col(before), F.lit(0))).cast("long").alias(name))
+
+
+def global_rank(df: DataFrame, value: str, tie: str, name: str, descending: bool = False, cuts: int | None = None) -> DataFrame:
+    """`df` with `name`, the row's place by `value` and then `tie` (nulls last), from 1. `cuts` is of no
+    use any more: ranges are as many as the session's shuffle partitions."""
+    first = F.desc_nulls_last(value) if descending else F.asc_nulls_last(value)
+    return ranked(df, [first, F.asc_nulls_last(tie)], name)

@@ -138,10 +138,10 @@ def s3_longest_first(spark, sf_dir):
 @query("""WITH c AS (SELECT event_id, value, CASE event_type WHEN 'purchase' THEN 0 WHEN 'click' THEN 1 WHEN 'view' THEN 2 ELSE 3 END AS c FROM events)
   SELECT event_id, c, row_number() OVER (ORDER BY c, value DESC, event_id) AS place FROM c""")
 def s5_category_order(spark, sf_dir):
-    """Categories in their order, the larger value first: one number orders both, values being below 10**6."""
+    """Categories in their order, the larger value first."""
     c = F.when(F.col("event_type") == "purchase", 0).when(F.col("event_type") == "click", 1).when(F.col("event_type") == "view", 2).otherwise(3)
-    e = _events(spark, sf_dir).select("event_id", c.alias("c"), (c * 1e6 - F.col("value")).alias("v"))
-    return rk.global_rank(e, "v", "event_id", "place").select("event_id", "c", "place")
+    e = _events(spark, sf_dir).select("event_id", c.alias("c"), "value")
+    return rk.ranked(e, [F.asc("c"), F.desc_nulls_last("value"), F.asc("event_id")], "place").select("event_id", "c", "place")
 
 
 @query("""WITH x AS (SELECT s_nationkey, sum(s_acctbal) AS spoken, count(*) AS names FROM supplier GROUP BY s_nationkey), y AS (SELECT s_nationkey, round(spoken * spoken / names, 6) AS score FROM x)
@@ -162,3 +162,23 @@ def s9_interleaved(spark, sf_dir):
     o = rk.global_rank(o, "total", "k", "r", descending=True)
     both = c.select("k", (2 * F.col("r")).alias("pos")).union(o.select("k", (2 * F.col("r") + 1).alias("pos")))
     return both.groupBy("k").agg(F.min("pos").cast("long").alias("pos")).orderBy("pos", "k").limit(40)
+
+
+@query("SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderstatus, o_totalprice DESC, o_orderkey)::BIGINT AS place FROM orders")
+def s1_multi_key(spark, sf_dir):
+    """Five priorities hold all orders: each is ranked over many tasks."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus", "o_totalprice")
+    return rk.ranked(o, [F.asc("o_orderstatus"), F.desc("o_totalprice"), F.asc("o_orderkey")], "place", ["o_orderpriority"]).select("o_orderkey", "place")
+
+
+@query("SELECT c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY v NULLS LAST, c_custkey)::BIGINT AS place FROM (SELECT c_custkey, c_mktsegment, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_acctbal END AS v FROM customer) x")
+def s2_nulls_last(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", F.when(F.col("c_custkey") % 3 != 0, F.col("c_acctbal")).alias("v"))
+    return rk.ranked(c, [F.asc_nulls_last("v"), F.asc("c_custkey")], "place", ["c_mktsegment"]).select("c_custkey", "place")
+
+
+@query("SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY (recent IS NULL)::INT, recent DESC NULLS LAST, c_name, c_custkey)::BIGINT AS place FROM (SELECT c_custkey, c_nationkey, c_name, max(o_orderdate) AS recent FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P' GROUP BY 1, 2, 3) x")
+def s13_two_tiers(spark, sf_dir):
+    last = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderdate").alias("recent"))
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_name").join(last, "c_custkey", "left")
+    return rk.ranked(c, [F.desc_nulls_last("recent"), F.asc("c_name"), F.asc("c_custkey")], "place", ["c_nationkey"]).select("c_custkey", "place")

@@ -89,13 +89,10 @@ plain("a25_busiest", "SELECT max(n) AS busiest FROM (SELECT l_orderkey, count(DI
 
 # -- sorts, limits, top-k ---------------------------------------------------------------------
 
-plain("s1_multi_key", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderstatus, o_totalprice DESC, o_orderkey)::BIGINT AS place FROM orders")
-plain("s2_nulls_last", "SELECT c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY v NULLS LAST, c_custkey)::BIGINT AS place FROM (SELECT c_custkey, c_mktsegment, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_acctbal END AS v FROM customer) x")
 plain("s4_latest_n", "SELECT event_id, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 200")
 plain("s8_lexicographic", "SELECT s_nationkey, s_suppkey FROM (SELECT s_nationkey, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY (s_acctbal > 0)::INT DESC, length(s_name), s_acctbal DESC, s_suppkey) AS r FROM supplier) x WHERE r <= 3")
 plain("s11_lru_keep", "SELECT doc_id FROM (SELECT doc_id, source, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id DESC ROWS UNBOUNDED PRECEDING) AS size FROM documents) x WHERE size <= 20000")
 plain("s12_keep_last_n", "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) x WHERE r <= 5")
-plain("s13_two_tiers", "SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY (recent IS NULL)::INT, recent DESC NULLS LAST, c_name, c_custkey)::BIGINT AS place FROM (SELECT c_custkey, c_nationkey, c_name, max(o_orderdate) AS recent FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P' GROUP BY 1, 2, 3) x")
 
 # -- set operations ---------------------------------------------------------------------------
 

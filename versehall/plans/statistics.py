@@ -3,12 +3,22 @@
 from pyspark.sql import functions as F
 
 from versehall.operators import evaluation as ev
+from versehall.operators.ranking import ranked
 from versehall.plans.registry import plain, query, table
 from versehall.sources import books
 
 plain("a13_percentiles", "SELECT round(median(value), 6) AS med, round(min(value), 6) AS low, round(max(value) - min(value), 6) AS spread, round(percentile_cont(0.05) WITHIN GROUP (ORDER BY value), 6) AS p05, round(percentile_cont(0.95) WITHIN GROUP (ORDER BY value), 6) AS p95 FROM events")
 plain("a20_agreement", "SELECT count(*) AS n, round(avg((quality = toxic)::INT), 6) AS same, round(avg((quality = 1 OR toxic = 1)::INT), 6) AS either FROM labels")
-plain("e14_leave_one_out", "SELECT doc_id, dense_rank() OVER (PARTITION BY lang ORDER BY source)::BIGINT AS fold FROM documents")
+
+
+@query("SELECT doc_id, dense_rank() OVER (PARTITION BY lang ORDER BY source)::BIGINT AS fold FROM documents")
+def e14_leave_one_out(spark, sf_dir):
+    """Ranks of the sources of each language, a row a source, joined to the documents."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    folds = ranked(d.select("lang", "source").distinct(), [F.asc("source")], "fold", ["lang"]).select(F.col("lang").alias("l"), F.col("source").alias("s"), "fold")
+    folds = F.broadcast(folds) if folds.count() <= 100_000 else folds
+    return d.join(folds, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "fold")
+
 
 
 @query("""WITH p AS (SELECT source, text, doc_id || '=' || sha256(text) AS line, substr(md5(doc_id::VARCHAR), 1, 3) AS part FROM documents),
