@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from versehall.functions.text import fold_all, similarity
+
 # Thresholds of the checks, ends of sentences, names of volumes.
 SEVERE_SIMILARITY, SEVERE_RATIO, SEVERE_WORDS = 0.35, 3.0, 4
 WORDS_A_SECOND, WORD_MARGIN, LEAST_WORDS = 5.0, 2, 4
@@ -37,6 +39,14 @@ def word_error_rate(expected: Column, heard: Column) -> Column:
     return token_distance(expected, heard) / F.greatest(F.lit(1), n_words(expected))
 
 
+def best_of_two(expected: Column, heard: Column) -> Column:
+    """(similarity, wer): each the better one of the texts as they are and folded."""
+    plain, folded = (expected, heard), (fold_all(expected), fold_all(heard))
+    return F.struct(
+        F.greatest(similarity(*plain), similarity(*folded)).alias("similarity"), F.least(word_error_rate(*plain), word_error_rate(*folded)).alias("wer"),
+    )
+
+
 def severe_mismatch(expected: Column, heard: Column, alike: Column) -> Column:
     """whether what was heard is another text: nothing at all, or hardly alike and either far
     longer or of about the same length. False where nothing was expected."""

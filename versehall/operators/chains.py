@@ -118,3 +118,44 @@ def decode_chains(df: DataFrame, by: Sequence[str], order: Sequence[str], ident:
 
     kinds = dict(df.dtypes)
     return grouped(rows, by, order, decode, ", ".join(f"`{c}` {kinds[c]}" for c in [*by, ident]) + ", choice int")
+
+
+def pack_units(df: DataFrame, by: Sequence[str], order: Sequence[str], unit: str, most: int) -> DataFrame:
+    """`df` with batch, from 0 in each group. Rows of a `unit` (a run of equal values in the order)
+    stay in one batch, units fill batches in order up to `most` rows; a unit of more than `most` rows is cut
+    into batches of its own.
+
+    Where a unit is over the cap packing begins anew behind it, and at each group; the rows run through in order and
+    all that is kept is how full the batch is."""
+    if most < 1:
+        raise ValueError("a batch must hold a row")
+    w = Window.partitionBy(*by).orderBy(*order)
+    fresh = F.coalesce(~F.col(unit).eqNullSafe(F.lag(unit).over(w)) | (F.row_number().over(w) == 1), F.lit(True))
+    rows = df.withColumn("__run", F.sum(fresh.cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("__size", F.count("*").over(Window.partitionBy(*by, "__run")))
+    rows = rows.select(*df.columns, "__run", "__size").repartition(*by).sortWithinPartitions(*by, *order)
+    names, at = df.columns, [df.columns.index(b) for b in by]
+    width = len(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, unit_now, batch_no, held, inside = None, None, 0, 0, 0
+        for batch in batches:
+            out = []
+            keys = zip(*[batch.column(i).to_pylist() for i in at]) if at else iter(lambda: (), None)
+            for key, of, size in zip(keys, batch.column(width).to_pylist(), batch.column(width + 1).to_pylist()):
+                if key != group:
+                    group, unit_now, batch_no, held = key, None, 0, 0
+                if of != unit_now:
+                    unit_now, inside = of, 0
+                    if held and held + size > most:
+                        batch_no, held = batch_no + 1, 0
+                if held == most:  # only within a unit over the cap
+                    batch_no, held = batch_no + 1, 0
+                held, inside = held + 1, inside + 1
+                out.append(batch_no)
+                if inside == size > most:
+                    batch_no, held = batch_no + 1, 0
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(width)], pa.array(out, pa.int64())], [*names, "batch"])
+
+    kinds = dict(df.dtypes)
+    return rows.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in df.columns) + ", batch long")

@@ -149,3 +149,32 @@ def replace_table(rows: DataFrame, path: str) -> None:
         system.rename(kept, old)
         raise OSError(f"{path} could not be replaced")
     system.delete(kept, True)
+
+
+def merge_nights(rows: DataFrame, key: str, incoming: Column) -> DataFrame:
+    """L4: one night log a key from rows (key, id, started, ended, events, dismissed): of different nights the
+    one that started later (ties to ours); of one night the record with more events (ties to ours), dismissed if
+    any of its records is, ended as ours says, else as theirs. A night's start is the latest its records give."""
+    side = -incoming.cast("int")
+    size = F.size(F.coalesce("events", F.array().cast(dict(rows.dtypes)["events"])))
+    own = rows.withColumn("__ours", side).groupBy(key, "id").agg(
+        F.max(F.struct("started", "__ours")).alias("__s"), F.max_by(F.struct("events"), F.struct(size, F.col("__ours"), F.col("started"))).alias("__e"),
+        F.coalesce(F.bool_or("dismissed"), F.lit(False)).alias("dismissed"), F.max_by("ended", F.when(F.col("ended").isNotNull(), F.struct(F.col("__ours"), F.col("ended")))).alias("ended"))
+    best = F.max_by(F.struct("id", F.col("__s.started").alias("started"), "ended", F.col("__e.events").alias("events"), "dismissed"), F.struct(F.col("__s.started"), F.col("__s.__ours"), F.col("id")))
+    return own.groupBy(key).agg(best.alias("x")).select(key, "x.*")
+
+
+def merge_wish_sections(local: DataFrame, incoming: DataFrame, by: Sequence[str], caps: dict[str, int]) -> tuple[DataFrame, DataFrame]:
+    """The wishes (by, section, item, value) of both sides; where both have an item ours stays, and it is a
+    conflict if they differ. A book in which a section would hold more than its cap keeps ours as they
+    were. Gives the wishes and (by, conflicts) of every book."""
+    keys = [*by, "section", "item"]
+    both = local.select(*keys, F.col("value").alias("__a"), F.lit(True).alias("__mine")).join(incoming.select(*keys, F.col("value").alias("__b"), F.lit(True).alias("__sent")), keys, "full_outer")
+    both = stage(both.withColumn("__mine", F.col("__mine").isNotNull()).withColumn("__sent", F.col("__sent").isNotNull()), "wishes")
+    limit = F.create_map(*[F.lit(x) for s, n in caps.items() for x in (s, n)])
+    sizes = both.groupBy(*by, "section").agg(F.count("*").alias("n"))
+    over = sizes.where(F.col("n") > F.coalesce(F.element_at(limit, F.col("section")), F.lit(1 << 31))).select(*by).distinct().withColumn("__over", F.lit(True))
+    both = both.join(over, list(by), "left").withColumn("__over", F.col("__over").isNotNull())
+    wishes = both.where(F.col("__mine") | ~F.col("__over")).select(*keys, F.when(F.col("__mine"), F.col("__a")).otherwise(F.col("__b")).alias("value"))
+    clash = F.col("__mine") & F.col("__sent") & ~F.col("__a").eqNullSafe(F.col("__b")) & ~F.col("__over")
+    return wishes, both.groupBy(*by).agg(F.count_if(clash).alias("conflicts"))

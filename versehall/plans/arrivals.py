@@ -84,3 +84,29 @@ def l5_library(spark, sf_dir):
     none = e.where("false").select("record", F.col("day").alias("at"))
     merged, active, _ = merge.merge_library(had.drop("event_id"), pointed, none, sent, e.where("event_id % 61 = 2").select("record", F.col("day").alias("at")))
     return merged.join(active.select("record", "active_at"), "record", "left").select("record", "book", "name", "name_at", "heard_at", F.col("active_at").isNotNull().alias("is_active"), "active_at")
+
+
+@query("""WITH e AS (SELECT user_id, event_id // 8 AS night, event_id % 2 = 1 AS theirs, ts, value FROM events), r AS (SELECT user_id, night, theirs, max(epoch_us(ts)) AS started, CASE WHEN count(*) > 1 THEN min(epoch_us(ts)) END AS ended, list_sort(list(value)) AS ev, bool_or(value > 90) AS dismissed FROM e GROUP BY ALL),
+  n AS (SELECT user_id, night, max(started) AS started, bool_or(NOT theirs AND started = top) AS own, bool_or(dismissed) AS dismissed, coalesce(max(CASE WHEN NOT theirs THEN ended END), max(ended)) AS ended, arg_max(ev, (len(ev), NOT theirs)) AS ev
+        FROM (SELECT *, max(started) OVER (PARTITION BY user_id, night) AS top FROM r) GROUP BY user_id, night),
+  k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY started DESC, own DESC, night DESC) AS p FROM n) SELECT user_id, night, started, ended, len(ev)::INTEGER AS n_events, round(list_sum(ev), 4) AS total, dismissed FROM k WHERE p = 1""")
+def l4_nights(spark, sf_dir):
+    """A user's events by eights as nights of two devices, the odd ones from the other."""
+    e = table(spark, sf_dir, "events").select("user_id", F.floor(F.col("event_id") / 8).cast("long").alias("id"), (F.col("event_id") % 2 == 1).alias("theirs"), micros("ts").alias("at"), "value")
+    r = e.groupBy("user_id", "id", "theirs").agg(F.max("at").alias("started"), F.when(F.count("*") > 1, F.min("at")).alias("ended"), F.sort_array(F.collect_list("value")).alias("events"), F.bool_or(F.col("value") > 90).alias("dismissed"))
+    n = merge.merge_nights(r, "user_id", F.col("theirs"))
+    total = F.aggregate("events", F.lit(0.0), lambda s, x: s + x)
+    return n.select("user_id", F.col("id").alias("night"), "started", "ended", F.size("events").alias("n_events"), F.round(total, 4).alias("total"), "dismissed")
+
+
+@query("""WITH o AS (SELECT o_custkey AS book, CASE WHEN o_orderkey % 3 = 0 THEN 'voices' ELSE 'lines' END AS section, o_orderkey % 7 AS item, o_orderkey % 2 AS side, max(o_orderpriority) AS value FROM orders GROUP BY ALL),
+  f AS (SELECT coalesce(a.book, b.book) AS book, coalesce(a.section, b.section) AS section, coalesce(a.item, b.item) AS item, a.value AS a, b.value AS b FROM (SELECT * FROM o WHERE side = 0) a FULL JOIN (SELECT * FROM o WHERE side = 1) b ON a.book = b.book AND a.section = b.section AND a.item = b.item),
+  s AS (SELECT DISTINCT book FROM (SELECT book, section, count(*) AS n FROM f GROUP BY ALL) WHERE n > CASE section WHEN 'voices' THEN 3 ELSE 5 END)
+  SELECT f.book, count(*) FILTER (a IS NOT NULL OR s.book IS NULL) AS wishes, count(*) FILTER (a <> b AND s.book IS NULL) AS conflicts, coalesce(min(CASE WHEN a IS NOT NULL OR s.book IS NULL THEN section || item || coalesce(a, b) END), '') AS least FROM f LEFT JOIN s USING (book) GROUP BY f.book""")
+def l7_wishes(spark, sf_dir):
+    """A customer's orders as wishes of two devices in two sections of three and five at most."""
+    o = table(spark, sf_dir, "orders")
+    w = o.groupBy(F.col("o_custkey").alias("book"), F.when(F.col("o_orderkey") % 3 == 0, "voices").otherwise("lines").alias("section"), (F.col("o_orderkey") % 7).alias("item"), (F.col("o_orderkey") % 2).alias("side")).agg(F.max("o_orderpriority").alias("value"))
+    wishes, conflicts = merge.merge_wish_sections(w.where("side = 0"), w.where("side = 1"), ["book"], {"voices": 3, "lines": 5})
+    kept = wishes.groupBy("book").agg(F.count("*").alias("wishes"), F.min(F.concat("section", F.col("item").cast("string"), "value")).alias("least"))
+    return conflicts.join(kept, "book", "left").select("book", F.coalesce("wishes", F.lit(0)).alias("wishes"), "conflicts", F.coalesce("least", F.lit("")).alias("least"))

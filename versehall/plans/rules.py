@@ -4,8 +4,10 @@ from pyspark.sql import functions as F
 
 from versehall.functions import readings as rd
 from versehall.functions import speech as sp
+from versehall.functions import passages as ps
+from versehall.functions import text as tx
+from versehall.operators import chains, dialogue, ordering, scoring
 from versehall.operators import intervals as iv
-from versehall.operators import ordering, scoring
 from versehall.plans.registry import query, table
 
 
@@ -139,3 +141,47 @@ def a19_seven_axes(spark, sf_dir):
 def a20_annotators(spark, sf_dir):
     out = scoring.agreement(_gold(spark, sf_dir, 0), _gold(spark, sf_dir, 1), ["event_id"])
     return out.select("rows", "spoken", *[F.round(c, 6).alias(c) for c in out.columns[2:]])
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, ts, event_type, row_number() OVER w AS r, CASE WHEN event_type IS NOT DISTINCT FROM lag(event_type) OVER w THEN 0 ELSE 1 END AS f FROM (SELECT user_id, event_id, ts, CASE WHEN event_type IN ('click', 'view', 'error') THEN 'x' ELSE event_type END AS event_type FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+  u AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY r) AS unit FROM e), s AS MATERIALIZED (SELECT user_id, unit, count(*) AS n, min(r) AS first FROM u GROUP BY ALL),
+  p AS (SELECT user_id, unit, 0::BIGINT AS starts, CASE WHEN n > 4 THEN (n + 3) // 4 ELSE 0 END::BIGINT AS batch, CASE WHEN n > 4 THEN 0 ELSE n END AS held, n, first FROM s WHERE unit = 1
+        UNION ALL SELECT s.user_id, s.unit, b, CASE WHEN s.n > 4 THEN b + (s.n + 3) // 4 ELSE b END, CASE WHEN s.n > 4 THEN 0 WHEN b = p.batch THEN p.held + s.n ELSE s.n END, s.n, s.first
+        FROM p JOIN s ON s.user_id = p.user_id AND s.unit = p.unit + 1, LATERAL (SELECT CASE WHEN p.held > 0 AND p.held + s.n > 4 THEN p.batch + 1 ELSE p.batch END AS b))
+  SELECT u.user_id, u.event_id, (p.starts + CASE WHEN p.n > 4 THEN (u.r - p.first) // 4 ELSE 0 END)::BIGINT AS batch FROM u JOIN p USING (user_id, unit)""")
+def e12_capped_units(spark, sf_dir):
+    """A user's events in batches of four; runs of one kind stay together, longer runs are cut."""
+    kind = F.when(F.col("event_type").isin("click", "view", "error"), "x").otherwise(F.col("event_type"))
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", kind.alias("kind"))
+    return chains.pack_units(e, ["user_id"], ["ts", "event_id"], "kind", 4).select("user_id", "event_id", "batch")
+
+
+_ME = "(?:^|[^a-z])(?:on|la|die|in)(?:[^a-z]|$)"
+
+
+@query(f"""WITH c AS (SELECT doc_id, text, regexp_extract(text, '^[A-Z][a-z]+') AS h FROM documents), s AS (SELECT *, list_filter(string_split_regex(text, '[.!?…]+'), lambda x: trim(x) <> '') AS s FROM c),
+  r AS (SELECT doc_id, h, len(list_filter(s, lambda x: regexp_matches(x, '{_ME}'))) / greatest(1, len(s)) AS rate, CASE WHEN h <> '' THEN ((length(text) - length(replace(text, h, ''))) // length(h))::INTEGER END AS told FROM s)
+  SELECT doc_id, h AS heading, round(rate, 6) AS rate, told FROM r WHERE rate >= 0.3 AND told <= 2""")
+def e23_point_of_view(spark, sf_dir):
+    """Documents as chapters headed by their first word, four short words as the first person."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.regexp_extract("text", "^[A-Z][a-z]+", 0).alias("heading"))
+    got = dialogue.point_of_view(d, "heading", "text", _ME)
+    return got.select("doc_id", "heading", F.round("first_person_rate", 6).alias("rate"), F.col("told_about").alias("told"))
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, p_name AS a, CASE WHEN p_partkey % 2 = 0 THEN upper(lead(p_name) OVER (ORDER BY p_partkey)) ELSE lead(p_name) OVER (ORDER BY p_partkey) || ' ' || p_brand END AS b FROM part), q AS (SELECT * FROM p WHERE b IS NOT NULL),
+  w AS (SELECT k, a, b, [x for x in string_split(a, ' ') if x <> ''] AS v, [x for x in string_split(b, ' ') if x <> ''] AS w FROM (SELECT k, a, b FROM q UNION ALL SELECT k, lower(a), lower(b) FROM q)),
+  n AS (SELECT *, list_distinct(v || w) AS names FROM w), c AS (SELECT *, array_to_string([chr(65 + list_position(names, x)::INTEGER) for x in v], '') AS cv, array_to_string([chr(65 + list_position(names, x)::INTEGER) for x in w], '') AS cw FROM n)
+  SELECT k AS p_partkey, round(max(greatest(0, 1 - levenshtein(a, b) / greatest(1, length(a)))), 6) AS similarity, round(min(levenshtein(cv, cw) / greatest(1, len(v))), 6) AS wer FROM c GROUP BY k""")
+def f26_best_of_two(spark, sf_dir):
+    """Part names against the next part's, in capitals or with a brand."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
+    pairs = p.join(p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("next")), "p_partkey")
+    heard = F.when(F.col("p_partkey") % 2 == 0, F.upper("next")).otherwise(F.concat_ws(" ", "next", "p_brand"))
+    x = ps.best_of_two(F.col("p_name"), heard)
+    return pairs.select("p_partkey", F.round(x["similarity"], 6).alias("similarity"), F.round(x["wer"], 6).alias("wer"))
+
+
+@query("""SELECT page_id, array_to_string([CASE WHEN regexp_matches(x, '^[0-9]') THEN lpad(x, 12, '0') ELSE x END for x in regexp_extract_all(lower(url), '[0-9]+|[^0-9]+')], '') AS key FROM pages""")
+def src4_natural_key(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", tx.natural_key(F.col("url")).alias("key"))
