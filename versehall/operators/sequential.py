@@ -271,7 +271,7 @@ def viterbi(emissions: np.ndarray, second: np.ndarray) -> list[int]:
     return path[::-1]
 
 
-def colours(edges: DataFrame, node: str, other: str, most_rounds: int = 500) -> DataFrame:
+def colours(edges: DataFrame, node: str, other: str) -> DataFrame:
     """(node, colour) of a conflict graph given by rows (node, other) in one direction: greedy
     colouring, the node with most neighbours first, ties to the smaller.
 
@@ -286,14 +286,12 @@ def colours(edges: DataFrame, node: str, other: str, most_rounds: int = 500) ->
     waits = stage(before.where(after).select("a", "b"), "earlier-neighbours")
     done = stage(degree.select("a").join(waits.select("a").distinct(), "a", "left_anti").withColumn("colour", F.lit(0)), "colours")
     total = degree.count()
-    for _ in range(most_rounds):
-        if done.count() == total:
-            return done.select(F.col("a").alias(node), "colour")
+    while done.count() < total:  # every round colours at least the first node left
         known = waits.join(done.select(F.col("a").alias("b"), "colour"), "b", "left").join(done.select("a"), "a", "left_anti")
         sets = known.groupBy("a").agg(F.collect_set("colour").alias("used"), F.count_if(F.col("colour").isNull()).alias("open"))
         free = F.array_min(F.array_except(F.sequence(F.lit(0), F.size("used")), F.col("used")))
         done = stage(done.union(sets.where("open = 0").select("a", free.cast("int"))), "colours")
-    raise RuntimeError(f"no colouring within {most_rounds} rounds")
+    return done.select(F.col("a").alias(node), "colour")
 
 
 def keep_pins(rows: pd.DataFrame) -> pd.DataFrame:

@@ -185,3 +185,12 @@ def f26_best_of_two(spark, sf_dir):
 @query("""SELECT page_id, array_to_string([CASE WHEN regexp_matches(x, '^[0-9]') THEN lpad(x, 12, '0') ELSE x END for x in regexp_extract_all(lower(url), '[0-9]+|[^0-9]+')], '') AS key FROM pages""")
 def src4_natural_key(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", tx.natural_key(F.col("url")).alias("key"))
+
+
+@query(r"""WITH d AS (SELECT doc_id, text, list_distinct(regexp_extract_all(text, '[a-z,;] ([A-Z][a-z]{3,})', 1)) AS names FROM documents), w AS (SELECT doc_id, names, regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+') AS w FROM d WHERE len(names) > 0),
+  t AS (SELECT doc_id, names, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM w), c AS (SELECT *, coalesce(sum(length(w)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins FROM t)
+  SELECT doc_id, begins::INTEGER AS start, (begins + length(w))::INTEGER AS "end", w AS alias FROM c WHERE list_contains(names, w)""")
+def f34_own_names(spark, sf_dir):
+    """Where a document mentions the names that stand inside its own sentences."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z,;] ([A-Z][a-z]{3,})"), F.lit(1))).alias("names")).where("size(names) > 0")
+    return d.select("doc_id", F.explode(ps.mention_spans(F.col("text"), F.col("names"), case=True)).alias("m")).select("doc_id", "m.start", "m.end", "m.alias")
