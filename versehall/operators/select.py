@@ -36,7 +36,7 @@ def log_sum_exp(logs: Column) -> Column:
     return top + F.log(F.aggregate(logs, F.lit(0.0), lambda s, x: s + F.exp(x - top)))
 
 
-def nearest_in_grid(points: DataFrame, key: str, xy: tuple[str, str], weights: tuple[float, float], most: float, k: int, n: int = 5, per_cell: int = 32) -> DataFrame:
+def nearest_in_grid(points: DataFrame, key: str, xy: tuple[str, str], weights: tuple[float, float], most: float, k: int, n: int = 5, per_cell: int = 128) -> DataFrame:
     """For each point its k nearest others in its own and the eight neighbouring cells of the
     n x n grid, no further than `most`: (key, near, d, rank), ties to the smaller key.
 

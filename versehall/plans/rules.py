@@ -194,3 +194,19 @@ def f34_own_names(spark, sf_dir):
     """Where a document mentions the names that stand inside its own sentences."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text", F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z,;] ([A-Z][a-z]{3,})"), F.lit(1))).alias("names")).where("size(names) > 0")
     return d.select("doc_id", F.explode(ps.mention_spans(F.col("text"), F.col("names"), case=True)).alias("m")).select("doc_id", "m.start", "m.end", "m.alias")
+
+
+@query("""WITH c AS (SELECT conv_id, role, count(*) AS n FROM conversations GROUP BY ALL) SELECT conv_id, role FROM c QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, role) = 1""")
+def a11_top_role(spark, sf_dir):
+    """The role with most turns of each conversation, ties to the smaller name."""
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id", "role").agg(F.count("*").alias("n"))
+    return c.groupBy("conv_id").agg(F.min_by("role", F.struct((-F.col("n")).alias("n"), "role")).alias("role"))
+
+
+@query("""WITH l AS (SELECT l_partkey, l_orderkey, l_quantity FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey, l_orderkey ORDER BY l_linenumber DESC, l_quantity DESC) = 1)
+  SELECT l_partkey, round(sum(l_quantity), 2) AS qty, count(*) AS orders_n FROM l GROUP BY l_partkey""")
+def a22_latest_lines(spark, sf_dir):
+    """What the last line of each part and order asks for, summed by part."""
+    last = F.max_by("l_quantity", F.struct("l_linenumber", "l_quantity")).alias("q")
+    li = table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_orderkey").agg(last)
+    return li.groupBy("l_partkey").agg(F.round(F.sum("q"), 2).alias("qty"), F.count("*").alias("orders_n"))

@@ -105,6 +105,15 @@ def m8_alignment(spark, sf_dir):
     return readings.align_frames(e, "unit", "vec_id", "logs", "labels")
 
 
+@query()
+def m8_utterances(spark, sf_dir):
+    """As `m8_alignment`, with fifty vectors as the frames of an utterance, so that units grow in number and not in size."""
+    z = F.transform(F.slice("embedding", 1, 5), lambda x: x.cast("double") * 9)
+    logs = F.transform(z, lambda x: x - F.log(F.aggregate(z, F.lit(0.0), lambda s, y: s + F.exp(y))))
+    e = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 50).cast("long").alias("unit"), "vec_id", logs.alias("logs"), F.array(*[F.lit(x) for x in (1, 2, 2, 4)]).alias("labels"))
+    return readings.align_frames(e, "unit", "vec_id", "logs", "labels")
+
+
 @query()
 def a26_colours(spark, sf_dir):
     """Parts that one supplier sends in one order must not share a colour."""
