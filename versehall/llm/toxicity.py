@@ -7,8 +7,9 @@ and cover the whole text; the document's score is a logistic function of its hig
 number of windows.
 
 Training is multiple-instance: first every window bears its document's label, then toxic documents
-are represented by their highest windows. It sees at most MAX_DOCS labelled documents a class and
-MAX_WINDOWS windows of each, chosen by hash: that bound is what may reach the driver.
+are represented by their highest windows. It sees at most MAX_DOCS labelled documents a class, whole:
+all their windows, in order of a hash of their ids as long as these come to at most MAX_WINDOWS a class (a document of more
+than an eighth of that is passed over). That bound of the sample is what may reach the driver.
 
 Defined cases: null and empty texts score as one window without words; texts of any length are scored
 whole, in windows; repeated rows get equal scores; all columns of the documents are kept whatever
@@ -29,11 +30,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from versehall.llm.common import in_arrow, unused
+from versehall.llm.common import in_arrow, stage, unused
 
 WINDOW = 32
 MAX_DOCS = 2000
-MAX_WINDOWS = 16
+MAX_WINDOWS = 1 << 16  # of the rows of a label together
 WORD_ROWS, CHAR_ROWS = 1 << 14, 1 << 15
 WORD_DIM, CHAR_DIM, HIDDEN = 8, 12, 8
 GRAMS = (3, 4)
@@ -351,18 +352,28 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_wind
     pick = lambda y: known.where(F.col("toxic") == y).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(max_docs)
     sample = F.broadcast(pick(0).union(pick(1)))  # at most 2 * max_docs rows of two numbers
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sample, "doc_id")
+    text = text.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # of rows that repeat an id one
 
     def cut(part: dict) -> dict:
         out = []
         for i, text in zip(part["doc_id"], part["text"]):
             words = words_of(text)
             starts = _windows(len(words), WINDOW)
-            if len(starts) > max_windows:
-                starts = sorted(np.random.default_rng(i % (1 << 32)).choice(starts, max_windows, replace=False).tolist())
             out.append([" ".join(words[s : s + WINDOW]) for s in starts])
         return {"doc_id": part["doc_id"], "toxic": part["toxic"], "w": out}
 
-    got = in_arrow(text, cut, "doc_id long, toxic int, w array<string>").collect()
+    windows = stage(in_arrow(text, cut, "doc_id long, toxic int, w array<string>"), "toxic-windows")
+    order = F.md5(F.col("doc_id").cast("string"))
+    sizes = sorted(map(tuple, windows.select(order.alias("h"), "doc_id", "toxic", F.size("w").alias("n")).collect()))  # at most 2 * max_docs rows of numbers
+    taken, held = [], {0: 0, 1: 0}
+    for _, doc_id, toxic, n in sizes:
+        if n <= max_windows // 8 and held[toxic] + n <= max_windows:
+            held[toxic] += n
+            taken.append(doc_id)
+    if len(taken) < len(sizes):
+        windows = windows.where(F.col("doc_id").isin(taken))
+        text = text.where(F.col("doc_id").isin(taken))
+    got = windows.collect()
     got.sort(key=lambda r: (r["doc_id"], r["w"]))
     y = np.array([r["toxic"] for r in got])
     if not len(y) or y.min() == y.max():
