@@ -190,3 +190,13 @@ def test_best_of_two(spark):
     assert got[0] == (1.0, 0.0) and got[1][1] == 0.5 and got[2] == (1.0, 0.0)
     names = spark.createDataFrame([("a10",), ("a9",), ("A2b",)], "n string").select("n", text.natural_key(F.col("n")).alias("k"))
     assert [r.n for r in names.orderBy("k").collect()] == ["A2b", "a9", "a10"]
+
+
+def test_romanised_names(spark):
+    names = {
+        "Nippon": "Nip-pon", "Shimbun": "Shim-bun", "Shin'ichi": "Shin-i-chi", "Kin’yu": "Kin-yu", "Ryōta": "Ryo-ta", "Kyoto": "Kyo-to", "Matcha": "Mat-cha", "Zasshi": "Zas-shi", "Onna": "On-na",
+        "Haruto-kun": "Ha-ru-to-kun", "Kimi-San": "Ki-mi-san", "san": "san", "Tanaka Ichiro": "Ta-na-ka I-chi-ro", "Aki-hito": "A-ki hi-to", "jun": "jun", "Tsunami": "Tsu-na-mi",
+        "Smith": None, "Tokyoo!": None, "KEN": None, "keN": None, "Nn": None, "nka": None, "kka": None, "ti": None, "fa": None, "": None, "  ": None, "Ken-": None, None: None,
+    }
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    assert dict(map(tuple, df.select("n", readings.romaji_syllables(F.col("n"))).collect())) == names

@@ -105,7 +105,9 @@ _LABEL = "[a-z,;] ([A-Z][a-z]+(?: [A-Z][a-z]+)?)"
 _GAP = r"[^\p{L}\p{M}\p{N}]{2,}|[^\p{L}\p{M}\p{N} ]"
 
 
-@query(rf"""WITH l AS (SELECT DISTINCT unnest(regexp_extract_all(text, '{_LABEL}', 1)) AS label FROM documents), m AS (SELECT label, lower(label) AS folded, string_split(lower(label), ' ') AS ws FROM l),
+def _links_sql(labels: str) -> str:
+    """Links between the labels that `labels` gives, by words in place of characters."""
+    return rf"""WITH l AS ({labels}), m AS (SELECT label, lower(label) AS folded, string_split(lower(label), ' ') AS ws FROM l),
   f AS (SELECT DISTINCT label, folded, unnest(list_distinct([folded] || CASE WHEN len(ws) > 1 THEN [x for x in [ws[1], ws[-1]] if length(x) >= 3] ELSE [] END)) AS form FROM m),
   i AS (SELECT label, folded, form, form = folded AS whole, len(string_split(form, ' ')) AS k FROM f UNION ALL SELECT NULL, NULL, unnest(['of', 'with the']), NULL, unnest([1, 2])),
   t AS (SELECT row_number() OVER () AS doc, string_split(regexp_replace(translate({_FOLD.format('text')}, 'đ', 'd'), '{_GAP}', ' | ', 'g'), ' ') AS t FROM documents WHERE text IS NOT NULL),
@@ -116,9 +118,19 @@ _GAP = r"[^\p{L}\p{M}\p{N}]{2,}|[^\p{L}\p{M}\p{N} ]"
   p AS (SELECT n.doc, n.a, n.label, n.whole, e.* EXCLUDE (doc) FROM n JOIN e ON e.doc = n.doc AND e.at = n.a
         WHERE NOT contains(folded, lf) AND NOT contains(lf, folded) AND NOT list_has_any(string_split(folded, ' '), string_split(lf, ' '))),
   b AS (SELECT doc, la AS place, ll AS epithet, label AS name FROM p WHERE lw UNION SELECT doc, a, label, ll FROM p WHERE whole)
-  SELECT epithet, name, count(*) AS n FROM b GROUP BY ALL""")
+  SELECT epithet, name, count(*) AS n FROM b GROUP BY ALL"""
+
+
+@query(_links_sql(f"SELECT DISTINCT unnest(regexp_extract_all(text, '{_LABEL}', 1)) AS label FROM documents"))
 def e20_epithet_links(spark, sf_dir):
     """Names are the capitalised words inside sentences, of one or two words."""
     d = table(spark, sf_dir, "documents")
     labels = d.select(F.explode(F.regexp_extract_all("text", F.lit(_LABEL), F.lit(1))).alias("label")).distinct()
     return names.epithet_links(d, "text", labels, "label", ["of", "with the"])
+
+
+@query(_links_sql("SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{7,}')) AS label FROM benchmark"))
+def e20_cast_links(spark, sf_dir):
+    """As `e20_epithet_links`, for a cast that does not grow with the documents: the longer words of the benchmark's passages."""
+    labels = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]{7,}"), F.lit(0))).alias("label")).distinct()
+    return names.epithet_links(table(spark, sf_dir, "documents"), "text", labels, "label", ["of", "with the"])

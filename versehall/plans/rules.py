@@ -210,3 +210,17 @@ def a22_latest_lines(spark, sf_dir):
     last = F.max_by("l_quantity", F.struct("l_linenumber", "l_quantity")).alias("q")
     li = table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_orderkey").agg(last)
     return li.groupBy("l_partkey").agg(F.round(F.sum("q"), 2).alias("qty"), F.count("*").alias("orders_n"))
+
+
+_CUT = "'-' || array_to_string(m, '-')"
+for _a, _b in [("-tch", "t-ch"), *((f"-{c}{c}", f"{c}-{c}") for c in "kpts"), *((f"-m{c}", f"m-{c}") for c in "bpm")]:
+    _CUT = f"replace({_CUT}, '{_a}', '{_b}')"
+
+
+@query(rf"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '\b[A-Za-z]{{3,12}}\b')) AS name FROM documents), t AS (SELECT name, regexp_extract_all(lower(name), '{rd.romaji_pattern().replace("'", "''")}') AS m FROM w),
+  c AS (SELECT name, array_to_string(m, '') = lower(name) AND regexp_full_match(name, '[A-Z]?[a-z]+') AS good, regexp_replace(regexp_replace({_CUT}, '-n(-|$)', 'n\1', 'g'), '-n(-|$)', 'n\1', 'g') AS s FROM t)
+  SELECT name, CASE WHEN good AND starts_with(s, '-') THEN CASE WHEN regexp_matches(name, '^[A-Z]') THEN upper(s[2]) || s[3:] ELSE s[2:] END END AS syllables FROM c""")
+def f31_romaji(spark, sf_dir):
+    """Words of the documents as if they were romanised names."""
+    w = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9_])[A-Za-z]{3,12}(?![A-Za-z0-9_])"), F.lit(0))).alias("name")).distinct()
+    return w.select("name", rd.romaji_syllables(F.col("name")).alias("syllables"))
