@@ -40,6 +40,7 @@ WORD_DIM, CHAR_DIM, HIDDEN = 8, 12, 8
 GRAMS = (3, 4)
 MIN_DOCS = 3  # training documents a word or n-gram bucket must occur in to get an embedding
 KNOWN_WORDS = 150_000
+GATED = 1 << 14  # words whose n-grams are looked up at once
 BLOCK = 1024
 _TOKEN = re.compile(r"\w+")
 
@@ -176,7 +177,7 @@ def fit(windows: list[str], owner: np.ndarray, labels: np.ndarray, seed: int = 7
     clean = hard = np.flatnonzero(~toxic)
     for phase, n_steps in enumerate(steps):
         if phase:  # toxic documents by their highest windows, clean ones half by theirs where those look toxic
-            logit = score_windows(net, net.gates(net.vectors(words)), index, mask)
+            logit = score_windows(net, gate_table(net, words), index, mask)
             best = np.full(len(labels), -np.inf)
             np.maximum.at(best, owner, logit)
             chosen = np.flatnonzero(toxic & (logit >= np.minimum(best[owner], 1.5)))
@@ -244,6 +245,11 @@ def fit(windows: list[str], owner: np.ndarray, labels: np.ndarray, seed: int = 7
     return net
 
 
+def gate_table(net: Net, words: list[str]) -> np.ndarray:
+    """The gate inputs of all words, some thousand at a time: a word's n-grams take far more room than its gates."""
+    return np.concatenate([net.gates(net.vectors(words[i : i + GATED])) for i in range(0, len(words), GATED)], axis=1)
+
+
 def _scatter(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return np.column_stack([np.bincount(rows, v, n) for v in values.T]).astype(np.float32)
 
@@ -378,8 +384,10 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_wind
     y = np.array([r["toxic"] for r in got])
     if not len(y) or y.min() == y.max():
         return None, rate
+    owner, own = np.repeat(np.arange(len(got)), [len(r["w"]) for r in got]), [w for r in got for w in r["w"]]
+    del got
     with np.errstate(over="ignore"):
-        net = fit([w for r in got for w in r["w"]], np.repeat(np.arange(len(got)), [len(r["w"]) for r in got]), y)
+        net = fit(own, owner, y)
     net.fit = _calibrate(*np.array(_scored(text, net).select("__logit", "__windows", "toxic").orderBy("doc_id").collect(), float).T, rate)
     return net, rate
 
