@@ -34,7 +34,7 @@ def test_times_of_a_long_line():
     assert got[::2] == [(a, b) for _, a, b in pieces] and got[1::2] == [(300 * i + 250, 300 * i + 600) for i in range(0, n, 2)]
 
 
-@pytest.mark.parametrize("cut, fields", [(sequential.segment, "paragraph int, kind string, piece string, break_ms int")])
+@pytest.mark.parametrize("cut, fields", [(sequential.segment, "paragraph int, kind string, piece string, break_ms int"), (sequential.split_clauses, "piece string")])
 def test_pieces_are_handed_on(spark, cut, fields):
     """A batch of 10,000 rows of many pieces: the first pieces come before the last rows are cut."""
     text, seen = "Eins, zwei. " * 40 + "\n\nDrei.\n\n" * 10, []
