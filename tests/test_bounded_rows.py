@@ -44,3 +44,15 @@ def test_pieces_are_handed_on(spark, cut, fields):
     assert first.num_rows == batches.MADE and len(seen) <= batches.MADE
     rows = [piece if isinstance(piece, tuple) else (piece,) for piece in cut(text)]
     assert [tuple(r.values())[2:] for r in first.to_pylist()[: len(rows)]] == rows
+
+
+def test_voices_stay_with_their_book(spark):
+    from versehall.plans.catalogue import QUERIES
+
+    plan = QUERIES["e8_voices"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "collect_list" not in plan  # a book's voices went with each of its people
+    people = [(b, f"p{i:03}", (i * 7) % 23, sorted({i % 5, i % 7, i % 11})) for b in (1, 2, 3) for i in range(120)]
+    voices = [(b, f"v{i:02}") for b in (1, 2, 2, 4) for i in range(40)]
+    got = sequential.allocate_voices(spark.createDataFrame(people, "b long, who string, n long, heard array<long>"), spark.createDataFrame(voices, "b long, v string"), "b", "who", "n", "heard", "v")
+    want = {(b, *x) for b in (1, 2) for x in sequential.allocate([p[1:] for p in people if p[0] == b], [v for c, v in voices if c == b]).items()}
+    assert {tuple(r) for r in got.collect()} == want and len(want) == 240

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from itertools import islice
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -30,3 +30,17 @@ def explode(df: DataFrame, fn: Callable[..., Iterable[tuple]], schema: str) -> D
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), spec)], schema=spec)
 
     return df.mapInArrow(run, schema)
+
+
+def in_order(df: DataFrame, by: str, order: Sequence[Column], start: Callable[[], Callable[..., Iterable[tuple]]], schema: str) -> DataFrame:
+    """The rows that a function makes of each unit's rows in `order`, one at a time: `start` gives a new
+    function for each value of `by`, which comes first in `df`. What the function keeps is all that a task
+    holds of a unit."""
+    step: list = [None, None]
+
+    def fn(unit, *row) -> Iterable[tuple]:
+        if step[1] is None or unit != step[0]:
+            step[:] = unit, start()
+        return ((unit, *x) for x in step[1](*row))
+
+    return explode(df.repartition(by).sortWithinPartitions(by, *order), fn, schema)

@@ -253,6 +253,5 @@ def e8_voices(spark, sf_dir):
     """Customers of a nation as its cast, their orders' months as chapters, its suppliers as voices."""
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("nation"))
     o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("lines"), F.sort_array(F.collect_set(F.date_format("o_orderdate", "yyyy-MM"))).alias("chapters"))
-    v = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.sort_array(F.collect_list("s_name")).alias("voices"))
-    people = c.join(o, "o_custkey").join(v, "nation")
-    return seq.allocate_voices(people, "nation", "o_custkey", "lines", "chapters", "voices")
+    v = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), "s_name")
+    return seq.allocate_voices(c.join(o, "o_custkey"), v, "nation", "o_custkey", "lines", "chapters", "s_name")
