@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from versehall import batches
 from versehall.functions import readings
-from versehall.operators import sequential
+from versehall.operators import intervals, sequential
 
 
 class Frame:
@@ -56,3 +56,16 @@ def test_voices_stay_with_their_book(spark):
     got = sequential.allocate_voices(spark.createDataFrame(people, "b long, who string, n long, heard array<long>"), spark.createDataFrame(voices, "b long, v string"), "b", "who", "n", "heard", "v")
     want = {(b, *x) for b in (1, 2) for x in sequential.allocate([p[1:] for p in people if p[0] == b], [v for c, v in voices if c == b]).items()}
     assert {tuple(r) for r in got.collect()} == want and len(want) == 240
+
+
+def plan_of(spark, name):
+    from versehall.plans.catalogue import QUERIES
+
+    return QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+
+
+def test_thin_reads_no_groups(spark):
+    assert "FlatMapGroupsInPandas" not in plan_of(spark, "j20_band_dedup")  # a call for every run of every user
+    df = spark.range(30_000).select((F.col("id") % 2).alias("k"), F.col("id").alias("s"))
+    got = sorted(tuple(r) for r in intervals.thin(df, ["k"], F.col("s"), [], 6).collect())
+    assert got == [(k, s) for k in (0, 1) for s in range(k, 30_000, 8)]

@@ -6,13 +6,14 @@ null times sort first and belong to no interval; an empty table gives an empty r
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from versehall.staging import unused
+
 
 def _c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -93,28 +94,25 @@ def range_mean(df: DataFrame, by: Sequence[str], at: Column, span: int, value: C
 def thin(df: DataFrame, by: Sequence[str], at: Column, order: Sequence[str], band: float) -> DataFrame:
     """Rows kept in order of time, each unless a kept one lies within `band` before it.
 
-    A row further than `band` behind the row before it is always kept and begins a run of its own, so
-    runs are independent; only runs longer than `band` are scanned, each as one group. Rows without a
-    time are kept."""
+    Rows without a time are kept. Each partition is read once in order; all that is held of a unit is
+    the time of the row kept last."""
+    columns, (first, time) = df.columns, unused(df, "__first", "__time")
     w = Window.partitionBy(*by).orderBy(at, *order)
-    gap = at - F.lag(at).over(w)
-    rows = df.withColumn("__at", at.cast("double")).withColumn("__first", gap.isNull() | (gap > band))
-    rows = rows.withColumn("__run", F.sum(F.col("__first").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    run = Window.partitionBy(*by, "__run")
-    rows = rows.withColumn("__long", F.coalesce(F.max("__at").over(run) - F.min("__at").over(run) > band, F.lit(False)))
-
-    columns, keys = df.columns, ["__at", *order]
-
-    def scan(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(keys, ignore_index=True)
-        times, keep, i = part["__at"].to_numpy(), [], 0
-        while i < len(times):
-            keep.append(i)
-            i = int(np.searchsorted(times, times[i] + band, side="right"))
-        return part.loc[keep, columns]
-
-    alone = rows.where("__first AND NOT __long").select(*df.columns)
-    return alone.union(rows.where("__long").groupBy(*by, "__run").applyInPandas(scan, df.schema))
+    rows = df.withColumn(time, at.cast("double")).withColumn(first, F.row_number().over(w) == 1)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        until = float("-inf")
+        for batch in batches:
+            keep = []
+            for begins, now in zip(batch.column(first).to_pylist(), batch.column(time).to_pylist()):
+                if begins:
+                    until = float("-inf")
+                keep.append(now is None or not now <= until)
+                if keep[-1] and now is not None:
+                    until = now + band
+            yield batch.select(columns).filter(pa.array(keep, pa.bool_()))
+
+    return rows.sortWithinPartitions(*by, at, *order).mapInArrow(run, df.schema)
 
 
 def block_before(df: DataFrame, by: Sequence[str], order: Sequence[str], anchor: Column, inside: Column, most: int, name: str) -> DataFrame:
