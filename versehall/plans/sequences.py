@@ -30,11 +30,9 @@ def f16_segments(spark, sf_dir):
 def e12_first_fit(spark, sf_dir):
     """Segments of a document in batches of 1,500 characters; those of a paragraph, and all from where a
     quotation opens to where it ends, stay together."""
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        return rows.assign(batch=sq.first_fit(rows["size"].to_numpy(), rows["unit"].to_numpy(), 1500))[["doc_id", "pos", "batch"]]
-
     parts = sq.explode_text(table(spark, sf_dir, "documents"), "doc_id", "text", sq.segment, "paragraph int, kind string, piece string, break_ms int")
-    return sq.grouped(sq.cohesive(parts, ["doc_id"], ["pos"], "paragraph", "piece"), ["doc_id"], ["pos"], pack, "doc_id long, pos int, batch int")
+    units = sq.cohesive(parts, ["doc_id"], ["pos"], "paragraph", "piece").select("doc_id", "pos", "unit", "size")
+    return sq.first_fit_rows(units, ["doc_id"], ["pos"], "unit", "size", 1500, "batch").select("doc_id", "pos", "batch")
 
 
 @query()
