@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from versehall import batches
-from versehall.functions import readings
+from versehall.functions import passages, readings
 from versehall.operators import intervals, sequential
 
 
@@ -69,3 +69,21 @@ def test_thin_reads_no_groups(spark):
     df = spark.range(30_000).select((F.col("id") % 2).alias("k"), F.col("id").alias("s"))
     got = sorted(tuple(r) for r in intervals.thin(df, ["k"], F.col("s"), [], 6).collect())
     assert got == [(k, s) for k in (0, 1) for s in range(k, 30_000, 8)]
+
+
+def test_edits_of_long_texts(spark):
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    draw = np.random.default_rng(5)
+    for _ in range(300):
+        a, b = ("".join(draw.choice(list("abcđ𝄞"), n)) for n in draw.integers(0, 40, 2))
+        assert passages.edits(a, b) == plain(a, b)
+    long = [" ".join(f"{p}{i}" for i in range(4000)) for p in "ab"]  # more words than there were private-use characters
+    df = spark.createDataFrame([(long[0], long[1]), (long[0], None), ("a b c", "c"), ("", "x y")], "a string, b string")
+    assert [r[0] for r in df.select(passages.token_distance(F.col("a"), F.col("b"))).collect()] == [4000, None, 1, 2]

@@ -184,7 +184,7 @@ def f24_f29_heard(spark, sf_dir):
     w = Window.partitionBy("conv_id").orderBy("turn")
     c = table(spark, sf_dir, "conversations").withColumn("other", F.lead("text").over(w)).where("other IS NOT NULL")
     a, b, alike = F.col("text"), F.col("other"), F.col("alike")
-    c = c.withColumn("edits", ps.token_distance(a, b)).withColumn("alike", tx.similarity(a, b))
+    c = c.withColumn("edits", ps.token_distance(a, b)).withColumn("alike", ps.likeness(a, b))
     wer = F.col("edits") / F.greatest(F.lit(1), ps.n_words(a))
     seconds = F.col("turn") * 2.0
     return c.select(
