@@ -87,3 +87,13 @@ def test_edits_of_long_texts(spark):
     long = [" ".join(f"{p}{i}" for i in range(4000)) for p in "ab"]  # more words than there were private-use characters
     df = spark.createDataFrame([(long[0], long[1]), (long[0], None), ("a b c", "c"), ("", "x y")], "a string, b string")
     assert [r[0] for r in df.select(passages.token_distance(F.col("a"), F.col("b"))).collect()] == [4000, None, 1, 2]
+
+
+def test_symbols_are_looked_for_once(spark):
+    """The text before its cues was worked out again for every use of its parts."""
+    from versehall.functions import speech
+
+    text = F.concat(F.col("t"), F.lit(" once"))
+    for said in (speech.spoken_symbols,):
+        plan = spark.createDataFrame([("a",)], "t string").select(said(text).alias("s"))._jdf.queryExecution().analyzed().toString()
+        assert plan.count(" once") == 1
