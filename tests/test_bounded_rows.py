@@ -94,6 +94,6 @@ def test_symbols_are_looked_for_once(spark):
     from versehall.functions import speech
 
     text = F.concat(F.col("t"), F.lit(" once"))
-    for said in (speech.spoken_symbols,):
+    for said in (speech.spoken_symbols, speech.spoken_cries):
         plan = spark.createDataFrame([("a",)], "t string").select(said(text).alias("s"))._jdf.queryExecution().analyzed().toString()
         assert plan.count(" once") == 1

@@ -71,6 +71,10 @@ def spoken_cries(text: Column) -> Column:
 
     Cues in brackets become sounds, a gasp alone ("Ha…") a laugh, runs of more than three points three.
     Each word is looked at once, so work and result are in proportion to the text."""
+    return _let(text, _cries)
+
+
+def _cries(text: Column) -> Column:
     gasp = r"(?iu)^(\s*[“\"'‘—–-]?\s*)ha(?:…|\.{2,})(\s*[”\"'’]?\s*)$"
     said = text
     for cue, sound in SOUNDS.items():
@@ -93,9 +97,15 @@ def spoken_cries(text: Column) -> Column:
             .when(leads, led).when(l.rlike(f"^{vowel}$"), F.concat(F.upper(F.substring(l, 1, 1)), F.lit("... "), F.substring(l, 1, 1))).otherwise(w)
         )
 
-    #: no other word can be one of these
-    maybe = f"^[{VOWELS}{''.join(_TONED)}hg]"
-    parts = F.regexp_extract_all(said, F.lit(r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_]+"), F.lit(0))
-    out = F.array_join(F.transform(parts, lambda w: F.when(low(w).rlike(maybe), word(w)).otherwise(w)), "")
+    # words made of letters that these are made of, in any case; `word` decides, the text between stays
+    inside = r"[\p{L}\p{M}\p{N}_]"
+    maybe = rf"(?iu)(?<!{inside})(?:[aughr]{{2,}}|h[aeihmuzừ]+|\p{{L}}?([{VOWELS}])\1{{2,}}h*)(?!{inside})"
+
+    def whole(text: Column) -> Column:
+        found = F.regexp_extract_all(text, F.lit(maybe), F.lit(0))
+        joined = lambda gap, w: F.concat(gap, F.coalesce(word(w), F.lit("")))
+        return F.array_join(F.zip_with(F.split(text, maybe), found, joined), "")
+
+    out = _let(said, whole)
     out = F.regexp_replace(out, r"\.{4,}", "...")
     return F.when(text.rlike(gasp), F.regexp_replace(text, gasp, "$1Ha ha.$2")).otherwise(out)
