@@ -97,3 +97,17 @@ def test_symbols_are_looked_for_once(spark):
     for said in (speech.spoken_symbols, speech.spoken_cries):
         plan = spark.createDataFrame([("a",)], "t string").select(said(text).alias("s"))._jdf.queryExecution().analyzed().toString()
         assert plan.count(" once") == 1
+
+
+def test_books_one_by_one(spark, monkeypatch):
+    """A file is read when the chapters of the one before have gone on."""
+    from versehall.sources import books
+
+    seen, real = [], books.explode
+    monkeypatch.setattr(books, "explode", lambda df, *a, **k: seen.append(real(Frame(), *a, **k)) or real(df, *a, **k))
+    books.read_books(spark, "/root/testdata/sf0.001", "*.txt")
+    read = []
+    monkeypatch.setattr(books, "chapters_of", lambda p, data: read.append(p) or [("a", "x"), ("b", "y")])
+    batch = pa.RecordBatch.from_pydict({"path": ["1.txt", "2.txt"], "content": [b"x", b"y"]})
+    got = [(len(read), b.num_rows) for b in seen[0](iter([batch]))]
+    assert got == [(1, 1), (1, 1), (2, 1), (2, 1)]

@@ -13,20 +13,20 @@ from pyspark.sql.types import StructType
 TAKEN, MADE = 256, 4096  # rows that a task holds as Python objects: of a batch, and of what it makes
 
 
-def explode(df: DataFrame, fn: Callable[..., Iterable[tuple]], schema: str) -> DataFrame:
+def explode(df: DataFrame, fn: Callable[..., Iterable[tuple]], schema: str, taken: int = TAKEN, most: int = MADE) -> DataFrame:
     """The rows that `fn` makes of the values of each row. However many they are, and however many rows
     come in a batch, a task holds no more than a slice of them."""
     spec = to_arrow_schema(StructType.fromDDL(schema))
 
     def made(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            for at in range(0, batch.num_rows, TAKEN):
-                for row in zip(*(c.to_pylist() for c in batch.slice(at, TAKEN).columns)):
+            for at in range(0, batch.num_rows, taken):
+                for row in zip(*(c.to_pylist() for c in batch.slice(at, taken).columns)):
                     yield from fn(*row)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = made(batches)
-        while part := list(islice(rows, MADE)):
+        while part := list(islice(rows, most)):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), spec)], schema=spec)
 
     return df.mapInArrow(run, schema)

@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from versehall.batches import explode
 from versehall.functions.text import is_heading, natural_key
 from versehall.operators.merge import content_keys
 from versehall.operators.sequential import explode_text
@@ -195,18 +196,14 @@ def read_books(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """SRC3, SRC6: chapters of all files under `path`, with `order_key` in natural order of names."""
     ship(spark)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for p, data in zip(batch["path"], batch["content"]):
-                try:
-                    rows += [(p, title, i, text, None) for i, (title, text) in enumerate(chapters_of(p, data))]
-                except UNREADABLE as e:
-                    rows.append((p, None, 0, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["path", "title", "chapter", "text", "error"])
+    def chapters(p: str, data: bytes) -> list[tuple]:
+        try:
+            return [(p, title, i, text, None) for i, (title, text) in enumerate(chapters_of(p, data))]
+        except UNREADABLE as e:
+            return [(p, None, 0, None, f"{type(e).__name__}: {e}")]
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
-    out = files.mapInPandas(run, SCHEMA)
+    out = explode(files, chapters, SCHEMA, taken=1, most=1)  # one file and one chapter at a time
     return out.withColumn("order_key", natural_key(F.element_at(F.split("path", "/"), -1)))
 
 
