@@ -27,48 +27,47 @@ def name_forms(labels: DataFrame, label: str) -> DataFrame:
     return rows.select("label", "folded", F.explode(forms).alias("form"))
 
 
-def epithet_links(docs: DataFrame, text: str, labels: DataFrame, label: str, links: Sequence[str] = (), most: int = 100_000) -> DataFrame:
+def epithet_links(docs: DataFrame, text: str, labels: DataFrame, label: str, links: Sequence[str] = (), most: int = 500_000) -> DataFrame:
     """(epithet, name, n): how often the texts have a label whole with a form of another label right
     behind it, right before it, or before it with one of the `links` between ("called"). Neighbours
     are apart by one space: after a comma stands another person of a list. A name counts once a
     place. Labels of which one holds the other, or that share a word, are left out.
 
-    Texts are read once: every word brings the few behind it that two names and a link can take, meets
-    the index of forms by its first word, and what follows the form found meets the index again
-    (broadcast up to `most` forms, shuffled beyond). Only pairs found are shuffled, as numbers."""
+    Texts are read once: every word brings the few around it that two names and a link can take, meets
+    the labels by their first word, and what may be a name beside the label found meets the index of forms
+    (broadcast up to `most` forms, shuffled beyond). All forms beside a label are in its row, so a name that is there in
+    several counts by the first of them, and only sums by label and name are shuffled."""
     forms = name_forms(labels, label)
-    ids = stage(forms.select("label", "folded").distinct().withColumn("id", F.monotonically_increasing_id()), "name-labels")
-    index = forms.join(ids, ["label", "folded"]).withColumn("words", F.split("form", " "))
-    index = stage(index.select("id", "folded", (F.col("form") == F.col("folded")).alias("whole"), F.col("words")[0].alias("w"), F.expr("slice(words, 2, size(words))").alias("rest")), "name-forms")
-    more, n = index.agg(F.coalesce(F.max(F.size("rest")), F.lit(0)), F.count("*")).first()
+    known = forms.groupBy("label", "folded").agg(F.sort_array(F.collect_set("form")).alias("forms"))
+    known = stage(known.withColumn("id", F.monotonically_increasing_id()).withColumn("words", F.split("folded", " ")), "name-labels")
+    more, n = known.agg(F.coalesce(F.max(F.size("words")) - 1, F.lit(0)), F.coalesce(F.sum(F.size("forms")), F.lit(0))).first()
     bounded = (lambda df: F.broadcast(df)) if n <= most else (lambda df: df)
+    whole = known.select(F.col("id").alias("epithet"), "folded", "words", F.col("words")[0].alias("w"), F.expr("slice(words, 2, size(words))").alias("rest"))
+    index = known.select(F.col("id").alias("name"), F.col("folded").alias("n_folded"), F.col("words").alias("n_words"), "forms", F.explode("forms").alias("form"))
     between = sorted({tuple(_folded_words(x)) for x in links} - {()})
-    reach = 2 * more + 1 + max(map(len, between), default=0)
+    reach = more + 1 + max(map(len, between), default=0)
 
     # whatever is not one space between two words becomes a token of its own, so that neighbours are next tokens
     tokens = F.split(F.regexp_replace(tx.fold_all(F.col(text)), GAP, " | "), " ")
-    rows = docs.where(F.col(text).isNotNull()).select(F.monotonically_increasing_id().alias("doc"), tokens.alias("t"))
-    each = F.transform("t", lambda w, i: F.struct(i.cast("long").alias("at"), w.alias("w"), F.slice("t", i + 2, F.lit(reach)).alias("behind")))
-    rows = rows.select("doc", F.explode(each).alias("x")).select("doc", "x.*").where("w <> '|' AND w <> ''")
-    is_next = lambda tail, rest: F.slice(tail, F.lit(1), F.size(rest)) == F.col(rest)
-    left = rows.join(bounded(index), "w").where(is_next("behind", "rest"))
-    tail = lambda of, k: F.slice(of, k + 1, F.lit(reach))
-    left = left.select("doc", "at", "id", "folded", "whole", (F.size("rest") + 1).alias("size"), tail("behind", F.size("rest")).alias("tail"))
-    # what may hold the other name: what follows, and what follows a link
-    ways = [F.struct(F.lit(0).alias("skip"), F.col("tail").alias("tail"))]
-    for words in between:
-        said = F.slice("tail", 1, len(words)) == F.array(*[F.lit(w) for w in words])
-        ways.append(F.when(said, F.struct(F.lit(len(words)).alias("skip"), tail("tail", F.lit(len(words))).alias("tail"))))
-    left = left.select("doc", "at", "id", "folded", "whole", "size", F.explode(F.array(*ways)).alias("way")).where("way IS NOT NULL AND size(way.tail) > 0")
-    left = left.select("*", F.col("way.skip").alias("skip"), F.col("way.tail")[0].alias("w"), tail("way.tail", F.lit(1)).alias("behind")).drop("way")
-    right = index.select(F.col("id").alias("r_id"), F.col("folded").alias("r_folded"), F.col("whole").alias("r_whole"), "w", "rest")
-    pairs = left.join(bounded(right), "w").where(is_next("behind", "rest"))
-    apart = ~F.col("folded").contains(F.col("r_folded")) & ~F.col("r_folded").contains(F.col("folded")) & ~F.arrays_overlap(F.split("folded", " "), F.split("r_folded", " "))
-    ahead = F.when(F.col("whole") & (F.col("skip") == 0), F.struct(F.col("at").alias("place"), F.col("id").alias("epithet"), F.col("r_id").alias("name")))
-    back = F.when(F.col("r_whole"), F.struct((F.col("at") + F.col("size") + F.col("skip")).alias("place"), F.col("r_id").alias("epithet"), F.col("id").alias("name")))
-    found = pairs.where(apart).select("doc", F.explode(F.array(ahead, back)).alias("x")).where("x IS NOT NULL").select("doc", "x.*").distinct()
-    counts = found.groupBy("epithet", "name").agg(F.count("*").alias("n"))
-    named = lambda c: ids.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label"))
+    rows = docs.where(F.col(text).isNotNull()).select(tokens.alias("t"))
+    # word by word (null beyond the text): a slice within a lambda copies the whole text for each of its words
+    around = lambda i, *places: F.array(*[F.get("t", i + k) for k in range(*places)])
+    each = F.transform("t", lambda w, i: F.struct(w.alias("w"), around(i, 1, 2 * more + 2).alias("behind"), around(i, -reach, 0).alias("before")))
+    rows = rows.select(F.explode(each).alias("x")).select("x.*").where("w <> '|' AND w <> ''")
+    hits = rows.join(bounded(whole), "w").where(F.slice("behind", F.lit(1), F.size("rest")) == F.col("rest"))
+
+    # nulls are left out of a span, which then is a shorter one
+    last = lambda skip, k: F.slice("before", reach - skip - k + 1, k)
+    spans = []
+    for k in range(1, more + 2):
+        spans += [F.array_join(F.slice("behind", F.size("rest") + 1, F.lit(k)), " "), F.array_join(last(0, k), " ")]
+        spans += [F.when(last(0, len(words)) == F.array(*[F.lit(w) for w in words]), F.array_join(last(len(words), k), " ")) for words in between]
+    hits = hits.select("epithet", "folded", "words", F.array_distinct(F.array(*spans)).alias("spans"))
+    pairs = hits.select("*", F.explode("spans").alias("form")).where("form IS NOT NULL").join(bounded(index), "form")
+    once = (F.size("forms") == 1) | (F.array_intersect("forms", "spans")[0] == F.col("form"))
+    apart = ~F.col("folded").contains(F.col("n_folded")) & ~F.col("n_folded").contains(F.col("folded")) & ~F.arrays_overlap("words", "n_words")
+    counts = pairs.where(once & apart).groupBy("epithet", "name").agg(F.count("*").alias("n"))
+    named = lambda c: bounded(known.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label")))
     counts = counts.join(named("epithet"), "epithet").join(named("name"), "name")
     return counts.select(F.col("epithet_label").alias("epithet"), F.col("name_label").alias("name"), "n")
 
