@@ -126,3 +126,30 @@ def test_links_are_summed_where_they_stand(spark):
     assert time.perf_counter() - began < 10
     # Tino and Tino Shade behind Krai are one name of the place
     assert got == {("Krai", "Tino Shade"): 3, ("Tino Shade", "Krai"): 1, ("Krai", "Sir"): 1}
+
+
+def test_points_are_compared_in_blocks(spark, monkeypatch):
+    """All pairs of neighbouring cells went through a sort; now a block hands on the nearest of each point."""
+    from versehall.operators import select
+
+    xs = [i % 25 / 100 for i in range(400)]
+    one = spark.createDataFrame([([(x, 0.0) for x in xs[:25]], [(i, x, 0.0) for i, x in enumerate(xs)])], "own array<struct<x double, y double>>, others array<struct<id long, x double, y double>>")
+    got = sorted(tuple(r) for r in select._nearest_of_blocks(one, (1.0, 1.0), 0.005, 4, "long").collect())
+    assert got == sorted((xs[i], 0.0, i + 25 * n, 0.0) for i in range(25) for n in range(4))
+    monkeypatch.setattr(select, "BLOCK", 16)
+    rng = np.random.default_rng(1)
+    pts = [(i, *map(float, rng.normal(0, 0.02, 2))) for i in range(300)]  # all in one cell
+    found = select.nearest_in_grid(spark.createDataFrame(pts, "k long, x double, y double"), "k", ("x", "y"), (25.0, 50.0), 6.0, 3)
+    want = {k: [j for _, j in sorted((25 * (x - a) ** 2 + 50 * (y - b) ** 2, j) for j, a, b in pts if j != k)[:3]] for k, x, y in pts}
+    assert {(r.k, r.rank): r.near for r in found.collect()} == {(k, n + 1): j for k, js in want.items() for n, j in enumerate(js)}
+
+
+def test_threshold_rows_are_worked_out_once(spark):
+    """Each round on the way to a cut worked all scores out again."""
+    from versehall.operators import ordering
+
+    seen = spark.sparkContext.accumulator(0)
+    count = F.udf(lambda v: seen.add(1) or v, "double").asNondeterministic()
+    df = spark.range(10_000).select("id", (F.col("id") % 3).alias("c"), (F.col("id") * 1.0).alias("v")).withColumn("s", count("v"))
+    assert ordering.keep_by_threshold(df, ["c"], F.col("s"), 0.3).count() == 1000 + 999 + 999
+    assert seen.value == 10_000

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,20 +38,55 @@ def log_sum_exp(logs: Column) -> Column:
     return top + F.log(F.aggregate(logs, F.lit(0.0), lambda s, x: s + F.exp(x - top)))
 
 
+BLOCK = 256  # points of a cell that are compared at once
+
+
+def _blocks(points: DataFrame, row: Column, name: str, tasks: int) -> DataFrame:
+    """Points (x, y, cx, cy) by cells, those of a full cell in several rows: (cx, cy, `name`: sorted array of `row`)."""
+    full = points.groupBy("cx", "cy").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    part = F.pmod(F.xxhash64("x", "y"), F.col("parts")).alias("part")
+    rows = points.join(full, ["cx", "cy"]).select("cx", "cy", part, row.alias("row")).repartition(tasks, "cx", "cy")
+    return rows.groupBy("cx", "cy", "part").agg(F.sort_array(F.collect_list("row")).alias(name)).drop("part")
+
+
+def _nearest_of_blocks(pairs: DataFrame, weights: tuple[float, float], most: float, k: int, kind: str) -> DataFrame:
+    """(x, y, id, d): for each point of a row's block `own` the k nearest of its block `others`, closer than `most`,
+    ties to the smaller id. A task holds the distances of one pair of blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in zip(*(batch.column(c) for c in ("own", "others"))):
+                a, b = a.values, b.values
+                (x, y), (x2, y2) = ([v.field(c).to_numpy() for c in "xy"] for v in (a, b))
+                d = np.sqrt(weights[0] * (x[:, None] - x2) ** 2 + weights[1] * (y[:, None] - y2) ** 2)
+                d[~(d < most)] = np.inf
+                for _ in range(min(k, len(b))):
+                    at = d.argmin(1)  # the first of equals: others stand in order of their ids
+                    far = d[np.arange(len(a)), at]
+                    d[np.arange(len(a)), at] = np.inf
+                    if (near := np.isfinite(far)).any():
+                        yield pa.RecordBatch.from_arrays([pa.array(x[near]), pa.array(y[near]), b.field("id").take(pa.array(at[near])), pa.array(far[near])], ["x", "y", "id", "d"])
+
+    return pairs.select("own", "others").mapInArrow(run, f"x double, y double, id {kind}, d double")
+
+
 def nearest_in_grid(points: DataFrame, key: str, xy: tuple[str, str], weights: tuple[float, float], most: float, k: int, n: int = 5, per_cell: int = 128) -> DataFrame:
     """For each point its k nearest others in its own and the eight neighbouring cells of the
     n x n grid, no further than `most`: (key, near, d, rank), ties to the smaller key.
 
-    d = sqrt(sum of weight * difference squared). Cells are cut so that one holds some `per_cell`
+    d = sqrt(sum of weight * difference squared). Points are compared block by block of a cell, and only the k + 1
+    nearest of each block go on. Cells are cut so that one holds some `per_cell`
     points; a point is done once k others lie nearer than anything outside the cells around it can, the
     rest goes on with cells twice as wide, up to those of the grid itself. Of equal points only the
     k + 1 smallest keys can be anybody's nearest; they are searched for once."""
     x, y = xy
-    own = points.select(F.col(key).alias("id"), F.col(x).alias("x"), F.col(y).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+    own = points.select(F.col(key).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
     first = F.row_number().over(Window.partitionBy("x", "y").orderBy("id"))
     near = stage(own.withColumn("r", first).where(F.col("r") <= k + 1).select("id", "x", "y"), "grid-points")
     open_ = near.select("x", "y").distinct()
-    parts = 1 << max(0, round(math.log2(max(1.0, near.count() / (n * n) / per_cell)) / 2))
+    size = near.count()
+    parts = 1 << max(0, round(math.log2(max(1.0, size / (n * n) / per_cell)) / 2))
+    tasks = max(8, math.ceil(size / 8192))
     fast, out = math.sqrt(min(weights)) * 2 / n, None
 
     def cell(v: Column, m: int) -> Column:
@@ -58,12 +95,13 @@ def nearest_in_grid(points: DataFrame, key: str, xy: tuple[str, str], weights: t
 
     while True:
         around = F.sequence(F.lit(-1), F.lit(1))
-        a = open_.select("x", "y", cell(F.col("x"), parts).alias("cx"), cell(F.col("y"), parts).alias("cy"))
-        a = a.withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around)).select("x", "y", (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"))
-        b = near.select("id", F.col("x").alias("x2"), F.col("y").alias("y2"), cell(F.col("x"), parts).alias("cx"), cell(F.col("y"), parts).alias("cy"))
-        d = F.sqrt(weights[0] * F.pow(F.col("x") - F.col("x2"), 2) + weights[1] * F.pow(F.col("y") - F.col("y2"), 2))
+        cells = [cell(F.col("x"), parts).alias("cx"), cell(F.col("y"), parts).alias("cy")]
+        a = _blocks(open_.select("x", "y", *cells), F.struct("x", "y"), "own", tasks).withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around))
+        a = a.select((F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"), "own").repartition(tasks, "cx", "cy")
+        b = _blocks(near.select("id", "x", "y", *cells), F.struct("id", "x", "y"), "others", tasks)
         best = Window.partitionBy("x", "y").orderBy("d", "id")
-        pairs = a.join(b, ["cx", "cy"]).withColumn("d", d).where(F.col("d") < most).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1)
+        hits = _nearest_of_blocks(a.join(b.hint("merge"), ["cx", "cy"]), weights, most, k + 1, dict(near.dtypes)["id"])
+        pairs = hits.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1)
         lists = stage(pairs.groupBy("x", "y").agg(F.sort_array(F.collect_list(F.struct("d", "id"))).alias("hits")), "grid-hits")
         sure = F.lit(parts == 1) | ((F.size("hits") == k + 1) & (F.element_at("hits", -1)["d"] <= fast / parts))
         found = lists.where(sure)
