@@ -68,8 +68,9 @@ def quantiles(df: DataFrame, by: Sequence[str], value: Column, shares: Sequence[
 
 def keep_by_threshold(df: DataFrame, by: Sequence[str], score: Column, share: float) -> DataFrame:
     """Of each class every row whose score is at least that at place max(1, floor(n * share))
-    from the top: ties at the cut stay, and a class of one row keeps it. Rows without a score go."""
-    rows = df.withColumn("__score", score.cast("double")).where("__score IS NOT NULL")
+    from the top: ties at the cut stay, and a class of one row keeps it. Rows without a score go. The rows are
+    staged, as each round of `order_statistics` reads them."""
+    rows = stage(df.withColumn("__score", score.cast("double")).where("__score IS NOT NULL"), "scored")
     n = rows.groupBy(*by).agg(F.count("*").alias("__n"))
     cut = n.select(*by, (F.col("__n") - F.greatest(F.lit(1), F.floor(F.col("__n") * share))).cast("long").alias("k"))
     cuts = stage(order_statistics(rows, by, F.col("__score"), cut), "cuts").select(*[F.col(b).alias(f"__c_{b}") for b in by], "stat")

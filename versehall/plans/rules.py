@@ -1,5 +1,6 @@
 """Queries of scores, thresholds, order statistics and readings by their full rules."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from versehall.functions import readings as rd
@@ -46,8 +47,9 @@ def e25_pseudo_labels(spark, sf_dir):
     """An order's kinds of lines by their share as probabilities, open lines as the class of none: the orders
     whose first kind leads the second by most, by class."""
     li = table(spark, sf_dir, "lineitem").withColumn("label", F.when(F.col("l_returnflag") != "N", F.concat("l_returnflag", "l_linestatus")))
+    li = li.select("l_orderkey", "label", "l_quantity").repartition("l_orderkey")  # the one shuffle of the lines
     p = li.groupBy("l_orderkey", "label").agg(F.sum("l_quantity").alias("q"))
-    p = p.join(li.groupBy("l_orderkey").agg(F.sum("l_quantity").alias("all")), "l_orderkey").withColumn("p", F.col("q") / F.col("all"))
+    p = p.withColumn("p", F.col("q") / F.sum("q").over(Window.partitionBy("l_orderkey")))
     m = ordering.margins(p, ["l_orderkey"], "label", "p").withColumn("margin", F.round("margin", 9)).withColumn("named", F.col("label").isNotNull())
     return ordering.keep_by_threshold(m, ["named"], F.col("margin"), 0.3).select("l_orderkey", "label", F.round("margin", 6).alias("margin"))
 
