@@ -6,12 +6,14 @@ before it is shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from versehall.batches import explode
 from versehall.operators.graph import components
+from versehall.staging import stage
 
 WORD = r"[\p{L}]+"
 
@@ -126,24 +128,40 @@ def split_labels(terms: DataFrame, label: str, line: str, term: str) -> DataFram
     return found.where("groups > 1")
 
 
+def _voices(label, chapter, edges: Sequence[dict]) -> Iterator[tuple]:
+    """(label, chapter, term, voice): the least term that can be reached over a chapter's edges."""
+    root: dict = {}
+
+    def find(t):
+        while root.setdefault(t, t) != t:
+            root[t] = t = root[root[t]]
+        return t
+
+    for e in edges:
+        a, b = find(e["t"]), find(e["first"])
+        root[max(a, b)] = min(a, b)
+    return ((label, chapter, t, find(t)) for t in list(root))
+
+
 def split_doubts(terms: DataFrame, label: str, chapter: str, line: str, term: str, selves: Sequence[str], vocabulary: int, least_lines: int = 2, least_known: int = 8, margin: float = 0.5) -> DataFrame:
     """Chapters in which a label seems to stand for two people: (label, chapter, odd lines, odd
     terms, usual terms, margin). Rows are the terms of address of each line.
 
     Terms said in one line belong together, and so do those joined over other lines: the voices of a
-    label's chapter are the connected components of its terms, found for all chapters at once. The two
+    label's chapter are the connected components of its terms; a chapter's distinct terms must fit a task. The two
     voices with most lines (at least `least_lines`; ties to the one whose first line comes first) must either have different terms for the
     speaker's self (`selves`) or two terms each. Which is the odd one is told by the label's terms in its
     other chapters (at least `least_known`): its log likelihood a term is lower by `margin`. Only the
     lines of chapters found are gathered."""
-    own = terms.select(label, chapter, line, F.col(term).alias("t")).where(F.col("t").isNotNull())
-    node = F.struct(F.col(label).alias("l"), F.col(chapter).alias("c"), F.col("t").alias("t"))
-    first = own.groupBy(label, chapter, line).agg(F.min("t").alias("first"))
-    edges = own.join(first, [label, chapter, line]).select(node.alias("a"), F.struct(F.col(label).alias("l"), F.col(chapter).alias("c"), F.col("first").alias("t")).alias("b"))
-    of = components(edges.distinct()).select(F.col("node.l").alias(label), F.col("node.c").alias(chapter), F.col("node.t").alias("t"), F.col("component.t").alias("voice"))
-
-    keys = [label, chapter]
-    bags = own.groupBy(*keys, "t").agg(F.count("*").alias("n")).join(of, [*keys, "t"])
+    keys, kinds = [label, chapter], dict(terms.dtypes)
+    own = terms.select(*keys, line, F.col(term).alias("t")).where(F.col("t").isNotNull())
+    own = stage(own.groupBy(*keys, line, "t").agg(F.count("*").alias("n")), "terms-of-lines")
+    first = own.groupBy(*keys, line).agg(F.min("t").alias("first"))
+    edges = own.join(first, [*keys, line]).groupBy(*keys).agg(F.collect_set(F.struct("t", "first")).alias("edges"))
+    of = stage(explode(edges, _voices, f"`{label}` {kinds[label]}, `{chapter}` {kinds[chapter]}, t {kinds[term]}, voice {kinds[term]}"), "voices")
+
+    every_bag = stage(own.groupBy(*keys, "t").agg(F.sum("n").alias("n")), "terms-of-chapters")
+    bags = every_bag.join(of, [*keys, "t"])
     in_lines = first.join(of.withColumnRenamed("t", "first"), [*keys, "first"])
     lines = in_lines.groupBy(*keys, "voice").agg(F.count("*").alias("lines"), F.min(line).alias("begins"))
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("lines").desc(), "begins"))
@@ -155,8 +173,8 @@ def split_doubts(terms: DataFrame, label: str, chapter: str, line: str, term: st
     differ = (F.size("x") > 0) & (F.size("y") > 0) & ~F.arrays_overlap("x", "y")
     pair = pair.where((F.col("sides") == 2) & (differ | (F.col("kinds") >= 2))).select(*keys)
 
-    every = own.groupBy(label, "t").agg(F.count("*").alias("all"))
-    size = own.groupBy(*keys).agg(F.count("*").alias("own_size")).join(own.groupBy(label).agg(F.count("*").alias("size")), label)
+    every = every_bag.groupBy(label, "t").agg(F.sum("n").alias("all"))
+    size = every_bag.groupBy(*keys).agg(F.sum("n").alias("own_size")).join(every_bag.groupBy(label).agg(F.sum("n").alias("size")), label)
     rows = told.join(pair, keys).join(every, [label, "t"]).join(size, keys)
     known = F.col("size") - F.col("own_size")
     fit = F.sum(F.col("n") * F.log((F.col("all") - F.col("n") + 0.5) / (known + 0.5 * vocabulary))) / F.sum("n")
