@@ -153,3 +153,24 @@ def test_threshold_rows_are_worked_out_once(spark):
     df = spark.range(10_000).select("id", (F.col("id") % 3).alias("c"), (F.col("id") * 1.0).alias("v")).withColumn("s", count("v"))
     assert ordering.keep_by_threshold(df, ["c"], F.col("s"), 0.3).count() == 1000 + 999 + 999
     assert seen.value == 10_000
+
+
+def test_rounds_read_what_is_left(spark, monkeypatch):
+    """Each round of the colouring read all nodes again, those long done too."""
+    from collections import Counter
+
+    sizes = Counter()
+    write = sequential.stage
+    monkeypatch.setattr(sequential, "stage", lambda df, name: sizes.update({name: (out := write(df, name)).count()}) or out)
+    edges = [(i, i + 1) for i in range(6)] + [(1000 + i, 2000 + i) for i in range(300)]
+    got = dict(map(tuple, sequential.colours(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()))
+    assert len(got) == 607 and all(got[a] != got[b] for a, b in edges)
+    assert sizes["colours"] == 607  # each node is written in one round
+
+
+def test_voices_of_a_chapter_in_one_go(spark):
+    """Components went through rounds of joins over all chapters."""
+    from versehall.operators import dialogue
+
+    said = [("b", "a"), ("c", "c"), ("d", "c"), ("e", "d"), ("f", "b"), ("g", "g")]
+    assert sorted(dialogue._voices("x", 1, [dict(zip(("t", "first"), p)) for p in said])) == [("x", 1, t, v) for t, v in zip("abcdefg", "aacccag")]

@@ -9,6 +9,7 @@ from versehall.functions import readings
 from versehall.operators import sequential as sq
 from versehall.operators.intervals import micros
 from versehall.plans.registry import query, table
+from versehall.staging import stage
 
 
 @query()
@@ -115,7 +116,10 @@ def m8_utterances(spark, sf_dir):
 @query()
 def a26_colours(spark, sf_dir):
     """Parts that one supplier sends in one order must not share a colour."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey").distinct()
+    w = Window.partitionBy("l_orderkey", "l_suppkey")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey")
+    li = li.withColumn("several", F.min("l_partkey").over(w) < F.max("l_partkey").over(w)).where("several").drop("several").distinct()
+    li = stage(li, "sent-together")
     other = li.withColumnRenamed("l_partkey", "other")
     return sq.colours(li.join(other, ["l_orderkey", "l_suppkey"]).where("l_partkey < other"), "l_partkey", "other")
 
